@@ -13,10 +13,10 @@ from leakframe.functions import paths, text
 from leakframe.operators import entropy, filefilter, findings, lines, state
 from leakframe.operators.allowlist import drop_allowlisted
 from leakframe.options import ScanOptions
-from leakframe.plans.scan import scan_texts
+from leakframe.plans.scan import scan_selected, scan_texts
 from leakframe.rules import BUILTIN_RULES, Rule, rule_catalog
 from leakframe.sources.files import changed_paths
-from leakframe.sources.tables import read_texts, spread, texts_of
+from leakframe.sources.tables import read_texts, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -607,7 +607,7 @@ def changed_set_scan(spark, sf_dir):
         status.alias("status"),
     )
     wanted = changed_paths(manifest, "/").select(F.expr("substr(file_path, 2)").alias("file_path"))
-    return scan_texts(files(spark, sf_dir).join(wanted, "file_path", "left_semi")).select(*FINDING)
+    return scan_selected(files(spark, sf_dir), wanted).select(*FINDING)
 
 
 # State: the stored rows know no Spanish document and hold an older text of the French ones.
@@ -704,11 +704,8 @@ def state_stats(spark, sf_dir):
     "SELECT cast(doc_id AS string) AS file_path, text FROM documents WHERE lang IN ('fr', 'es')"))
 def incremental_scan(spark, sf_dir):
     """Scan of the documents the state does not hold: those in French and Spanish."""
-    source = table(spark, sf_dir, "documents")
-    current = spread(texts_of(source, "doc_id", "text")).withColumn(
-        "file_hash", text.fingerprint(F.col("text").cast("binary"))
-    )
-    return scan_texts(state.changed(current, stored_state(spark, sf_dir))).select(*FINDING)
+    again = state.changed(hashed_documents(spark, sf_dir), stored_state(spark, sf_dir))
+    return scan_selected(documents(spark, sf_dir), again).select(*FINDING)
 
 
 @register("carry_forward", sql.scan(DOCUMENTS))
@@ -717,5 +714,5 @@ def carry_forward(spark, sf_dir):
     current = hashed_documents(spark, sf_dir)
     again = state.changed(current, stored_state(spark, sf_dir)).select("file_path")
     source = documents(spark, sf_dir)
-    fresh = scan_texts(source.join(again, "file_path", "left_semi"))
+    fresh = scan_selected(source, again)
     return state.carry_forward(scan_texts(source), fresh, again).select(*FINDING)

@@ -37,6 +37,22 @@ def scan_files(
     return scan_texts(file_texts(read_files(spark, path, options, **listing)), options)
 
 
+# Up to this many paths (a few hundred bytes each) are sent to every executor.
+BROADCAST_PATHS = 500_000
+
+
+def scan_selected(texts: DataFrame, selected: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
+    """Findings of the texts whose path is among ``selected``; texts never cross a shuffle.
+
+    A counted, bounded selection is broadcast and only its texts are scanned.
+    A larger one, as in a first pass over a big tree, filters the findings.
+    """
+    paths = selected.select("file_path").distinct()
+    if paths.limit(BROADCAST_PATHS + 1).count() <= BROADCAST_PATHS:
+        return scan_texts(texts.join(F.broadcast(paths), "file_path", "left_semi"), options)
+    return scan_texts(texts, options).join(paths, "file_path", "left_semi")
+
+
 @dataclass(frozen=True)
 class IncrementalScan:
     """Lazy views of one pass: the files it scans again and their findings (public form)."""
@@ -57,20 +73,22 @@ def scan_changed(
 ) -> IncrementalScan:
     """Scan only files whose content is not in the state, then record them.
 
-    Findings are written to ``findings_path`` and read back for the counts, so
-    patterns run once. Only files that were scanned enter the state. With
-    ``track_rules`` a change of rules or options also makes files new.
+    The first pass over the files only hashes them; its rows, not the contents,
+    meet the state. The paths it finds are written to ``findings_path`` and
+    decide what the second pass scans. Findings are written there too and read
+    back for the counts, so patterns run once. Only files that were scanned
+    enter the state. A file that changes between the passes is found changed
+    again next time. With ``track_rules`` a change of rules or options also
+    makes files new.
     """
     salt = options.rule_set_id if track_rules else ""
-    files = read_files(spark, path, options, **listing).withColumn("file_hash", fingerprint(F.col("content"), salt))
-    fresh = changed(files, state.current())
+    files = read_files(spark, path, options, **listing)
+    hashed = files.select("file_path", fingerprint(F.col("content"), salt).alias("file_hash"))
     scanned_path = f"{findings_path}/scanned"
-    fresh.select("file_path", "file_hash").write.mode("overwrite").parquet(scanned_path)
+    changed(hashed, state.current()).write.mode("overwrite").parquet(scanned_path)
     scanned = spark.read.parquet(scanned_path)
 
-    # The join is on the hash just recorded: a file that changes in between is left for the next pass.
-    texts = file_texts(files.join(scanned, ["file_path", "file_hash"], "left_semi"))
-    found = public_findings(scan_texts(texts, options))
+    found = public_findings(scan_selected(file_texts(files), scanned, options))
     found.write.mode("overwrite").parquet(f"{findings_path}/findings")
     findings = spark.read.parquet(f"{findings_path}/findings").withColumnsRenamed({"file": "file_path", "line": "line_number"})
 

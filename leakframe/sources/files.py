@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
@@ -12,6 +13,8 @@ from leakframe.functions.paths import below, normalise
 from leakframe.functions.text import WHITESPACE, decode_utf8, fold_newlines
 from leakframe.operators.filefilter import has_binary_extension, is_binary_content, is_ignored
 from leakframe.options import ScanOptions
+from leakframe.sources.hidden import FORMAT as HIDDEN_FORMAT
+from leakframe.sources.hidden import HiddenFiles
 
 # Manifests up to this many paths prune the file listing; longer ones join.
 MANIFEST_PRUNE_LIMIT = 20_000
@@ -29,8 +32,11 @@ def listed_path() -> Column:
     return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
 
 
+FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
+
+
 def _reader(spark: SparkSession, streaming: bool = False):
-    reader = spark.readStream if streaming else spark.read
+    reader = spark.readStream.schema(FILE_SCHEMA) if streaming else spark.read
     return (
         reader.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -61,47 +67,70 @@ def read_files(
     options: ScanOptions = ScanOptions(),
     *,
     manifest: DataFrame | None = None,
+    hidden: bool = True,
     path_glob: str | None = None,
     modified_after: str | None = None,
-    streaming: bool = False,
 ) -> DataFrame:
     """Text files as (file_path, length, modificationTime, content).
 
     ``path`` is a directory (searched recursively), a file, or a list of files,
     of which missing ones are dropped. ``manifest(file_path, status)`` keeps
     only added, copied and modified paths. Ignored files, binary files and
-    files over the size cap are left out. ``path_glob`` and ``modified_after``
-    narrow the listing further.
+    files over the size cap are left out. Names with a leading ``.`` or ``_``
+    and empty files come from a second source; ``hidden=False`` goes without
+    them. ``path_glob`` and ``modified_after`` narrow Spark's listing and imply
+    that.
     """
-    root = path if isinstance(path, str) else "/"
-    reader = _reader(spark, streaming)
+    root = path.removeprefix("file://").removeprefix("file:") if isinstance(path, str) else "/"
+    present = [path] if isinstance(path, str) else existing_paths(spark, path)
+    wanted = _path_filter(options, root, manifest)
+
+    reader = _reader(spark)
     if path_glob is not None:
         reader = reader.option("pathGlobFilter", path_glob)
     if modified_after is not None:
         reader = reader.option("modifiedAfter", modified_after)
-    if isinstance(path, str):
-        files = reader.load(_literal_path(path))
-    else:
-        present = existing_paths(spark, path)
-        if not present:
-            return _no_files(spark)
-        files = reader.load([_literal_path(p) for p in present])
-
-    root = root.removeprefix("file://").removeprefix("file:")
-    listed = normalise(listed_path())
-    files = files.where(F.col("length") <= options.max_file_bytes)
-    if options.skip_binary:
-        files = files.where(~has_binary_extension(listed, options))
-    if options.ignore_globs:
-        files = files.where(~is_ignored(listed, below(listed, root), options))
-    if manifest is not None:
-        files = keep_changed(files, listed, manifest, root)
-    files = files.select(normalise(F.col("path")).alias("file_path"), "length", "modificationTime", "content")
+    if not present:
+        return _no_files(spark)
+    files = _select(wanted(reader.load([_literal_path(p) for p in present]), normalise(listed_path())))
+    if hidden and path_glob is None and modified_after is None:
+        spark.dataSource.register(HiddenFiles)
+        rest = spark.read.format(HIDDEN_FORMAT).options(
+            paths=json.dumps(present), max_bytes=options.max_file_bytes
+        )
+        files = files.unionByName(_select(wanted(rest.load(), normalise(F.col("path")))))
     if options.skip_binary:
         files = files.where(~is_binary_content(F.col("content"), options))
     return files
 
 
+def read_file_stream(spark: SparkSession, path: str, options: ScanOptions = ScanOptions()) -> DataFrame:
+    """Text files arriving below a directory, as a stream; hidden names are not seen."""
+    wanted = _path_filter(options, path, None)
+    files = _select(wanted(_reader(spark, streaming=True).load(path), normalise(F.col("path"))))
+    return files.where(~is_binary_content(F.col("content"), options)) if options.skip_binary else files
+
+
+def _select(files: DataFrame) -> DataFrame:
+    return files.select(normalise(F.col("path")).alias("file_path"), "length", "modificationTime", "content")
+
+
+def _path_filter(options: ScanOptions, root: str, manifest: DataFrame | None):
+    """The filters that need no content, as a function of files and their path column."""
+
+    def keep(files: DataFrame, path: Column) -> DataFrame:
+        files = files.where(F.col("length") <= options.max_file_bytes)
+        if options.skip_binary:
+            files = files.where(~has_binary_extension(path, options))
+        if options.ignore_globs:
+            files = files.where(~is_ignored(path, below(path, root), options))
+        if manifest is not None:
+            files = keep_changed(files, path, manifest, root)
+        return files
+
+    return keep
+
+
 def keep_changed(files: DataFrame, path: Column, manifest: DataFrame, root: str) -> DataFrame:
     """Files named by a manifest as added, copied or modified.
 
@@ -149,4 +178,4 @@ def load_ignore_globs(spark: SparkSession, path: str) -> tuple[str, ...]:
 
 
 def _no_files(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "file_path STRING, length BIGINT, modificationTime TIMESTAMP, content BINARY")
+    return _select(spark.createDataFrame([], FILE_SCHEMA))

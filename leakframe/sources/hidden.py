@@ -1,0 +1,120 @@
+"""Files that Spark's own listing leaves out: hidden names and empty files.
+
+Spark treats names with a leading ``.`` or ``_`` as its own housekeeping, but
+in a source tree those are ``.env`` and ``__init__.py``. This batch source
+lists just the files ``binaryFile`` skips, so the two together see a tree
+whole; the bulk of the data stays on the JVM path.
+"""
+
+from __future__ import annotations
+
+import json
+import posixpath
+import sys
+from collections.abc import Iterator
+
+from pyspark import cloudpickle
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+# Tasks rebuild these classes from their code, so the package need not be on the workers.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+FORMAT = "leakframe_hidden_files"
+# Version-control storage holds no files of the tree.
+SKIPPED_FOLDERS = (".git",)
+PARTITION_BYTES = 64 * 1024 * 1024
+FILE_OPEN_BYTES = 1024 * 1024
+
+
+def is_hidden(name: str) -> bool:
+    """Whether Spark's listing passes over a file or folder of this name."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def _filesystem(path: str):
+    from pyarrow import fs
+
+    if "://" in path or path.startswith("file:"):
+        return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+    return fs.LocalFileSystem(), path
+
+
+def _is_local(path: str) -> bool:
+    return "://" not in path or path.startswith("file:")
+
+
+class FileGroup(InputPartition):
+    def __init__(self, files: list[tuple[str, str, int]]):
+        self.files = files
+
+
+class HiddenFilesReader(DataSourceReader):
+    def __init__(self, paths: list[str], max_bytes: int):
+        self.paths = paths
+        self.max_bytes = max_bytes
+
+    def _listed(self) -> Iterator[tuple[str, str, int]]:
+        """(root, path, size), one folder listing at a time; only skipped files are kept."""
+        from pyarrow import fs
+
+        for root in self.paths:
+            try:
+                filesystem, top = _filesystem(root)
+                info = filesystem.get_file_info(top)
+            except (OSError, ValueError):
+                continue
+            if info.type == fs.FileType.File:
+                if is_hidden(posixpath.basename(top)) or info.size == 0:
+                    yield root, top, info.size
+                continue
+            folders = [(top, False)] if info.type == fs.FileType.Directory else []
+            while folders:
+                folder, hidden = folders.pop()
+                try:
+                    children = filesystem.get_file_info(fs.FileSelector(folder))
+                except OSError:
+                    continue
+                for child in children:
+                    below = hidden or is_hidden(child.base_name)
+                    if child.type == fs.FileType.Directory and child.base_name not in SKIPPED_FOLDERS:
+                        folders.append((child.path, below))
+                    elif child.type == fs.FileType.File and (below or child.size == 0):
+                        yield root, child.path, child.size
+
+    def partitions(self) -> list[FileGroup]:
+        groups, files, size = [], [], 0
+        for root, path, length in self._listed():
+            if length > self.max_bytes:
+                continue
+            if files and size + length > PARTITION_BYTES:
+                groups.append(FileGroup(files))
+                files, size = [], 0
+            files.append((root, path, length))
+            size += length + FILE_OPEN_BYTES
+        return [*groups, FileGroup(files)] if files or not groups else groups
+
+    def read(self, partition: FileGroup) -> Iterator[tuple]:
+        for root, path, _ in partition.files:
+            try:
+                filesystem, _ = _filesystem(root)
+                info = filesystem.get_file_info(path)
+                with filesystem.open_input_stream(path) as stream:
+                    content = stream.read()
+            except OSError:
+                continue
+            scheme = "" if _is_local(root) else root.split("://", 1)[0] + "://"
+            yield scheme + path, info.mtime, len(content), content
+
+
+class HiddenFiles(DataSource):
+    """Options: ``paths`` (a JSON list) and ``max_bytes``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return FORMAT
+
+    def schema(self) -> str:
+        return "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
+
+    def reader(self, schema) -> HiddenFilesReader:
+        return HiddenFilesReader(json.loads(self.options["paths"]), int(self.options["max_bytes"]))
