@@ -65,12 +65,10 @@ def shannon_entropy(value: Column) -> Column:
     no explode and no shuffle. Terms are added in order of first occurrence.
     """
     n = F.length(value)
-
-    def add(acc, ch):
-        share = (n - F.length(F.replace(value, ch, F.lit("")))) / n
-        return acc - share * F.log2(share)
-
-    bits = F.aggregate(F.array_distinct(F.split(value, "")), F.lit(0.0), add)
+    shares = F.transform(
+        F.array_distinct(F.split(value, "")), lambda ch: (n - F.length(F.replace(value, ch, F.lit("")))) / n
+    )
+    bits = F.aggregate(shares, F.lit(0.0), lambda acc, share: acc - share * F.log2(share))
     return F.when(value == "", F.lit(0.0)).otherwise(bits)
 
 

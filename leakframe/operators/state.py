@@ -96,23 +96,23 @@ class StateTable:
             return []
         return log.where(F.col("version") >= latest_base).distinct().orderBy("version").collect()
 
-    def _commit(self, rows: DataFrame, deleted: bool, base: int | None, tag: str | None) -> None:
+    def _commit(self, rows: DataFrame, deleted: bool, tag: str | None = None, replaces_all: bool = False) -> None:
         log = self._log()
         version = next((r.version for r in log if tag is not None and r.tag == tag), None)
         if version is None:
             version = log[-1].version + 1 if log else 0
-        if base is None:
-            base = log[-1].base if log else 0
-        else:
-            base = version
+        base = version if replaces_all else log[-1].base if log else 0
         out = rows.select(*STATE_COLUMNS, F.lit(deleted).alias("deleted"))
         out.write.mode("overwrite").parquet(f"{self.path}/version={version}")
         self.spark.createDataFrame([(version, base, tag)], self._LOG).coalesce(1).write.mode("append").parquet(
             f"{self.path}/log"
         )
 
-    def current(self, before_tag: str | None = None) -> DataFrame:
-        """The state; with ``before_tag`` as it was before the change of that tag."""
+    def current(self, before_tag: str | None = None, paths: DataFrame | None = None) -> DataFrame:
+        """The state; with ``before_tag`` as it was before the change of that tag.
+
+        ``paths(file_path)`` narrows it before anything is shuffled or compared.
+        """
         versions = []
         for row in self._log():
             if before_tag is not None and row.tag == before_tag:
@@ -120,31 +120,31 @@ class StateTable:
             versions.append(row.version)
         if not versions:
             return self.spark.createDataFrame([], STATE_SCHEMA)
-        schema = f"{STATE_SCHEMA}, deleted BOOLEAN"
-        changes = [
-            self.spark.read.schema(schema).parquet(f"{self.path}/version={v}").withColumn("version", F.lit(v))
-            for v in versions
-        ]
-        rows = changes[0]
-        if len(changes) == 1:
-            return rows.where(~F.col("deleted")).select(*STATE_COLUMNS)
-        for change in changes[1:]:
-            rows = rows.unionByName(change)
-        newest = rows.groupBy("file_path").agg(
-            F.max_by(F.struct("file_hash", "last_scanned", "findings_count", "deleted"), "version").alias("row")
+        rows = (
+            self.spark.read.schema(f"{STATE_SCHEMA}, deleted BOOLEAN, version BIGINT")
+            .option("basePath", self.path)
+            .parquet(*[f"{self.path}/version={v}" for v in versions])
         )
-        return newest.where(~F.col("row.deleted")).select("file_path", "row.file_hash", "row.last_scanned", "row.findings_count")
+        if paths is not None:
+            rows = rows.join(paths.select("file_path").distinct(), "file_path", "left_semi")
+        if len(versions) > 1:
+            newest = F.max_by(F.struct("file_hash", "last_scanned", "findings_count", "deleted"), "version")
+            rows = rows.groupBy("file_path").agg(newest.alias("row")).select("file_path", "row.*")
+        return rows.where(~F.col("deleted")).select(*STATE_COLUMNS)
 
     def put(self, rows: DataFrame, tag: str | None = None) -> None:
         """Insert or replace by path."""
-        self._commit(rows, deleted=False, base=None, tag=tag)
+        self._commit(rows, deleted=False, tag=tag)
 
     def remove(self, paths: DataFrame) -> None:
-        empty = {c.name: F.lit(None).cast(c.dataType) for c in self.spark.createDataFrame([], STATE_SCHEMA).schema if c.name != "file_path"}
-        self._commit(paths.select("file_path").distinct().withColumns(empty), deleted=True, base=None, tag=None)
+        gone = paths.select("file_path").distinct().selectExpr(
+            "file_path", "CAST(NULL AS STRING) AS file_hash", "CAST(NULL AS TIMESTAMP) AS last_scanned",
+            "CAST(NULL AS BIGINT) AS findings_count",
+        )
+        self._commit(gone, deleted=True)
 
     def clear(self) -> None:
-        self._commit(self.spark.createDataFrame([], STATE_SCHEMA), deleted=False, base=-1, tag=None)
+        self._commit(self.spark.createDataFrame([], STATE_SCHEMA), deleted=False, replaces_all=True)
 
     def compact(self) -> None:
-        self._commit(self.current(), deleted=False, base=-1, tag=None)
+        self._commit(self.current(), deleted=False, replaces_all=True)

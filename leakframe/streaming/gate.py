@@ -62,7 +62,7 @@ def skip_seen_batch(
     part = f"batch={batch_id}"
     hashed = texts_of(rows, key, text).withColumn("file_hash", fingerprint(F.col("text").cast("binary")))
     # A replay must see the state from before this batch.
-    fresh = changed(hashed, state.current(before_tag=tag))
+    fresh = changed(hashed, state.current(before_tag=tag, paths=hashed))
     fresh.select("file_path", "file_hash").distinct().write.mode("overwrite").parquet(f"{out}/scanned/{part}")
     scanned = spark.read.parquet(f"{out}/scanned/{part}")
     public_findings(scan_texts(fresh, options)).write.mode("overwrite").parquet(f"{out}/findings/{part}")

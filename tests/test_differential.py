@@ -2,6 +2,7 @@
 
 import random
 import string
+import time
 from dataclasses import replace
 
 import pytest
@@ -13,7 +14,7 @@ from leakframe.sources.tables import read_texts
 
 HEX = "0123456789abcdef"
 ALNUM = string.ascii_letters + string.digits
-SPACES = ["", " ", "\t", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", " ", " ", "　", "\r"]
+SPACES = ["", " ", "\t", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "\r"]
 EDGES = ["", " ", "_", ".", "-", "=", '"', "'", "é", "ñ", "İ", "ſ", "K", "/", ":", "#", "@", "😀", "\xa0", ","]
 
 
@@ -118,3 +119,25 @@ def test_tables(spark, table, key, text, options):
     rows = [tuple(r) for r in frame.collect()]
     expected = sorted(row for k, t in rows for row in scan(k, t, options))
     assert spark_rows(scan_texts(frame, options)) == expected
+
+
+def long_lines(n):
+    """Minified text: ``n`` URLs on one line, with and without credentials."""
+    url = "http://a.example:80/x?y=1,"
+    return [
+        ("none", url * n), ("early", "x://u:password@h," + url * n), ("late", url * n + "x://u:pass@h"),
+        ("spaced", url * n + " ftp://u:secret123@h " + url * n + "@ " + url * 3), ("db", "redis://u:p," * n),
+        ("runs", "a" + "=" * 20 * n + "b" + "-" * 20 * n), ("quotes", "'=\"a:" * n), ("hex", "0" * 20 * n),
+    ]
+
+
+def test_many_urls(spark):
+    assert_same(spark, long_lines(150))
+
+
+def test_long_lines_take_linear_time(spark):
+    frame = spark.createDataFrame(long_lines(30_000), "file_path STRING, text STRING").repartition(8)
+    started = time.monotonic()
+    found = {r.file_path: r.raw_value for r in scan_texts(frame).collect() if r.rule_id == "password-in-url"}
+    assert found == {"early": "password", "spaced": "secret123", "late": found.get("late")}
+    assert time.monotonic() - started < 60
