@@ -13,7 +13,7 @@ from leakframe.operators.entropy import (
     entropy_severity,
     scored_hits,
 )
-from leakframe.operators.gate import entropy_gate, line_gate
+from leakframe.operators.gate import GUARDED_SHAPES, entropy_gate, line_gate, shape_test
 from leakframe.operators.lines import keep_scannable
 from leakframe.options import ScanOptions
 from leakframe.rules import Rule
@@ -35,6 +35,11 @@ def has_keyword(lower_line: str, rule: Rule) -> str:
     return " OR ".join(f"contains({lower_line}, {_sql(k)})" for k in rule.keywords) or "true"
 
 
+def _worth_trying(lower_line: str, rule: Rule) -> str:
+    keyword = has_keyword(lower_line, rule)
+    return f"has_{rule.shape} AND ({keyword})" if rule.shape in GUARDED_SHAPES else keyword
+
+
 def rule_values(line: str, rule: Rule) -> str:
     """SQL array of all values the rule's pattern finds in a line column, left to right."""
     return f"regexp_extract_all({line}, {_sql(rule.java_pattern)}, {rule.group_idx})"
@@ -43,12 +48,12 @@ def rule_values(line: str, rule: Rule) -> str:
 def rule_hits(rules: tuple[Rule, ...], line: str = "line", lower_line: str = "lower_line") -> Column:
     """Array of the non-empty values of all rules on a line, in catalog order.
 
-    Written as one SQL expression: the parser builds the 27 branches in one
+    Expects a boolean column ``has_<shape>`` for every guarded shape. Written as one SQL expression: the parser builds the 27 branches in one
     call, where composing them call by call takes longer than many scans.
     """
     none = f"CAST(array() AS {_HITS})"
     branches = [
-        f"CASE WHEN {has_keyword(lower_line, rule)} THEN transform({rule_values(line, rule)}, "
+        f"CASE WHEN {_worth_trying(lower_line, rule)} THEN transform({rule_values(line, rule)}, "
         f"v -> named_struct('ordinal', {ordinal}, 'raw_value', v, 'entropy', CAST(NULL AS DOUBLE))) ELSE {none} END"
         for ordinal, rule in enumerate(rules, 1)
     ]
@@ -69,12 +74,11 @@ def detect(lines: DataFrame, options: ScanOptions) -> DataFrame:
     line = F.col("line")
     gate = line_gate(line, options)
     candidates = lines if gate is None else lines.where(gate)
-    # Lower-cased once per surviving line, below the projection that tests keywords.
-    candidates = keep_scannable(candidates, options).withColumn("lower_line", F.lower("line"))
+    # Once per surviving line, below the projection that uses them many times.
+    shared = {"lower_line": F.lower("line")} | {f"has_{s}": shape_test(line, s) for s in GUARDED_SHAPES}
+    candidates = keep_scannable(candidates, options).withColumns(shared)
 
-    hits = candidates.select(
-        "file_path", "line_number", "line", rule_hits(rules).alias("rule_hits")
-    )
+    hits = candidates.select("file_path", "line_number", "line", rule_hits(rules).alias("rule_hits"))
     found = F.col("rule_hits")
     if options.entropy_enabled:
         fresh = F.array_except(candidate_set(line, options), F.col("rule_hits.raw_value"))
@@ -92,12 +96,12 @@ def detect(lines: DataFrame, options: ScanOptions) -> DataFrame:
 
 
 def _describe(exploded: DataFrame, rules: tuple[Rule, ...], options: ScanOptions) -> DataFrame:
-    value, bits, ordinal = F.col("hit.raw_value"), F.col("hit.entropy"), F.col("hit.ordinal")
+    value, bits = F.col("hit.raw_value"), F.col("hit.entropy")
     by_rule = bits.isNull()
 
     def of_rule(name: str) -> Column:
-        known = F.array(*[F.lit(getattr(r, name)) for r in rules]) if rules else F.array(F.lit(""))
-        return F.get(known, ordinal - 1)
+        known = ", ".join(_sql(getattr(r, name)) for r in rules)
+        return F.expr(f"get(CAST(array({known}) AS array<string>), hit.ordinal - 1)")
 
     kind = string_type(value)
     return exploded.select(

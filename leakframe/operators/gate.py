@@ -7,8 +7,9 @@ is a strict superset of what it stands for:
 
 ``run``         a rule value of 20 or more characters of one class, and any
                 string long enough to reach the entropy threshold
-``assignment``  ``=`` or ``:`` followed by at least eight value characters
-``url``         ``://``
+``assignment``  ``=`` or ``:`` after the end of a key name or after white space,
+                followed by at least eight value characters
+``url``         ``://`` and ``@``
 ``pem``         the five-dash header
 
 Custom rules have no shape; their keywords are the gate.
@@ -27,8 +28,9 @@ from pyspark.sql import functions as F
 from leakframe.functions.text import expand_whitespace
 from leakframe.options import ScanOptions
 
-# Written out, not as ranges: Java tests such a class with one table look-up.
-_RUN_CLASS = string.ascii_letters + string.digits + r"+/=_.\-"
+# Characters of candidate strings, and the dot of dotted tokens. Written out, not
+# as ranges: Java tests such a class with one table look-up.
+RUN_CLASS = string.ascii_letters + string.digits + r"+/=_.\-"
 _HEX_CLASS = string.digits + "abcdefABCDEF"
 _RULE_RUN = 20
 
@@ -51,12 +53,12 @@ def _run(any_length: int, hex_length: int | None = None) -> str:
     The look-behind starts each attempt at the head of a run, which keeps the
     search linear in the line.
     """
-    head = f"(?<![{_RUN_CLASS}])"
+    head = f"(?<![{RUN_CLASS}])"
     if hex_length is None or hex_length >= any_length:
-        return f"{head}[{_RUN_CLASS}]{{{any_length}}}"
+        return f"{head}[{RUN_CLASS}]{{{any_length}}}"
     return (
-        f"{head}(?=[{_RUN_CLASS}]{{{hex_length}}})"
-        f"(?:[{_RUN_CLASS}]{{{any_length}}}|[{_RUN_CLASS}]*?[{_HEX_CLASS}]{{{hex_length}}})"
+        f"{head}(?=[{RUN_CLASS}]{{{hex_length}}})"
+        f"(?:[{RUN_CLASS}]{{{any_length}}}|[{RUN_CLASS}]*?[{_HEX_CLASS}]{{{hex_length}}})"
     )
 
 
@@ -70,27 +72,44 @@ def _contains_any(text: Column, keywords: list[str]) -> Column:
     return reduce(or_, [F.contains(text, F.lit(k)) for k in cover])
 
 
+# Every key name of an assignment rule ends in one of these letters. The search
+# starts at the separator and looks back over a fixed number of characters, so
+# that only separators cost more than a step.
+_ASSIGNMENT = (
+    r"[=:](?<=[\syYnNtTdDsSſhH][=:])"
+    r"(?:(?<=[\s][=:])|(?<=(?iu:key|ken|jwt|ord|swd|ret|uth)[=:])|(?<=(?iu:pass)[=:]))"
+    r"""[\s]*["']?[^\s"']{8}"""
+)
+# Shapes whose test is worth repeating before the keywords of their rules.
+GUARDED_SHAPES = ("assignment", "url")
+
+
+def shape_test(line: Column, shape: str) -> Column:
+    if shape == "run":
+        return F.rlike(line, F.lit(_run(_RULE_RUN)))
+    if shape == "assignment":
+        return F.rlike(line, F.lit(expand_whitespace(_ASSIGNMENT)))
+    if shape == "url":
+        return F.contains(line, F.lit("://")) & F.contains(line, F.lit("@"))
+    if shape == "pem":
+        return F.contains(line, F.lit("-----BEGIN"))
+    raise ValueError(f"unknown rule shape {shape!r}")
+
+
 def line_gate(line: Column, options: ScanOptions) -> Column | None:
     """The test for the options in force; ``None`` if no line may be dropped."""
-    rules = options.rules
-    custom = [r for r in rules if r.shape is None]
+    custom = [r for r in options.rules if r.shape is None]
     if any(not r.keywords for r in custom):
         return None
-    shapes = {r.shape for r in rules}
+    shapes = {r.shape for r in options.rules}
+    plain, hexa = shortest_entropy_hit(options)
     tests = []
-    if "url" in shapes:
-        tests.append(F.contains(line, F.lit("://")))
-    if "pem" in shapes:
-        tests.append(F.contains(line, F.lit("-----BEGIN")))
-    if "assignment" in shapes:
-        tests.append(F.rlike(line, F.lit(expand_whitespace(r"""[=:]\s*["']?[^\s"']{8}"""))))
-    lengths = shortest_entropy_hit(options) if options.entropy_enabled else None
-    if "run" in shapes and lengths:
-        tests.append(F.rlike(line, F.lit(_run(min(_RULE_RUN, lengths[0]), lengths[1]))))
+    if options.entropy_enabled:
+        # One search serves entropy and the run rules.
+        tests.append(F.rlike(line, F.lit(_run(min(_RULE_RUN, plain) if "run" in shapes else plain, hexa))))
     elif "run" in shapes:
-        tests.append(F.rlike(line, F.lit(_run(_RULE_RUN))))
-    elif lengths:
-        tests.append(entropy_gate(line, options))
+        tests.append(shape_test(line, "run"))
+    tests += [shape_test(line, s) for s in ("assignment", "url", "pem") if s in shapes]
     if custom:
         tests.append(_contains_any(F.lower(line), [k for r in custom for k in r.keywords]))
     return reduce(or_, tests) if tests else F.lit(False)
