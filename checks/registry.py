@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +17,10 @@ from leakframe.operators.allowlist import drop_allowlisted
 from leakframe.options import ScanOptions
 from leakframe.plans.scan import scan_selected, scan_texts
 from leakframe.rules import BUILTIN_RULES, Rule, rule_catalog
-from leakframe.sources.files import changed_paths
+from leakframe.severity import severity_level, severity_rank
+from leakframe.sources.files import changed_paths, ignore_patterns
 from leakframe.sources.tables import read_texts, spread
+from leakframe.streaming.gate import scan_stream, stream_gate, stream_skip_seen
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -197,6 +201,16 @@ def ignore_line_regex(spark, sf_dir):
     return file_findings(spark, sf_dir, ScanOptions(ignore_line_patterns=IGNORED_LINES)).select(*FINDING)
 
 
+HALF_EMPTY = Rule("maybe-empty", "custom", "low", "Letters after a key", r"api_key=([A-F]*)", ("api_key",))
+
+
+@register("empty_match_drop", sql.scan(FILES, rules=(HALF_EMPTY,), with_entropy=False))
+def empty_match_drop(spark, sf_dir):
+    """A group that matches nothing on part of the lines."""
+    options = ScanOptions(rule_groups=(), entropy_enabled=False, custom_rules=(HALF_EMPTY,))
+    return file_findings(spark, sf_dir, options).select(*FINDING)
+
+
 DB_PASSWORD = next(r for r in BUILTIN_RULES if r.rule_id == "database-password")
 
 
@@ -571,6 +585,41 @@ def binary_nul(spark, sf_dir):
     )
 
 
+@register("size_cap", """
+SELECT cast(doc_id AS string) AS file_path, strlen(text) <= 4096 AS is_scanned FROM documents""")
+def size_cap(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("file_path"),
+        filefilter.within_size_cap(F.octet_length("text"), ScanOptions(max_file_bytes=4096)).alias("is_scanned"),
+    )
+
+
+_IGNORE_LINE = "concat('  ', CASE WHEN line LIKE 'Th%' THEN '# ' WHEN line LIKE 'E%' THEN chr(160) ELSE '' END, line, ' ')"
+
+
+@register("ignore_list", f"""WITH {sql.lines(DOCUMENTS)}
+SELECT pattern FROM (
+  SELECT regexp_replace({_IGNORE_LINE}, {sql.lit(f"^[{sql.WS}]+|[{sql.WS}]+$")}, '', 'g') AS pattern FROM lines) AS p
+WHERE pattern <> '' AND pattern NOT LIKE '#%'""")
+def ignore_list(spark, sf_dir):
+    """Document lines as an ignore file, some of them made comments."""
+    return ignore_patterns(lines.split_lines(documents(spark, sf_dir)).select(F.expr(_IGNORE_LINE).alias("value")))
+
+
+_LEVEL = "CASE c_mktsegment WHEN 'BUILDING' THEN ' low' WHEN 'MACHINERY' THEN 'Medium ' WHEN 'FURNITURE' THEN 'HIGH' ELSE 'critical' END"
+
+
+@register("severity_parse", f"""
+SELECT c_custkey, upper(trim({_LEVEL})) AS severity,
+  CAST(CASE upper(trim({_LEVEL})) WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 ELSE 4 END AS INTEGER) AS rank
+FROM customer""")
+def severity_parse(spark, sf_dir):
+    named = F.expr(_LEVEL)
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", severity_level(named).alias("severity"), severity_rank(named).alias("rank")
+    )
+
+
 @register("decode_utf8", "SELECT cast(doc_id AS string) AS file_path, md5(concat(text, chr(65533), 'b')) AS digest FROM documents")
 def decode_utf8(spark, sf_dir):
     """Each text with an invalid byte after it."""
@@ -716,3 +765,62 @@ def carry_forward(spark, sf_dir):
     source = documents(spark, sf_dir)
     fresh = scan_selected(source, again)
     return state.carry_forward(scan_texts(source), fresh, again).select(*FINDING)
+
+
+# Streams: the page table as a source, run until it is used up.
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one the session names; a local one only where it names none."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared or tempfile.gettempdir()}/leakframe-{name}-{uuid.uuid4().hex}"
+
+
+def page_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = table(spark, sf_dir, "pages").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/pages*.parquet")
+
+
+def drain(writer, folder: str) -> None:
+    query = writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+PUBLIC = "file_path AS file, line_number AS line, rule_id, description, severity, matched_value, detection_method"
+
+
+@register("stream_scan", sql.scan(PAGES, f"SELECT {PUBLIC} FROM findings"))
+def stream_scan(spark, sf_dir):
+    out = work_folder(spark, "scan")
+    found = findings.public_findings(scan_stream(page_stream(spark, sf_dir), "page_id", "html"))
+    drain(found.writeStream.format("parquet").option("path", f"{out}/findings"), out)
+    return spark.read.schema(found.schema).parquet(f"{out}/findings")
+
+
+@register("stream_gate", sql.scan(PAGES, """
+SELECT s.file_path, bool_or(coalesce(f.severity IN ('HIGH', 'CRITICAL'), false)) AS quarantined
+FROM src AS s LEFT JOIN findings AS f USING (file_path) GROUP BY s.file_path"""))
+def stream_gate_verdicts(spark, sf_dir):
+    out = work_folder(spark, "gate")
+    drain(stream_gate(page_stream(spark, sf_dir), "page_id", "html", out), out)
+
+    def side(name: str, quarantined: bool) -> DataFrame:
+        rows = spark.read.parquet(f"{out}/{name}")
+        return rows.select(F.col("page_id").cast("string").alias("file_path"), F.lit(quarantined).alias("quarantined"))
+
+    return side("clean", False).unionByName(side("quarantine", True))
+
+
+@register("stream_skip_seen", sql.scan(PAGES, """
+SELECT s.file_path, sha256(any_value(s.text)) AS file_hash, count(f.rule_id) AS findings_count
+FROM src AS s LEFT JOIN findings AS f USING (file_path) GROUP BY s.file_path"""))
+def stream_state(spark, sf_dir):
+    """State after a stream of pages has passed twice; the second time nothing is new."""
+    out = work_folder(spark, "skip")
+    stored = state.StateTable(spark, f"{out}/state")
+    for turn in ("first", "second"):
+        folder = f"{out}/{turn}"
+        drain(stream_skip_seen(page_stream(spark, sf_dir), "page_id", "html", folder, stored, name=turn), folder)
+    again = spark.read.parquet(f"{out}/second/scanned").count()
+    assert again == 0, f"{again} unchanged pages were scanned again"
+    return stored.current().select("file_path", "file_hash", "findings_count")

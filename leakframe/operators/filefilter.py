@@ -29,5 +29,9 @@ def is_binary_content(content: Column, options: ScanOptions) -> Column:
     return has_binary_signature(content, options) | has_nul(content)
 
 
+def within_size_cap(length: Column, options: ScanOptions) -> Column:
+    return length <= options.max_file_bytes
+
+
 def is_ignored(path: Column, relative: Column, options: ScanOptions) -> Column:
     return matches_globs(path, options.ignore_globs, relative)

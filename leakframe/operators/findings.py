@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakframe.severity import SEVERITIES, parse_severity, severity_action, severity_level, severity_rank
@@ -52,20 +52,25 @@ def files_affected(findings: DataFrame) -> DataFrame:
     return findings.select("file_path").distinct()
 
 
-def summary(findings: DataFrame, block_level: str = "HIGH") -> DataFrame:
-    """One row: total, by_severity, should_block, max_severity, files_affected (a count).
-
-    The files themselves are ``files_affected(findings)``.
-    """
+def summary_columns(block_level: str = "HIGH") -> list[Column]:
+    """The aggregates of :func:`summary`."""
     level = severity_level(F.col("severity"))
     by_severity = F.create_map(*[c for s in reversed(SEVERITIES) for c in (F.lit(s), _level_count(s))])
-    return findings.agg(
+    return [
         F.count(F.lit(1)).alias("total"),
         by_severity.alias("by_severity"),
         _blocks(block_level).alias("should_block"),
         F.max_by(level, severity_rank(F.col("severity"))).alias("max_severity"),
         F.count_distinct("file_path").alias("files_affected"),
-    )
+    ]
+
+
+def summary(findings: DataFrame, block_level: str = "HIGH") -> DataFrame:
+    """One row: total, by_severity, should_block, max_severity, files_affected (a count).
+
+    The files themselves are ``files_affected(findings)``.
+    """
+    return findings.agg(*summary_columns(block_level))
 
 
 def with_severity(findings: DataFrame, level: str) -> DataFrame:
@@ -77,17 +82,18 @@ def in_file(findings: DataFrame, file_path: str) -> DataFrame:
     return findings.where(F.col("file_path") == file_path)
 
 
-def findings_per_file(scanned: DataFrame, findings: DataFrame) -> DataFrame:
+def findings_per_file(scanned: DataFrame, findings: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(file_path, findings_count) for every scanned file, zeros included.
 
-    Findings are counted before the join, so a file with very many of them
-    crosses the shuffle as one partial count per task.
+    ``keep`` names more columns of ``scanned`` to carry along. Findings are
+    counted before the join, so a file with very many of them crosses the
+    shuffle as one partial count per task.
     """
     counts = findings.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
     return (
-        scanned.select("file_path").distinct()
+        scanned.select("file_path", *keep).distinct()
         .join(counts, "file_path", "left")
-        .select("file_path", F.coalesce("n", F.lit(0)).alias("findings_count"))
+        .select("file_path", *keep, F.coalesce("n", F.lit(0)).alias("findings_count"))
     )
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leakframe.operators.findings import findings_per_file
+
 STATE_SCHEMA = "file_path STRING, file_hash STRING, last_scanned TIMESTAMP, findings_count BIGINT"
 STATE_COLUMNS = ("file_path", "file_hash", "last_scanned", "findings_count")
 
@@ -54,11 +56,10 @@ def stats(state: DataFrame) -> DataFrame:
     )
 
 
-def state_rows(scanned: DataFrame, counts: DataFrame) -> DataFrame:
-    """State rows of scanned (file_path, file_hash) and their finding counts."""
-    return scanned.select("file_path", "file_hash").join(counts, "file_path", "left").select(
-        "file_path", "file_hash", F.current_timestamp().alias("last_scanned"),
-        F.coalesce("findings_count", F.lit(0)).cast("bigint").alias("findings_count"),
+def state_rows(scanned: DataFrame, findings: DataFrame) -> DataFrame:
+    """State rows of scanned (file_path, file_hash), with how many findings each has."""
+    return findings_per_file(scanned, findings, keep=("file_hash",)).select(
+        "file_path", "file_hash", F.current_timestamp().alias("last_scanned"), "findings_count"
     )
 
 

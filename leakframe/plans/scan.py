@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leakframe.functions.text import fingerprint
 from leakframe.operators.detect import detect
-from leakframe.operators.findings import findings_per_file, public_findings
+from leakframe.operators.findings import public_findings
 from leakframe.operators.lines import split_lines
 from leakframe.operators.state import StateTable, changed, state_rows
 from leakframe.options import ScanOptions
@@ -37,18 +37,21 @@ def scan_files(
     return scan_texts(file_texts(read_files(spark, path, options, **listing)), options)
 
 
-# Up to this many paths (a few hundred bytes each) are sent to every executor.
-BROADCAST_PATHS = 500_000
+# Selected paths are sent to every executor up to this many bytes.
+BROADCAST_BYTES = 64 * 1024 * 1024
+_ROW_BYTES = 64
 
 
 def scan_selected(texts: DataFrame, selected: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
     """Findings of the texts whose path is among ``selected``; texts never cross a shuffle.
 
-    A counted, bounded selection is broadcast and only its texts are scanned.
-    A larger one, as in a first pass over a big tree, filters the findings.
+    A selection measured to be small is broadcast and only its texts are
+    scanned. A larger one, as in a first pass over a big tree, filters the
+    findings instead.
     """
     paths = selected.select("file_path").distinct()
-    if paths.limit(BROADCAST_PATHS + 1).count() <= BROADCAST_PATHS:
+    size = paths.agg(F.coalesce(F.sum(F.octet_length("file_path") + _ROW_BYTES), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
         return scan_texts(texts.join(F.broadcast(paths), "file_path", "left_semi"), options)
     return scan_texts(texts, options).join(paths, "file_path", "left_semi")
 
@@ -92,5 +95,5 @@ def scan_changed(
     found.write.mode("overwrite").parquet(f"{findings_path}/findings")
     findings = spark.read.parquet(f"{findings_path}/findings").withColumnsRenamed({"file": "file_path", "line": "line_number"})
 
-    state.put(state_rows(scanned, findings_per_file(scanned, findings)))
+    state.put(state_rows(scanned, findings))
     return IncrementalScan(scanned, findings)

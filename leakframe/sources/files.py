@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from leakframe.functions.paths import below, normalise
 from leakframe.functions.text import WHITESPACE, decode_utf8, fold_newlines
-from leakframe.operators.filefilter import has_binary_extension, is_binary_content, is_ignored
+from leakframe.operators.filefilter import has_binary_extension, is_binary_content, is_ignored, within_size_cap
 from leakframe.options import ScanOptions
 from leakframe.sources.hidden import FORMAT as HIDDEN_FORMAT
 from leakframe.sources.hidden import HiddenFiles
@@ -119,7 +119,7 @@ def _path_filter(options: ScanOptions, root: str, manifest: DataFrame | None):
     """The filters that need no content, as a function of files and their path column."""
 
     def keep(files: DataFrame, path: Column) -> DataFrame:
-        files = files.where(F.col("length") <= options.max_file_bytes)
+        files = files.where(within_size_cap(F.col("length"), options))
         if options.skip_binary:
             files = files.where(~has_binary_extension(path, options))
         if options.ignore_globs:
@@ -159,16 +159,19 @@ def file_texts(files: DataFrame) -> DataFrame:
     return files.select("file_path", fold_newlines(decode_utf8(F.col("content"))).alias("text"))
 
 
-def ignore_list(spark: SparkSession, path: str) -> DataFrame:
-    """Patterns of an ignore file, one per line, without blank lines and ``#`` comments."""
+def ignore_patterns(lines: DataFrame) -> DataFrame:
+    """Patterns among the lines (value) of an ignore file: no blank lines, no ``#`` comments."""
     trimmed = F.regexp_replace("value", f"^[{WHITESPACE}]+|[{WHITESPACE}]+$", "")
-    return (
-        spark.read.text(path)
-        .select(trimmed.alias("pattern"))
-        .where((F.col("pattern") != "") & ~F.startswith("pattern", F.lit("#")))
+    return lines.select(trimmed.alias("pattern")).where(
+        (F.col("pattern") != "") & ~F.startswith(F.col("pattern"), F.lit("#"))
     )
 
 
+def ignore_list(spark: SparkSession, path: str) -> DataFrame:
+    """Patterns of an ignore file, one per line."""
+    return ignore_patterns(spark.read.text(path))
+
+
 def load_ignore_globs(spark: SparkSession, path: str) -> tuple[str, ...]:
     """The ignore file as an option value; an implausibly long one is refused."""
     globs = [row.pattern for row in ignore_list(spark, path).limit(IGNORE_LIST_LIMIT + 1).collect()]

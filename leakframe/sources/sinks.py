@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leakframe.operators.findings import files_affected, public_findings, summary
+from leakframe.operators.findings import files_affected, public_findings, summary, summary_columns
 
 REPORT_TOOL = "leakframe"
 REPORT_VERSION = "1.0.0"
@@ -37,24 +37,18 @@ def write_report(findings: DataFrame, path: str, block_level: str = "HIGH") -> N
     files = f"{path}/files_affected"
     files_affected(written).withColumnRenamed("file_path", "file").write.mode("overwrite").json(files)
 
-    head = summary(written, block_level).select(
-        F.lit(REPORT_TOOL).alias("tool"),
-        F.lit(REPORT_VERSION).alias("version"),
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("timestamp"),
-        F.struct("total", "by_severity", "should_block", "max_severity", "files_affected").alias("summary"),
-    )
+    taken = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("timestamp")
+    frame = [F.lit(REPORT_TOOL).alias("tool"), F.lit(REPORT_VERSION).alias("version"), taken]
+    parts = ("total", "by_severity", "should_block", "max_severity", "files_affected")
+    head = summary(written, block_level).select(*frame, F.struct(*parts).alias("summary"))
     head.write.mode("overwrite").json(f"{path}/summary", ignoreNullFields=False)
 
-    stored = spark.read.schema(head.schema).json(f"{path}/summary")
-    if stored.first().summary.total <= DOCUMENT_LIMIT:
+    if spark.read.schema(head.schema).json(f"{path}/summary").first().summary.total <= DOCUMENT_LIMIT:
         finding = F.struct(*[F.col("file_path").alias("file") if c == "file" else F.col(c) for c in public.columns])
-        listed = written.agg(
+        whole = written.agg(
+            *summary_columns(block_level)[:-1],
+            F.array_sort(F.collect_set("file_path")).alias("files_affected"),
             F.array_sort(F.collect_list(finding)).alias("findings"),
-            F.array_sort(F.collect_set("file_path")).alias("files"),
-        )
-        document = stored.join(listed).select(
-            "tool", "version", "timestamp", F.col("summary").withField("files_affected", F.col("files")).alias("summary"),
-            "findings",
-        )
-        text = F.to_json(F.struct(*document.columns), {"pretty": "true", "ignoreNullFields": "false"})
-        document.select(text.alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/report")
+        ).select(*frame, F.struct(*parts).alias("summary"), "findings")
+        text = F.to_json(F.struct(*whole.columns), {"pretty": "true", "ignoreNullFields": "false"})
+        whole.select(text.alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/report")

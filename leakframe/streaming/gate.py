@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from leakframe.functions.text import fingerprint
-from leakframe.operators.findings import findings_per_file, public_findings, summary
+from leakframe.operators.findings import public_findings, summary
 from leakframe.operators.state import StateTable, changed, state_rows
 from leakframe.options import ScanOptions
 from leakframe.plans.scan import scan_texts
@@ -69,7 +69,7 @@ def skip_seen_batch(
     findings = spark.read.parquet(f"{out}/findings/{part}").withColumnRenamed("file", "file_path")
     # One row per path: of several contents of one path the greatest hash is recorded.
     latest = scanned.groupBy("file_path").agg(F.max("file_hash").alias("file_hash"))
-    state.put(state_rows(latest, findings_per_file(latest, findings)), tag=tag)
+    state.put(state_rows(latest, findings), tag=tag)
 
 
 def stream_skip_seen(

@@ -216,7 +216,7 @@ def test_scan_selected(spark, monkeypatch):
     texts = spark.createDataFrame([("a", AWS), ("b", AWS), ("c", "x")], "file_path STRING, text STRING")
     wanted = spark.createDataFrame([("a",), ("a",), ("c",)], "file_path STRING")
     assert [r.file_path for r in plan.scan_selected(texts, wanted).collect()] == ["a"]
-    monkeypatch.setattr(plan, "BROADCAST_PATHS", 1)
+    monkeypatch.setattr(plan, "BROADCAST_BYTES", 100)
     assert [r.file_path for r in plan.scan_selected(texts, wanted).collect()] == ["a"]
 
 
