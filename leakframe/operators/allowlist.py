@@ -5,22 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leakframe.operators.skew import filter_join
 
-def drop_allowlisted(findings: DataFrame, allowlist: DataFrame, salts: int = 16) -> DataFrame:
+
+def drop_allowlisted(findings: DataFrame, allowlist: DataFrame) -> DataFrame:
     """Findings whose value is not in ``allowlist(value)``, compared in lower case.
 
-    One leaked value may make up a large part of all findings, so the join key
-    carries a salt that spreads equal values over ``salts`` tasks. The
-    allowlist side is distinct and repeated once per salt; Spark broadcasts it
-    by itself when it measures small.
+    One leaked value may make up a large part of all findings, hence the
+    spread over lines.
     """
-    listed = (
-        allowlist.select(F.lower("value").alias("_value"))
-        .where(F.col("_value").isNotNull())
-        .distinct()
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    )
-    keyed = findings.withColumn("_value", F.lower("raw_value")).withColumn(
-        "_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
-    )
-    return keyed.join(listed, ["_value", "_salt"], "left_anti").drop("_value", "_salt")
+    listed = allowlist.select(F.lower("value").alias("_value")).where(F.col("_value").isNotNull())
+    keyed = findings.withColumn("_value", F.lower("raw_value"))
+    return filter_join(keyed, listed, ["_value"], "left_anti", ["file_path", "line_number"]).drop("_value")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakframe.functions.text import expand_whitespace, is_hex, mask_entropy_value, shannon_entropy, string_type
-from leakframe.operators.gate import RUN_CLASS, shortest_entropy_hit
+from leakframe.operators.gate import CANDIDATE_CLASS, shortest_entropy_hit
 from leakframe.options import ScanOptions
 
 ENTROPY_RULE_ID = "entropy-detection"
@@ -22,7 +22,7 @@ STANDALONE = r"""\b([A-Za-z0-9+/=_\-]{20,})\b"""
 _WORD = r"[\p{L}\p{N}_]"
 _BOUNDARY = rf"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 # Asked first: looking for 20 characters is cheaper than looking for a boundary.
-_LONG_ENOUGH = rf"(?=[{RUN_CLASS}]{{20}})"
+_LONG_ENOUGH = rf"(?=[{CANDIDATE_CLASS}]{{20}})"
 
 
 def _all_matches(line: Column, pattern: str) -> Column:

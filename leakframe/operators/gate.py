@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 from leakframe.functions.text import expand_whitespace
 from leakframe.options import ScanOptions
 
-# Characters of candidate strings, and the dot of dotted tokens. Written out, not
-# as ranges: Java tests such a class with one table look-up.
-RUN_CLASS = string.ascii_letters + string.digits + r"+/=_.\-"
+# Characters of candidate strings, and the same with the dot of dotted tokens.
+# Written out, not as ranges: Java tests such a class with one table look-up.
+CANDIDATE_CLASS = string.ascii_letters + string.digits + r"+/=_\-"
+_RUN_CLASS = CANDIDATE_CLASS + "."
 _HEX_CLASS = string.digits + "abcdefABCDEF"
 _RULE_RUN = 20
 
@@ -47,23 +48,23 @@ def shortest_entropy_hit(options: ScanOptions) -> tuple[int, int]:
     return least(options.entropy_threshold), least(options.hex_entropy_threshold)
 
 
-def _run(any_length: int, hex_length: int | None = None) -> str:
-    """A run of ``any_length`` characters, or one that holds ``hex_length`` hex digits.
+def _run(chars: str, any_length: int, hex_length: int | None = None) -> str:
+    """A run of ``any_length`` of the characters, or one that holds ``hex_length`` hex digits.
 
     The look-behind starts each attempt at the head of a run, which keeps the
     search linear in the line.
     """
-    head = f"(?<![{RUN_CLASS}])"
+    head = f"(?<![{chars}])"
     if hex_length is None or hex_length >= any_length:
-        return f"{head}[{RUN_CLASS}]{{{any_length}}}"
+        return f"{head}[{chars}]{{{any_length}}}"
     return (
-        f"{head}(?=[{RUN_CLASS}]{{{hex_length}}})"
-        f"(?:[{RUN_CLASS}]{{{any_length}}}|[{RUN_CLASS}]*?[{_HEX_CLASS}]{{{hex_length}}})"
+        f"{head}(?=[{chars}]{{{hex_length}}})"
+        f"(?:[{chars}]{{{any_length}}}|[{chars}]*?[{_HEX_CLASS}]{{{hex_length}}})"
     )
 
 
 def entropy_gate(line: Column, options: ScanOptions) -> Column:
-    return F.rlike(line, F.lit(_run(*shortest_entropy_hit(options))))
+    return F.rlike(line, F.lit(_run(CANDIDATE_CLASS, *shortest_entropy_hit(options))))
 
 
 def _contains_any(text: Column, keywords: list[str]) -> Column:
@@ -86,7 +87,7 @@ GUARDED_SHAPES = ("assignment", "url")
 
 def shape_test(line: Column, shape: str) -> Column:
     if shape == "run":
-        return F.rlike(line, F.lit(_run(_RULE_RUN)))
+        return F.rlike(line, F.lit(_run(_RUN_CLASS, _RULE_RUN)))
     if shape == "assignment":
         return F.rlike(line, F.lit(expand_whitespace(_ASSIGNMENT)))
     if shape == "url":
@@ -106,7 +107,8 @@ def line_gate(line: Column, options: ScanOptions) -> Column | None:
     tests = []
     if options.entropy_enabled:
         # One search serves entropy and the run rules.
-        tests.append(F.rlike(line, F.lit(_run(min(_RULE_RUN, plain) if "run" in shapes else plain, hexa))))
+        chars, length = (_RUN_CLASS, min(_RULE_RUN, plain)) if "run" in shapes else (CANDIDATE_CLASS, plain)
+        tests.append(F.rlike(line, F.lit(_run(chars, length, hexa))))
     elif "run" in shapes:
         tests.append(shape_test(line, "run"))
     tests += [shape_test(line, s) for s in ("assignment", "url", "pem") if s in shapes]

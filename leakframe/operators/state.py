@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakframe.operators.findings import findings_per_file
+from leakframe.operators.skew import filter_join
 
 STATE_SCHEMA = "file_path STRING, file_hash STRING, last_scanned TIMESTAMP, findings_count BIGINT"
 STATE_COLUMNS = ("file_path", "file_hash", "last_scanned", "findings_count")
@@ -65,7 +66,8 @@ def state_rows(scanned: DataFrame, findings: DataFrame) -> DataFrame:
 
 def carry_forward(previous: DataFrame, current: DataFrame, rescanned: DataFrame) -> DataFrame:
     """Findings of this pass plus the stored ones of files it did not scan again."""
-    return previous.join(rescanned.select("file_path").distinct(), "file_path", "left_anti").unionByName(current)
+    spread_by = ["line_number", "rule_id", "matched_value"]
+    return filter_join(previous, rescanned, ["file_path"], "left_anti", spread_by).unionByName(current)
 
 
 class StateTable:

@@ -11,6 +11,7 @@ from leakframe.functions.text import fingerprint
 from leakframe.operators.detect import detect
 from leakframe.operators.findings import public_findings
 from leakframe.operators.lines import split_lines
+from leakframe.operators.skew import filter_join
 from leakframe.operators.state import StateTable, changed, state_rows
 from leakframe.options import ScanOptions
 from leakframe.sources.files import file_texts, read_files
@@ -53,7 +54,8 @@ def scan_selected(texts: DataFrame, selected: DataFrame, options: ScanOptions =
     size = paths.agg(F.coalesce(F.sum(F.octet_length("file_path") + _ROW_BYTES), F.lit(0))).first()[0]
     if size <= BROADCAST_BYTES:
         return scan_texts(texts.join(F.broadcast(paths), "file_path", "left_semi"), options)
-    return scan_texts(texts, options).join(paths, "file_path", "left_semi")
+    found = scan_texts(texts, options)
+    return filter_join(found, paths, ["file_path"], "left_semi", ["line_number", "match_order"])
 
 
 @dataclass(frozen=True)

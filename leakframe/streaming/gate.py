@@ -10,6 +10,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from leakframe.functions.text import fingerprint
 from leakframe.operators.findings import public_findings, summary
+from leakframe.operators.skew import filter_join
 from leakframe.operators.state import StateTable, changed, state_rows
 from leakframe.options import ScanOptions
 from leakframe.plans.scan import scan_texts
@@ -38,10 +39,14 @@ def gate_batch(rows: DataFrame, key: str, text: str, out: str, batch_id: int, op
     summary(findings, options.block_level).write.mode("overwrite").json(f"{out}/summary/{part}", ignoreNullFields=False)
 
     rank, _ = SEVERITIES[options.block_level]
-    blocked = findings.where(severity_rank(F.col("severity")) >= rank).select(F.col("file_path").alias("_key")).distinct()
-    match = F.col(key).cast("string") == F.col("_key")
-    rows.join(blocked, match, "left_semi").write.mode("overwrite").parquet(f"{out}/quarantine/{part}")
-    rows.join(blocked, match, "left_anti").write.mode("overwrite").parquet(f"{out}/clean/{part}")
+    # Rows without a key share the empty one, so that a leak among them is held back too.
+    blocked = findings.where(severity_rank(F.col("severity")) >= rank).select(
+        F.coalesce("file_path", F.lit("")).alias("_key")
+    )
+    keyed = rows.withColumn("_key", F.coalesce(F.col(key).cast("string"), F.lit("")))
+    for side, how in (("quarantine", "left_semi"), ("clean", "left_anti")):
+        kept = filter_join(keyed, blocked, ["_key"], how, spread_by=[text]).drop("_key")
+        kept.write.mode("overwrite").parquet(f"{out}/{side}/{part}")
 
 
 def stream_gate(

@@ -9,6 +9,7 @@ from leakframe import Rule, ScanOptions, check_patterns, rule_catalog, scan_text
 from leakframe.functions import text
 from leakframe.operators import entropy, findings as roll
 from leakframe.operators.allowlist import drop_allowlisted
+from leakframe.operators.skew import filter_join
 from leakframe.plans import scan as plan
 from leakframe.rules import BUILTIN_RULES, count_groups
 from leakframe.severity import parse_severity, severity_dimension, severity_level
@@ -226,3 +227,14 @@ def test_plan_has_no_shuffle_and_one_pass(spark):
     tree = scan_texts(texts)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in tree and "Python" not in tree
     assert tree.count("AKIA|ABIA") == 1 and tree.count("lower(line") == 1
+
+
+def test_filter_join_on_a_hot_key(spark):
+    rows = spark.range(9000).select(
+        F.when(F.col("id") < 3000, "hot").otherwise(F.col("id").cast("string")).alias("k"), F.col("id").alias("v")
+    ).unionByName(spark.createDataFrame([(None, 1)], "k STRING, v BIGINT"))
+    keys = spark.createDataFrame([("hot",), ("hot",), ("3000",), (None,)], "k STRING")
+    with_key = filter_join(rows, keys, ["k"], "left_semi", ["v"])
+    without = filter_join(rows, keys, ["k"], "left_anti", ["v"])
+    assert (with_key.count(), without.count()) == (3001, 6000)
+    assert with_key.columns == without.columns == rows.columns

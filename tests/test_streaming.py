@@ -69,6 +69,13 @@ def test_gate_replay(spark, tmp_path):
     assert sum(p.count() for p in parts) == pages.count()
 
 
+def test_gate_without_key(spark, tmp_path):
+    batch = spark.createDataFrame([(None, f"k {KEY}"), ("b", "clean"), ("c", None)], "id STRING, text STRING")
+    gate_batch(batch, "id", "text", str(tmp_path), 3, ScanOptions())
+    assert rows(spark.read.parquet(str(tmp_path / "clean")).select("id")) == [("b",), ("c",)]
+    assert rows(spark.read.parquet(str(tmp_path / "quarantine")).select("batch")) == [(3,)]
+
+
 def test_skip_seen(spark, tmp_path):
     state = StateTable(spark, str(tmp_path / "state"))
     out = str(tmp_path / "out")
