@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import posixpath
+import re
 import sys
 from collections.abc import Iterator
 
@@ -31,16 +32,20 @@ def is_hidden(name: str) -> bool:
     return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
 
 
-def _filesystem(path: str):
+def _filesystem(root: str):
+    """PyArrow file system of a root, the root's path in it, and what precedes that path."""
     from pyarrow import fs
 
-    if "://" in path or path.startswith("file:"):
-        return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
-    return fs.LocalFileSystem(), path
-
-
-def _is_local(path: str) -> bool:
-    return "://" not in path or path.startswith("file:")
+    root = root.rstrip("/") or "/"
+    if root.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + root.removeprefix("file:").lstrip("/"), ""
+    if not re.match(r"[A-Za-z][A-Za-z0-9+.\-]+:", root):
+        return fs.LocalFileSystem(), root, ""
+    try:
+        filesystem, top = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", root))
+    except (ValueError, NotImplementedError) as error:
+        raise ValueError(f"cannot list hidden files of {root}; scan it with hidden=False") from error
+    return filesystem, top, root.removesuffix(top)
 
 
 class FileGroup(InputPartition):
@@ -58,11 +63,8 @@ class HiddenFilesReader(DataSourceReader):
         from pyarrow import fs
 
         for root in self.paths:
-            try:
-                filesystem, top = _filesystem(root)
-                info = filesystem.get_file_info(top)
-            except (OSError, ValueError):
-                continue
+            filesystem, top, _ = _filesystem(root)
+            info = filesystem.get_file_info(top)
             if info.type == fs.FileType.File:
                 if is_hidden(posixpath.basename(top)) or info.size == 0:
                     yield root, top, info.size
@@ -95,15 +97,14 @@ class HiddenFilesReader(DataSourceReader):
 
     def read(self, partition: FileGroup) -> Iterator[tuple]:
         for root, path, _ in partition.files:
+            filesystem, _, prefix = _filesystem(root)
             try:
-                filesystem, _ = _filesystem(root)
                 info = filesystem.get_file_info(path)
                 with filesystem.open_input_stream(path) as stream:
                     content = stream.read()
             except OSError:
                 continue
-            scheme = "" if _is_local(root) else root.split("://", 1)[0] + "://"
-            yield scheme + path, info.mtime, len(content), content
+            yield prefix + path, info.mtime, len(content), content
 
 
 class HiddenFiles(DataSource):

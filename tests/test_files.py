@@ -60,6 +60,16 @@ def test_hidden_names(spark, tmp_path):
     assert ".env" not in names(read_files(spark, str(tmp_path), hidden=False), tmp_path)
 
 
+def test_hidden_roots():
+    from leakframe.sources.hidden import _filesystem
+
+    assert [_filesystem(r)[1:] for r in ("/a/b/", "file:/a", "file:///a b", "rel")] == [
+        ("/a/b", ""), ("/a", ""), ("/a b", ""), ("rel", "")
+    ]
+    with pytest.raises(ValueError, match="hidden=False"):
+        _filesystem("nosuch://host/a")
+
+
 def test_dropped_files_are_not_opened(spark, tmp_path):
     """Path filters prune the listing: an unreadable binary or ignored file does no harm."""
     put(tmp_path, {"ok.py": LEAK, "big.png": b"x" * 4000, "vendor/lib.py": LEAK})
