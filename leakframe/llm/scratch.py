@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,3 +20,10 @@ def stored(df: DataFrame) -> DataFrame:
     path = shared_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """Let Python workers of a local session import this package, wherever it was started; clusters get it by --py-files."""
+    if spark.sparkContext.master.startswith(("local[", "local*")) or spark.sparkContext.master == "local":
+        spark.sparkContext.addFile(str(Path(__file__).resolve().parents[1]), recursive=True)
+    return spark

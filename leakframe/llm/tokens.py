@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # Words between white space, and words of ASCII letters, digits and everything beyond ASCII.
 SPACED = np.ones(256, bool)
@@ -106,7 +107,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, size: int = 4 << 20) ->
         if not batch.num_rows:
             continue
         column = batch.column(batch.schema.get_field_index(text))
-        total = np.cumsum(np.frombuffer(pa.compute.fill_null(pa.compute.binary_length(column).cast(pa.int64()), 0).buffers()[1], np.int64)[: len(column)])
+        total = np.cumsum(np.frombuffer(pc.fill_null(pc.binary_length(column).cast(pa.int64()), 0).buffers()[1], np.int64)[: len(column)])
         cuts = np.unique(np.searchsorted(total, np.arange(size, total[-1] + size, size)))
         start = 0
         for cut in [*(cuts + 1), len(column)]:
