@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakframe.llm import near, pii, quality, secrets, sharding, toxicity
+from leakframe.llm import line_dedup, near, pii, quality, secrets, sharding, toxicity
 from leakframe.llm.scratch import ready
 
 SHARDS = 8
@@ -34,6 +34,17 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.number(rows).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    one = lambda run: F.concat_ws("-", run["first"].cast("string"), run["last"].cast("string"))
+    return found.select(
+        "doc_id",
+        F.aggregate("runs", F.lit(0).cast("long"), lambda n, run: n + run["last"] - run["first"] + 1).alias("n_deleted"),
+        F.array_join(F.transform("runs", one), ",").alias("deleted"),
+        F.sha2(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 256).alias("text_sha256"),
+    )
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("failed_rules")
 
@@ -47,6 +58,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_duplicates, op3_secret_scan, op4_sharding, op8_quality_rules, op9_toxicity, op10_pii)
+    f.__name__: f for f in (op1_near_duplicates, op3_secret_scan, op4_sharding, op5_line_dedup, op8_quality_rules, op9_toxicity, op10_pii)
 }
 ORACLES: dict[str, str] = {}
