@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakframe.llm import line_dedup, near, pii, quality, secrets, sharding, toxicity
+from leakframe.llm import decontamination, line_dedup, near, pii, quality, secrets, sharding, toxicity
 from leakframe.llm.scratch import ready
 
 SHARDS = 8
@@ -21,6 +21,14 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groups(table(spark, sf_dir, "documents"), shingle_words=2).drop("row")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.encode(F.array_join("items", ","), "utf-8"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents"), keep=["doc_id"]), "doc_id")
 
@@ -58,6 +66,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_duplicates, op3_secret_scan, op4_sharding, op5_line_dedup, op8_quality_rules, op9_toxicity, op10_pii)
+    f.__name__: f for f in (op1_near_duplicates, op2_decontamination, op3_secret_scan, op4_sharding, op5_line_dedup, op8_quality_rules, op9_toxicity, op10_pii)
 }
 ORACLES: dict[str, str] = {}
