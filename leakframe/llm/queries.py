@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakframe.llm import decontamination, line_dedup, near, pii, quality, secrets, sharding, toxicity
+from leakframe.llm import decontamination, line_dedup, near, pii, piece_bpe, quality, secrets, sharding, toxicity
 from leakframe.llm.scratch import ready
 
 SHARDS = 8
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +55,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("failed_rules")
 
@@ -66,6 +72,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_duplicates, op2_decontamination, op3_secret_scan, op4_sharding, op5_line_dedup, op8_quality_rules, op9_toxicity, op10_pii)
+    f.__name__: f for f in (op1_near_duplicates, op2_decontamination, op3_secret_scan, op4_sharding, op5_line_dedup, op6_sentencepiece, op8_quality_rules, op9_toxicity, op10_pii)
 }
 ORACLES: dict[str, str] = {}
