@@ -66,6 +66,7 @@ class Model:
             self.automaton.add_word(p, p)
         self.automaton.make_automaton()
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in whole), p[0] if len(p) > 1 else None) for p in whole}
+        self.edges: dict[str, tuple] = {}
         self.seams: dict[tuple[str, str], bool] = {}
         self.cache = _Cache(self)
         self.table = pa.array(self.raw, pa.binary())
@@ -87,13 +88,59 @@ class Model:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def spines(self, piece: str) -> tuple[list[tuple[str, float]], list[tuple[str, float]]]:
+        """How a piece's left and right edge grow as it is merged: strings, each with the score at which it grows on.
+
+        A merge waits for its parts, so its score counts as no better than theirs.
+        """
+        known = self.edges.get(piece)
+        if known is None:
+            parts, when = list(piece), [float("inf")] * len(piece)
+            left, right = [(parts[0], -float("inf"))], [(parts[-1], -float("inf"))]
+            while len(parts) > 1:
+                score, at = max((self.scores.get(parts[i] + parts[i + 1], -float("inf")), -i) for i in range(len(parts) - 1))
+                at = -at
+                score = min(score, when[at], when[at + 1])
+                joined = parts[at] + parts[at + 1]
+                if at == 0:
+                    left[-1] = (left[-1][0], score)
+                    left.append((joined, -float("inf")))
+                if at + 2 == len(parts):
+                    right[-1] = (right[-1][0], score)
+                    right.append((joined, -float("inf")))
+                parts[at : at + 2], when[at : at + 2] = [joined], [score]
+            known = self.edges[piece] = (left, right)
+        return known
+
     def fits(self, one: str, other: str) -> bool:
-        """Whether merging the two strings together leaves the seam between them."""
+        """Whether merging the two strings together leaves the seam between them.
+
+        Both edges are merged up again side by side. The seam closes if what
+        meets there makes a piece before either edge grows; of equal scores the
+        one further left comes first.
+        """
         known = self.seams.get((one, other))
-        if known is None:
-            if len(self.seams) >= SEAMS:
-                self.seams.clear()
-            known = self.seams[one, other] = self.merged(one + other) == [one, other]
+        if known is not None:
+            return known
+        scores = self.scores
+        left, right = self.spines(one)[1], self.spines(other)[0]
+        i = j = 0
+        known = True
+        while True:
+            (a, grows_a), (b, grows_b) = left[i], right[j]
+            score = scores.get(a + b)
+            if score is not None and score > grows_a and score >= grows_b:
+                known = False
+                break
+            if grows_a >= grows_b:
+                i += 1
+                if i == len(left):
+                    break
+            else:
+                j += 1
+        if len(self.seams) >= SEAMS:
+            self.seams.clear()
+        self.seams[one, other] = known
         return known
 
     def split(self, word: str) -> list[str]:
