@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakframe.llm import decontamination, line_dedup, near, pii, piece_bpe, quality, secrets, sharding, toxicity
+from leakframe.llm import decontamination, line_dedup, near, pii, piece_bpe, quality, secrets, sharding, toxicity, warc
 from leakframe.llm.scratch import ready
 
 SHARDS = 8
@@ -59,6 +59,11 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("failed_rules")
 
@@ -72,6 +77,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_duplicates, op2_decontamination, op3_secret_scan, op4_sharding, op5_line_dedup, op6_sentencepiece, op8_quality_rules, op9_toxicity, op10_pii)
+    f.__name__: f for f in (op1_near_duplicates, op2_decontamination, op3_secret_scan, op4_sharding, op5_line_dedup, op6_sentencepiece, op7_warc, op8_quality_rules, op9_toxicity, op10_pii)
 }
 ORACLES: dict[str, str] = {}
