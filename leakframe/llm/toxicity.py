@@ -201,8 +201,9 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("int").alias("toxic"))
     known = known.withColumn("_fold", fold("_key"))
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text"), fold(key).alias("_fold"))
+    # Always dealt by key, so that the plan, and with it the shuffle, is the same for few labels and for many.
     counted = ~F.col("_fold").isin(HELD_OUT, CALIBRATION)
-    counts = stored(count_grams(rows.where(counted).join(known.where(counted), ["_key", "_fold"])))
+    counts = stored(count_grams(rows.where(counted).join(known.where(counted).hint("merge"), ["_key", "_fold"])))
     grams, contexts = ratios(counts)
     sample = known.where(F.col("_fold") == CALIBRATION)
     share = CALIBRATION_ROWS / max(1, sample.count())
@@ -214,7 +215,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             x = evidence(piece.column("text"), *model.value)
             yield pa.RecordBatch.from_arrays([piece.column("toxic"), pa.array(list(x), pa.list_(pa.float64()))], ["toxic", "x"])
 
-    rows = rows.where((F.col("_fold") == CALIBRATION) & chosen).join(sample.where(chosen).drop("_fold"), "_key").select("text", "toxic")
+    rows = rows.where((F.col("_fold") == CALIBRATION) & chosen).join(sample.where(chosen).drop("_fold").hint("merge"), "_key").select("text", "toxic")
     found: pd.DataFrame = rows.mapInArrow(weigh, "toxic int, x array<double>").orderBy("toxic", "x").toPandas()
     x = np.stack(found["x"].to_list()) if len(found) else np.zeros((0, len(WINDOWS) + 4))
     return Model(grams, contexts, fit_curve(x, found["toxic"].to_numpy()))
