@@ -227,14 +227,14 @@ def _links(nodes: DataFrame, texts: DataFrame, shingle_words: int, percent: int)
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS, percent: int = SIMILARITY) -> DataFrame:
-    """Every row's ``key``, ``n_shingles``, ``component_id``, ``kept`` and ``row`` (a number of its own).
+    """Every row's ``key``, ``place`` (hash of key and text), ``n_shingles``, ``component_id`` and ``kept``.
 
     Rows are linked if their shingle sets are at least ``percent`` similar;
-    ``component_id`` is the smallest key a row reaches. Rows without words are
-    linked with nothing. Repeated rows and repeated keys are rows of their own,
-    linked like any others. A row with a null key takes part; its
-    ``component_id`` is null where no row with a key is linked to it. ``kept``
-    marks rows whose key is their component's; among rows without any key, all.
+    ``component_id`` is the smallest key a row reaches. ``kept`` marks one row
+    of each component, the one with that key, or one of them. Rows without
+    words are linked with nothing and all kept. Repeated rows and repeated keys
+    are rows of their own, linked like any others. A row with a null key takes
+    part; ``component_id`` is null where no row with a key is linked to it.
     """
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("place", F.xxhash64("key", "text"))
@@ -245,24 +245,23 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_wor
     )
     full = table.where("n_shingles > 0")
     # Rows with equal sets are one node: groups of copies, however large, go no further.
-    classes = stored(full.groupBy("mark").agg(F.min("row").alias("node"), F.min("key").alias("least")))
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row"))
+    classes = stored(full.groupBy("mark").agg(F.min("row").alias("node"), first.alias("first")))
     nodes = stored(full.withColumnRenamed("row", "node").join(classes.select("node"), "node", "left_semi").select("node", "place", "mark", "n_shingles", "registers"))
     roots = components(_links(nodes, rows.select("place", "text"), shingle_words, percent))
-    home = classes.join(roots, "node", "left").select("mark", "least", F.coalesce("root", "node").alias("root"))
-    least = home.groupBy("root").agg(F.min("least").alias("component_id"))
-    home = home.join(least, "root").select("mark", "component_id")
-    out = full.select("key", "row", "n_shingles", "mark").join(home, "mark").drop("mark")
-    empty = table.where("n_shingles = 0").select("key", "row", "n_shingles", F.col("key").alias("component_id"))
-    kept = F.coalesce(F.col("key") == F.col("component_id"), F.col("component_id").isNull())
-    return out.unionByName(empty).select(F.col("key").alias(key), "n_shingles", "component_id", kept.alias("kept"), "row")
-
-
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of near copies, that of the smallest key; rows without words stay.
-
-    Of rows with the same key and text one stays, whatever stands in their other columns.
-    """
-    found = groups(docs.select(key, text), key, text)
-    gone = found.where(~F.col("kept")).select(F.col(key).alias("_key")).distinct()
-    left = docs.join(gone, F.col(key) == F.col("_key"), "left_anti")
-    return left
+    home = classes.join(roots, "node", "left").select("mark", "first", F.coalesce("root", "node").alias("root"))
+    firsts = home.groupBy("root").agg(F.min("first").alias("head"))
+    home = home.join(firsts, "root").select("mark", F.col("head.key").alias("component_id"), F.col("head.row").alias("head_row"))
+    out = full.join(home, "mark").select("key", "place", "n_shingles", "component_id", (F.col("row") == F.col("head_row")).alias("kept"))
+    empty = table.where("n_shingles = 0").select("key", "place", "n_shingles", F.col("key").alias("component_id"), F.lit(True).alias("kept"))
+    return out.unionByName(empty).withColumnRenamed("key", key)
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS, percent: int = SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each group of near copies, that of the smallest key; rows without words all stay."""
+    stay = groups(docs.select(key, text), key, text, shingle_words, percent).where("kept").groupBy("place").agg((F.max("n_shingles") > 0).alias("_worded"))
+    place = F.xxhash64(key, F.coalesce(F.col(text).cast("string"), F.lit("")))
+    left = docs.withColumn("_place", place).join(stay.withColumnRenamed("place", "_place"), "_place")
+    # Rows with the same key and text can't be told apart by their place.
+    copy = F.when(F.col("_worded"), F.lit(0).cast("long")).otherwise(F.monotonically_increasing_id())
+    return left.withColumn("_copy", copy).dropDuplicates(["_place", "_copy"]).select(*docs.columns)

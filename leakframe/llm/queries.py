@@ -20,7 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near.groups(table(spark, sf_dir, "documents"), shingle_words=2).drop("row")
+    found = near.groups(table(spark, sf_dir, "documents"), shingle_words=2)
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
