@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from leakframe.llm.matching import let
 from leakframe.llm.scratch import stored
 
-RISK = 0.02
+RISK = 0.05
 DOUBT = 0.05
 WINDOW = 5
 LEAST_WORDS = 10  # base rule
@@ -120,11 +120,13 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
 
 
 def certify(labelled: DataFrame, stratum: str, good: str, risk: float = RISK, doubt: float = DOUBT) -> DataFrame:
-    """The strictest certified cutoff for each stratum and rule: (stratum, rule, cutoff).
+    """A certified cutoff for each stratum and rule: (stratum, rule, cutoff).
 
-    ``labelled`` has the stratum, the rules' scores and ``good`` (boolean). A
-    rule without a certified cutoff in a stratum, for want of good rows or
-    because it rejects too many, has no row and rejects nothing there.
+    ``labelled`` has the stratum, the rules' scores and ``good`` (boolean). All
+    cutoffs up to the first failure are certified together, so any of them may
+    be taken: the one that parts bad from good best, the most lenient of equals.
+    A rule that parts nothing, or has no certified cutoff in a stratum for want
+    of good rows, has no row and rejects nothing there.
     """
     share, strata = risk / len(RULES), F.col("_strata")
     candidates = F.explode(F.array(*[
@@ -133,15 +135,20 @@ def certify(labelled: DataFrame, stratum: str, good: str, risk: float = RISK, do
     ]))
     # Strata x rules x cutoffs rows from here on.
     counts = (
-        labelled.where(F.col(good)).select(stratum, candidates.alias("c")).select(stratum, "c.*")
-        .groupBy(stratum, "rule", "step", "cutoff").agg(F.count("*").alias("n"), F.count_if("rejected").alias("k"))
+        labelled.select(stratum, F.col(good).alias("_good"), candidates.alias("c")).select(stratum, "_good", "c.*")
+        .groupBy(stratum, "rule", "step", "cutoff").agg(
+            F.count_if("_good").alias("n"), F.count_if(F.col("_good") & F.col("rejected")).alias("k"),
+            F.count_if(~F.col("_good")).alias("bad_n"), F.count_if(~F.col("_good") & F.col("rejected")).alias("bad_k"),
+        )
     )
     counts = counts.crossJoin(F.broadcast(labelled.agg(F.greatest(F.count_distinct(stratum), F.lit(1)).alias("_strata"))))
     level = F.lit(doubt) / (strata * len(RULES))
     passed = counts.withColumn("passed", binomial_cdf(F.col("k"), F.col("n"), share) <= level)
     so_far = Window.partitionBy(stratum, "rule").orderBy("step")
     passed = passed.withColumn("all", F.min(F.col("passed").cast("int")).over(so_far)).where("all = 1")
-    return passed.groupBy(stratum, "rule").agg(F.min("cutoff").alias("cutoff"))
+    gain = F.col("bad_k") / F.greatest("bad_n", F.lit(1)) - F.col("k") / F.greatest("n", F.lit(1))
+    best = passed.withColumn("gain", gain).groupBy(stratum, "rule").agg(F.max(F.struct("gain", -F.col("step"), "cutoff")).alias("best"))
+    return best.where("best.gain > 0").select(stratum, "rule", "best.cutoff")
 
 
 def judge(
