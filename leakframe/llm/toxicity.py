@@ -128,9 +128,9 @@ def ratios(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     spare = lambda c: F.when(F.col(f"{c}_all") > 0, F.col(f"{c}_cut") / F.col(f"{c}_all")).otherwise(1.0)
     contexts = contexts.select("context", "bad_all", "fine_all", spare("bad").alias("bad_spare"), spare("fine").alias("fine_spare"))
     shared = _shared(counts).select(F.col("gram").alias("short"), "shared")
-    chance = lambda c: F.coalesce((F.col(c) - cut(c)) / F.nullif(F.col(f"{c}_all"), F.lit(0.0)), F.lit(0.0)) + F.col(f"{c}_spare") * F.col("shared")
+    likelihood = lambda c: F.coalesce((F.col(c) - cut(c)) / F.nullif(F.col(f"{c}_all"), F.lit(0.0)), F.lit(0.0)) + F.col(f"{c}_spare") * F.col("shared")
     seen = counts.join(contexts, "context").withColumn("short", _last("gram", LOWER[0])).join(shared, "short")
-    seen = seen.select(F.pmod("gram", F.lit(GRAM_SLOTS)).alias("slot"), F.log(chance("bad") / chance("fine")).alias("ratio"), (F.col("bad") + F.col("fine")).alias("weight"))
+    seen = seen.select(F.pmod("gram", F.lit(GRAM_SLOTS)).alias("slot"), F.log(likelihood("bad") / likelihood("fine")).alias("ratio"), (F.col("bad") + F.col("fine")).alias("weight"))
     unseen = contexts.select(
         F.pmod("context", F.lit(CONTEXT_SLOTS)).alias("slot"), F.log(F.col("bad_spare") / F.col("fine_spare")).alias("ratio"), (F.col("bad_all") + F.col("fine_all")).alias("weight")
     )
@@ -146,7 +146,7 @@ def ratios(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def evidence(texts: pa.Array, grams: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    """A row for each text: 1, ratio per byte, ratio per root of bytes, the most in a window of each size, log length."""
+    """A row for each text: 1 (0 for a text without letters), ratio per byte, per root of bytes, the most in a window of each size."""
     keys, bounds = _grams(texts)
     ratio = grams[keys % GRAM_SLOTS].astype(float)
     rare = np.flatnonzero(np.isnan(ratio))
@@ -154,7 +154,7 @@ def evidence(texts: pa.Array, grams: np.ndarray, contexts: np.ndarray) -> np.nda
     total = np.concatenate([[0.0], np.cumsum(ratio)])
     start, size = bounds[:-1], np.diff(bounds)
     whole = total[bounds[1:]] - total[start]
-    columns = [np.ones(len(size)), whole / np.maximum(size, 1), whole / np.sqrt(size + 1)]
+    columns = [(size > 0).astype(float), whole / np.maximum(size, 1), whole / np.sqrt(size + 1)]
     for window in WINDOWS:
         most = whole.copy()
         longer = np.flatnonzero(size > window)
@@ -164,15 +164,24 @@ def evidence(texts: pa.Array, grams: np.ndarray, contexts: np.ndarray) -> np.nda
             edges = np.stack([start[longer], bounds[1:][longer] - window + 1], 1).ravel()
             most[longer] = np.maximum.reduceat(np.append(sums, -np.inf), edges)[::2]
         columns.append(most)
-    return np.stack([*columns, np.log1p(size)], 1)
+    return np.stack(columns, 1)
+
+
+def chance(x: np.ndarray, curve: np.ndarray) -> np.ndarray:
+    """Scores of rows of evidence; without letters, a text has the share of toxic ones."""
+    return 1 / (1 + np.exp(-np.clip(np.where(x[:, 0] > 0, x @ curve[:-1], curve[-1]), -30, 30)))
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
-    """Weights of a logistic curve, by Newton's method on scaled columns; without both classes the smoothed share alone."""
-    curve = np.zeros(len(WINDOWS) + 4)
-    curve[0] = np.log((np.sum(y == 1) + 0.5) / (np.sum(y == 0) + 0.5))
+    """Weights of a logistic curve, by Newton's method on scaled columns, and the log odds of all rows.
+
+    Without both classes these odds are all there is.
+    """
+    curve = np.zeros(len(WINDOWS) + 3)
+    odds = np.log((np.sum(y == 1) + 0.5) / (np.sum(y == 0) + 0.5))
+    curve[0] = odds
     if len(set(y.tolist())) < 2:
-        return curve
+        return np.append(curve, odds)
     mean, spread = x.mean(0), x.std(0) + 1e-9
     mean[0], spread[0] = 0.0, 1.0
     z = (x - mean) / spread
@@ -184,7 +193,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
         curve = curve - np.clip(np.linalg.solve(slope, z.T @ (p - y) + penalty @ curve), -5, 5)
     curve = curve / spread
     curve[0] -= mean[1:] @ curve[1:]
-    return curve
+    return np.append(curve, odds)
 
 
 def fold(key: str) -> Column:
@@ -217,14 +226,14 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     rows = rows.where((F.col("_fold") == CALIBRATION) & chosen).join(sample.where(chosen).drop("_fold").hint("merge"), "_key").select("text", "toxic")
     found: pd.DataFrame = rows.mapInArrow(weigh, "toxic int, x array<double>").orderBy("toxic", "x").toPandas()
-    x = np.stack(found["x"].to_list()) if len(found) else np.zeros((0, len(WINDOWS) + 4))
+    x = np.stack(found["x"].to_list()) if len(found) else np.zeros((0, len(WINDOWS) + 3))
     return Model(grams, contexts, fit_curve(x, found["toxic"].to_numpy()))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (score of a half or more), row by row, no shuffle.
 
-    Null and empty texts score as texts without evidence. Columns of these names are replaced.
+    Null and empty texts, and others without letters, score the share of toxic texts. Columns of these names are replaced.
     """
     docs = docs.select([c for c in docs.columns if c not in ("score", "predicted")])
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -232,8 +241,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for piece in pieces(batches, text):
-            x = evidence(piece.column(text), m.grams, m.contexts)
-            p = 1 / (1 + np.exp(-np.clip(x @ m.curve, -30, 30)))
+            p = chance(evidence(piece.column(text), m.grams, m.contexts), m.curve)
             yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*piece.schema.names, "score", "predicted"])
 
     schema = StructType(list(docs.schema.fields)).add("score", "double").add("predicted", "integer")
