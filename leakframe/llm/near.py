@@ -30,6 +30,7 @@ BASE, RATE, TOP = 1.001, 20.0, 65_534  # scale of the registers, which fit 16 bi
 SIMILARITY = 80  # percent
 SHINGLE_WORDS = 5
 REFUTED = 25.0  # log-likelihood by which the best similarity must beat the least wanted one
+FEW_EQUAL = 0.4  # share of equal registers below which a pair's likelihood need not be worked out: it is refuted anyway
 BLOCK = 1024  # members of a bucket compared at a time
 
 _RANDOM = np.random.default_rng(77)
@@ -146,15 +147,31 @@ def _across(percent: int):
         node, root, tile = (table.column(c).to_numpy() for c in ("node", "root", "tile"))
         low, high, sizes = (table.column(c).to_numpy() for c in ("low", "high", "n_shingles"))
         registers = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        least = int(FEW_EQUAL * REGISTERS)
+        firsts, seconds, held = [], [], 0
+
+        def judged() -> Iterator[pa.RecordBatch]:
+            first, second = np.concatenate(firsts), np.concatenate(seconds)
+            keep = ~refuted(registers[first], registers[second], sizes[first], sizes[second], percent)
+            firsts.clear()
+            seconds.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(node[first[keep]]), pa.array(node[second[keep]])], ["a", "b"])
+
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             ours = np.arange(a, b)
             left, right = ours[tile[a:b] == low[a]], ours[tile[a:b] == high[a]]
             for i in left:
-                with_ = right[(root[right] != root[i]) & ((node[right] > node[i]) | (low[a] != high[a]))]
-                if len(with_):
-                    keep = with_[~refuted(np.broadcast_to(registers[i], (len(with_), REGISTERS)), registers[with_], np.full(len(with_), sizes[i]), sizes[with_], percent)]
-                    if len(keep):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), node[i])), pa.array(node[keep])], ["a", "b"])
+                others = right[(root[right] != root[i]) & ((node[right] > node[i]) | (low[a] != high[a]))]
+                alike = others[(registers[others] == registers[i]).sum(1) >= least] if len(others) else others
+                if len(alike):
+                    firsts.append(np.full(len(alike), i))
+                    seconds.append(alike)
+                    held += len(alike)
+            if held >= 65_536:
+                yield from judged()
+                held = 0
+        if held:
+            yield from judged()
 
     return run
 
@@ -220,7 +237,8 @@ def _links(nodes: DataFrame, texts: DataFrame, shingle_words: int, percent: int)
         .select("bucket", "node", "root", "tile", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"))
         .join(nodes.select("node", "n_shingles", "registers"), "node")
     )
-    spread = spread.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    tasks = int(spread.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the work is not in the bytes, so no merging of tasks
+    spread = spread.repartition(tasks, "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
     across = spread.select("bucket", "node", "root", "tile", "low", "high", "n_shingles", "registers").mapInArrow(_across(percent), "a long, b long")
     rest = stored(across.select(*_ordered("a", "b")).distinct().join(tried, ["a", "b"], "left_anti"))
     return stored(links.unionByName(_verified(rest, sets, percent)))
