@@ -29,7 +29,7 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65_534  # scale of the registers, which fit 16 bits
 SIMILARITY = 80  # percent
 SHINGLE_WORDS = 5
-REFUTED = 25.0  # log-likelihood by which the best similarity must beat the least wanted one
+REFUTED = 16.0  # log-likelihood by which the best similarity must beat the least wanted one
 FEW_EQUAL = 0.4  # share of equal registers below which a pair's likelihood need not be worked out: it is refuted anyway
 BLOCK = 1024  # members of a bucket compared at a time
 
@@ -124,54 +124,89 @@ def _unrefuted(percent: int):
     return run
 
 
-def _across(percent: int):
-    """Pairs of members in different components, of sorted (bucket, tile_a, tile_b) groups, that the sketches don't refute."""
+TILE = ("bucket", "low", "high")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            table = batch if held is None else pa.concat_batches([held, batch])
-            if not table.num_rows:
-                continue
-            keys = [table.column(c).to_numpy() for c in ("bucket", "low", "high")]
-            new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-            cuts = np.concatenate([[0], new])
-            yield from compare(table.slice(0, cuts[-1]), cuts)
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Whole (bucket, low, high) groups of sorted batches: rows, and where groups begin and end."""
+    held = None
+    for batch in batches:
+        table = batch if held is None else pa.concat_batches([held, batch])
+        if table.num_rows:
+            keys = [table.column(c).to_numpy() for c in TILE]
+            cuts = np.concatenate([[0], np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1])
+            if cuts[-1]:
+                yield table.slice(0, cuts[-1]), cuts
             held = table.slice(cuts[-1])
-        if held is not None and held.num_rows:
-            yield from compare(held, np.array([0, held.num_rows]))
-
-    def compare(table: pa.RecordBatch, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not table.num_rows:
-            return
-        node, root, tile = (table.column(c).to_numpy() for c in ("node", "root", "tile"))
-        low, high, sizes = (table.column(c).to_numpy() for c in ("low", "high", "n_shingles"))
-        registers = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        least = int(FEW_EQUAL * REGISTERS)
-        firsts, seconds, held = [], [], 0
-
-        def judged() -> Iterator[pa.RecordBatch]:
-            first, second = np.concatenate(firsts), np.concatenate(seconds)
-            keep = ~refuted(registers[first], registers[second], sizes[first], sizes[second], percent)
-            firsts.clear()
-            seconds.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(node[first[keep]]), pa.array(node[second[keep]])], ["a", "b"])
-
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            ours = np.arange(a, b)
-            left, right = ours[tile[a:b] == low[a]], ours[tile[a:b] == high[a]]
-            for i in left:
-                others = right[(root[right] != root[i]) & ((node[right] > node[i]) | (low[a] != high[a]))]
-                alike = others[(registers[others] == registers[i]).sum(1) >= least] if len(others) else others
-                if len(alike):
-                    firsts.append(np.full(len(alike), i))
-                    seconds.append(alike)
-                    held += len(alike)
-            if held >= 65_536:
-                yield from judged()
-                held = 0
-        if held:
-            yield from judged()
+    if held is not None and held.num_rows:
+        yield held, np.array([0, held.num_rows])
+
+
+class _Tile:
+    """Members of two blocks of a bucket, to be compared across components."""
+
+    def __init__(self, table: pa.RecordBatch, percent: int):
+        self.node, self.root, self.tile, self.band = (table.column(c).to_numpy() for c in ("node", "root", "tile", "band"))
+        self.low, self.high, self.sizes = (table.column(c).to_numpy() for c in ("low", "high", "n_shingles"))
+        self.registers = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        self.percent = percent
+
+    def others(self, a: int, b: int) -> Iterator[tuple[int, np.ndarray]]:
+        """For rows of a group, the rows to compare them with: a pair that shares an earlier band meets there."""
+        rows = np.arange(a, b)
+        left, right = rows[self.tile[a:b] == self.low[a]], rows[self.tile[a:b] == self.high[a]]
+        for i in left:
+            j = right[(self.root[right] != self.root[i]) & ((self.node[right] > self.node[i]) | (self.low[a] != self.high[a]))]
+            if len(j):
+                equal = self.registers[j] == self.registers[i]
+                first = equal.reshape(-1, BANDS, ROWS).all(2).argmax(1)
+                j = j[(first == self.band[a]) & (equal.sum(1) >= int(FEW_EQUAL * REGISTERS))]
+                if len(j):
+                    yield i, j
+
+    def open(self, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+        return ~refuted(self.registers[one], self.registers[other], self.sizes[one], self.sizes[other], self.percent)
+
+
+def _alike(percent: int):
+    """Members of tiles that their sketches leave open to a link into another component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cuts in _tiles(batches):
+            tile, marked = _Tile(table, percent), np.zeros(table.num_rows, bool)
+            ones, others, held = [], [], 0
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                for i, j in tile.others(a, b):
+                    ones.append(np.full(len(j), i))
+                    others.append(j)
+                    held += len(j)
+                if held and (held >= 65_536 or b == cuts[-1]):
+                    one, other = np.concatenate(ones), np.concatenate(others)
+                    keep = tile.open(one, other)
+                    marked[one[keep]] = marked[other[keep]] = True
+                    ones, others, held = [], [], 0
+            yield table.select([*TILE, "band", "tile", "node", "root"]).filter(pa.array(marked))
+
+    return run
+
+
+def _joining(percent: int):
+    """Verified links inside tiles, of rows with full sets; one link is enough to join two components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cuts in _tiles(batches):
+            tile, sets = _Tile(table, percent), table.column("shingles")
+            links = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                own = {i: sets[i].values.to_numpy() for i in range(a, b)}
+                for i, j in tile.others(a, b):
+                    for k in j[tile.open(np.full(len(j), i), j)]:
+                        if tile.root[i] != tile.root[k]:
+                            both = len(np.intersect1d(own[i], own[k], assume_unique=True))
+                            if 100 * both >= percent * (len(own[i]) + len(own[k]) - both):
+                                links.append((int(tile.node[i]), int(tile.node[k])))
+                                tile.root = np.where(tile.root == tile.root[k], tile.root[i], tile.root)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
     return run
 
@@ -204,11 +239,12 @@ def _links(nodes: DataFrame, texts: DataFrame, shingle_words: int, percent: int)
     """Verified links that connect whatever is connected through pairs that share a band.
 
     Two rounds link the members of each bucket to one of them, which joins
-    groups of near copies at a cost in proportion to their size. Then all pairs
-    of members still in different components are compared by their sketches,
-    in tiles of bounded size, so that no link between components is missed.
+    groups of near copies at a cost in proportion to their size. Then members
+    still in different components are compared by their sketches, and what
+    these leave open by full sets, inside tiles of bounded size. Pairs are made
+    and judged in the task; only links that join components leave it.
     """
-    bands = nodes.select("node", F.explode(_band_keys(F.col("registers"))).alias("bucket"))
+    bands = nodes.select("node", F.posexplode(_band_keys(F.col("registers"))).alias("band", "bucket"))
     shared = bands.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     members = stored(bands.join(shared, "bucket"))
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "mark", "place")
@@ -232,16 +268,19 @@ def _links(nodes: DataFrame, texts: DataFrame, shingle_words: int, percent: int)
     tiles = F.ceil(F.col("members") / BLOCK)
     tile = F.pmod(F.xxhash64("node"), tiles)
     spread = (
-        rooted.join(mixed, "bucket", "left_semi").select("bucket", "node", "root", tile.alias("tile"), tiles.alias("tiles"))
+        rooted.join(mixed, "bucket", "left_semi").select("bucket", "band", "node", "root", tile.alias("tile"), tiles.alias("tiles"))
         .withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-        .select("bucket", "node", "root", "tile", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"))
-        .join(nodes.select("node", "n_shingles", "registers"), "node")
+        .select("bucket", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"), "band", "tile", "node", "root")
     )
-    tasks = int(spread.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the work is not in the bytes, so no merging of tasks
-    spread = spread.repartition(tasks, "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
-    across = spread.select("bucket", "node", "root", "tile", "low", "high", "n_shingles", "registers").mapInArrow(_across(percent), "a long, b long")
-    rest = stored(across.select(*_ordered("a", "b")).distinct().join(tried, ["a", "b"], "left_anti"))
-    return stored(links.unionByName(_verified(rest, sets, percent)))
+    # The work is not in the bytes, so tasks must not be merged by their size.
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sketches = nodes.select("node", "n_shingles", "registers")
+    dealt = spread.join(sketches, "node").repartition(tasks, *TILE).sortWithinPartitions(*TILE)
+    kinds = "bucket long, low long, high long, band int, tile long, node long, root long"
+    alike = stored(dealt.select(*TILE, "band", "tile", "node", "root", "n_shingles", "registers").mapInArrow(_alike(percent), kinds))
+    full = alike.join(sketches, "node").join(sets, "node").repartition(tasks, *TILE).sortWithinPartitions(*TILE)
+    rest = full.select(*TILE, "band", "tile", "node", "root", "n_shingles", "registers", "shingles").mapInArrow(_joining(percent), "a long, b long")
+    return stored(links.unionByName(rest))
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS, percent: int = SIMILARITY) -> DataFrame:
