@@ -138,7 +138,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words:
     runs = repeated(docs, key, text, least_words).withColumnsRenamed({"place": "_place", "runs": "_runs"})
     columns = [c for c in docs.columns if c not in ("runs", "_place")]
     place = F.xxhash64(key, F.coalesce(F.col(text).cast("string"), F.lit("")))
-    joined = docs.select(*columns).withColumn("_place", place).join(runs, "_place", "left")
+    # Always dealt by place, so that the plan, and with it the shuffle, is the same for few runs and for many.
+    joined = docs.select(*columns).withColumn("_place", place).join(runs.hint("merge"), "_place", "left")
     rest = F.array_join(
         F.filter(F.split(F.col(text), "\n"), lambda line, i: ~F.exists("_runs", lambda run: i.between(run["first"], run["last"]))), "\n"
     )

@@ -318,7 +318,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     """``docs`` with one row of each group of near copies, that of the smallest key; rows without words all stay."""
     stay = groups(docs.select(key, text), key, text, shingle_words, percent).where("kept").groupBy("place").agg((F.max("n_shingles") > 0).alias("_worded"))
     place = F.xxhash64(key, F.coalesce(F.col(text).cast("string"), F.lit("")))
-    left = docs.withColumn("_place", place).join(stay.withColumnRenamed("place", "_place"), "_place")
+    left = docs.withColumn("_place", place).join(stay.withColumnRenamed("place", "_place").hint("merge"), "_place")
     # Rows with the same key and text can't be told apart by their place.
     copy = F.when(F.col("_worded"), F.lit(0).cast("long")).otherwise(F.monotonically_increasing_id())
     return left.withColumn("_copy", copy).dropDuplicates(["_place", "_copy"]).select(*docs.columns)
