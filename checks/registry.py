@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +13,12 @@ from leakframe.functions import paths, text
 from leakframe.operators import entropy, filefilter, findings, lines, state
 from leakframe.operators.allowlist import drop_allowlisted
 from leakframe.options import ScanOptions
-from leakframe.plans.scan import scan_selected, scan_texts
+from leakframe.plans.scan import scan_changed, scan_files, scan_selected, scan_texts
 from leakframe.rules import BUILTIN_RULES, Rule, rule_catalog
 from leakframe.severity import severity_level, severity_rank
-from leakframe.sources.files import changed_paths, ignore_patterns
+from leakframe.sources.files import changed_paths, ignore_patterns, skipped_files
+from leakframe.sources.shared import shared_folder
+from leakframe.sources.sinks import write_findings, write_report
 from leakframe.sources.tables import read_texts, spread
 from leakframe.streaming.gate import scan_stream, stream_gate, stream_skip_seen
 
@@ -659,6 +659,148 @@ def changed_set_scan(spark, sf_dir):
     return scan_selected(files(spark, sf_dir), wanted).select(*FINDING)
 
 
+# Files on storage: a tree written from the customer rows into the shared folder, then listed and read.
+
+
+def _put(batches):
+    """Write each text to its path."""
+    from pyarrow import fs
+
+    for batch in batches:
+        for path, text in zip(batch.column("file_path").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            store, inside = fs.FileSystem.from_uri(path)
+            store.create_dir(inside.rpartition("/")[0], recursive=True)
+            with store.open_output_stream(inside, compression=None) as out:
+                out.write(text.encode())
+        yield batch.select(["file_path"])
+
+
+def tree_of(spark: SparkSession, texts: DataFrame) -> str:
+    """A new folder with a file for each row (file_path, text)."""
+    folder = shared_folder(spark, "tree")
+    uri = folder if ":" in folder else f"file://{folder}"
+    full = texts.select(F.concat(F.lit(f"{uri}/"), "file_path").alias("file_path"), "text")
+    full.mapInArrow(_put, "file_path STRING").write.format("noop").mode("overwrite").save()
+    return uri
+
+
+def inside(found: DataFrame, folder: str) -> DataFrame:
+    """Paths as they are below the folder."""
+    return found.withColumn("file_path", F.regexp_replace("file_path", f"^.*/{folder.rsplit('/', 1)[1]}/", ""))
+
+
+# A third of the files have names or folders that Spark's own listing passes over.
+_HIDDEN = "CASE c_custkey % 3 WHEN 0 THEN replace(file_path, 'src/', 'src/.deep/_d/') ELSE file_path END"
+
+
+def tree_texts(spark, sf_dir):
+    keys = F.regexp_extract("file_path", "([0-9]+)", 1).cast("long")
+    return files(spark, sf_dir).withColumn("c_custkey", keys).select(F.expr(_HIDDEN).alias("file_path"), "text")
+
+
+TREE = f"SELECT {_HIDDEN} AS file_path, text FROM (SELECT *, CAST(regexp_extract(file_path, '([0-9]+)', 1) AS BIGINT) AS c_custkey FROM ({FILES}) AS f) AS t"
+
+
+@register("scan_files_tree", sql.scan(TREE))
+def scan_files_tree(spark, sf_dir):
+    """A whole tree, with hidden names."""
+    folder = tree_of(spark, tree_texts(spark, sf_dir))
+    return inside(scan_files(spark, folder), folder).select(*FINDING)
+
+
+@register("scan_files_glob", sql.scan(f"SELECT * FROM ({TREE}) AS t WHERE file_path LIKE '%7.py'"))
+def scan_files_glob(spark, sf_dir):
+    """Narrowed by name; files under hidden folders stay."""
+    folder = tree_of(spark, tree_texts(spark, sf_dir))
+    return inside(scan_files(spark, folder, path_glob="*7.py", modified_after="2000-01-01"), folder).select(*FINDING)
+
+
+@register("scan_files_list", sql.scan(f"SELECT * FROM ({TREE}) AS t WHERE file_path LIKE '%3.py'"))
+def scan_files_list(spark, sf_dir):
+    """A list of paths, of which some are missing."""
+    texts = tree_texts(spark, sf_dir)
+    folder = tree_of(spark, texts)
+    listed = texts.where("file_path LIKE '%3.py'").select(F.explode(F.array("file_path", F.concat("file_path", F.lit(".gone")))).alias("name"))
+    paths = listed.select(F.concat(F.lit(f"{folder}/"), "name").alias("path"))
+    return inside(scan_files(spark, paths), folder).select(*FINDING)
+
+
+_SKIPPED_NAME = "concat('f', c_custkey, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN '.PNG' WHEN 'BUILDING' THEN '.txt' WHEN 'FURNITURE' THEN '.log' ELSE '' END)"
+_SKIPPED_TEXT = "concat(CASE c_mktsegment WHEN 'BUILDING' THEN 'MZ' WHEN 'MACHINERY' THEN '0123456789012345678901234567890123456789' ELSE '' END, c_name)"
+
+
+@register("files_skipped", f"""
+SELECT file_path, CAST(strlen(text) AS BIGINT) AS length, reason FROM (
+  SELECT {_SKIPPED_NAME} AS file_path, {_SKIPPED_TEXT} AS text, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'binary extension'
+    WHEN 'BUILDING' THEN 'binary content' WHEN 'FURNITURE' THEN 'ignored' WHEN 'MACHINERY' THEN 'over the size cap' END AS reason
+  FROM customer) AS f WHERE reason IS NOT NULL
+UNION ALL SELECT 'gone', NULL, 'missing'""")
+def files_skipped(spark, sf_dir):
+    """Why files are not scanned: a reason for each market segment but one, and a path that is not there."""
+    texts = table(spark, sf_dir, "customer").select(F.expr(_SKIPPED_NAME).alias("file_path"), F.expr(_SKIPPED_TEXT).alias("text"))
+    folder = tree_of(spark, texts)
+    options = ScanOptions(ignore_globs=("*.log",), max_file_bytes=40)
+    return inside(skipped_files(spark, [folder, f"{folder}/gone"], options), folder)
+
+
+@register("changed_set_files", sql.scan(
+    f"SELECT f.* FROM ({FILES}) AS f JOIN (SELECT concat('src/customer_', cast(c_custkey AS string), '.py') AS file_path "
+    "FROM customer WHERE c_mktsegment IN ('AUTOMOBILE', 'BUILDING')) AS m USING (file_path)"))
+def changed_set_files(spark, sf_dir):
+    """A tree narrowed by a manifest; files it does not name are not opened."""
+    folder = tree_of(spark, files(spark, sf_dir))
+    status = F.translate(F.substring("c_mktsegment", 1, 1), "ABFHM", "AMDRT")
+    name = F.concat(F.lit("src/customer_"), F.col("c_custkey").cast("string"), F.lit(".py"))
+    manifest = table(spark, sf_dir, "customer").select(name.alias("file_path"), status.alias("status"))
+    return inside(scan_files(spark, folder, manifest=manifest), folder).select(*FINDING)
+
+
+@register("incremental_files", sql.scan(
+    f"SELECT * FROM ({FILES}) AS f WHERE file_path NOT LIKE '%5.py'",
+    "SELECT file_path, line_number, rule_id, description, severity, matched_value, detection_method FROM findings"))
+def incremental_files(spark, sf_dir):
+    """A tree scanned, then changed and scanned again: findings of untouched files are kept, of deleted ones dropped."""
+    texts = files(spark, sf_dir)
+    early = texts.select("file_path", F.expr("CASE WHEN file_path LIKE '%1.py' THEN 'changed later' ELSE text END").alias("text"))
+    stored_state = state.StateTable(spark, shared_folder(spark, "state"))
+    out = shared_folder(spark, "passes")
+    folder = tree_of(spark, early)
+    first = scan_changed(spark, folder, stored_state, out)
+    later = texts.where("file_path LIKE '%1.py'").select(F.concat(F.lit(f"{folder}/"), "file_path").alias("file_path"), "text")
+    later.mapInArrow(_put, "file_path STRING").write.format("noop").mode("overwrite").save()
+    left = texts.where("file_path NOT LIKE '%5.py'").select(F.concat(F.lit(f"{folder}/"), "file_path").alias("path"))
+    second = scan_changed(spark, left, stored_state, out, previous=first.all_findings)
+    return inside(second.all_findings, folder)
+
+
+@register("report_findings", sql.scan(FILES, f"SELECT {sql.PUBLIC} FROM findings"))
+def report_findings(spark, sf_dir):
+    """The findings table of a report, read back."""
+    out = shared_folder(spark, "report")
+    write_report(file_findings(spark, sf_dir), out)
+    return spark.read.schema("file STRING, line INT, rule_id STRING, description STRING, severity STRING, matched_value STRING, detection_method STRING").json(f"{out}/findings")
+
+
+@register("report_summary", sql.scan(FILES, """
+SELECT count(*) AS total, coalesce(bool_or(severity IN ('HIGH', 'CRITICAL')), false) AS should_block,
+  max_by(severity, CASE severity WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 ELSE 4 END) AS max_severity,
+  count(DISTINCT file_path) AS files_affected
+FROM findings"""))
+def report_summary(spark, sf_dir):
+    out = shared_folder(spark, "report")
+    write_report(file_findings(spark, sf_dir), out)
+    summary = "summary STRUCT<total BIGINT, should_block BOOLEAN, max_severity STRING, files_affected BIGINT>"
+    return spark.read.schema(summary).json(f"{out}/summary").select("summary.*")
+
+
+@register("findings_table", sql.scan(FILES, f"SELECT {sql.PUBLIC} FROM findings"))
+def findings_table(spark, sf_dir):
+    """The findings table, partitioned by severity, read back."""
+    out = shared_folder(spark, "findings")
+    write_findings(file_findings(spark, sf_dir), out)
+    return spark.read.parquet(out)
+
+
 # State: the stored rows know no Spanish document and hold an older text of the French ones.
 
 STORED = """
@@ -771,9 +913,8 @@ def carry_forward(spark, sf_dir):
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared one the session names; a local one only where it names none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or tempfile.gettempdir()}/leakframe-{name}-{uuid.uuid4().hex}"
+    """A new folder under the shared one of the session."""
+    return shared_folder(spark, f"leakframe-{name}")
 
 
 def page_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -786,7 +927,7 @@ def drain(writer, folder: str) -> None:
     query.awaitTermination()
 
 
-PUBLIC = "file_path AS file, line_number AS line, rule_id, description, severity, matched_value, detection_method"
+PUBLIC = sql.PUBLIC
 
 
 @register("stream_scan", sql.scan(PAGES, f"SELECT {PUBLIC} FROM findings"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakframe.functions.text import expand_whitespace, is_hex, mask_entropy_value, shannon_entropy, string_type
-from leakframe.operators.gate import CANDIDATE_CLASS, shortest_entropy_hit
+from leakframe.operators.gate import CANDIDATE_CLASS, entropy_gate, shortest_entropy_hit
 from leakframe.options import ScanOptions
 
 ENTROPY_RULE_ID = "entropy-detection"
@@ -89,7 +89,7 @@ def entropy_description(entropy: Column, value: Column, options: ScanOptions) ->
 
 def entropy_hits(lines: DataFrame, options: ScanOptions) -> DataFrame:
     """One row per high-entropy string of each line (lines as from ``split_lines``)."""
-    hits = lines.select(
+    hits = lines.where(entropy_gate(F.col("line"), options)).select(
         "file_path", F.col("line_number").alias("line"),
         F.explode(scored_hits(candidate_set(F.col("line"), options), options)).alias("hit"),
     )

@@ -30,7 +30,7 @@ def is_binary_content(content: Column, options: ScanOptions) -> Column:
 
 
 def within_size_cap(length: Column, options: ScanOptions) -> Column:
-    return length <= options.max_file_bytes
+    return F.lit(True) if options.max_file_bytes is None else length <= options.max_file_bytes
 
 
 def is_ignored(path: Column, relative: Column, options: ScanOptions) -> Column:

@@ -5,19 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
 
-
-def filter_join(
-    rows: DataFrame, keys: DataFrame, on: list[str], how: str, spread_by: list[str], salts: int = SALTS
-) -> DataFrame:
+def filter_join(rows: DataFrame, keys: DataFrame, on: list[str], how: str, spread_by: list[str], salts: int | None = None) -> DataFrame:
     """Rows with (``left_semi``) or without (``left_anti``) a partner in ``keys``.
 
     Rows of one key are spread over ``salts`` tasks by a hash of ``spread_by``;
     the hash depends on content only, so a recomputed task deals its rows the
-    same way. The key side is distinct and repeated once per salt; Spark
+    same way. There are as many salts as a tenth of the partitions, two at
+    least. The key side is distinct and repeated once per salt; Spark
     broadcasts it by itself when it measures small.
     """
+    if salts is None:
+        salts = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 10)
     salted = keys.select(*on).distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     return dealt.join(salted, [*on, "_salt"], how).select(*rows.columns)

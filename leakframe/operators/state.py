@@ -64,10 +64,21 @@ def state_rows(scanned: DataFrame, findings: DataFrame) -> DataFrame:
     )
 
 
-def carry_forward(previous: DataFrame, current: DataFrame, rescanned: DataFrame) -> DataFrame:
-    """Findings of this pass plus the stored ones of files it did not scan again."""
+def carry_forward(previous: DataFrame, current: DataFrame, rescanned: DataFrame, present: DataFrame | None = None) -> DataFrame:
+    """Findings of this pass plus the stored ones of files it did not scan again.
+
+    With ``present(file_path)``, the files that are there now, findings of
+    deleted files are dropped.
+    """
     spread_by = ["line_number", "rule_id", "matched_value"]
-    return filter_join(previous, rescanned, ["file_path"], "left_anti", spread_by).unionByName(current)
+    kept = filter_join(previous, rescanned, ["file_path"], "left_anti", spread_by)
+    if present is not None:
+        kept = filter_join(kept, present, ["file_path"], "left_semi", spread_by)
+    return kept.unionByName(current)
+
+
+# A state of this many changes is folded into one, so a read opens no more folders than that.
+FOLD_AFTER = 24
 
 
 class StateTable:
@@ -77,7 +88,8 @@ class StateTable:
     path. ``log/`` names the changes that are complete, so a write that died
     half-way is never read, and a change with a ``tag`` that is already there
     (a replayed streaming batch) replaces itself. ``compact`` folds everything
-    into one change.
+    into one change, and untagged changes do so by themselves after
+    ``FOLD_AFTER`` of them. One writer at a time.
     """
 
     _LOG = "version BIGINT, base BIGINT, tag STRING"
@@ -110,6 +122,8 @@ class StateTable:
         self.spark.createDataFrame([(version, base, tag)], self._LOG).coalesce(1).write.mode("append").parquet(
             f"{self.path}/log"
         )
+        if not replaces_all and len(log) >= FOLD_AFTER and tag is None:
+            self.compact()
 
     def current(self, before_tag: str | None = None, paths: DataFrame | None = None) -> DataFrame:
         """The state; with ``before_tag`` as it was before the change of that tag.

@@ -37,7 +37,8 @@ class ScanOptions:
     ``ignore_line_patterns`` are Java patterns that do the same.
     ``allowlist`` holds values that are never reported (any case); long lists
     belong in a table, see ``operators.allowlist``. ``rule_ids`` narrows the
-    catalog below the group toggles.
+    catalog below the group toggles. ``max_file_bytes`` leaves larger files out,
+    as rows with a reason; by default there is no cap.
     """
 
     rule_groups: tuple[str, ...] = RULE_GROUPS
@@ -55,7 +56,7 @@ class ScanOptions:
     skip_binary: bool = True
     binary_extensions: tuple[str, ...] = BINARY_EXTENSIONS
     binary_signatures: tuple[bytes, ...] = BINARY_SIGNATURES
-    max_file_bytes: int = 10 * 1024 * 1024
+    max_file_bytes: int | None = None
     block_level: str = "HIGH"
 
     def __post_init__(self):
@@ -85,6 +86,13 @@ class ScanOptions:
 
     def override(self, sections: Mapping[str, Any]) -> "ScanOptions":
         """Apply a nested mapping of sections; what it does not name stays as it is."""
+        known = {"rules": set(RULE_GROUPS)}
+        for section, name, *_ in _SECTIONS:
+            known.setdefault(section, set()).add(name)
+        for section, values in sections.items():
+            unknown = {section} - known.keys() or set(values) - known[section]
+            if unknown:
+                raise ValueError(f"unknown options {sorted(unknown)} in section {section!r}; valid: {sorted(known.get(section, known))}")
         changes: dict[str, Any] = {}
         for section, name, option, convert in _SECTIONS:
             if name in sections.get(section, {}):

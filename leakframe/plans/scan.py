@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,10 +12,10 @@ from leakframe.functions.text import fingerprint
 from leakframe.operators.detect import detect
 from leakframe.operators.findings import public_findings
 from leakframe.operators.lines import split_lines
-from leakframe.operators.skew import filter_join
-from leakframe.operators.state import StateTable, changed, state_rows
+from leakframe.operators.state import StateTable, carry_forward, changed, state_rows
 from leakframe.options import ScanOptions
 from leakframe.sources.files import file_texts, read_files
+from leakframe.sources.shared import stored
 from leakframe.sources.tables import texts_of
 
 
@@ -33,37 +34,30 @@ def scan_files(
 ) -> DataFrame:
     """Findings of a directory tree, a file, or a list of files.
 
-    Keyword arguments (``manifest``, ``path_glob``, ...) go to ``read_files``.
+    Keyword arguments (``manifest``, ``path_glob``, ...) go to ``read_files``;
+    ``skipped_files`` tells which files were left out and why.
     """
     return scan_texts(file_texts(read_files(spark, path, options, **listing)), options)
 
 
-# Selected paths are sent to every executor up to this many bytes.
-BROADCAST_BYTES = 64 * 1024 * 1024
-_ROW_BYTES = 64
-
-
 def scan_selected(texts: DataFrame, selected: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
-    """Findings of the texts whose path is among ``selected``; texts never cross a shuffle.
+    """Findings of the texts whose path is among ``selected``.
 
-    A selection measured to be small is broadcast and only its texts are
-    scanned. A larger one, as in a first pass over a big tree, filters the
-    findings instead.
+    The selection is written first, so it is worked out once and its size is
+    known: Spark sends it to the texts where it is small and deals both by path
+    where it is not. Either way only selected texts are scanned.
     """
-    paths = selected.select("file_path").distinct()
-    size = paths.agg(F.coalesce(F.sum(F.octet_length("file_path") + _ROW_BYTES), F.lit(0))).first()[0]
-    if size <= BROADCAST_BYTES:
-        return scan_texts(texts.join(F.broadcast(paths), "file_path", "left_semi"), options)
-    found = scan_texts(texts, options)
-    return filter_join(found, paths, ["file_path"], "left_semi", ["line_number", "match_order"])
+    paths = stored(selected.select("file_path").distinct(), "selection")
+    return scan_texts(texts.join(paths, "file_path", "left_semi"), options)
 
 
 @dataclass(frozen=True)
 class IncrementalScan:
-    """Lazy views of one pass: the files it scans again and their findings (public form)."""
+    """Lazy views of one pass: the files it scans again, their findings (public form), and those of all files."""
 
     scanned: DataFrame
     findings: DataFrame
+    all_findings: DataFrame
 
 
 def scan_changed(
@@ -73,29 +67,36 @@ def scan_changed(
     findings_path: str,
     options: ScanOptions = ScanOptions(),
     *,
+    previous: DataFrame | None = None,
     track_rules: bool = False,
     **listing,
 ) -> IncrementalScan:
     """Scan only files whose content is not in the state, then record them.
 
     The first pass over the files only hashes them; its rows, not the contents,
-    meet the state. The paths it finds are written to ``findings_path`` and
-    decide what the second pass scans. Findings are written there too and read
-    back for the counts, so patterns run once. Only files that were scanned
-    enter the state. A file that changes between the passes is found changed
-    again next time. With ``track_rules`` a change of rules or options also
-    makes files new.
+    meet the state. The changed paths it finds narrow the listing of the second
+    pass, which opens nothing else. Results go to a new folder of this pass
+    below ``findings_path``, so an earlier pass is never overwritten.
+    ``previous`` are the findings of all files after the last pass
+    (``all_findings``): they are carried on for files that are still there and
+    were not scanned again. Only files that were scanned enter the state. A
+    file that changes between the passes is found changed again next time. With
+    ``track_rules`` a change of rules or options also makes files new.
     """
     salt = options.rule_set_id if track_rules else ""
-    files = read_files(spark, path, options, **listing)
-    hashed = files.select("file_path", fingerprint(F.col("content"), salt).alias("file_hash"))
-    scanned_path = f"{findings_path}/scanned"
-    changed(hashed, state.current()).write.mode("overwrite").parquet(scanned_path)
-    scanned = spark.read.parquet(scanned_path)
+    folder = f"{findings_path}/pass-{uuid.uuid4().hex}"
 
-    found = public_findings(scan_selected(file_texts(files), scanned, options))
-    found.write.mode("overwrite").parquet(f"{findings_path}/findings")
-    findings = spark.read.parquet(f"{findings_path}/findings").withColumnsRenamed({"file": "file_path", "line": "line_number"})
+    def kept(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
 
+    files = read_files(spark, path, options, **listing)
+    present = kept(files.select("file_path", fingerprint(F.col("content"), salt).alias("file_hash")), "present")
+    scanned = kept(changed(present, state.current()), "scanned")
+    again = read_files(spark, scanned.select(F.col("file_path").alias("path")), options)
+    found = public_findings(scan_texts(file_texts(again), options)).withColumnsRenamed({"file": "file_path", "line": "line_number"})
+    findings = kept(found, "findings")
+    earlier = findings.limit(0) if previous is None else previous
+    everything = kept(carry_forward(earlier, findings, scanned, present), "all_findings")
     state.put(state_rows(scanned, findings))
-    return IncrementalScan(scanned, findings)
+    return IncrementalScan(scanned, findings, everything)

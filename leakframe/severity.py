@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leakframe.functions.text import WHITESPACE
+
 # Level -> (rank, action).
 SEVERITIES: dict[str, tuple[int, str]] = {
     "LOW": (1, "Warning"),
@@ -22,9 +24,13 @@ def parse_severity(name: str) -> str:
     return level
 
 
+def _bare(severity: Column) -> Column:
+    return F.upper(F.regexp_replace(severity, f"^[{WHITESPACE}]+|[{WHITESPACE}]+$", ""))
+
+
 def severity_level(severity: Column) -> Column:
     """Column form of :func:`parse_severity`; an unknown name fails the query."""
-    level = F.upper(F.trim(severity))
+    level = _bare(severity)
     return F.when(level.isin(*SEVERITIES), level).when(
         level.isNotNull(), F.raise_error(F.concat(F.lit("unknown severity: "), severity)).cast("string")
     )
@@ -33,7 +39,7 @@ def severity_level(severity: Column) -> Column:
 def _per_level(severity: Column, position: int) -> Column:
     out = None
     for level, values in SEVERITIES.items():
-        hit = F.upper(F.trim(severity)) == level
+        hit = _bare(severity) == level
         out = F.when(hit, F.lit(values[position])) if out is None else out.when(hit, F.lit(values[position]))
     return out
 

@@ -2,147 +2,115 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterable
+from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakframe.functions.paths import below, normalise
+from leakframe.functions.paths import basename, below, glob_to_regex, normalise
 from leakframe.functions.text import WHITESPACE, decode_utf8, fold_newlines
 from leakframe.operators.filefilter import has_binary_extension, is_binary_content, is_ignored, within_size_cap
 from leakframe.options import ScanOptions
-from leakframe.sources.hidden import FORMAT as HIDDEN_FORMAT
-from leakframe.sources.hidden import HiddenFiles
+from leakframe.sources import walk
+from leakframe.sources.shared import stored
 
-# Manifests up to this many paths prune the file listing; longer ones join.
-MANIFEST_PRUNE_LIMIT = 20_000
-IGNORE_LIST_LIMIT = 10_000
 # States of a changed file that is still there to be scanned.
 CHANGED_STATUSES = ("A", "C", "M")
 
 
-def listed_path() -> Column:
-    """Plain path from the hidden file metadata.
-
-    Filters on it are evaluated while Spark lists files, so a file they drop
-    is never opened. The metadata path is a URI, hence the decoding.
-    """
-    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-
-
+# Files of about this many bytes are read by one task.
+TASK_BYTES = 128 * 1024 * 1024
 FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
 
-def _reader(spark: SparkSession, streaming: bool = False):
-    reader = spark.readStream.schema(FILE_SCHEMA) if streaming else spark.read
-    return (
-        reader.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("ignoreMissingFiles", "true")
-        .option("ignoreCorruptFiles", "true")
-    )
-
-
-def existing_paths(spark: SparkSession, paths: Iterable[str]) -> list[str]:
-    """Those of a driver-side path list that exist."""
-    found = []
-    for path in paths:
-        try:
-            _reader(spark).load(_literal_path(path))
-        except AnalysisException:
-            continue
-        found.append(path)
-    return found
-
+def list_files(spark: SparkSession, path: str | list[str] | DataFrame) -> DataFrame:
+    """(path, length, modified, problem) of all files below the paths, hidden and empty ones included.
 
-def _literal_path(path: str) -> str:
-    return "".join("\\" + c if c in "*?[]{}\\" else c for c in path)
+    ``path`` is a directory, a file, a list of them, or a table with a column
+    ``path``. Tasks list the folders, one level at a time, so neither a large
+    tree nor a long list passes through the driver. What cannot be listed is a
+    row with a ``problem``.
+    """
+    if not isinstance(path, DataFrame):
+        path = spark.createDataFrame([(p,) for p in ([path] if isinstance(path, str) else path)], "path STRING")
+    levels = [stored(path.select("path").distinct().mapInArrow(walk.stat_paths, walk.ENTRIES), "listing")]
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    while not (folders := levels[-1].where("kind = 'folder'").select("path")).isEmpty():
+        levels.append(stored(folders.repartition(tasks, "path").mapInArrow(walk.list_folders, walk.ENTRIES), "listing"))
+    found = reduce(DataFrame.unionByName, levels).where("kind <> 'folder'").drop("kind")
+    return found.dropDuplicates(["path"])
 
 
-def read_files(
+def file_rows(
     spark: SparkSession,
-    path: str | list[str],
+    path: str | list[str] | DataFrame,
     options: ScanOptions = ScanOptions(),
     *,
     manifest: DataFrame | None = None,
-    hidden: bool = True,
     path_glob: str | None = None,
     modified_after: str | None = None,
 ) -> DataFrame:
-    """Text files as (file_path, length, modificationTime, content).
-
-    ``path`` is a directory (searched recursively), a file, or a list of files,
-    of which missing ones are dropped. ``manifest(file_path, status)`` keeps
-    only added, copied and modified paths. Ignored files, binary files and
-    files over the size cap are left out. Names with a leading ``.`` or ``_``
-    and empty files come from a second source; ``hidden=False`` goes without
-    them. ``path_glob`` and ``modified_after`` narrow Spark's listing and imply
-    that.
+    """(file_path, length, content, reason) of every file asked for.
+
+    ``reason`` says why a file is not scanned and is null for the others, which
+    alone have content. ``manifest(file_path, status)`` asks for added, copied
+    and modified paths only, ``path_glob`` for base names, ``modified_after``
+    for later files. All of that, and every filter that needs no content, works
+    on the listing; only files that pass are opened, and contents cross no
+    shuffle, whatever the number of paths.
     """
     root = path.removeprefix("file://").removeprefix("file:") if isinstance(path, str) else "/"
-    present = [path] if isinstance(path, str) else existing_paths(spark, path)
-    wanted = _path_filter(options, root, manifest)
-
-    reader = _reader(spark)
+    listed = list_files(spark, path).withColumn("file_path", normalise(F.col("path")))
     if path_glob is not None:
-        reader = reader.option("pathGlobFilter", path_glob)
+        listed = listed.where(F.rlike(basename(F.col("file_path")), F.lit(glob_to_regex(path_glob))) | F.col("problem").isNotNull())
     if modified_after is not None:
-        reader = reader.option("modifiedAfter", modified_after)
-    if not present:
-        return _no_files(spark)
-    files = _select(wanted(reader.load([_literal_path(p) for p in present]), normalise(listed_path())))
-    if hidden and path_glob is None and modified_after is None:
-        spark.dataSource.register(HiddenFiles)
-        rest = spark.read.format(HIDDEN_FORMAT).options(
-            paths=json.dumps(present), max_bytes=options.max_file_bytes
-        )
-        files = files.unionByName(_select(wanted(rest.load(), normalise(F.col("path")))))
+        listed = listed.where((F.col("modified") > F.lit(modified_after).cast("timestamp")) | F.col("problem").isNotNull())
+    if manifest is not None:
+        listed = listed.join(changed_paths(manifest, root), "file_path", "left_semi")
+    listed = stored(listed.withColumn("reason", _reason(options, root)), "files")
+    wanted = listed.where("reason IS NULL")
+    size = wanted.agg(F.coalesce(F.sum(F.col("length") + 64 * 1024), F.lit(0))).first()[0]
+    tasks = max(4 * spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    read = wanted.select("path").repartition(tasks, "path").mapInArrow(walk.read_contents, walk.CONTENTS)
+    kept = read.select(normalise(F.col("path")).alias("file_path"), F.octet_length("content").cast("long").alias("length"), "content", F.col("problem").alias("reason"))
     if options.skip_binary:
-        files = files.where(~is_binary_content(F.col("content"), options))
-    return files
+        kept = kept.withColumn("reason", F.when(F.col("reason").isNull() & is_binary_content(F.col("content"), options), "binary content").otherwise(F.col("reason")))
+    kept = kept.withColumn("content", F.when(F.col("reason").isNull(), F.col("content")))
+    rest = listed.where("reason IS NOT NULL").select("file_path", "length", F.lit(None).cast("binary").alias("content"), "reason")
+    return kept.unionByName(rest)
 
 
-def read_file_stream(spark: SparkSession, path: str, options: ScanOptions = ScanOptions()) -> DataFrame:
-    """Text files arriving below a directory, as a stream; hidden names are not seen."""
-    wanted = _path_filter(options, path, None)
-    files = _select(wanted(_reader(spark, streaming=True).load(path), normalise(F.col("path"))))
-    return files.where(~is_binary_content(F.col("content"), options)) if options.skip_binary else files
-
-
-def _select(files: DataFrame) -> DataFrame:
-    return files.select(normalise(F.col("path")).alias("file_path"), "length", "modificationTime", "content")
-
+def _reason(options: ScanOptions, root: str) -> Column:
+    path = F.col("file_path")
+    reason = F.when(F.col("problem").isNotNull(), F.col("problem"))
+    if options.max_file_bytes is not None:
+        reason = reason.when(~within_size_cap(F.col("length"), options), "over the size cap")
+    if options.skip_binary:
+        reason = reason.when(has_binary_extension(path, options), "binary extension")
+    if options.ignore_globs:
+        reason = reason.when(is_ignored(path, below(path, root), options), "ignored")
+    return reason
 
-def _path_filter(options: ScanOptions, root: str, manifest: DataFrame | None):
-    """The filters that need no content, as a function of files and their path column."""
 
-    def keep(files: DataFrame, path: Column) -> DataFrame:
-        files = files.where(within_size_cap(F.col("length"), options))
-        if options.skip_binary:
-            files = files.where(~has_binary_extension(path, options))
-        if options.ignore_globs:
-            files = files.where(~is_ignored(path, below(path, root), options))
-        if manifest is not None:
-            files = keep_changed(files, path, manifest, root)
-        return files
+def read_files(spark: SparkSession, path: str | list[str] | DataFrame, options: ScanOptions = ScanOptions(), **asked) -> DataFrame:
+    """Text files to scan as (file_path, length, content); arguments as for ``file_rows``."""
+    return file_rows(spark, path, options, **asked).where("reason IS NULL").drop("reason")
 
-    return keep
 
+def skipped_files(spark: SparkSession, path: str | list[str] | DataFrame, options: ScanOptions = ScanOptions(), **asked) -> DataFrame:
+    """(file_path, length, reason) of files that are not scanned, unreadable and missing ones among them."""
+    return file_rows(spark, path, options, **asked).where("reason IS NOT NULL").drop("content")
 
-def keep_changed(files: DataFrame, path: Column, manifest: DataFrame, root: str) -> DataFrame:
-    """Files named by a manifest as added, copied or modified.
 
-    A manifest of bounded length becomes a list that prunes the listing, so
-    only named files are opened; beyond the bound the same rows come from a
-    semi-join.
-    """
-    named = changed_paths(manifest, root)
-    head = [row[0] for row in named.limit(MANIFEST_PRUNE_LIMIT + 1).collect()]
-    if len(head) <= MANIFEST_PRUNE_LIMIT:
-        return files.where(path.isin(head))
-    return files.withColumn("file_path", path).join(named, "file_path", "left_semi").drop("file_path")
+def read_file_stream(spark: SparkSession, path: str, options: ScanOptions = ScanOptions()) -> DataFrame:
+    """Text files arriving below a directory, as a stream; names with a leading ``.`` or ``_`` are not seen."""
+    arriving = (
+        spark.readStream.schema(FILE_SCHEMA).format("binaryFile").option("recursiveFileLookup", "true")
+        .option("ignoreMissingFiles", "true").load(path)
+    )
+    files = arriving.select(normalise(F.col("path")).alias("file_path"), "length", "content", F.lit(None).cast("string").alias("problem"))
+    files = files.where(_reason(options, path).isNull()).drop("problem")
+    return files.where(~is_binary_content(F.col("content"), options)) if options.skip_binary else files
 
 
 def changed_paths(manifest: DataFrame, root: str = "/") -> DataFrame:
@@ -173,12 +141,5 @@ def ignore_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_ignore_globs(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """The ignore file as an option value; an implausibly long one is refused."""
-    globs = [row.pattern for row in ignore_list(spark, path).limit(IGNORE_LIST_LIMIT + 1).collect()]
-    if len(globs) > IGNORE_LIST_LIMIT:
-        raise ValueError(f"{path} has more than {IGNORE_LIST_LIMIT} patterns")
-    return tuple(globs)
-
-
-def _no_files(spark: SparkSession) -> DataFrame:
-    return _select(spark.createDataFrame([], FILE_SCHEMA))
+    """The ignore file as an option value."""
+    return tuple(row.pattern for row in ignore_list(spark, path).collect())

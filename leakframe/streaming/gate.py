@@ -10,11 +10,11 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from leakframe.functions.text import fingerprint
 from leakframe.operators.findings import public_findings, summary
-from leakframe.operators.skew import filter_join
 from leakframe.operators.state import StateTable, changed, state_rows
 from leakframe.options import ScanOptions
 from leakframe.plans.scan import scan_texts
 from leakframe.severity import SEVERITIES, severity_rank
+from leakframe.sources.shared import stored
 from leakframe.sources.tables import texts_of
 
 
@@ -43,10 +43,13 @@ def gate_batch(rows: DataFrame, key: str, text: str, out: str, batch_id: int, op
     blocked = findings.where(severity_rank(F.col("severity")) >= rank).select(
         F.coalesce("file_path", F.lit("")).alias("_key")
     )
+    # The verdict is worked out on keys; texts meet it once, and both sides come from one pass over them.
+    blocked = stored(blocked.distinct(), "blocked").withColumn("quarantined", F.lit(True))
     keyed = rows.withColumn("_key", F.coalesce(F.col(key).cast("string"), F.lit("")))
-    for side, how in (("quarantine", "left_semi"), ("clean", "left_anti")):
-        kept = filter_join(keyed, blocked, ["_key"], how, spread_by=[text]).drop("_key")
-        kept.write.mode("overwrite").parquet(f"{out}/{side}/{part}")
+    judged = keyed.join(blocked, "_key", "left").withColumn("_side", F.when(F.col("quarantined"), "quarantine").otherwise("clean"))
+    judged = stored(judged.select(*rows.columns, "_side"), "judged")
+    for side in ("quarantine", "clean"):
+        judged.where(F.col("_side") == side).drop("_side").write.mode("overwrite").parquet(f"{out}/{side}/{part}")
 
 
 def stream_gate(
@@ -67,9 +70,11 @@ def skip_seen_batch(
     part = f"batch={batch_id}"
     hashed = texts_of(rows, key, text).withColumn("file_hash", fingerprint(F.col("text").cast("binary")))
     # A replay must see the state from before this batch.
-    fresh = changed(hashed, state.current(before_tag=tag, paths=hashed))
-    fresh.select("file_path", "file_hash").distinct().write.mode("overwrite").parquet(f"{out}/scanned/{part}")
+    # Only paths and hashes meet the state; the texts are taken by what that leaves.
+    keys = hashed.select("file_path", "file_hash").distinct()
+    changed(keys, state.current(before_tag=tag, paths=keys)).write.mode("overwrite").parquet(f"{out}/scanned/{part}")
     scanned = spark.read.parquet(f"{out}/scanned/{part}")
+    fresh = hashed.join(scanned, ["file_path", "file_hash"], "left_semi")
     public_findings(scan_texts(fresh, options)).write.mode("overwrite").parquet(f"{out}/findings/{part}")
     findings = spark.read.parquet(f"{out}/findings/{part}").withColumnRenamed("file", "file_path")
     # One row per path: of several contents of one path the greatest hash is recorded.

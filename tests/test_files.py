@@ -11,8 +11,7 @@ from leakframe import ScanOptions, StateTable, scan_changed, scan_files, write_f
 from leakframe.functions import paths, text
 from leakframe.operators import findings as roll
 from leakframe.operators import state
-from leakframe.sources import sinks
-from leakframe.sources.files import file_texts, ignore_list, load_ignore_globs, read_files
+from leakframe.sources.files import file_rows, file_texts, ignore_list, load_ignore_globs, read_files, skipped_files
 
 KEY = "AKIA" + "IOSFODNN7EXAMPL2"
 LEAK = f"id = {KEY}\n".encode()
@@ -57,36 +56,53 @@ def test_hidden_names(spark, tmp_path):
     assert names(read_files(spark, str(tmp_path)), tmp_path) == sorted([*tree, "d/none"])
     assert names(scan_files(spark, f"file://{tmp_path}"), tmp_path) == sorted(tree)
     assert names(scan_files(spark, [str(tmp_path / n) for n in tree[:4]]), tmp_path) == sorted(tree[:4])
-    assert ".env" not in names(read_files(spark, str(tmp_path), hidden=False), tmp_path)
 
 
-def test_hidden_roots():
-    from leakframe.sources.hidden import _filesystem
+def test_roots():
+    from leakframe.sources.walk import filesystem
 
-    assert [_filesystem(r)[1:] for r in ("/a/b/", "file:/a", "file:///a b", "rel")] == [
-        ("/a/b", ""), ("/a", ""), ("/a b", ""), ("rel", "")
-    ]
-    with pytest.raises(ValueError, match="hidden=False"):
-        _filesystem("nosuch://host/a")
+    assert [filesystem(r)[1:] for r in ("/a/b/", "file:/a", "file:///a b", "rel")] == [("/a/b", ""), ("/a", ""), ("/a b", ""), ("rel", "")]
+    with pytest.raises(ValueError, match="no file system"):
+        filesystem("nosuch://host/a")
 
 
 def test_dropped_files_are_not_opened(spark, tmp_path):
-    """Path filters prune the listing: an unreadable binary or ignored file does no harm."""
-    put(tmp_path, {"ok.py": LEAK, "big.png": b"x" * 4000, "vendor/lib.py": LEAK})
-    options = ScanOptions(ignore_globs=("vendor/",))
-    frame = read_files(spark, str(tmp_path), options, hidden=False)
-    plan = frame._jdf.queryExecution().executedPlan()
-    assert names(frame, tmp_path) == ["ok.py"]
-    scan = plan.collectLeaves().head()
-    read = scan.metrics().get("numFiles").get()
-    scan.execute().count()
-    assert read.value() == 1
+    """Filters work on the listing: a binary or ignored file that can't be read does no harm, a wanted one is told of."""
+    put(tmp_path, {"ok.py": LEAK, "lost.py": LEAK, "big.png": b"x" * 4000, "vendor/lib.py": LEAK, "other.py": LEAK})
+    manifest = spark.createDataFrame([(n, "M") for n in ("ok.py", "lost.py", "big.png", "vendor/lib.py")], "file_path STRING, status STRING")
+    frame = file_rows(spark, str(tmp_path), ScanOptions(ignore_globs=("vendor/",)), manifest=manifest)
+    for name in ("lost.py", "big.png", "vendor/lib.py", "other.py"):
+        (tmp_path / name).unlink()
+    reasons = {r.file_path.removeprefix(f"{tmp_path}/"): r.reason for r in frame.collect()}
+    assert reasons.pop("lost.py").startswith("unreadable")
+    assert reasons == {"ok.py": None, "big.png": "binary extension", "vendor/lib.py": "ignored"}
+
+
+def test_glob_and_time_reach_all_files(spark, tmp_path):
+    put(tmp_path, {n: LEAK for n in ("a.py", "pkg/__init__.py", ".env", ".d/x.py", "b.txt")})
+    assert names(read_files(spark, str(tmp_path), path_glob="*.py"), tmp_path) == [".d/x.py", "a.py", "pkg/__init__.py"]
+    assert len(names(read_files(spark, str(tmp_path), modified_after="2000-01-01"), tmp_path)) == 5
+    assert names(read_files(spark, str(tmp_path), modified_after="2100-01-01"), tmp_path) == []
+
+
+def test_contents_cross_no_shuffle(spark, tmp_path):
+    put(tmp_path, {"a.py": LEAK})
+    manifest = spark.createDataFrame([("a.py", "M")], "file_path STRING, status STRING")
+    tree = file_rows(spark, str(tmp_path), manifest=manifest)._jdf.queryExecution().executedPlan().toString()
+    reading = tree.index("MapInArrow")
+    assert "Exchange" not in tree[:reading] and "Join" not in tree[:reading]
+
+
+def test_skipped_files(spark, tmp_path):
+    put(tmp_path, {"a.py": LEAK, "nul": b"a\0b"})
+    rows = skipped_files(spark, [str(tmp_path), str(tmp_path / "gone")]).collect()
+    assert {r.file_path.removeprefix(f"{tmp_path}/"): r.reason for r in rows} == {"nul": "binary content", "gone": "missing"}
 
 
 def test_size_cap(spark, tmp_path):
     put(tmp_path, {"at": b"a" * 50, "over": b"a" * 51})
     assert names(read_files(spark, str(tmp_path), ScanOptions(max_file_bytes=50)), tmp_path) == ["at"]
-    assert ScanOptions().max_file_bytes == 10_485_760
+    assert names(read_files(spark, str(tmp_path)), tmp_path) == ["at", "over"]
 
 
 def test_decode_and_newlines(spark, tmp_path):
@@ -115,7 +131,7 @@ def test_ignore_list(spark, tmp_path):
     assert load_ignore_globs(spark, str(tmp_path / "ignore")) == ("*.log", "vendor/")
 
 
-def test_path_list_and_manifest(spark, tmp_path, monkeypatch):
+def test_path_list_and_manifest(spark, tmp_path):
     put(tmp_path, {n: LEAK for n in ("a.py", "b.py", "d/c.py", "x[1].py")})
     listed = [str(tmp_path / n) for n in ("a.py", "gone.py", "x[1].py")]
     assert names(scan_files(spark, listed), tmp_path) == ["a.py", "x[1].py"]
@@ -126,8 +142,6 @@ def test_path_list_and_manifest(spark, tmp_path, monkeypatch):
     )
     expected = ["a.py", "d/c.py", "x[1].py"]
     assert names(scan_files(spark, str(tmp_path), manifest=manifest), tmp_path) == expected
-    monkeypatch.setattr("leakframe.sources.files.MANIFEST_PRUNE_LIMIT", 2)
-    assert names(scan_files(spark, str(tmp_path), manifest=manifest), tmp_path) == expected
 
 
 def test_normalise(spark):
@@ -164,16 +178,21 @@ def test_incremental(spark, tmp_path):
     assert stored["leak.py"].file_hash == hashlib.sha256(LEAK).hexdigest()
     assert isinstance(stored["leak.py"].last_scanned, datetime)
 
-    second = scan_changed(spark, str(root), table, str(tmp_path / "pass2"))
+    second = scan_changed(spark, str(root), table, str(tmp_path / "pass1"), previous=first.all_findings)
     assert second.scanned.count() == 0 and second.findings.count() == 0
+    assert names(second.all_findings, root) == ["leak.py"]
 
     put(root, {"clean.py": LEAK * 2, "new.py": b"y"})
-    third = scan_changed(spark, str(root), table, str(tmp_path / "pass3"))
+    third = scan_changed(spark, str(root), table, str(tmp_path / "pass1"), previous=second.all_findings)
     assert names(third.scanned, root) == ["clean.py", "new.py"]
-    whole = state.carry_forward(first.findings, third.findings, third.scanned)
-    assert names(whole, root) == ["clean.py", "clean.py", "leak.py"]
+    assert names(third.all_findings, root) == ["clean.py", "clean.py", "leak.py"]
     assert tuple(state.stats(table.current()).first()) == (3, 3)
 
+    (root / "leak.py").rename(tmp_path / "elsewhere.py")
+    fourth = scan_changed(spark, str(root), table, str(tmp_path / "pass1"), previous=third.all_findings)
+    assert names(fourth.all_findings, root) == ["clean.py", "clean.py"]
+    (tmp_path / "elsewhere.py").rename(root / "leak.py")
+
     # Other rules make every file new, but only when rules are tracked.
     strict = ScanOptions(entropy_threshold=4.0)
     assert scan_changed(spark, str(root), table, str(tmp_path / "pass4"), strict).scanned.count() == 0
@@ -221,35 +240,29 @@ def test_has_changed_and_lookup(spark):
     assert dict(map(tuple, state.lookup(now, stored).collect())) == {"same": "1", "modified": "2", "new": None}
 
 
-def test_report(spark, tmp_path, monkeypatch):
+def written(path):
+    return [json.loads(line) for p in sorted(path.iterdir()) if p.name.startswith("part-") for line in p.read_text().splitlines()]
+
+
+def test_report(spark, tmp_path):
     put(tmp_path / "tree", {"a.py": LEAK * 2, "b.py": b'password = "hunter2hunter2"\n'})
-    found = scan_files(spark, str(tmp_path / "tree"))
-    write_report(found, str(tmp_path / "report"))
-    parts = [p for p in (tmp_path / "report" / "report").iterdir() if p.name.startswith("part-")]
-    report = json.loads(parts[0].read_text())
-    assert report["summary"]["total"] == len(report["findings"]) == 3
-    assert report["summary"]["by_severity"] == {"CRITICAL": 2, "HIGH": 1, "MEDIUM": 0, "LOW": 0}
-    assert report["summary"]["should_block"] is True and report["summary"]["max_severity"] == "CRITICAL"
-    assert [p.rsplit("/", 1)[1] for p in report["summary"]["files_affected"]] == ["a.py", "b.py"]
-    assert "\n  " in parts[0].read_text()
-    assert [f["line"] for f in report["findings"]] == [1, 2, 1]
+    write_report(scan_files(spark, str(tmp_path / "tree")), str(tmp_path / "report"))
+    (head,) = written(tmp_path / "report" / "summary")
+    assert head["summary"] == {
+        "total": 3, "by_severity": {"CRITICAL": 2, "HIGH": 1, "MEDIUM": 0, "LOW": 0}, "should_block": True, "max_severity": "CRITICAL", "files_affected": 2,
+    }
+    assert sorted(f["file"].rsplit("/", 1)[1] for f in written(tmp_path / "report" / "files_affected")) == ["a.py", "b.py"]
+    assert sorted(f["line"] for f in written(tmp_path / "report" / "findings")) == [1, 1, 2]
     for path in (tmp_path / "report").rglob("part-*"):
         assert KEY not in path.read_text() and "hunter2hunter2" not in path.read_text()
 
-    monkeypatch.setattr(sinks, "DOCUMENT_LIMIT", 2)
-    write_report(found, str(tmp_path / "large"))
-    assert not (tmp_path / "large" / "report").exists()
-    assert spark.read.json(str(tmp_path / "large" / "findings")).count() == 3
-
 
 def test_empty_report(spark, tmp_path):
     put(tmp_path / "tree", {"a.py": b"x = 1"})
     write_report(scan_files(spark, str(tmp_path / "tree")), str(tmp_path / "report"))
-    part = next(p for p in (tmp_path / "report" / "report").iterdir() if p.name.startswith("part-"))
-    summary = json.loads(part.read_text())["summary"]
-    assert summary == {
-        "total": 0, "by_severity": {"CRITICAL": 0, "HIGH": 0, "MEDIUM": 0, "LOW": 0}, "should_block": False,
-        "max_severity": None, "files_affected": [],
+    (head,) = written(tmp_path / "report" / "summary")
+    assert head["summary"] == {
+        "total": 0, "by_severity": {"CRITICAL": 0, "HIGH": 0, "MEDIUM": 0, "LOW": 0}, "should_block": False, "max_severity": None, "files_affected": 0,
     }
 
 
@@ -266,3 +279,12 @@ def test_fingerprint(spark, salt):
     frame = spark.createDataFrame([(b"hello",), (b"hello",), (b"world",)], "c BINARY")
     a, b, c = (r[0] for r in frame.select(text.fingerprint(F.col("c"), salt)).collect())
     assert a == b != c and len(a) == 64
+
+
+def test_state_folds_by_itself(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(state, "FOLD_AFTER", 3)
+    table = StateTable(spark, str(tmp_path / "state"))
+    for i in range(9):
+        table.put(rows(spark, (f"p{i % 4}", str(i), i)))
+        assert len(table._log()) <= 4
+    assert content(table) == {"p0": ("8", 8), "p1": ("5", 5), "p2": ("6", 6), "p3": ("7", 7)}

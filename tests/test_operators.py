@@ -213,12 +213,10 @@ def test_filters_and_forms(spark):
     assert drop_allowlisted(found, allowed.where("value = 'x'")).count() == 3
 
 
-def test_scan_selected(spark, monkeypatch):
+def test_scan_selected(spark):
     texts = spark.createDataFrame([("a", AWS), ("b", AWS), ("c", "x")], "file_path STRING, text STRING")
     wanted = spark.createDataFrame([("a",), ("a",), ("c",)], "file_path STRING")
     assert [r.file_path for r in plan.scan_selected(texts, wanted).collect()] == ["a"]
-    monkeypatch.setattr(plan, "BROADCAST_BYTES", 100)
-    assert [r.file_path for r in plan.scan_selected(texts, wanted).collect()] == ["a"]
 
 
 def test_plan_has_no_shuffle_and_one_pass(spark):
