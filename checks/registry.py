@@ -828,6 +828,13 @@ def stored_state(spark, sf_dir):
     )
 
 
+def kept_state(spark, sf_dir):
+    """The stored rows in a table of their own."""
+    kept = state.StateTable(spark, shared_folder(spark, "state"))
+    kept.put(stored_state(spark, sf_dir))
+    return kept
+
+
 def fresh_state(spark, sf_dir):
     return hashed_documents(spark, sf_dir).where("lang IN ('fr', 'es')").select(
         "file_path", "file_hash", F.lit("2024-02-01 00:00:00").cast("timestamp").alias("last_scanned"),
@@ -863,26 +870,33 @@ def skip_unchanged(spark, sf_dir):
 @register("state_lookup", f"""WITH {STORED}
 SELECT c.file_path, s.file_hash FROM current_files AS c LEFT JOIN stored AS s USING (file_path)""")
 def state_lookup(spark, sf_dir):
-    return state.lookup(hashed_documents(spark, sf_dir), stored_state(spark, sf_dir))
+    return state.lookup(hashed_documents(spark, sf_dir), kept_state(spark, sf_dir).current())
 
 
 @register("state_upsert", f"""WITH {STORED}, {FRESH}
 SELECT {STATE_OUT} FROM stored WHERE file_path NOT IN (SELECT file_path FROM fresh)
 UNION ALL SELECT {STATE_OUT} FROM fresh""")
 def state_upsert(spark, sf_dir):
-    return shown(state.upsert(stored_state(spark, sf_dir), fresh_state(spark, sf_dir)))
+    kept = kept_state(spark, sf_dir)
+    kept.put(fresh_state(spark, sf_dir))
+    return shown(kept.current())
 
 
 @register("state_remove", f"""WITH {STORED}, {FRESH}
 SELECT {STATE_OUT} FROM stored WHERE file_path NOT IN (SELECT file_path FROM fresh)""")
 def state_remove(spark, sf_dir):
-    return shown(state.remove(stored_state(spark, sf_dir), fresh_state(spark, sf_dir)))
+    kept = kept_state(spark, sf_dir)
+    kept.remove(fresh_state(spark, sf_dir))
+    kept.compact()
+    return shown(kept.current())
 
 
 @register("state_clear", f"""WITH {STORED}, cleared AS (SELECT * FROM stored WHERE false)
 SELECT count(*) AS cached_files, CAST(coalesce(sum(findings_count), 0) AS BIGINT) AS total_findings FROM cleared""")
 def state_clear(spark, sf_dir):
-    return state.stats(state.clear(stored_state(spark, sf_dir)))
+    kept = kept_state(spark, sf_dir)
+    kept.clear()
+    return state.stats(kept.current())
 
 
 @register("state_stats", f"""WITH {STORED}

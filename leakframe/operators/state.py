@@ -35,20 +35,6 @@ def lookup(paths: DataFrame, state: DataFrame) -> DataFrame:
     return paths.select("file_path").join(state.select("file_path", "file_hash"), "file_path", "left")
 
 
-def upsert(state: DataFrame, new: DataFrame) -> DataFrame:
-    """State with the rows of ``new`` put in or replaced by path."""
-    kept = state.join(new.select("file_path"), "file_path", "left_anti")
-    return kept.select(*STATE_COLUMNS).unionByName(new.select(*STATE_COLUMNS))
-
-
-def remove(state: DataFrame, paths: DataFrame) -> DataFrame:
-    return state.join(paths.select("file_path"), "file_path", "left_anti")
-
-
-def clear(state: DataFrame) -> DataFrame:
-    return state.where(F.lit(False))
-
-
 def stats(state: DataFrame) -> DataFrame:
     """(cached_files, total_findings), zeros for an empty state."""
     return state.agg(

@@ -14,13 +14,15 @@ from leakframe.operators.findings import public_findings
 from leakframe.operators.lines import split_lines
 from leakframe.operators.state import StateTable, carry_forward, changed, state_rows
 from leakframe.options import ScanOptions
+from leakframe.rules import check_patterns
 from leakframe.sources.files import file_texts, read_files
 from leakframe.sources.shared import stored
 from leakframe.sources.tables import texts_of
 
 
 def scan_texts(texts: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
-    """Findings of (file_path, text) rows, batch or streaming."""
+    """Findings of (file_path, text) rows, batch or streaming. Custom patterns are checked now, not in a task."""
+    check_patterns(texts.sparkSession, [*(r.java_pattern for r in options.custom_rules), *options.ignore_line_patterns])
     return detect(split_lines(texts), options)
 
 

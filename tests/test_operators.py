@@ -157,7 +157,7 @@ def test_severity(spark):
     assert parse_severity(" low ") == "LOW" and parse_severity("HIGH") == "HIGH"
     with pytest.raises(ValueError, match="CRITICAL"):
         parse_severity("INVALID")
-    assert column(spark, [" high", None], severity_level) == ["HIGH", None]
+    assert column(spark, [" high", "\tHIGH\n", None], severity_level) == ["HIGH", "HIGH", None]
     with pytest.raises(Exception, match="unknown severity"):
         column(spark, ["INVALID"], severity_level)
 
@@ -170,6 +170,9 @@ def test_options():
     assert len(ScanOptions().binary_extensions) == 47 and len(ScanOptions().binary_signatures) == 18
     with pytest.raises(ValueError):
         ScanOptions(rule_groups=("nope",))
+    for sections in ({"entropie": {}}, {"entropy": {"treshold": 1.0}}, {"rules": {"awss": False}}):
+        with pytest.raises(ValueError, match="unknown options"):
+            ScanOptions().override(sections)
     with pytest.raises(ValueError):
         ScanOptions(block_level="nope")
     assert ScanOptions().rule_set_id == ScanOptions(block_level="LOW").rule_set_id != ScanOptions(max_length=99).rule_set_id
@@ -219,6 +222,13 @@ def test_scan_selected(spark):
     assert [r.file_path for r in plan.scan_selected(texts, wanted).collect()] == ["a"]
 
 
+def test_bad_custom_patterns_fail_when_a_scan_is_built(spark):
+    texts = spark.createDataFrame([("a", "b")], "file_path STRING, text STRING")
+    for options in (ScanOptions(custom_rules=(Rule("r", "custom", "LOW", "d", "(oops"),)), ScanOptions(ignore_line_patterns=("[",))):
+        with pytest.raises(ValueError, match="not a valid"):
+            scan_texts(texts, options)
+
+
 def test_plan_has_no_shuffle_and_one_pass(spark):
     """Detection is map-only, and no pattern is evaluated in a filter a second time."""
     texts = spark.createDataFrame([("a", "b")], "file_path STRING, text STRING")
