@@ -101,7 +101,7 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(out + np.uint64(n))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of about ``size`` bytes of text, so that work arrays stay small; a text is never cut."""
     for batch in batches:
         if not batch.num_rows:

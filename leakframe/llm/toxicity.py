@@ -69,7 +69,7 @@ def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for piece in pieces(batches, "text", 8 << 20):
+    for piece in pieces(batches, "text", 2 << 20):
         keys, bounds = _grams(piece.column("text"))
         toxic = np.repeat(piece.column("toxic").to_numpy() == 1, np.diff(bounds))
         found, which = np.unique(keys, return_inverse=True)
