@@ -27,8 +27,9 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 from leakframe.llm.tokens import pieces
 
 SPACE = "▁"
-CACHED = 300_000  # words whose ids a worker remembers, twice at most
+CACHED = 200_000  # words whose ids a worker remembers, twice at most
 LONGEST_CACHED = 200
+ROWS = 256  # id lists decoded at a time
 SEAMS = 1_000_000  # pairs of pieces whose compatibility is remembered
 #: Texts whose encodings a model must share with this module's reading of it.
 PROBES = ("", " ", "  ", "a", " a  b ", "a\n\n b", "\t▁a ▁", "é中\U0001f600", "ﬁ Å", "<s>x</s> <0x41>", "Hello world, this is a longer text.")
@@ -267,8 +268,10 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(model.value)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(m.decode_batch(batch.column(ids)), pa.string())], [*batch.schema.names, text])
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(m.decode_batch(batch.column(ids)), pa.string())], [*batch.schema.names, text])
 
     return docs.mapInArrow(run, StructType(list(docs.schema.fields)).add(text, StringType()))
 
