@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakframe.llm import decontamination, line_dedup, near, pii, piece_bpe, quality, secrets, sharding, toxicity, warc
+from leakframe.llm.oracles import ORACLES
 from leakframe.llm.scratch import ready
 
 SHARDS = 8
@@ -80,4 +81,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_near_duplicates, op2_decontamination, op3_secret_scan, op4_sharding, op5_line_dedup, op6_sentencepiece, op7_warc, op8_quality_rules, op9_toxicity, op10_pii)
 }
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "PIECE_MODEL", "QUERIES", "table"]
