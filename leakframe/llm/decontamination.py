@@ -1,6 +1,6 @@
 """Benchmark decontamination: test phrases searched in an FM-index of every training shard.
 
-A shard is what one task has read, up to ``SHARD_WORDS`` words of whole texts.
+A shard is what one task has read, up to ``SHARD_WORDS`` words or so of whole texts.
 The task indexes it, searches all test phrases backwards through wavelet ranks,
 locates their occurrences by sampled positions, and merges them to spans. Only
 spans leave the task.
@@ -20,7 +20,7 @@ from leakframe.llm.fm_index import FMIndex
 from leakframe.llm.tokens import ALNUM, Words, pieces, words
 
 WINDOW = 10  # words of a test phrase
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 400_000
 PHRASE_BYTES = 16 << 20  # test texts sent to tasks at a time; more are searched block by block
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,6 +16,9 @@ SPACED[[0x20, *range(0x09, 0x0E)]] = False
 ALNUM = np.zeros(256, bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
+#: glibc's call that returns freed heap pages; other C libraries have none.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
@@ -114,3 +118,11 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, size: int = 1 << 20) ->
             if cut > start:
                 yield batch.slice(start, min(cut, len(column)) - start)
                 start = cut
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on between tasks, beside others."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
