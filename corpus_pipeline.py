@@ -52,9 +52,8 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ``ids`` and ``n_tokens``; ``text`` is what the ids decode to."""
-    path = public_tokenizers.path(PIECE_MODEL)
-    decoded = piece_bpe.decode(piece_bpe.encode(docs, path).drop("text"), path, text="text")
-    return decoded.select(*docs.columns, "ids", F.size("ids").alias("n_tokens"))
+    coded = piece_bpe.encode_and_decode(docs, public_tokenizers.path(PIECE_MODEL))
+    return coded.select(*docs.columns, "ids", F.size("ids").alias("n_tokens"))
 
 
 STAGES = [

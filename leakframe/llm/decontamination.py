@@ -172,18 +172,9 @@ def _merged(spans: Column, span: Column) -> Column:
 
 def without_spans(found: DataFrame, text: str = "text") -> DataFrame:
     """``scan`` results with the spans cut out of the texts; what stood around a span is parted by a line break."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for value, spans in zip(batch.column(text).to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                if spans:
-                    data, kept, at = value.encode(), [], 0
-                    for span in spans:
-                        kept.append(data[at : span["start"]])
-                        at = span["end"]
-                    value = b"\n".join(x for x in [*kept, data[at:]] if x.strip()).decode()
-                out.append(value)
-            yield batch.set_column(batch.schema.get_field_index(text), text, pa.array(out, pa.string()))
-
-    return found.mapInArrow(run, found.schema)
+    data = F.col(text).cast("binary")
+    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda span: span["end"]))
+    ends = F.concat(F.transform("spans", lambda span: span["start"]), F.array(F.octet_length(text).cast("long")))
+    parts = F.zip_with(begins, ends, lambda begin, end: F.substring(data, (begin + 1).cast("int"), (end - begin).cast("int")).cast("string"))
+    left = F.array_join(F.filter(parts, lambda part: part.rlike("[^\\x20\\x09-\\x0D]")), "\n")
+    return found.withColumn(text, F.when(F.size("spans") > 0, left).otherwise(F.col(text)))

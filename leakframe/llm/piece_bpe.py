@@ -261,6 +261,22 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     return docs.mapInArrow(run, StructType(list(docs.schema.fields)).add(ids, ArrayType(IntegerType())))
 
 
+def encode_and_decode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """``docs`` with the ids of every whole text, and ``text`` replaced by what these ids decode to, in one pass."""
+    docs = docs.select([c for c in docs.columns if c != ids])
+    model = send(docs.sparkSession, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = load(model.value)
+        for piece in pieces(batches, text):
+            found = m.encode_batch(piece.column(text))
+            decoded = pa.array(m.decode_batch(found), pa.string())
+            columns = [decoded if c == text else piece.column(c) for c in piece.schema.names]
+            yield pa.RecordBatch.from_arrays([*columns, found], [*piece.schema.names, ids])
+
+    return docs.mapInArrow(run, StructType(list(docs.schema.fields)).add(ids, ArrayType(IntegerType())))
+
+
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``docs`` with the text of every id list; null lists decode to the empty text."""
     docs = docs.select([c for c in docs.columns if c != text])
