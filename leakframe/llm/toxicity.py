@@ -7,23 +7,29 @@ to either side. A text's evidence is the difference of the two log-likelihoods,
 per character and in its worst passages of several lengths. A logistic curve
 fitted on labelled rows the models have not seen turns it into a probability.
 
-Counts cover all labelled training rows and grow with them. What tasks receive
-is folded into two tables of fixed size.
+Counts cover all labelled training rows and grow with them. So do the two tables
+of exact ratios made of them: they are stored, sorted, in the shared folder, the
+driver never holds them, and each worker maps them from an unnamed local file, so
+that they take memory only as far as they are looked at.
 """
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from leakframe.llm.scratch import stored
+from leakframe.llm.scratch import shared_folder, stored
 from leakframe.llm.tokens import ALNUM, buffers, pieces
 
 ORDER = 5  # bytes of an n-gram
@@ -34,9 +40,7 @@ WINDOWS = (16, 64, 256)  # bytes of the passages looked at
 FOLDS = 5
 HELD_OUT, CALIBRATION = 0, 4
 CALIBRATION_ROWS = 20_000  # bound of the sample the logistic curve is fitted on
-# The broadcast is two float arrays of these sizes, 10 MB in all, whatever the corpus holds.
-GRAM_SLOTS = 2_097_143
-CONTEXT_SLOTS = 524_287
+TABLES_HELD = 4  # tables of ratios a worker keeps mapped: those of two models
 
 _LETTERS = np.arange(256, dtype=np.uint8)
 _LETTERS[0x41:0x5B] += 0x20
@@ -109,17 +113,67 @@ def _shared(counts: DataFrame) -> DataFrame:
     return below[1]
 
 
+@dataclass(frozen=True)
+class Ratios:
+    """Log-likelihood ratios by packed key, as Parquet files in a shared folder, sorted over all files."""
+
+    folder: str
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The ratio of each key, NaN for keys the table doesn't have."""
+        known, ratio = _mapped(self.folder)
+        if not len(known) or not len(keys):
+            return np.full(len(keys), np.nan)
+        asked, which = np.unique(keys, return_inverse=True)
+        at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+        return np.where(known[at] == asked, ratio[at], np.nan)[which]
+
+    def __array__(self, dtype=None, copy=None) -> np.ndarray:
+        """(key, ratio) of all rows, to look at small tables."""
+        return np.stack([np.asarray(column, float) for column in _mapped(self.folder)], 1).astype(dtype or float)
+
+
+_held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _mapped(folder: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and ratios of a stored table, copied piece by piece into local files without a name and mapped."""
+    if folder not in _held:
+        found, inside = pa.fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", folder) if re.match("[a-z0-9]+:", folder) else f"file://{folder}")
+        files = sorted(f.path for f in found.get_file_info(pa.fs.FileSelector(inside)) if f.base_name.startswith("part-"))
+        with tempfile.TemporaryFile() as keys, tempfile.TemporaryFile() as ratios:
+            for path in files:
+                with found.open_input_file(path) as source:
+                    for batch in pa.parquet.ParquetFile(source).iter_batches(columns=["key", "ratio"]):
+                        keys.write(batch.column("key").to_numpy())
+                        ratios.write(batch.column("ratio").to_numpy())
+            made = tuple(np.memmap(f, kind, "r") if f.tell() else np.empty(0, kind) for f, kind in ((keys, np.int64), (ratios, np.float32)))
+        while len(_held) >= TABLES_HELD:
+            del _held[next(iter(_held))]
+        _held[folder] = made
+    return _held[folder]
+
+
+def _kept(rows: DataFrame) -> Ratios:
+    """Rows (key, ratio) of different keys, stored in the order of the keys."""
+    spark = rows.sparkSession
+    folder = shared_folder(spark)
+    rows = rows.select("key", F.col("ratio").cast("float").alias("ratio"))
+    rows.repartitionByRange(spark.sparkContext.defaultParallelism, "key").sortWithinPartitions("key").write.parquet(folder)
+    return Ratios(folder)
+
+
 @dataclass
 class Model:
-    """Log-likelihood ratios of seen n-grams (NaN: unseen) and of contexts whose n-gram is unseen, and the curve."""
+    """Log-likelihood ratios of seen n-grams and of contexts whose n-gram is unseen, and the curve."""
 
-    grams: np.ndarray
-    contexts: np.ndarray
+    grams: Ratios
+    contexts: Ratios
     curve: np.ndarray
 
 
-def ratios(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The two slot tables. Where n-grams share a slot, their ratios are averaged by count."""
+def ratios(counts: DataFrame) -> tuple[Ratios, Ratios]:
+    """The tables of all n-grams and of all contexts that were counted."""
     cut = lambda c: F.least(F.col(c).cast("double"), F.lit(DISCOUNT))
     counts = counts.withColumn("context", F.shiftright("gram", 8))
     contexts = counts.groupBy("context").agg(
@@ -130,27 +184,17 @@ def ratios(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     shared = _shared(counts).select(F.col("gram").alias("short"), "shared")
     likelihood = lambda c: F.coalesce((F.col(c) - cut(c)) / F.nullif(F.col(f"{c}_all"), F.lit(0.0)), F.lit(0.0)) + F.col(f"{c}_spare") * F.col("shared")
     seen = counts.join(contexts, "context").withColumn("short", _last("gram", LOWER[0])).join(shared, "short")
-    seen = seen.select(F.pmod("gram", F.lit(GRAM_SLOTS)).alias("slot"), F.log(likelihood("bad") / likelihood("fine")).alias("ratio"), (F.col("bad") + F.col("fine")).alias("weight"))
-    unseen = contexts.select(
-        F.pmod("context", F.lit(CONTEXT_SLOTS)).alias("slot"), F.log(F.col("bad_spare") / F.col("fine_spare")).alias("ratio"), (F.col("bad_all") + F.col("fine_all")).alias("weight")
-    )
+    seen = seen.select(F.col("gram").alias("key"), F.log(likelihood("bad") / likelihood("fine")).alias("ratio"))
+    unseen = contexts.select(F.col("context").alias("key"), F.log(F.col("bad_spare") / F.col("fine_spare")).alias("ratio"))
+    return _kept(seen), _kept(unseen)
 
-    def folded(rows: DataFrame, slots: int, empty: float) -> np.ndarray:
-        mean = rows.groupBy("slot").agg((F.sum(F.col("ratio") * F.col("weight")) / F.sum("weight")).cast("float").alias("ratio"))
-        found = mean.toArrow()  # one row a slot at most
-        out = np.full(slots, empty, np.float32)
-        out[found.column("slot").to_numpy()] = found.column("ratio").to_numpy()
-        return out
 
-    return folded(seen, GRAM_SLOTS, np.nan), folded(unseen, CONTEXT_SLOTS, 0.0)
-
-
-def evidence(texts: pa.Array, grams: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+def evidence(texts: pa.Array, grams: Ratios, contexts: Ratios) -> np.ndarray:
     """A row for each text: 1 (0 for a text without letters), ratio per byte, per root of bytes, the most in a window of each size."""
     keys, bounds = _grams(texts)
-    ratio = grams[keys % GRAM_SLOTS].astype(float)
+    ratio = grams.find(keys)
     rare = np.flatnonzero(np.isnan(ratio))
-    ratio[rare] = contexts[(keys[rare] >> 8) % CONTEXT_SLOTS]
+    ratio[rare] = np.nan_to_num(contexts.find(keys[rare] >> 8))
     total = np.concatenate([[0.0], np.cumsum(ratio)])
     start, size = bounds[:-1], np.diff(bounds)
     whole = total[bounds[1:]] - total[start]
@@ -217,11 +261,9 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     sample = known.where(F.col("_fold") == CALIBRATION)
     share = CALIBRATION_ROWS / max(1, sample.count())
     chosen = F.pmod(F.xxhash64("_key"), F.lit(1 << 30)) < int(min(1.0, 0.95 * share) * (1 << 30))
-    model = docs.sparkSession.sparkContext.broadcast((grams, contexts))
-
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
-            x = evidence(piece.column("text"), *model.value)
+            x = evidence(piece.column("text"), grams, contexts)
             yield pa.RecordBatch.from_arrays([piece.column("toxic"), pa.array(list(x), pa.list_(pa.float64()))], ["toxic", "x"])
 
     rows = rows.where((F.col("_fold") == CALIBRATION) & chosen).join(sample.where(chosen).drop("_fold").hint("merge"), "_key").select("text", "toxic")
@@ -236,12 +278,10 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Null and empty texts, and others without letters, score the share of toxic texts. Columns of these names are replaced.
     """
     docs = docs.select([c for c in docs.columns if c not in ("score", "predicted")])
-    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
         for piece in pieces(batches, text):
-            p = chance(evidence(piece.column(text), m.grams, m.contexts), m.curve)
+            p = chance(evidence(piece.column(text), model.grams, model.contexts), model.curve)
             yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*piece.schema.names, "score", "predicted"])
 
     schema = StructType(list(docs.schema.fields)).add("score", "double").add("predicted", "integer")

@@ -341,6 +341,18 @@ def test_held_out_labels_are_never_used(toxic):
     assert np.allclose(one.curve, two.curve) and np.array_equal(one.grams, two.grams, equal_nan=True)
 
 
+def test_ratios_of_ngrams_are_told_apart_however_many_there_are(spark):
+    # Two n-grams that agree modulo the size of the fixed tables there once were, one toxic, one ordinary, and one never seen.
+    pack = lambda word: int.from_bytes(word, "big")
+    bad, slots = pack(b"zzqqx"), 2_097_143
+    fine, unseen = bad - 5 * slots, bad - 7 * slots
+    grams, contexts = toxicity.ratios(spark.createDataFrame([(bad, 50, 0), (fine, 0, 5000)], "gram long, bad long, fine long"))
+    ratio = grams.find(np.array([bad, fine, unseen, bad]))
+    assert ratio[0] > 0.5 and ratio[1] < -0.5 and np.isnan(ratio[2]) and ratio[3] == ratio[0]
+    assert np.isnan(contexts.find(np.array([bad >> 8, unseen >> 8]))).tolist() == [False, True]
+    assert len(np.asarray(grams)) == 2
+
+
 def test_toxicity_of_odd_tables(messy, empty, labels):
     docs, rows = messy
     for given in (labels, labels.limit(0)):
