@@ -34,8 +34,7 @@ from leakframe.llm.tokens import ALNUM, buffers, pieces
 
 ORDER = 5  # bytes of an n-gram
 LOWER = (4, 2, 1)  # shared orders
-DISCOUNT = 2.0  # of class counts: what a class has seen up to twice counts as unseen there
-SHARED_DISCOUNT = 0.75
+SHARED_DISCOUNT = 0.75  # also of class counts where their counts of counts say nothing
 WINDOWS = (16, 64, 256)  # bytes of the passages looked at
 FOLDS = 5
 HELD_OUT, CALIBRATION = 0, 4
@@ -172,14 +171,33 @@ class Model:
     curve: np.ndarray
 
 
+def _discounts(counts: DataFrame) -> dict[str, list[float]]:
+    """Of each class, what is taken off counts of 1, 2, and 3 or more: modified Kneser-Ney, from the counts of counts.
+
+    Always more than nothing and less than the count, so that what a class has
+    seen once adds to its evidence.
+    """
+    row = counts.agg(*[F.count_if(F.col(c) == k).alias(f"{c}_{k}") for c in ("bad", "fine") for k in (1, 2, 3, 4)]).first()
+    out = {}
+    for c in ("bad", "fine"):
+        n = [row[f"{c}_{k}"] for k in (1, 2, 3, 4)]
+        plain = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else None
+        found = [k - (k + 1) * plain * n[k] / n[k - 1] if plain and n[k - 1] and n[k] else SHARED_DISCOUNT for k in (1, 2, 3)]
+        out[c] = [min(max(d, 0.05 * k), 0.95 * k) for k, d in zip((1, 2, 3), found, strict=True)]
+    return out
+
+
 def ratios(counts: DataFrame) -> tuple[Ratios, Ratios]:
     """The tables of all n-grams and of all contexts that were counted."""
-    cut = lambda c: F.least(F.col(c).cast("double"), F.lit(DISCOUNT))
+    classes = ("bad", "fine")
+    level = lambda c, k: (F.col(c) >= 3) if k == 3 else (F.col(c) == k)
+    of = _discounts(counts)
+    cut = lambda c: F.when(level(c, 3), of[c][2]).when(level(c, 2), of[c][1]).when(level(c, 1), of[c][0]).otherwise(0.0)
     counts = counts.withColumn("context", F.shiftright("gram", 8))
     contexts = counts.groupBy("context").agg(
-        *[F.sum(c).cast("double").alias(f"{c}_all") for c in ("bad", "fine")], *[F.sum(cut(c)).alias(f"{c}_cut") for c in ("bad", "fine")]
+        *[F.sum(c).cast("double").alias(f"{c}_all") for c in classes], *[F.count_if(level(c, k)).alias(f"{c}_{k}") for c in classes for k in (1, 2, 3)]
     )
-    spare = lambda c: F.when(F.col(f"{c}_all") > 0, F.col(f"{c}_cut") / F.col(f"{c}_all")).otherwise(1.0)
+    spare = lambda c: F.when(F.col(f"{c}_all") > 0, sum(of[c][k - 1] * F.col(f"{c}_{k}") for k in (1, 2, 3)) / F.col(f"{c}_all")).otherwise(1.0)
     contexts = contexts.select("context", "bad_all", "fine_all", spare("bad").alias("bad_spare"), spare("fine").alias("fine_spare"))
     shared = _shared(counts).select(F.col("gram").alias("short"), "shared")
     likelihood = lambda c: F.coalesce((F.col(c) - cut(c)) / F.nullif(F.col(f"{c}_all"), F.lit(0.0)), F.lit(0.0)) + F.col(f"{c}_spare") * F.col("shared")
@@ -247,29 +265,39 @@ def fold(key: str) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Models from labelled rows outside the held-out fold.
 
-    Three folds make the counts, one the curve. Labels other than 0 and 1, null
+    The curve is fitted on a bounded sample of one fold, against models of all
+    other rows; then that sample is counted too, so the models returned cover
+    every row. Labels other than 0 and 1, null
     keys and labels of unknown texts are passed over; of several labels of a key
     the largest holds. Without labels every text scores alike.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("int").alias("toxic"))
     known = known.withColumn("_fold", fold("_key"))
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text"), fold(key).alias("_fold"))
-    # Always dealt by key, so that the plan, and with it the shuffle, is the same for few labels and for many.
-    counted = ~F.col("_fold").isin(HELD_OUT, CALIBRATION)
-    counts = stored(count_grams(rows.where(counted).join(known.where(counted).hint("merge"), ["_key", "_fold"])))
-    grams, contexts = ratios(counts)
     sample = known.where(F.col("_fold") == CALIBRATION)
     share = CALIBRATION_ROWS / max(1, sample.count())
-    chosen = F.pmod(F.xxhash64("_key"), F.lit(1 << 30)) < int(min(1.0, 0.95 * share) * (1 << 30))
+    drawn = F.pmod(F.xxhash64("_key"), F.lit(1 << 30)) < int(min(1.0, 0.95 * share) * (1 << 30))
+    chosen = (F.col("_fold") == CALIBRATION) & drawn
+    counted = (F.col("_fold") != HELD_OUT) & ~chosen
+
+    # Always dealt by key, so that the plan, and with it the shuffle, is the same for few labels and for many.
+    def labelled(part: Column) -> DataFrame:
+        return rows.where(part).join(known.where(part).hint("merge"), ["_key", "_fold"]).select("text", "toxic")
+
+    counts = stored(count_grams(labelled(counted)))
+    held_back = stored(labelled(chosen))
+    grams, contexts = ratios(counts)
+
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
             x = evidence(piece.column("text"), grams, contexts)
             yield pa.RecordBatch.from_arrays([piece.column("toxic"), pa.array(list(x), pa.list_(pa.float64()))], ["toxic", "x"])
 
-    rows = rows.where((F.col("_fold") == CALIBRATION) & chosen).join(sample.where(chosen).drop("_fold").hint("merge"), "_key").select("text", "toxic")
-    found: pd.DataFrame = rows.mapInArrow(weigh, "toxic int, x array<double>").orderBy("toxic", "x").toPandas()
+    found: pd.DataFrame = held_back.mapInArrow(weigh, "toxic int, x array<double>").orderBy("toxic", "x").toPandas()
     x = np.stack(found["x"].to_list()) if len(found) else np.zeros((0, len(WINDOWS) + 3))
-    return Model(grams, contexts, fit_curve(x, found["toxic"].to_numpy()))
+    curve = fit_curve(x, found["toxic"].to_numpy())
+    every = counts.unionByName(count_grams(held_back)).groupBy("gram").agg(F.sum("bad").alias("bad"), F.sum("fine").alias("fine"))
+    return Model(*ratios(stored(every)), curve)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

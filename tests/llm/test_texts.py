@@ -353,6 +353,33 @@ def test_ratios_of_ngrams_are_told_apart_however_many_there_are(spark):
     assert len(np.asarray(grams)) == 2
 
 
+def test_all_labelled_rows_are_counted_but_the_held_out(toxic, monkeypatch):
+    folds = {r.doc_id: r.f for r in toxic.select("doc_id", toxicity.fold("doc_id").alias("f")).collect()}
+    own = {i: f"w{i:04d}q" for i in folds}
+    spelt = F.concat(F.lit("w"), F.lpad(F.col("doc_id").cast("string"), 4, "0"), F.lit("q"))
+    docs = toxic.select("doc_id", F.concat_ws(" ", spelt, "text").alias("text"))
+    for bound in (20_000, 20):
+        monkeypatch.setattr(toxicity, "CALIBRATION_ROWS", bound)
+        model = toxicity.learn(docs, toxic.select("doc_id", "toxic"))
+        some = [next(i for i, f in folds.items() if f == k) for k in (1, 2, 3)] + [i for i, f in folds.items() if f == toxicity.CALIBRATION]
+        keys = np.array([int.from_bytes(f"{own[i][1:]}".encode(), "big") for i in some])
+        assert not np.isnan(model.grams.find(keys)).any()
+        hidden = [int.from_bytes(own[i][1:].encode(), "big") for i, f in folds.items() if f == toxicity.HELD_OUT]
+        assert np.isnan(model.grams.find(np.array(hidden))).all()
+
+
+def test_discounts_stay_below_the_counts(spark):
+    rows = [(i << 8, k, 0) for i, k in enumerate([1] * 20 + [2] * 9 + [3] * 5 + [4] * 3)]
+    one, two, more = toxicity._discounts(spark.createDataFrame(rows, "gram long, bad long, fine long"))["bad"]
+    assert (round(one, 3), round(two, 3), round(more, 3)) == (0.526, 1.123, 1.737)
+    assert toxicity._discounts(spark.createDataFrame(rows[:0], "gram long, bad long, fine long"))["fine"] == [0.75, 0.75, 0.75]
+    # A rare expression counts: two n-grams of one context, each seen once, by another class.
+    rows = [(0x6161616162, 1, 0), (0x6161616163, 0, 1), *[(0x7171717100 + 0x61 + i, 40, 40) for i in range(5)]]
+    grams, _ = toxicity.ratios(spark.createDataFrame(rows, "gram long, bad long, fine long"))
+    bad, fine = grams.find(np.array([0x6161616162, 0x6161616163]))
+    assert bad > 0.05 and fine < -0.05
+
+
 def test_toxicity_of_odd_tables(messy, empty, labels):
     docs, rows = messy
     for given in (labels, labels.limit(0)):
