@@ -22,7 +22,7 @@ HIT = "array<struct<gap:int,value:string,before:string>>"
 
 
 def hits(text: Column, pattern: str, gate: Column | None = None, before: int = 0) -> Column:
-    """Leftmost non-overlapping matches as (code points since the previous match, matched text, its ``before`` last code points).
+    """Leftmost non-overlapping matches as (code points since the previous match, matched text, the ``before`` last code points of what lies between).
 
     ``gate`` is a cheaper test that every text with a match passes.
     """
@@ -36,8 +36,11 @@ def hits(text: Column, pattern: str, gate: Column | None = None, before: int = 0
     return F.when(text.rlike(pattern) if gate is None else gate, found).otherwise(F.array().cast(HIT)).cast(HIT)
 
 
-def placed(table: DataFrame, row: str, kinds: list[str]) -> DataFrame:
-    """One row (``row``, kind, start, end, value, before) for each hit in the ``hits`` columns named by ``kinds``."""
+def placed(table: DataFrame, row: str, kinds: list[str], before: int = 0) -> DataFrame:
+    """One row (``row``, kind, start, end, value, before) for each hit in the ``hits`` columns named by ``kinds``.
+
+    ``before`` is the text before the hit, its last ``before`` code points, earlier hits included.
+    """
     def labelled(kind: str) -> Column:
         return F.transform(kind, lambda hit, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), hit["gap"].alias("gap"), hit["value"].alias("value"), hit["before"].alias("before")))
 
@@ -45,6 +48,12 @@ def placed(table: DataFrame, row: str, kinds: list[str]) -> DataFrame:
     rows = table.where(F.greatest(*[F.size(k) for k in kinds], F.lit(0)) > 0).select(row, F.explode(each).alias("_hit")).select(row, "_hit.*")
     up_to = Window.partitionBy(row, "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap").cast("long") + F.length("value")).over(up_to)
+    if before:
+        # Every hit has a code point at least, so no more earlier ones are needed than code points.
+        earlier = Window.partitionBy(row, "kind").orderBy("i").rowsBetween(-before, -1)
+        up_to_end = F.concat("before", F.substring("value", -before, before))
+        text = F.concat(F.array_join(F.collect_list(up_to_end).over(earlier), ""), F.col("before"))
+        rows = rows.withColumn("before", F.substring(text, -before, before))
     return rows.withColumn("end", end).withColumn("start", F.col("end") - F.length("value")).select(row, "kind", "start", "end", "value", "before")
 
 

@@ -18,7 +18,7 @@ PHONE = "\\+[0-9][\\x20().0-9-]+[0-9]"
 BASE = ["email", "ip", "card", "phone"]
 
 # Candidates for discovery: tokens with digits in them, at least this long.
-CANDIDATE = "(?<![A-Za-z0-9_./@+-])(?=[A-Za-z-]{0,12}[0-9])[A-Za-z0-9][A-Za-z0-9-]{4,39}+(?![A-Za-z0-9_@/-])"
+CANDIDATE = "(?<![A-Za-z0-9_./@+-])(?=[A-Za-z-]*+[0-9])[A-Za-z0-9][A-Za-z0-9-]{4,}+(?![A-Za-z0-9_@/-])"
 CONTEXT = 40  # code points before a value in which its pattern's words stand
 ROUNDS = 3
 LEAST_SUPPORT = 3  # different known values a pattern must have been seen with
@@ -51,11 +51,14 @@ def _holds(kind: Column, value: Column) -> Column:
     )
 
 
-def _pattern(before: Column) -> Column:
-    """The two words before a value, lower-cased, digits as one sign; null with fewer than two."""
+def _pattern(before: Column, cut: Column) -> Column:
+    """The two words before a value, lower-cased, digits as one sign; null with fewer than two.
+
+    Where ``before`` was cut from a longer text, its first word may be a part of one and doesn't count.
+    """
     words = F.filter(F.split(F.lower(before), "\\s+"), lambda w: w != "")
     last = F.slice(words, -2, 2)
-    return F.when(F.size(words) >= 3, F.regexp_replace(F.array_join(last, " "), "[0-9]+", "#"))
+    return F.when(F.size(words) >= F.when(cut, 3).otherwise(2), F.regexp_replace(F.array_join(last, " "), "[0-9]+", "#"))
 
 
 def scan(
@@ -87,9 +90,9 @@ def scan(
         )
     )
     parts = stored(
-        placed(table, "_row", [*BASE, "context"])
+        placed(table, "_row", [*BASE, "context"], CONTEXT)
         .where(_holds(F.col("kind"), F.col("value")))
-        .select("_row", "kind", "start", "end", "value", _pattern(F.col("before")).alias("pattern"))
+        .select("_row", "kind", "start", "end", "value", _pattern(F.col("before"), F.col("start") > CONTEXT).alias("pattern"))
     )
     base = parts.where(F.col("kind") != "context")
     unseen = _outside(parts)

@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from leakframe.llm import pii, quality, secrets, sharding
+from leakframe.llm import matching, pii, quality, secrets, sharding
 
 
 def jump(key, shards):
@@ -137,6 +137,23 @@ def test_contexts_of_known_identifiers_find_unknown_ones(spark):
     assert all(not v for i, v in got.items() if i != 8)
 
 
+def test_contexts_hold_in_records_at_text_starts_and_for_long_tokens(spark):
+    seen = [f"contact person user{i}@example.org" for i in range(4)] + ["\n".join(f"contact person user{i}@example.org" for i in range(4, 30))]
+    long, late = "EMP-" + "47" * 30, "ABCDEFGHIJKLMNOPQR-4711"
+    more = ["contact person EMP-4711-X\ncontact person EMP-4712-X", f"contact person {long}\ncontact person {late}", "our old contact person EMP-4713-X"]
+    docs = spark.createDataFrame(list(enumerate(seen + more)), "doc_id long, text string")
+    got = {r.doc_id: [s.value for s in r.spans if s.kind == "context"] for r in pii.scan(docs, keep=["doc_id"]).collect()}
+    assert got == {**{i: [] for i in range(5)}, 5: ["EMP-4711-X", "EMP-4712-X"], 6: [long, late], 7: ["EMP-4713-X"]}
+
+
+def test_text_before_a_hit_reaches_over_earlier_hits(spark):
+    texts = ["1 2 33 x 4", "é中 " + "7 " * 60, "a" * 50 + "5", "1" * 60 + " 2"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = docs.select("doc_id", matching.hits(F.col("text"), "[0-9]++", before=40).alias("n"))
+    for r in matching.placed(table, "doc_id", ["n"], 40).collect():
+        assert r.before == texts[r.doc_id][: r.start][-40:] and texts[r.doc_id][r.start : r.end] == r.value
+
+
 def test_pii_of_odd_tables(messy, empty):
     docs, rows = messy
     assert len(pii.scan(docs).collect()) == len(rows)
