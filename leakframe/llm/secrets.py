@@ -22,13 +22,13 @@ BASE = ["assign", "access", "hex"]
 LEAST_VALUE = 12
 
 # Weak parts and the role each plays; base spans have roles as well.
-MATERIAL = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/]{20,128}+(?![A-Za-z0-9+/_-])"
-ACCOUNT = "(?i)(?:user_?name|user|login|client_?id|account)[\"']?\\x20{0,8}[:=]\\x20{0,8}[\"']?[A-Za-z0-9._@-]{3,64}"
-ENDPOINT = "(?i)(?:https?|wss?|ftp|amqps?|s3|jdbc:[a-z]{2,16}|postgres(?:ql)?|mysql|mongodb|redis)://[^\\s\"'<>]{3,256}"
+MATERIAL = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/]{20,}+(?![A-Za-z0-9+/_-])"
+ACCOUNT = "(?i)(?:user_?name|user|login|client_?id|account)[\"']?\\x20*+[:=]\\x20*+[\"']?[A-Za-z0-9._@-]{3,}+"
+ENDPOINT = "(?i)(?:https?|wss?|ftp|amqps?|s3|jdbc:[a-z]{2,}|postgres(?:ql)?|mysql|mongodb|redis)://[^\\s\"'<>]{3,}+"
 ROLE = {"assign": "secret", "hex": "secret", "material": "secret", "access": "identifier", "account": "identifier", "endpoint": "endpoint"}
 COMPLETED_BY = {"material": ["identifier", "endpoint"], "account": ["secret"], "endpoint": ["secret"]}
 ROLE_ORDER = [*BASE, *COMPLETED_BY]
-SCOPE = 200  # code points between the starts of parts that belong together
+SCOPE = 200  # code points at most from the end of a part to the start of the next one in its block
 
 
 def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, scope: int = SCOPE) -> DataFrame:
@@ -79,10 +79,11 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, sco
 
 
 def _linked(parts: DataFrame, scope: int) -> DataFrame:
-    """Base parts, and weak ones with a completing part at most ``scope`` away.
+    """Base parts, and weak ones with a completing part in their block.
 
-    The frame of a window is the interval each part is joined with: it costs
-    one sorted pass over a text's parts and makes no pairs.
+    A block ends where the next part starts more than ``scope`` after the end
+    of all before it, so neither long parts nor the number of parts bound it.
+    That is one sorted pass over a text's parts and makes no pairs.
     """
     role = F.create_map(*[F.lit(x) for pair in ROLE.items() for x in pair])[F.col("kind")]
     parts = parts.withColumn("_role", role).withColumn("_base", F.col("kind").isin(BASE))
@@ -91,8 +92,12 @@ def _linked(parts: DataFrame, scope: int) -> DataFrame:
     after = F.min(F.when(F.col("_base"), F.col("start"))).over(by_start.rangeBetween(0, Window.unboundedFollowing))
     free = (F.coalesce(before, F.lit(-1)) <= F.col("start")) & (F.coalesce(after, F.col("end")) >= F.col("end"))
     parts = parts.withColumn("_free", free & ~F.col("_base")).where(F.col("_base") | F.col("_free"))
-    near = by_start.rangeBetween(-scope, scope)
-    roles = {r: F.max(F.col("_role") == r).over(near) for r in ("identifier", "secret", "endpoint")}
+    in_order = Window.partitionBy("_row").orderBy("start", "end", "kind")
+    reached = F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.withColumn("_first", (F.col("start") - reached > scope).cast("long"))
+    parts = parts.withColumn("_block", F.sum(F.coalesce("_first", F.lit(0))).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    block = Window.partitionBy("_row", "_block")
+    roles = {r: F.max(F.col("_role") == r).over(block) for r in ("identifier", "secret", "endpoint")}
     parts = parts.withColumns({f"_{r}": c for r, c in roles.items()})
     linked = F.lit(False)
     for kind, completing in COMPLETED_BY.items():
