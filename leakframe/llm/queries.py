@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakframe.llm import decontamination, line_dedup, near, pii, piece_bpe, quality, secrets, sharding, toxicity, warc
+from leakframe.llm import decontamination, fim, line_dedup, near, pii, piece_bpe, quality, secrets, sharding, toxicity, warc
 from leakframe.llm.oracles import ORACLES
 from leakframe.llm.scratch import ready
 
@@ -78,7 +78,20 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.scan(table(spark, sf_dir, "documents"), keep=["doc_id"]), "doc_id")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda text: F.sha2(F.encode(text, "utf-8"), 256)
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        digest("output").alias("output_sha256"), digest(fim.restored()).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_duplicates, op2_decontamination, op3_secret_scan, op4_sharding, op5_line_dedup, op6_sentencepiece, op7_warc, op8_quality_rules, op9_toxicity, op10_pii)
+    f.__name__: f
+    for f in (
+        op1_near_duplicates, op2_decontamination, op3_secret_scan, op4_sharding, op5_line_dedup, op6_sentencepiece, op7_warc,
+        op8_quality_rules, op9_toxicity, op10_pii, op11_fill_in_middle,
+    )
 }
 __all__ = ["ORACLES", "PIECE_MODEL", "QUERIES", "table"]
