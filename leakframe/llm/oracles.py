@@ -6,11 +6,15 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _SPACED = r"'[^\x20\x09-\x0D]+'"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
-NEAR_DUPLICATES = f"""
+
+
+def _near(words: int, kept: str) -> str:
+    """Groups of texts whose sets of shingles of ``words`` words are 80 % similar; ``kept`` is one more column or nothing."""
+    return f"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_SPACED}) AS w FROM documents),
 s AS (
-  SELECT DISTINCT doc_id, list_slice(w, i, i + least(2, len(w)) - 1) AS g
-  FROM d, unnest(generate_series(1, len(w) - least(2, len(w)) + 1)) AS t(i) WHERE len(w) > 0
+  SELECT DISTINCT doc_id, list_slice(w, i, i + least({words}, len(w)) - 1) AS g
+  FROM d, unnest(generate_series(1, len(w) - least({words}, len(w)) + 1)) AS t(i) WHERE len(w) > 0
 ),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 links AS (
@@ -20,9 +24,13 @@ links AS (
 ),
 reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM reach AS r JOIN links AS l ON l.a = r.other),
 c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
-SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id{kept}
 FROM documents LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)"""
 
+
+NEAR_DUPLICATES = _near(2, ", doc_id = component_id AS kept")
+JACCARD_JOIN = _near(5, "")
+
 DECONTAMINATION = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM documents),
 b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM benchmark),
@@ -108,4 +116,5 @@ ORACLES = {
     "op5_line_dedup": LINE_DEDUP,
     "op7_warc": WARC,
     "op11_fill_in_middle": FILL_IN_MIDDLE,
+    "op12_jaccard_join": JACCARD_JOIN,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakframe.llm import alignment, decontamination, fim, line_dedup, near, pii, piece_bpe, quality, secrets, sharding, toxicity, warc
+from leakframe.llm import alignment, decontamination, fim, jaccard_join, line_dedup, near, pii, piece_bpe, quality, secrets, sharding, toxicity, warc
 from leakframe.llm.oracles import ORACLES
 from leakframe.llm.scratch import ready
 
@@ -88,6 +88,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.groups(table(spark, sf_dir, "documents"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return alignment.align(docs, public_tokenizers.path(BYTE_MODEL), public_tokenizers.path(PIECE_MODEL)).drop("groups")
@@ -97,7 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_near_duplicates, op2_decontamination, op3_secret_scan, op4_sharding, op5_line_dedup, op6_sentencepiece, op7_warc,
-        op8_quality_rules, op9_toxicity, op10_pii, op11_fill_in_middle, op13_token_alignment,
+        op8_quality_rules, op9_toxicity, op10_pii, op11_fill_in_middle, op12_jaccard_join, op13_token_alignment,
     )
 }
 __all__ = ["ORACLES", "PIECE_MODEL", "QUERIES", "table"]
