@@ -887,7 +887,6 @@ SELECT {STATE_OUT} FROM stored WHERE file_path NOT IN (SELECT file_path FROM fre
 def state_remove(spark, sf_dir):
     kept = kept_state(spark, sf_dir)
     kept.remove(fresh_state(spark, sf_dir))
-    kept.compact()
     return shown(kept.current())
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from leakframe.operators.findings import findings_per_file
 from leakframe.operators.skew import filter_join
+from leakframe.sources.shared import stored
 
 STATE_SCHEMA = "file_path STRING, file_hash STRING, last_scanned TIMESTAMP, findings_count BIGINT"
 STATE_COLUMNS = ("file_path", "file_hash", "last_scanned", "findings_count")
@@ -63,91 +64,78 @@ def carry_forward(previous: DataFrame, current: DataFrame, rescanned: DataFrame,
     return kept.unionByName(current)
 
 
-# A state of this many changes is folded into one, so a read opens no more folders than that.
-FOLD_AFTER = 24
+DETAILS = f"{STATE_SCHEMA}, modified TIMESTAMP, length BIGINT, rules STRING, batch STRING"
+DETAIL_COLUMNS = (*STATE_COLUMNS, "modified", "length", "rules", "batch")
+BUCKETS = 32
 
 
 class StateTable:
-    """State rows in storage, written as one Parquet directory per change.
-
-    A change costs its own rows only; the current state is the latest row per
-    path. ``log/`` names the changes that are complete, so a write that died
-    half-way is never read, and a change with a ``tag`` that is already there
-    (a replayed streaming batch) replaces itself. ``compact`` folds everything
-    into one change, and untagged changes do so by themselves after
-    ``FOLD_AFTER`` of them. One writer at a time.
+    """State rows in storage: one Parquet table, partitioned by a hash of the path into ``buckets`` folders.
+
+    A change rewrites the buckets it touches and no others, by dynamic partition
+    overwrite, so the number of folders is fixed however many changes there
+    were. Besides the columns of the state a row holds time and length of the
+    file as it was listed, the rule set it was scanned with, and the ``batch``
+    that wrote it. A path that is removed keeps a row without a hash, its
+    tombstone. Where a write dies half-way, rows of a bucket may be missing;
+    their files count as new then, so that nothing goes unscanned. One writer
+    at a time; a table keeps the number of buckets it began with, about one for
+    each million paths is right.
     """
 
-    _LOG = "version BIGINT, base BIGINT, tag STRING"
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark = spark
-        self.path = path.rstrip("/")
-
-    def _log(self) -> list:
-        """One small row per change since the table began; compaction starts it anew."""
-        try:
-            log = self.spark.read.schema(self._LOG).parquet(f"{self.path}/log")
-        except Exception as error:
-            if "PATH_NOT_FOUND" in str(error):
-                return []
-            raise
-        latest_base = log.agg(F.max("base")).first()[0]
-        if latest_base is None:
-            return []
-        return log.where(F.col("version") >= latest_base).distinct().orderBy("version").collect()
-
-    def _commit(self, rows: DataFrame, deleted: bool, tag: str | None = None, replaces_all: bool = False) -> None:
-        log = self._log()
-        version = next((r.version for r in log if tag is not None and r.tag == tag), None)
-        if version is None:
-            version = log[-1].version + 1 if log else 0
-        base = version if replaces_all else log[-1].base if log else 0
-        out = rows.select(*STATE_COLUMNS, F.lit(deleted).alias("deleted"))
-        out.write.mode("overwrite").parquet(f"{self.path}/version={version}")
-        self.spark.createDataFrame([(version, base, tag)], self._LOG).coalesce(1).write.mode("append").parquet(
-            f"{self.path}/log"
-        )
-        if not replaces_all and len(log) >= FOLD_AFTER and tag is None:
-            self.compact()
-
-    def current(self, before_tag: str | None = None, paths: DataFrame | None = None) -> DataFrame:
-        """The state; with ``before_tag`` as it was before the change of that tag.
-
-        ``paths(file_path)`` narrows it before anything is shuffled or compared.
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        empty = spark.createDataFrame([], f"{DETAILS}, bucket INT")
+        empty.write.mode("ignore").partitionBy("bucket").parquet(self.path)
+
+    def _all(self) -> DataFrame:
+        return self.spark.read.schema(f"{DETAILS}, bucket INT").parquet(self.path)
+
+    def _bucketed(self, rows: DataFrame) -> DataFrame:
+        given = {f.name for f in rows.schema}
+        blank = {"rules": F.lit(""), "batch": F.lit("")}
+        kinds = dict(part.split(" ") for part in DETAILS.split(", "))
+        columns = [(F.col(c) if c in given else blank.get(c, F.lit(None))).cast(kinds[c]).alias(c) for c in DETAIL_COLUMNS]
+        return rows.select(*columns, F.pmod(F.xxhash64("file_path"), F.lit(self.buckets)).cast("int").alias("bucket"))
+
+    def _replace(self, rows: DataFrame) -> None:
+        """Put ``rows`` in the place of all rows of their paths."""
+        rows = stored(rows, "state-change")
+        touched = [r.bucket for r in rows.select("bucket").distinct().collect()]  # at most the number of buckets
+        if not touched:
+            return
+        left = self._all().where(F.col("bucket").isin(touched)).join(rows.select("file_path"), "file_path", "left_anti")
+        after = left.select(*DETAIL_COLUMNS, "bucket").unionByName(rows).repartition("bucket")
+        after.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+
+    def details(self, except_batch: str | None = None) -> DataFrame:
+        """All live rows with their further columns; without those that ``except_batch`` wrote."""
+        rows = self._all().where("file_hash IS NOT NULL").select(*DETAIL_COLUMNS)
+        return rows if except_batch is None else rows.where(~F.col("batch").eqNullSafe(F.lit(except_batch)))
+
+    def current(self, except_batch: str | None = None) -> DataFrame:
+        """The state.
+
+        A replayed batch asks for it without its own rows: whatever it changed
+        then counts as changed again, and what it did not change is still there.
         """
-        versions = []
-        for row in self._log():
-            if before_tag is not None and row.tag == before_tag:
-                break
-            versions.append(row.version)
-        if not versions:
-            return self.spark.createDataFrame([], STATE_SCHEMA)
-        rows = (
-            self.spark.read.schema(f"{STATE_SCHEMA}, deleted BOOLEAN, version BIGINT")
-            .option("basePath", self.path)
-            .parquet(*[f"{self.path}/version={v}" for v in versions])
-        )
-        if paths is not None:
-            rows = rows.join(paths.select("file_path").distinct(), "file_path", "left_semi")
-        if len(versions) > 1:
-            newest = F.max_by(F.struct("file_hash", "last_scanned", "findings_count", "deleted"), "version")
-            rows = rows.groupBy("file_path").agg(newest.alias("row")).select("file_path", "row.*")
-        return rows.where(~F.col("deleted")).select(*STATE_COLUMNS)
+        return self.details(except_batch).select(*STATE_COLUMNS)
 
-    def put(self, rows: DataFrame, tag: str | None = None) -> None:
-        """Insert or replace by path."""
-        self._commit(rows, deleted=False, tag=tag)
+    def put(self, rows: DataFrame, batch: str = "") -> None:
+        """Insert or replace by path, which is distinct in ``rows``; putting the same rows again changes nothing."""
+        self._replace(self._bucketed(rows.withColumn("batch", F.lit(batch))))
 
     def remove(self, paths: DataFrame) -> None:
-        gone = paths.select("file_path").distinct().selectExpr(
-            "file_path", "CAST(NULL AS STRING) AS file_hash", "CAST(NULL AS TIMESTAMP) AS last_scanned",
-            "CAST(NULL AS BIGINT) AS findings_count",
+        """Leave a tombstone for each of the paths that the state knows."""
+        gone = self.details().join(paths.select("file_path"), "file_path", "left_semi").select(
+            "file_path", F.lit(None).cast("string").alias("file_hash"), F.current_timestamp().alias("last_scanned")
         )
-        self._commit(gone, deleted=True)
+        self._replace(self._bucketed(gone))
 
-    def clear(self) -> None:
-        self._commit(self.spark.createDataFrame([], STATE_SCHEMA), deleted=False, replaces_all=True)
+    def removed(self) -> DataFrame:
+        """(file_path, since) of the tombstones."""
+        return self._all().where("file_hash IS NULL").select("file_path", F.col("last_scanned").alias("since"))
 
-    def compact(self) -> None:
-        self._commit(self.current(), deleted=False, replaces_all=True)
+    def clear(self) -> None:
+        empty = self.spark.createDataFrame([], f"{DETAILS}, bucket INT")
+        empty.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(self.path)

@@ -69,17 +69,17 @@ def skip_seen_batch(
     tag = f"{name}:{batch_id}"
     part = f"batch={batch_id}"
     hashed = texts_of(rows, key, text).withColumn("file_hash", fingerprint(F.col("text").cast("binary")))
-    # A replay must see the state from before this batch.
+    # A replay must see the state without what this batch wrote.
     # Only paths and hashes meet the state; the texts are taken by what that leaves.
     keys = hashed.select("file_path", "file_hash").distinct()
-    changed(keys, state.current(before_tag=tag, paths=keys)).write.mode("overwrite").parquet(f"{out}/scanned/{part}")
+    changed(keys, state.current(except_batch=tag)).write.mode("overwrite").parquet(f"{out}/scanned/{part}")
     scanned = spark.read.parquet(f"{out}/scanned/{part}")
     fresh = hashed.join(scanned, ["file_path", "file_hash"], "left_semi")
     public_findings(scan_texts(fresh, options)).write.mode("overwrite").parquet(f"{out}/findings/{part}")
     findings = spark.read.parquet(f"{out}/findings/{part}").withColumnRenamed("file", "file_path")
     # One row per path: of several contents of one path the greatest hash is recorded.
     latest = scanned.groupBy("file_path").agg(F.max("file_hash").alias("file_hash"))
-    state.put(state_rows(latest, findings), tag=tag)
+    state.put(state_rows(latest, findings), batch=tag)
 
 
 def stream_skip_seen(

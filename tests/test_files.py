@@ -201,7 +201,7 @@ def test_incremental(spark, tmp_path):
 
 
 def rows(spark, *values):
-    frame = spark.createDataFrame([(p, h, n) for p, h, n in values], "file_path STRING, file_hash STRING, findings_count BIGINT")
+    frame = spark.createDataFrame([*values], "file_path STRING, file_hash STRING, findings_count BIGINT")
     return frame.withColumn("last_scanned", F.lit("2024-01-01").cast("timestamp")).select(*state.STATE_COLUMNS)
 
 
@@ -209,28 +209,52 @@ def content(table):
     return {r.file_path: (r.file_hash, r.findings_count) for r in table.current().collect()}
 
 
+def folders(path):
+    return sorted(p.name for p in path.iterdir() if p.is_dir())
+
+
 def test_state_table(spark, tmp_path):
-    table = StateTable(spark, str(tmp_path / "state"))
+    table = StateTable(spark, str(tmp_path / "state"), buckets=4)
     assert content(table) == {}
     table.put(rows(spark, ("a", "1", 3), ("b", "2", 1)))
-    table.put(rows(spark, ("a", "9", 0)), tag="s:0")
+    table.put(rows(spark, ("a", "9", 0)), batch="s:0")
     assert content(table) == {"a": ("9", 0), "b": ("2", 1)}
-    assert {r.file_path: r.file_hash for r in table.current(before_tag="s:0").collect()} == {"a": "1", "b": "2"}
-    table.put(rows(spark, ("a", "9", 0), ("c", "4", 2)), tag="s:0")
+    # What the batch wrote does not count for its replay.
+    assert {r.file_path: r.file_hash for r in table.current(except_batch="s:0").collect()} == {"b": "2"}
+    table.put(rows(spark, ("a", "9", 0), ("c", "4", 2)), batch="s:0")
     assert content(table) == {"a": ("9", 0), "b": ("2", 1), "c": ("4", 2)}
-    table.remove(rows(spark, ("b", "", 0)))
-    assert content(table) == {"a": ("9", 0), "c": ("4", 2)}
-    table.compact()
+    table.remove(rows(spark, ("b", "", 0), ("unknown", "", 0)))
     assert content(table) == {"a": ("9", 0), "c": ("4", 2)}
+    assert [r.file_path for r in table.removed().collect()] == ["b"]
     table.put(rows(spark, ("b", "5", 1)))
-    assert tuple(state.stats(table.current()).first()) == (3, 3)
-    # A write that never reached the log is not read.
-    rows(spark, ("z", "0", 0)).withColumn("deleted", F.lit(False)).write.parquet(str(tmp_path / "state" / "version=99"))
-    assert "z" not in content(table)
+    assert tuple(state.stats(table.current()).first()) == (3, 3) and table.removed().count() == 0
+    again = StateTable(spark, str(tmp_path / "state"), buckets=4)
+    assert content(again) == content(table) != {}
     table.clear()
     assert content(table) == {} and tuple(state.stats(table.current()).first()) == (0, 0)
     table.put(rows(spark, ("a", "1", 1)))
     assert content(table) == {"a": ("1", 1)}
+    table.put(rows(spark).limit(0))
+    assert content(table) == {"a": ("1", 1)}
+
+
+def test_only_touched_buckets_are_rewritten(spark, tmp_path):
+    table = StateTable(spark, str(tmp_path / "state"), buckets=8)
+    table.put(rows(spark, *((f"p{i}", str(i), i) for i in range(64))))
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "state").rglob("*.parquet")}
+    table.put(rows(spark, ("p3", "new", 1)))
+    after = {p for p in (tmp_path / "state").rglob("*.parquet")}
+    assert len(before) == 8 and len(after & before.keys()) == 7
+    assert content(table) == {f"p{i}": (str(i), i) for i in range(64)} | {"p3": ("new", 1)}
+
+
+def test_many_batches_leave_the_folders_as_they_are(spark, tmp_path):
+    table = StateTable(spark, str(tmp_path / "state"), buckets=2)
+    for i in range(25):
+        table.put(rows(spark, *((f"p{i % 4 + k}", str(i), i) for k in range(8))), batch=f"s:{i}")
+    assert folders(tmp_path / "state") == ["bucket=0", "bucket=1"]
+    assert len(list((tmp_path / "state").rglob("*.parquet"))) == 2
+    assert len(content(table)) == 11
 
 
 def test_has_changed_and_lookup(spark):
@@ -279,12 +303,3 @@ def test_fingerprint(spark, salt):
     frame = spark.createDataFrame([(b"hello",), (b"hello",), (b"world",)], "c BINARY")
     a, b, c = (r[0] for r in frame.select(text.fingerprint(F.col("c"), salt)).collect())
     assert a == b != c and len(a) == 64
-
-
-def test_state_folds_by_itself(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(state, "FOLD_AFTER", 3)
-    table = StateTable(spark, str(tmp_path / "state"))
-    for i in range(9):
-        table.put(rows(spark, (f"p{i % 4}", str(i), i)))
-        assert len(table._log()) <= 4
-    assert content(table) == {"p0": ("8", 8), "p1": ("5", 5), "p2": ("6", 6), "p3": ("7", 7)}
