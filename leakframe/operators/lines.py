@@ -10,10 +10,17 @@ from leakframe.options import ScanOptions
 
 
 def split_lines(texts: DataFrame) -> DataFrame:
-    """(file_path, text) to (file_path, line_number from 1, line); trailing empty lines stay."""
-    return texts.select("file_path", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).select(
-        "file_path", (F.col("pos") + 1).alias("line_number"), "line"
-    )
+    """(file_path, text) to (file_path, line_number, line); trailing empty lines stay.
+
+    Lines count from 1, or from ``first_line`` where the texts are pieces and
+    have it. Numbers stop at the largest integer.
+    """
+    if "first_line" not in texts.columns:
+        split = texts.select("file_path", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+        return split.select("file_path", (F.col("pos") + 1).alias("line_number"), "line")
+    split = texts.select("file_path", "first_line", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    number = F.least(F.col("first_line") + F.col("pos"), F.lit(2**31 - 1)).cast("int")
+    return split.select("file_path", number.alias("line_number"), "line")
 
 
 def has_directive(line: Column, directive: str) -> Column:

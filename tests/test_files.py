@@ -1,16 +1,22 @@
 """File source, file filters, incremental scans and sinks on a directory written here."""
 
 import hashlib
+import io
 import json
+import re
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from leakframe import ScanOptions, StateTable, scan_changed, scan_files, write_findings, write_report
 from leakframe.functions import paths, text
 from leakframe.operators import findings as roll
 from leakframe.operators import state
+from leakframe.sources import files, walk
 from leakframe.sources.files import file_rows, file_texts, ignore_list, load_ignore_globs, read_files, skipped_files
 
 KEY = "AKIA" + "IOSFODNN7EXAMPL2"
@@ -93,6 +99,115 @@ def test_contents_cross_no_shuffle(spark, tmp_path):
     assert "Exchange" not in tree[:reading] and "Join" not in tree[:reading]
 
 
+def plain_lines(data):
+    """(offset, bytes) of the lines of a file, and how many line ends each has."""
+    out, at = [], 0
+    for line in re.split(rb"(?<=\n)|(?<=\r)(?!\n)", data):
+        if line:
+            out.append((at, line))
+            at += len(line)
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from([b"a", b"bb", b"\n", b"\r", b"\r\n", "é".encode()]), max_size=40).map(b"".join), st.integers(1, 9), st.integers(1, 7), st.integers(3, 50))
+def test_ranges_hold_every_line_once(data, step, piece, longest):
+    old = walk.PIECE_BYTES, walk.LINE_BYTES
+    walk.PIECE_BYTES, walk.LINE_BYTES = piece, longest
+    try:
+        lines = plain_lines(data)
+        for begin in range(0, max(len(data), 1), step):
+            stop = begin + step if begin + step < len(data) else None
+            got = [*walk.lines_in_range(io.BytesIO(data), begin, stop)]
+            mine = [line for at, line in lines if at >= begin and (stop is None or at < stop)]
+            if all(content is not None for content, _ in got):
+                assert b"".join(content for content, _ in got) == b"".join(mine)
+            ends = sum(line.endswith((b"\n", b"\r")) for line in mine)
+            assert sum(n for _, n in got) == ends or any(c is None for c, _ in got)
+            whole = [c for c, _ in got if c is not None]
+            assert {x for _, x in plain_lines(b"".join(whole))} <= {*mine} or len({*mine}) == 0
+            # Only lines over the bound may be left out, and each leaves a mark.
+            gone = len(mine) - sum(len(plain_lines(c)) for c in whole)
+            assert gone == sum(c is None for c, _ in got) and gone <= sum(len(line) > longest for line in mine)
+    finally:
+        walk.PIECE_BYTES, walk.LINE_BYTES = old
+
+
+def test_long_files_are_read_in_ranges(spark, tmp_path, monkeypatch):
+    lines = [f"line {i} {'x' * (i % 90)}" for i in range(900)]
+    for i in (3, 400, 899):
+        lines[i] = f"id = {KEY}"
+    put(tmp_path, {"long.txt": "\r\n".join(lines).encode(), "short.txt": LEAK, "one.txt": b"x" * 9000 + LEAK, "bin": b"\0" + "\n".join(lines).encode()})
+    expected = sorted((f"{tmp_path}/{n}", i) for n, i in (("long.txt", 4), ("long.txt", 401), ("long.txt", 900), ("short.txt", 1), ("one.txt", 1)))
+    found = lambda: sorted((r.file_path, r.line_number) for r in scan_files(spark, str(tmp_path)).where("rule_id LIKE 'aws%'").collect())
+    assert found() == expected
+    monkeypatch.setattr(files, "RANGE_BYTES", 1000)
+    assert found() == expected
+    pieces = read_files(spark, str(tmp_path)).where("file_path LIKE '%long.txt'").orderBy("first_line").collect()
+    assert len(pieces) > 20 and b"".join(r.content for r in pieces) == (tmp_path / "long.txt").read_bytes()
+    reasons = {r.file_path.removeprefix(f"{tmp_path}/"): r.reason for r in skipped_files(spark, str(tmp_path)).collect()}
+    assert reasons == {"bin": "binary content"}
+
+
+def test_a_line_too_long_is_told(spark, tmp_path, monkeypatch):
+    """Sizes are set before the reading functions are sent to the tasks."""
+    monkeypatch.setattr(walk, "LINE_BYTES", 5000)
+    monkeypatch.setattr(walk, "PIECE_BYTES", 1000)
+    put(tmp_path, {"a.txt": LEAK + b"y" * 20_000 + b"\n" + LEAK, "b.txt": LEAK})
+    found = sorted((r.file_path, r.line_number) for r in scan_files(spark, str(tmp_path)).where("rule_id LIKE 'aws%'").collect())
+    assert found == [(f"{tmp_path}/a.txt", 1), (f"{tmp_path}/a.txt", 3), (f"{tmp_path}/b.txt", 1)]
+    assert [tuple(r) for r in skipped_files(spark, str(tmp_path)).collect()] == [(f"{tmp_path}/a.txt", 20_000 + 2 * len(LEAK) + 1, "line 2 is over 5000 bytes")]
+
+
+class Counting(io.BytesIO):
+    """A file that counts what is read of it."""
+
+    taken = 0
+
+    def read(self, size=-1):
+        data = super().read(size)
+        Counting.taken += len(data)
+        return data
+
+
+def test_of_binary_files_only_the_head_is_read(monkeypatch):
+    class Store:
+        def open_input_file(self, path):
+            return Counting(b"\0" * 50_000_000 if path.endswith("bin") else b"text\n" * 100)
+
+    monkeypatch.setattr(walk, "filesystem", lambda path: (Store(), path, ""))
+    asked = pa.RecordBatch.from_pydict({"path": ["a.bin", "b.txt", "c.bin"], "begin": [0, 0, 20_000_000], "stop": [None, None, 30_000_000], "first_line": [1, 1, 1]})
+    rows = [r for b in walk.read_ranges((b"MZ",))([asked]) for r in b.to_pylist()]
+    assert [(r["path"], r["problem"]) for r in rows if r["content"] is None] == [("a.bin", "binary content"), ("b.txt", None), ("c.bin", "binary content")]
+    assert Counting.taken == 2 * walk.HEAD_BYTES + 2 * 500
+    Counting.taken = 0
+    assert [r["problem"] for b in walk.head_tests((b"MZ",))([asked]) for r in b.to_pylist()] == ["binary content", None, "binary content"]
+    assert Counting.taken == 2 * walk.HEAD_BYTES + 500
+
+
+def test_large_folders_are_listed_in_pages(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(walk, "PAGE", 10)
+    put(tmp_path, {f"d/{i}.py": LEAK for i in range(57)} | {"d/sub/x.py": LEAK, "e.py": LEAK})
+    assert len(names(read_files(spark, str(tmp_path)), tmp_path)) == 59
+
+
+def test_what_is_left_out_is_told(spark, tmp_path):
+    put(tmp_path, {"a.py": LEAK, ".git/objects/o": LEAK, "d/b.py": LEAK})
+    (tmp_path / "link").symlink_to(tmp_path / "d", target_is_directory=True)
+    reasons = lambda **asked: {r.file_path.removeprefix(f"{tmp_path}/"): r.reason for r in skipped_files(spark, str(tmp_path), **asked).collect()}
+    told = {".git": "version control", "link": "link to a folder"}
+    assert reasons() == told
+    manifest = spark.createDataFrame([("a.py", "A"), ("gone.py", "M"), ("old.py", "D")], "file_path STRING, status STRING")
+    assert reasons(manifest=manifest) == told | {"gone.py": "missing"}
+
+
+def test_empty_and_unreadable_files(spark, tmp_path):
+    put(tmp_path, {"empty.py": b"", "ok.py": LEAK})
+    (tmp_path / "pipe").symlink_to(tmp_path / "nowhere")
+    assert texts(spark, tmp_path) == {"empty.py": "", "ok.py": LEAK.decode()}
+    assert {r.file_path.removeprefix(f"{tmp_path}/"): r.reason for r in skipped_files(spark, str(tmp_path)).collect()} == {"pipe": "missing"}
+
+
 def test_skipped_files(spark, tmp_path):
     put(tmp_path, {"a.py": LEAK, "nul": b"a\0b"})
     rows = skipped_files(spark, [str(tmp_path), str(tmp_path / "gone")]).collect()
