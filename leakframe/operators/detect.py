@@ -14,7 +14,7 @@ from leakframe.operators.entropy import (
     scored_hits,
 )
 from leakframe.operators.gate import GUARDED_SHAPES, entropy_gate, line_gate, shape_test
-from leakframe.operators.lines import keep_scannable
+from leakframe.operators.lines import scannable
 from leakframe.options import ScanOptions
 from leakframe.rules import Rule
 
@@ -62,9 +62,13 @@ def rule_hits(rules: tuple[Rule, ...], line: str = "line", lower_line: str = "lo
     return F.expr(f"filter(concat({', '.join(branches)}), h -> h.raw_value != '')")
 
 
-def detect(lines: DataFrame, options: ScanOptions) -> DataFrame:
+def detect(lines: DataFrame, options: ScanOptions, note: str | None = None) -> DataFrame:
     """Findings of (file_path, line_number, line) rows, one per match.
 
+    With ``note``, a string column: each row that has one passes as a row
+    without a rule, whose ``raw_value`` is the note. So one pass over files can
+    tell of the files themselves beside their findings.
+
     No shuffle: a line's rule values, its entropy values and the removal of
     entropy values a rule already reported all happen inside the row. The
     columns are ``FINDING_COLUMNS`` plus ``match_order``, the position of the
@@ -72,13 +76,16 @@ def detect(lines: DataFrame, options: ScanOptions) -> DataFrame:
     """
     rules = options.rules
     line = F.col("line")
+    noted = F.lit(False) if note is None else F.col(note).isNotNull()
     gate = line_gate(line, options)
-    candidates = lines if gate is None else lines.where(gate)
+    candidates = lines if gate is None else lines.where(gate if note is None else gate | noted)
     # Once per surviving line, below the projection that uses them many times.
     shared = {"lower_line": F.lower("line")} | {f"has_{s}": shape_test(line, s) for s in GUARDED_SHAPES}
-    candidates = keep_scannable(candidates, options).withColumns(shared)
+    kept = scannable(line, options) if note is None else F.coalesce(scannable(line, options), F.lit(False)) | noted
+    candidates = candidates.where(kept).withColumns(shared)
 
-    hits = candidates.select("file_path", "line_number", "line", rule_hits(rules).alias("rule_hits"))
+    carried = [] if note is None else [note]
+    hits = candidates.select("file_path", "line_number", "line", *carried, rule_hits(rules).alias("rule_hits"))
     found = F.col("rule_hits")
     if options.entropy_enabled:
         fresh = F.array_except(candidate_set(line, options), F.col("rule_hits.raw_value"))
@@ -90,6 +97,9 @@ def detect(lines: DataFrame, options: ScanOptions) -> DataFrame:
     # Exploding an expression, not a column: for a column Spark adds a
     # size(...) > 0 filter that would evaluate all the patterns twice.
     found = F.concat(found, F.array().cast(_HITS))
+    if note is not None:
+        told = F.struct(F.lit(-1).alias("ordinal"), F.col(note).alias("raw_value"), F.lit(None).cast("double").alias("entropy"))
+        found = F.when(noted, F.array(told)).otherwise(found)
     exploded = hits.select("file_path", "line_number", F.posexplode(found).alias("match_order", "hit"))
     findings = _describe(exploded, rules, options)
     return drop_allowlisted_values(findings, options.allowlist)

@@ -121,16 +121,21 @@ class StateTable:
         """
         return self.details(except_batch).select(*STATE_COLUMNS)
 
-    def put(self, rows: DataFrame, batch: str = "") -> None:
-        """Insert or replace by path, which is distinct in ``rows``; putting the same rows again changes nothing."""
-        self._replace(self._bucketed(rows.withColumn("batch", F.lit(batch))))
+    def put(self, rows: DataFrame, batch: str = "", gone: DataFrame | None = None) -> None:
+        """Insert or replace by path, which is distinct in ``rows``; putting the same rows again changes nothing.
+
+        Paths of ``gone``, which are others, are removed in the same change.
+        """
+        change = self._bucketed(rows.withColumn("batch", F.lit(batch)))
+        self._replace(change if gone is None else change.unionByName(self._tombstones(gone)))
 
     def remove(self, paths: DataFrame) -> None:
         """Leave a tombstone for each of the paths that the state knows."""
-        gone = self.details().join(paths.select("file_path"), "file_path", "left_semi").select(
-            "file_path", F.lit(None).cast("string").alias("file_hash"), F.current_timestamp().alias("last_scanned")
-        )
-        self._replace(self._bucketed(gone))
+        self._replace(self._tombstones(paths))
+
+    def _tombstones(self, paths: DataFrame) -> DataFrame:
+        known = self.details().join(paths.select("file_path"), "file_path", "left_semi")
+        return self._bucketed(known.select("file_path", F.lit(None).cast("string").alias("file_hash"), F.current_timestamp().alias("last_scanned")))
 
     def removed(self) -> DataFrame:
         """(file_path, since) of the tombstones."""

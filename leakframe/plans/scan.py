@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakframe.functions.text import fingerprint
-from leakframe.operators.detect import detect
-from leakframe.operators.findings import public_findings
+from leakframe.functions.text import decode_utf8, fold_newlines
+from leakframe.operators.detect import FINDING_COLUMNS, detect
+from leakframe.operators.findings import findings_per_file
 from leakframe.operators.lines import split_lines
-from leakframe.operators.state import StateTable, carry_forward, changed, state_rows
+from leakframe.operators.skew import filter_join
+from leakframe.operators.state import StateTable, carry_forward
 from leakframe.options import ScanOptions
 from leakframe.rules import check_patterns
-from leakframe.sources.files import file_texts, read_files
+from leakframe.sources.files import file_texts, listing, read_files, read_listed
 from leakframe.sources.shared import stored
 from leakframe.sources.tables import texts_of
 
@@ -36,7 +38,7 @@ def scan_files(
 ) -> DataFrame:
     """Findings of a directory tree, a file, or a list of files.
 
-    Keyword arguments (``manifest``, ``path_glob``, ...) go to ``read_files``;
+    Keyword arguments (``manifest``, ``path_glob``, ...) go to ``listing``;
     ``skipped_files`` tells which files were left out and why.
     """
     return scan_texts(file_texts(read_files(spark, path, options, **listing)), options)
@@ -53,10 +55,20 @@ def scan_selected(texts: DataFrame, selected: DataFrame, options: ScanOptions =
     return scan_texts(texts.join(paths, "file_path", "left_semi"), options)
 
 
+#: Times that are younger than this when a folder is listed don't vouch for a file: it may change again within the same tick.
+SETTLED = timedelta(seconds=2)
+
+
 @dataclass(frozen=True)
 class IncrementalScan:
-    """Lazy views of one pass: the files it scans again, their findings (public form), and those of all files."""
+    """Lazy views of one pass.
 
+    ``opened(file_path)`` are the files it read, ``scanned(file_path,
+    file_hash)`` those of them whose content was new, ``findings`` theirs
+    (public form), ``all_findings`` those of all files that are there.
+    """
+
+    opened: DataFrame
     scanned: DataFrame
     findings: DataFrame
     all_findings: DataFrame
@@ -64,41 +76,103 @@ class IncrementalScan:
 
 def scan_changed(
     spark: SparkSession,
-    path: str | list[str],
+    path: str | list[str] | DataFrame,
     state: StateTable,
     findings_path: str,
     options: ScanOptions = ScanOptions(),
     *,
     previous: DataFrame | None = None,
     track_rules: bool = False,
-    **listing,
+    **asked,
 ) -> IncrementalScan:
     """Scan only files whose content is not in the state, then record them.
 
-    The first pass over the files only hashes them; its rows, not the contents,
-    meet the state. The changed paths it finds narrow the listing of the second
-    pass, which opens nothing else. Results go to a new folder of this pass
-    below ``findings_path``, so an earlier pass is never overwritten.
-    ``previous`` are the findings of all files after the last pass
-    (``all_findings``): they are carried on for files that are still there and
-    were not scanned again. Only files that were scanned enter the state. A
-    file that changes between the passes is found changed again next time. With
+    A file whose time and length are as recorded is not opened. The others are
+    read once: what they hold is hashed and scanned in one go, and findings of
+    files that turn out to be the same are left aside. Results go to a new
+    folder of this pass below ``findings_path``, so an earlier pass is never
+    overwritten. ``previous`` are the findings of all files after the last pass
+    (``all_findings``): they are carried on for files that are there and were
+    not scanned again.
+
+    Files that are gone, cannot be read or are not wanted any more leave the
+    state with their findings, so that they are reported again once they are
+    back. A pass that asks for some files only (``manifest``, ``path_glob``,
+    ``modified_after``) leaves what is known of all others as it is. A file
+    with a line too long to be scanned is read in every pass. With
     ``track_rules`` a change of rules or options also makes files new.
     """
-    salt = options.rule_set_id if track_rules else ""
+    rules = options.rule_set_id if track_rules else ""
     folder = f"{findings_path}/pass-{uuid.uuid4().hex}"
 
     def kept(rows: DataFrame, name: str) -> DataFrame:
         rows.write.parquet(f"{folder}/{name}")
         return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
 
-    files = read_files(spark, path, options, **listing)
-    present = kept(files.select("file_path", fingerprint(F.col("content"), salt).alias("file_hash")), "present")
-    scanned = kept(changed(present, state.current()), "scanned")
-    again = read_files(spark, scanned.select(F.col("file_path").alias("path")), options)
-    found = public_findings(scan_texts(file_texts(again), options)).withColumnsRenamed({"file": "file_path", "line": "line_number"})
-    findings = kept(found, "findings")
+    settled = F.lit(datetime.now(timezone.utc) - SETTLED)
+    listed = listing(spark, path, options, **asked)
+    known = state.details().select("file_path", *[F.col(c).alias(f"known_{c}") for c in ("file_hash", "modified", "length", "rules", "findings_count", "last_scanned")])
+    as_recorded = (F.col("modified") == F.col("known_modified")) & (F.col("length") == F.col("known_length")) & (F.col("known_rules") == rules)
+    wanted = kept(
+        listed.where("reason IS NULL").join(known, "file_path", "left")
+        .withColumns({"opened": ~F.coalesce(as_recorded, F.lit(False)), "settled": F.when(F.col("modified") < settled, F.col("modified"))}),
+        "listed",
+    )
+    opened = wanted.where("opened")
+
+    read = _read_and_scanned(opened, options)
+    read = kept(read, "read")
+    files = kept(_judged(read, opened, rules), "files")
+    same, changed, partly = (files.where(F.col("outcome") == x) for x in ("same", "changed", "partly"))
+    found = read.where("rule_id IS NOT NULL").drop("note")
+    findings = kept(filter_join(found, same.unionByName(files.where("outcome = 'lost'")), ["file_path"], "left_anti", ["line_number", "rule_id"]), "findings")
+    untouched = wanted.where("NOT opened").select("file_path")
+    live = untouched.unionByName(files.where("outcome <> 'lost'").select("file_path"))
     earlier = findings.limit(0) if previous is None else previous
-    everything = kept(carry_forward(earlier, findings, scanned, present), "all_findings")
-    state.put(state_rows(scanned, findings))
-    return IncrementalScan(scanned, findings, everything)
+    if asked:
+        # What this pass did not ask for is still there as far as it can tell.
+        others = earlier.select("file_path").distinct().join(listed.select("file_path"), "file_path", "left_anti")
+        present = live.unionByName(others)
+    else:
+        present = live
+    everything = kept(carry_forward(earlier, findings, changed.unionByName(partly), present), "all_findings")
+
+    scanned = findings_per_file(changed, findings, keep=("file_hash", "settled", "length")).withColumn("last_scanned", F.current_timestamp())
+    checked = same.select("file_path", "file_hash", "settled", "length", F.col("known_findings_count").alias("findings_count"), F.col("known_last_scanned").alias("last_scanned"))
+    rows = scanned.unionByName(checked).withColumnRenamed("settled", "modified").withColumn("rules", F.lit(rules))
+    recorded = untouched.unionByName(files.where("outcome IN ('same', 'changed')").select("file_path"))
+    gone = state.details().select("file_path").join(recorded, "file_path", "left_anti")
+    state.put(rows, gone=gone.join(listed.select("file_path"), "file_path", "left_semi") if asked else gone)
+    return IncrementalScan(opened.select("file_path"), changed.select("file_path", "file_hash"), findings, everything)
+
+
+def _read_and_scanned(opened: DataFrame, options: ScanOptions) -> DataFrame:
+    """Findings of files in their public form, and for each byte range read one row without a rule and with a ``note`` on it."""
+    told = F.when(F.col("content").isNull(), F.to_json(F.struct("begin", "hash", "problem"))).alias("note")
+    text = F.coalesce(fold_newlines(decode_utf8(F.col("content"))), F.lit("")).alias("text")
+    pieces = read_listed(opened, options, hashed=True).select("file_path", "first_line", text, told)
+    rows = detect(split_lines(pieces, carry=("note",)), options, note="note")
+    note = F.when(F.col("rule_id").isNull(), F.col("raw_value")).alias("note")
+    return rows.select(*[c for c in FINDING_COLUMNS if c != "raw_value"], note)
+
+
+def _judged(read: DataFrame, opened: DataFrame, rules: str) -> DataFrame:
+    """Opened files with their ``file_hash`` and ``outcome``.
+
+    ``same`` as recorded or ``changed``; ``partly`` scanned for a line that is
+    too long, ``lost`` if unreadable or binary. The hash of a file that was read
+    in several ranges is that of its ranges' hashes.
+    """
+    note = F.from_json("note", "begin LONG, hash STRING, problem STRING")
+    notes = read.where("rule_id IS NULL").select("file_path", note.alias("of")).select("file_path", "of.*")
+    problem = F.col("problem")
+    files = notes.groupBy("file_path").agg(
+        F.count_if(problem.isNotNull() & ~problem.startswith("line ")).alias("lost"), F.count("problem").alias("problems"),
+        F.array_sort(F.collect_list(F.struct("begin", "hash"))).alias("ranges"),
+    )
+    whole = F.sha2(F.array_join(F.col("ranges.hash"), ""), 256)
+    file_hash = F.when(F.size("ranges") == 1, F.get(F.col("ranges.hash"), F.lit(0))).otherwise(whole)
+    joined = files.withColumn("file_hash", file_hash).drop("ranges").join(opened.drop("path", "reason", "opened"), "file_path")
+    as_known = F.coalesce((F.col("file_hash") == F.col("known_file_hash")) & (F.col("known_rules") == rules), F.lit(False))
+    outcome = F.when(F.col("lost") > 0, "lost").when(F.col("problems") > 0, "partly").when(as_known, "same").otherwise("changed")
+    return joined.withColumn("outcome", outcome).drop("lost", "problems")

@@ -21,6 +21,7 @@ CHANGED_STATUSES = ("A", "C", "M")
 # Files of about this many bytes are read by one task; longer ones by several, a range of so many bytes each.
 TASK_BYTES = 128 * 1024 * 1024
 RANGE_BYTES = 128 * 1024 * 1024
+OPEN_BYTES = 64 * 1024
 FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
 
@@ -37,9 +38,9 @@ def list_files(spark: SparkSession, path: str | list[str] | DataFrame) -> DataFr
     levels = [stored(path.select("path").distinct().mapInArrow(walk.stat_paths, walk.ENTRIES), "listing")]
     tasks = 4 * spark.sparkContext.defaultParallelism
     steps = {"folder": walk.list_folders, "name": walk.stat_paths}
-    while kinds := [r.kind for r in levels[-1].where(F.col("kind").isin(*steps)).select("kind").distinct().collect()]:
-        of = lambda kind: levels[-1].where(F.col("kind") == kind).select("path").repartition(tasks, "path")
-        levels.append(stored(reduce(DataFrame.unionByName, [of(k).mapInArrow(steps[k], walk.ENTRIES) for k in kinds]), "listing"))
+    while kinds := levels[-1].where(F.col("kind").isin(*steps)).groupBy("kind").count().collect():
+        of = lambda k: levels[-1].where(F.col("kind") == k.kind).select("path").repartition(min(tasks, k["count"]), "path")
+        levels.append(stored(reduce(DataFrame.unionByName, [of(k).mapInArrow(steps[k.kind], walk.ENTRIES) for k in kinds]), "listing"))
     found = reduce(DataFrame.unionByName, levels).where("kind NOT IN ('folder', 'name')").drop("kind")
     return found.dropDuplicates(["path"])
 
@@ -79,9 +80,10 @@ def _signatures(options: ScanOptions) -> tuple[bytes, ...] | None:
 
 
 def _dealt(wanted: DataFrame, by: list[str]) -> DataFrame:
-    """Rows of a listing over as many tasks as their bytes need."""
-    size = wanted.agg(F.coalesce(F.sum(F.coalesce("length", F.lit(0)) + 64 * 1024), F.lit(0))).first()[0]
-    return wanted.repartition(max(4 * wanted.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)), *by)
+    """Rows of a listing over as many tasks as their bytes need, opening a file counted as ``OPEN_BYTES``."""
+    size = wanted.agg(F.coalesce(F.sum(F.coalesce("length", F.lit(0)) + OPEN_BYTES), F.lit(0))).first()[0]
+    few = min(4 * wanted.sparkSession.sparkContext.defaultParallelism, -(-size // (16 * OPEN_BYTES)))
+    return wanted.repartition(max(few, -(-size // TASK_BYTES), 1), *by)
 
 
 def byte_ranges(wanted: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:

@@ -3,7 +3,9 @@
 import hashlib
 import io
 import json
+import os
 import re
+import time
 from datetime import datetime
 
 import pyarrow as pa
@@ -303,11 +305,6 @@ def test_incremental(spark, tmp_path):
     assert names(third.all_findings, root) == ["clean.py", "clean.py", "leak.py"]
     assert tuple(state.stats(table.current()).first()) == (3, 3)
 
-    (root / "leak.py").rename(tmp_path / "elsewhere.py")
-    fourth = scan_changed(spark, str(root), table, str(tmp_path / "pass1"), previous=third.all_findings)
-    assert names(fourth.all_findings, root) == ["clean.py", "clean.py"]
-    (tmp_path / "elsewhere.py").rename(root / "leak.py")
-
     # Other rules make every file new, but only when rules are tracked.
     strict = ScanOptions(entropy_threshold=4.0)
     assert scan_changed(spark, str(root), table, str(tmp_path / "pass4"), strict).scanned.count() == 0
@@ -315,6 +312,112 @@ def test_incremental(spark, tmp_path):
     assert scan_changed(spark, str(root), table, str(tmp_path / "pass6"), strict, track_rules=True).scanned.count() == 0
 
 
+class Passes:
+    """Passes over a tree, each with the findings of the last one."""
+
+    def __init__(self, spark, tmp_path):
+        self.spark, self.root, self.out, self.last = spark, tmp_path / "tree", str(tmp_path / "passes"), None
+        self.table = StateTable(spark, str(tmp_path / "state"), buckets=2)
+
+    def put(self, files, when=1_700_000_000):
+        put(self.root, files)
+        for name in files:
+            os.utime(self.root / name, (when, when))
+
+    def __call__(self, path=None, options=ScanOptions(), **asked):
+        """Names of files opened, of files scanned, and of all files with findings."""
+        done = scan_changed(self.spark, path or str(self.root), self.table, self.out, options, previous=self.last, **asked)
+        self.last = done.all_findings
+        return tuple(sorted({*names(frame, self.root)}) for frame in (done.opened, done.scanned, done.all_findings))
+
+
+@pytest.fixture
+def passes(spark, tmp_path):
+    return Passes(spark, tmp_path)
+
+
+def test_unchanged_files_are_not_opened(passes):
+    passes.put({"leak.py": LEAK, "clean.py": b"x = 1\n", "d/other.py": LEAK})
+    every = ["clean.py", "d/other.py", "leak.py"]
+    leaks = ["d/other.py", "leak.py"]
+    assert passes() == (every, every, leaks)
+    assert passes() == ([], [], leaks)
+    # Neither time nor length tell of this change, so nothing was opened.
+    passes.put({"clean.py": b"y = 1\n"})
+    assert passes() == ([], [], leaks)
+    # Touched, with the same content: opened and not scanned, and known by its new time from then on.
+    passes.put({"leak.py": LEAK}, when=1_700_000_500)
+    assert passes() == (["leak.py"], [], leaks)
+    assert passes() == ([], [], leaks)
+    passes.put({"leak.py": b"gone\n", "d/new.py": LEAK}, when=1_700_000_900)
+    assert passes() == (["d/new.py", "leak.py"], ["d/new.py", "leak.py"], ["d/new.py", "d/other.py"])
+    # A file that was written a moment ago may be written again within the same tick of the clock.
+    passes.put({"d/new.py": LEAK * 2}, when=time.time())
+    assert passes()[1:] == (["d/new.py"], ["d/new.py", "d/other.py"])
+    assert passes()[:2] == (["d/new.py"], [])
+
+
+def test_restored_files_are_reported_again(passes, tmp_path):
+    passes.put({"leak.py": LEAK, "d/other.py": LEAK})
+    assert passes()[2] == ["d/other.py", "leak.py"]
+    (passes.root / "leak.py").rename(tmp_path / "aside")
+    assert passes() == ([], [], ["d/other.py"])
+    assert [r.file_path.rsplit("/", 1)[1] for r in passes.table.removed().collect()] == ["leak.py"]
+    (tmp_path / "aside").rename(passes.root / "leak.py")
+    assert passes() == (["leak.py"], ["leak.py"], ["d/other.py", "leak.py"])
+    assert passes.table.removed().count() == 0
+
+
+def test_files_that_can_not_be_read_for_one_pass(passes, tmp_path):
+    passes.put({"leak.py": LEAK, "other.py": LEAK})
+    passes()
+    # A link to nowhere stands for a file that can't be read; then it is binary, then ignored.
+    (passes.root / "leak.py").rename(tmp_path / "aside")
+    (passes.root / "leak.py").symlink_to(tmp_path / "nowhere")
+    assert passes()[2] == ["other.py"]
+    (passes.root / "leak.py").unlink()
+    passes.put({"leak.py": b"\0" + LEAK})
+    assert passes() == (["leak.py"], [], ["other.py"])
+    passes.put({"leak.py": LEAK})
+    assert passes() == (["leak.py"], ["leak.py"], ["leak.py", "other.py"])
+    assert passes(options=ScanOptions(ignore_globs=("leak.*",))) == ([], [], ["other.py"])
+    assert passes() == (["leak.py"], ["leak.py"], ["leak.py", "other.py"])
+
+
+def test_ignore_globs_mean_the_same_in_every_pass(passes):
+    """A glob that the folders above the root would match."""
+    above = passes.root.parts[1] + "/"
+    passes.put({"leak.py": LEAK, f"{above}inner.py": LEAK})
+    options = ScanOptions(ignore_globs=(above,))
+    assert passes(options=options) == (["leak.py"], ["leak.py"], ["leak.py"])
+    assert names(scan_files(passes.spark, str(passes.root), options), passes.root) == ["leak.py"]
+
+
+def test_a_pass_over_some_files_leaves_the_others(passes, spark):
+    passes.put({n: LEAK for n in ("a.py", "b.txt", "c.py")})
+    passes()
+    passes.put({"a.py": b"clean"}, when=1_700_000_100)
+    assert passes(path_glob="*.py") == (["a.py"], ["a.py"], ["b.txt", "c.py"])
+    (passes.root / "c.py").unlink()
+    manifest = spark.createDataFrame([("c.py", "M")], "file_path STRING, status STRING")
+    assert passes(manifest=manifest) == ([], [], ["b.txt"])
+    assert passes() == ([], [], ["b.txt"])
+
+
+def test_files_in_ranges_and_lines_too_long(passes, monkeypatch):
+    monkeypatch.setattr(files, "RANGE_BYTES", 500)
+    passes.put({"long.txt": b"word\n" * 400 + LEAK})
+    assert passes() == (["long.txt"], ["long.txt"], ["long.txt"])
+    assert passes() == ([], [], ["long.txt"])
+    passes.put({"long.txt": b"word\n" * 400 + LEAK}, when=1_700_000_100)
+    assert passes() == (["long.txt"], [], ["long.txt"])
+    monkeypatch.setattr(walk, "LINE_BYTES", 300)
+    monkeypatch.setattr(walk, "PIECE_BYTES", 100)
+    passes.put({"partly.txt": b"x" * 900 + b"\n" + LEAK})
+    assert passes() == (["partly.txt"], [], ["long.txt", "partly.txt"])
+    assert passes() == (["partly.txt"], [], ["long.txt", "partly.txt"])
+
+
 def rows(spark, *values):
     frame = spark.createDataFrame([*values], "file_path STRING, file_hash STRING, findings_count BIGINT")
     return frame.withColumn("last_scanned", F.lit("2024-01-01").cast("timestamp")).select(*state.STATE_COLUMNS)
