@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakframe.llm.components import components
-from leakframe.llm.scratch import stored
+from leakframe.llm.scratch import place_of, stored
 from leakframe.llm.tokens import SPACED, grams, pieces, words
 
 BANDS, ROWS = 32, 4  # a pair of similarity 0.8 shares no band with probability (1 - 0.8**4)**32 < 5e-8
@@ -31,7 +31,8 @@ SIMILARITY = 80  # percent
 SHINGLE_WORDS = 5
 REFUTED = 16.0  # log-likelihood by which the best similarity must beat the least wanted one
 FEW_EQUAL = 0.4  # share of equal registers below which a pair's likelihood need not be worked out: it is refuted anyway
-BLOCK = 1024  # members of a bucket compared at a time
+BLOCK = 1024  # members of a bucket compared at a time, and
+BLOCK_BYTES = 16 << 20  # bytes of their sketches and sets; one member at least
 
 _RANDOM = np.random.default_rng(77)
 _FACTORS = _RANDOM.integers(0, 2**64, REGISTERS, np.uint64) | np.uint64(1)
@@ -235,6 +236,30 @@ def _with_roots(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
+def _in_tiles(members: DataFrame) -> DataFrame:
+    """Members of buckets, once for every pair of blocks (low, high) that they are compared in.
+
+    A component that fills more than a block of its bucket is cut into blocks of
+    its own, the small ones share blocks. No pair of blocks lies inside one
+    component, so a large group is copied towards foreign blocks only.
+    """
+    full = lambda rows, size: F.greatest(F.ceil(rows / BLOCK), F.ceil(size / BLOCK_BYTES))
+    size = F.sum(2 * REGISTERS + 8 * F.col("n_shingles"))
+    parts = members.groupBy("bucket", "root").agg(F.count("*").alias("rows"), size.alias("size")).withColumn("blocks", full(F.col("rows"), F.col("size")))
+    shared = parts.where("blocks = 1").groupBy("bucket").agg(full(F.sum("rows"), F.sum("size")).alias("shared"))
+    own = F.xxhash64("root", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    tile = F.when(F.col("blocks") > 1, own).otherwise(F.pmod(F.xxhash64("root"), F.col("shared")))
+    placed = stored(
+        members.join(parts.select("bucket", "root", "blocks").join(shared, "bucket", "left"), ["bucket", "root"])
+        .select("bucket", "band", "node", "root", tile.alias("tile"))
+    )
+    tiles = placed.groupBy("bucket", F.col("tile").alias("low")).agg(F.min("root").alias("least"), F.max("root").alias("largest"))
+    other = tiles.select("bucket", F.col("low").alias("high"), F.col("least").alias("other_least"), F.col("largest").alias("other_largest"))
+    pairs = tiles.join(other, "bucket").where("low <= high and least(least, other_least) <> greatest(largest, other_largest)").select("bucket", "low", "high")
+    sides = pairs.withColumn("tile", F.explode(F.array_distinct(F.array("low", "high"))))
+    return placed.join(sides, ["bucket", "tile"]).select("bucket", "low", "high", "band", "tile", "node", "root")
+
+
 def _links(nodes: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     """Verified links that connect whatever is connected through pairs that share a band.
 
@@ -265,13 +290,7 @@ def _links(nodes: DataFrame, texts: DataFrame, shingle_words: int, percent: int)
         tried = pairs if tried is None else tried.unionByName(pairs)
         rooted = stored(_with_roots(members, links))
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select("bucket")
-    tiles = F.ceil(F.col("members") / BLOCK)
-    tile = F.pmod(F.xxhash64("node"), tiles)
-    spread = (
-        rooted.join(mixed, "bucket", "left_semi").select("bucket", "band", "node", "root", tile.alias("tile"), tiles.alias("tiles"))
-        .withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-        .select("bucket", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"), "band", "tile", "node", "root")
-    )
+    spread = _in_tiles(rooted.join(mixed, "bucket", "left_semi").join(nodes.select("node", "n_shingles"), "node"))
     # The work is not in the bytes, so tasks must not be merged by their size.
     tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sketches = nodes.select("node", "n_shingles", "registers")
@@ -284,7 +303,7 @@ def _links(nodes: DataFrame, texts: DataFrame, shingle_words: int, percent: int)
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS, percent: int = SIMILARITY) -> DataFrame:
-    """Every row's ``key``, ``place`` (hash of key and text), ``n_shingles``, ``component_id`` and ``kept``.
+    """Every row's ``key``, ``place`` (128-bit hash of key and text), ``n_shingles``, ``component_id`` and ``kept``.
 
     Rows are linked if their shingle sets are at least ``percent`` similar;
     ``component_id`` is the smallest key a row reaches. ``kept`` marks one row
@@ -294,10 +313,10 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_wor
     part; ``component_id`` is null where no row with a key is linked to it.
     """
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("place", F.xxhash64("key", "text"))
+    rows = rows.withColumn("place", place_of("key", "text"))
     kind = rows.schema["key"].dataType.simpleString()
     table = stored(
-        rows.mapInArrow(_sketches(shingle_words), f"key {kind}, place long, n_shingles long, mark string, registers binary")
+        rows.mapInArrow(_sketches(shingle_words), f"key {kind}, place binary, n_shingles long, mark string, registers binary")
         .withColumn("row", F.monotonically_increasing_id())
     )
     full = table.where("n_shingles > 0")
@@ -317,7 +336,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_wor
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS, percent: int = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each group of near copies, that of the smallest key; rows without words all stay."""
     stay = groups(docs.select(key, text), key, text, shingle_words, percent).where("kept").groupBy("place").agg((F.max("n_shingles") > 0).alias("_worded"))
-    place = F.xxhash64(key, F.coalesce(F.col(text).cast("string"), F.lit("")))
+    place = place_of(key, text)
     left = docs.withColumn("_place", place).join(stay.withColumnRenamed("place", "_place").hint("merge"), "_place")
     # Rows with the same key and text can't be told apart by their place.
     copy = F.when(F.col("_worded"), F.lit(0).cast("long")).otherwise(F.monotonically_increasing_id())

@@ -5,7 +5,8 @@ from __future__ import annotations
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,6 +23,13 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def place_of(key: str, text: str) -> Column:
+    """128 bits that rows share if they have the same key and text; a null key is a key, a null text is the empty one."""
+    named = F.when(F.col(key).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(key).cast("string")))
+    text = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return F.unhex(F.md5(F.concat(F.length(named).cast("string"), named, text).cast("binary")))
+
+
 def ready(spark: SparkSession) -> SparkSession:
     """Let Python workers of a local session import this package, wherever it was started; clusters get it by --py-files."""
     if spark.sparkContext.master.startswith(("local[", "local*")) or spark.sparkContext.master == "local":

@@ -102,6 +102,28 @@ def test_a_hub_joins_copies_that_are_not_alike_among_themselves(spark, prose, mo
     assert {r.component_id for r in got} == {0}
 
 
+@pytest.mark.parametrize("block_bytes", [near.BLOCK_BYTES, 4000])
+def test_tiles_leave_large_components_among_themselves(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(near, "BLOCK", 8)
+    monkeypatch.setattr(near, "BLOCK_BYTES", block_bytes)
+    rng, roots = random.Random(4), [0] * 90 + [1000] * 20 + [2000, 2000, 3000, 4000]
+    members = [(1, 5, 10_000 + i, r, 20) for i, r in enumerate(roots)] + [(2, 6, 20_000 + i, 7 if i else 8, 3) for i in range(500)]
+    rng.shuffle(members)
+    rows = near._in_tiles(spark.createDataFrame(members, "bucket long, band int, node long, root long, n_shingles long")).collect()
+    root = {m[2]: m[3] for m in members}
+    met = set()
+    for tile in {(r.bucket, r.low, r.high) for r in rows}:
+        inside = [r for r in rows if (r.bucket, r.low, r.high) == tile]
+        assert len({r.root for r in inside}) > 1
+        left, right = ([r.node for r in inside if r.tile == side] for side in tile[1:])
+        met |= {frozenset((a, b)) for a in left for b in right if root[a] != root[b]}
+    for bucket in (1, 2):
+        nodes = [m[2] for m in members if m[0] == bucket]
+        assert {frozenset((a, b)) for a in nodes for b in nodes if root[a] != root[b]} <= met
+    # One stray copies each of the others once, itself once for each of their blocks.
+    assert sum(r.bucket == 2 for r in rows) < 500 + 500
+
+
 def test_near_groups_of_odd_tables(messy, empty):
     docs, rows = messy
     assert len(near.groups(docs).collect()) == len(rows)
