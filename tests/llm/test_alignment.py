@@ -108,5 +108,17 @@ def test_long_texts_go_to_the_tokenizer_in_parts(prose, monkeypatch):
     assert by.encode([text]) == whole
 
 
+def test_the_faster_encoder_gives_the_same_ids(prose):
+    by = alignment.ByteTokens(open(BYTE, "rb").read())
+    assert by.fast is not None
+    some = ["a", "1", " ", "!", "\n", "'", "é", "Ä", "²", "\u00a0", "\x1c", "\x85", "ʰ", "\u0301"]
+    texts = ["".join(x + c for x in some) + c + c + "  " + c + "s" for c in map(chr, range(0x370))]
+    texts += [a + b + c for a in some for b in some for c in some] + [prose(3, 300), "x" * 3000, " " * 900 + "a", "it's we'LL 've"]
+    texts = [t for t in texts if alignment._LATIN.fullmatch(t)]
+    fast = by.encode(texts)
+    by.fast = None
+    assert by.encode(texts) == fast and len(texts) > 3500
+
+
 def test_an_empty_table(empty):
     assert alignment.align(empty, BYTE, PIECE).collect() == []
