@@ -56,13 +56,16 @@ worded AS (
   SELECT doc_id, number, array_to_string(w, ' ') AS line, row_number() OVER o AS i, sum(len(w)) OVER o AS upto, len(w) AS words
   FROM split WHERE len(w) > 0 WINDOW o AS (PARTITION BY doc_id ORDER BY number)
 ),
+long AS (
+  SELECT a.doc_id, a.i AS first_i, b.i AS last_i FROM worded AS a JOIN worded AS b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.words >= 50
+),
 ends AS (
-  SELECT a.doc_id, a.i, a.number AS first, min(b.i) AS last_i
-  FROM worded AS a JOIN worded AS b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.words >= 50 GROUP BY a.doc_id, a.i, a.number
+  SELECT doc_id, first_i, min(last_i) AS last_i FROM long GROUP BY doc_id, first_i
+  UNION SELECT doc_id, max(first_i), last_i FROM long GROUP BY doc_id, last_i
 ),
 windows AS (
-  SELECT e.doc_id, e.first, max(w.number) AS last, string_agg(w.line, chr(10) ORDER BY w.i) AS content
-  FROM ends AS e JOIN worded AS w ON w.doc_id = e.doc_id AND w.i BETWEEN e.i AND e.last_i GROUP BY e.doc_id, e.first
+  SELECT e.doc_id, min(w.number) AS first, max(w.number) AS last, string_agg(w.line, chr(10) ORDER BY w.i) AS content
+  FROM ends AS e JOIN worded AS w ON w.doc_id = e.doc_id AND w.i BETWEEN e.first_i AND e.last_i GROUP BY e.doc_id, e.first_i, e.last_i
 ),
 later AS (SELECT doc_id, first, last FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, first) AS k FROM windows) AS r WHERE k > 1),
 gone AS (SELECT DISTINCT doc_id, number FROM later, unnest(generate_series(first, last)) AS t(number)),

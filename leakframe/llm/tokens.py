@@ -26,6 +26,7 @@ _RANDOM = np.random.default_rng(20240611)
 _BYTE = _RANDOM.integers(0, 2**64, 256, np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _GRAM = _RANDOM.integers(0, 2**64, 64, np.uint64) | np.uint64(1)
+_OTHER_BYTE = _RANDOM.integers(0, 2**64, 256, np.uint64)
 
 
 def _powers(n: int) -> np.ndarray:
@@ -44,15 +45,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the non-empty, ascending, disjoint byte ranges ``data[starts:ends]``."""
+def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: bool = False) -> np.ndarray:
+    """Hashes of the non-empty, ascending, disjoint byte ranges ``data[starts:ends]``; ``other`` ones are independent of the first."""
     if not len(starts):
         return np.empty(0, np.uint64)
     lengths = ends - starts
     first = np.cumsum(lengths) - lengths
     within = np.arange(first[-1] + lengths[-1]) - np.repeat(first, lengths)
     powers = _POW if (longest := int(lengths.max())) <= len(_POW) else _powers(longest)
-    terms = _BYTE[data[within + np.repeat(starts, lengths)]] * powers[within]
+    terms = (_OTHER_BYTE if other else _BYTE)[data[within + np.repeat(starts, lengths)]] * powers[within]
     return mix(np.add.reduceat(terms, first) + lengths.astype(np.uint64))
 
 

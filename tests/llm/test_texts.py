@@ -213,20 +213,24 @@ def plain_runs(texts, least):
     for text in texts:
         lines = [(i, tuple(re.findall(SPACED, lower(line)))) for i, line in enumerate((text or "").split("\n"))]
         lines, gone = [x for x in lines if x[1]], set()
-        for a in range(len(lines)):
-            total = 0
-            for b in range(a, len(lines)):
-                total += len(lines[b][1])
-                if total >= least:
-                    window = tuple(line for _, line in lines[a : b + 1])
-                    if window in seen:
-                        gone.update(range(lines[a][0], lines[b][0] + 1))
-                    seen.add(window)
-                    break
+        long = [(a, b) for a in range(len(lines)) for b in range(a, len(lines)) if sum(len(x[1]) for x in lines[a : b + 1]) >= least]
+        shortest = {(a, min(b for x, b in long if x == a)) for a, _ in long} | {(max(a for a, x in long if x == b), b) for _, b in long}
+        for a, b in sorted(shortest):
+            window = tuple(line for _, line in lines[a : b + 1])
+            if window in seen:
+                gone.update(range(lines[a][0], lines[b][0] + 1))
+            seen.add(window)
         out.append(gone)
     return out
 
 
+def test_a_repeated_run_goes_to_its_last_line(spark, prose):
+    run = [" ".join(prose(s, n).split()) for s, n in ((1, 30), (2, 25), (3, 10), (4, 3))]
+    texts = ["\n".join([*run, "other end"]), "\n".join(["own start", *run, "another end"]), "\n".join(run[1:] + ["short of fifty"])]
+    got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: texts[0], 1: "own start\nanother end", 2: texts[2]}
+
+
 @pytest.mark.parametrize("least", [1, 10, 50])
 def test_line_runs_are_those_of_brute_force(spark, prose, least):
     rng = random.Random(least)
@@ -300,7 +304,7 @@ def test_archives_give_back_all_pages(spark, pages, tmp_path, monkeypatch):
     table, rows = pages
     folder = str(tmp_path / "w")
     warc._make(folder)
-    files = warc.archive(table.withColumn("key", F.lit(1)), folder, index_files=5, block_lines=3)
+    files = warc.archive(table.withColumn("key", F.lit(1)), folder, index_captures=10, block_lines=3)
     assert files.agg(F.sum("captures")).first()[0] == len(rows)
     got = warc.read(warc.lookup(table, folder, files), folder).collect()
     largest = {}
@@ -322,7 +326,7 @@ def test_lookups_read_captures_of_one_url(spark, pages, tmp_path):
     table, rows = pages
     folder = str(tmp_path / "w")
     warc._make(folder)
-    files = warc.archive(table, folder, index_files=4, block_lines=2)
+    files = warc.archive(table, folder, index_captures=5, block_lines=2)
     asked = spark.createDataFrame([("http://x.org/a",), ("http://www.X.org:80/",), ("http://nowhere.org/",)], "url string")
     got = warc.read(warc.lookup(asked, folder, files, exact=False), folder).collect()
     assert sorted((r.url, r.page_id or -1) for r in got) == [("http://x.org/", -1), ("http://x.org/a", 63), ("http://x.org/a", 63)]
