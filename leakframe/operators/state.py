@@ -124,9 +124,10 @@ class StateTable:
     def put(self, rows: DataFrame, batch: str = "", gone: DataFrame | None = None) -> None:
         """Insert or replace by path, which is distinct in ``rows``; putting the same rows again changes nothing.
 
+        ``batch`` names who wrote them, unless ``rows`` have that column.
         Paths of ``gone``, which are others, are removed in the same change.
         """
-        change = self._bucketed(rows.withColumn("batch", F.lit(batch)))
+        change = self._bucketed(rows if "batch" in rows.columns else rows.withColumn("batch", F.lit(batch)))
         self._replace(change if gone is None else change.unionByName(self._tombstones(gone)))
 
     def remove(self, paths: DataFrame) -> None:

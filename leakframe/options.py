@@ -38,13 +38,17 @@ class ScanOptions:
     ``allowlist`` holds values that are never reported (any case); long lists
     belong in a table, see ``operators.allowlist``. ``rule_ids`` narrows the
     catalog below the group toggles. ``max_file_bytes`` leaves larger files out,
-    as rows with a reason; by default there is no cap.
+    as rows with a reason; by default there is no cap. The last four say what
+    ``plans.scan.scan_configured`` does: nothing unless ``enabled``, only changed
+    files if ``cache_enabled`` and there is a ``cache_path`` for the state, and a
+    report if there is a ``report_path``.
     """
 
     rule_groups: tuple[str, ...] = RULE_GROUPS
     rule_ids: tuple[str, ...] | None = None
     custom_rules: tuple[Rule, ...] = ()
     entropy_enabled: bool = True
+    # The default thresholds and lengths.
     entropy_threshold: float = 4.5
     hex_entropy_threshold: float = 3.0
     min_length: int = 12
@@ -58,6 +62,10 @@ class ScanOptions:
     binary_signatures: tuple[bytes, ...] = BINARY_SIGNATURES
     max_file_bytes: int | None = None
     block_level: str = "HIGH"
+    enabled: bool = True
+    cache_enabled: bool = True
+    cache_path: str | None = None
+    report_path: str | None = None
 
     def __post_init__(self):
         unknown = set(self.rule_groups) - set(RULE_GROUPS)
@@ -80,7 +88,7 @@ class ScanOptions:
         shown = [
             f"{f.name}={getattr(self, f.name)!r}"
             for f in fields(self)
-            if f.name not in ("rule_groups", "rule_ids", "custom_rules", "block_level")
+            if f.name not in ("rule_groups", "rule_ids", "custom_rules", "block_level", "enabled", "cache_enabled", "cache_path", "report_path")
         ]
         return hashlib.sha256(repr((shown, self.rules)).encode()).hexdigest()
 
@@ -89,6 +97,9 @@ class ScanOptions:
         known = {"rules": set(RULE_GROUPS)}
         for section, name, *_ in _SECTIONS:
             known.setdefault(section, set()).add(name)
+        sections = dict(sections)
+        top = {"": {"enabled": sections.pop("enabled")}} if "enabled" in sections else {}
+        sections |= top
         for section, values in sections.items():
             unknown = {section} - known.keys() or set(values) - known[section]
             if unknown:
@@ -105,8 +116,12 @@ class ScanOptions:
         return replace(self, **changes)
 
 
-# Section and option names of the nested form.
+# Section and option names of the nested form; ``enabled`` stands outside the sections.
 _SECTIONS = (
+    ("", "enabled", "enabled", bool),
+    ("cache", "enabled", "cache_enabled", bool),
+    ("cache", "path", "cache_path", str),
+    ("reporting", "output_dir", "report_path", str),
     ("scanning", "max_file_size_mb", "max_file_bytes", lambda mb: int(mb * 1024 * 1024)),
     ("scanning", "skip_binary", "skip_binary", bool),
     ("entropy", "enabled", "entropy_enabled", bool),

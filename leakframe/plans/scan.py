@@ -19,6 +19,7 @@ from leakframe.options import ScanOptions
 from leakframe.rules import check_patterns
 from leakframe.sources.files import file_texts, listing, read_files, read_listed
 from leakframe.sources.shared import stored
+from leakframe.sources.sinks import write_report
 from leakframe.sources.tables import texts_of
 
 
@@ -55,6 +56,9 @@ def scan_selected(texts: DataFrame, selected: DataFrame, options: ScanOptions =
     return scan_texts(texts.join(paths, "file_path", "left_semi"), options)
 
 
+_PASS = "pass-"
+FINDINGS_WRITTEN = "file_path STRING, line_number INT, rule_id STRING, description STRING, severity STRING, matched_value STRING, detection_method STRING"
+
 #: Times that are younger than this when a folder is listed don't vouch for a file: it may change again within the same tick.
 SETTLED = timedelta(seconds=2)
 
@@ -103,7 +107,8 @@ def scan_changed(
     ``track_rules`` a change of rules or options also makes files new.
     """
     rules = options.rule_set_id if track_rules else ""
-    folder = f"{findings_path}/pass-{uuid.uuid4().hex}"
+    name = uuid.uuid4().hex
+    folder = f"{findings_path}/{_PASS}{name}"
 
     def kept(rows: DataFrame, name: str) -> DataFrame:
         rows.write.parquet(f"{folder}/{name}")
@@ -111,7 +116,7 @@ def scan_changed(
 
     settled = F.lit(datetime.now(timezone.utc) - SETTLED)
     listed = listing(spark, path, options, **asked)
-    known = state.details().select("file_path", *[F.col(c).alias(f"known_{c}") for c in ("file_hash", "modified", "length", "rules", "findings_count", "last_scanned")])
+    known = state.details().select("file_path", *[F.col(c).alias(f"known_{c}") for c in ("file_hash", "modified", "length", "rules", "findings_count", "last_scanned", "batch")])
     as_recorded = (F.col("modified") == F.col("known_modified")) & (F.col("length") == F.col("known_length")) & (F.col("known_rules") == rules)
     wanted = kept(
         listed.where("reason IS NULL").join(known, "file_path", "left")
@@ -137,8 +142,8 @@ def scan_changed(
         present = live
     everything = kept(carry_forward(earlier, findings, changed.unionByName(partly), present), "all_findings")
 
-    scanned = findings_per_file(changed, findings, keep=("file_hash", "settled", "length")).withColumn("last_scanned", F.current_timestamp())
-    checked = same.select("file_path", "file_hash", "settled", "length", F.col("known_findings_count").alias("findings_count"), F.col("known_last_scanned").alias("last_scanned"))
+    scanned = findings_per_file(changed, findings, keep=("file_hash", "settled", "length")).withColumns({"last_scanned": F.current_timestamp(), "batch": F.lit(name)})
+    checked = same.select("file_path", "file_hash", "settled", "length", F.col("known_findings_count").alias("findings_count"), F.col("known_last_scanned").alias("last_scanned"), F.col("known_batch").alias("batch"))
     rows = scanned.unionByName(checked).withColumnRenamed("settled", "modified").withColumn("rules", F.lit(rules))
     recorded = untouched.unionByName(files.where("outcome IN ('same', 'changed')").select("file_path"))
     gone = state.details().select("file_path").join(recorded, "file_path", "left_anti")
@@ -146,6 +151,40 @@ def scan_changed(
     return IncrementalScan(opened.select("file_path"), changed.select("file_path", "file_hash"), findings, everything)
 
 
+def current_findings(spark: SparkSession, findings_path: str, state: StateTable) -> DataFrame:
+    """Findings of all content that the state holds, out of the passes below ``findings_path``.
+
+    A file's findings are those of the pass that scanned what it holds now, so a
+    pass that was repeated counts once. Files with a line too long to be scanned
+    are not in the state.
+    """
+    written = spark.read.schema(f"{FINDINGS_WRITTEN}").option("basePath", findings_path).option("pathGlobFilter", "part-*")
+    found = written.parquet(f"{findings_path}/{_PASS}*/findings").withColumn("batch", F.regexp_extract(F.input_file_name(), f"/{_PASS}([0-9a-f]+)/", 1))
+    held = state.details().select("file_path", "batch")
+    return found.join(held, ["file_path", "batch"], "left_semi").drop("batch")
+
+
+def scan_configured(spark: SparkSession, path: str | list[str] | DataFrame, options: ScanOptions, **asked) -> DataFrame:
+    """Findings of all files there, in their public form, the way ``options`` ask for it.
+
+    Switched off there are none. With a state (``cache_path``) only changed files
+    are scanned and the findings of the others come from earlier passes, which
+    are kept beside it; a change of rules or options counts as one. A report is
+    written where ``report_path`` says.
+    """
+    if not options.enabled:
+        return spark.createDataFrame([], FINDINGS_WRITTEN)
+    if options.cache_enabled and options.cache_path:
+        state, out = StateTable(spark, f"{options.cache_path}/state"), f"{options.cache_path}/passes"
+        scan_changed(spark, path, state, out, options, track_rules=True, **asked)
+        found = current_findings(spark, out, state)
+    else:
+        found = scan_files(spark, path, options, **asked).select(*[c for c in FINDING_COLUMNS if c != "raw_value"])
+    if options.report_path:
+        write_report(found, options.report_path, options.block_level)
+    return found
+
+
 def _read_and_scanned(opened: DataFrame, options: ScanOptions) -> DataFrame:
     """Findings of files in their public form, and for each byte range read one row without a rule and with a ``note`` on it."""
     told = F.when(F.col("content").isNull(), F.to_json(F.struct("begin", "hash", "problem"))).alias("note")

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from leakframe.functions.text import fingerprint
+from leakframe.operators.bitmap import bitmap, with_possible
 from leakframe.operators.findings import public_findings, summary
+from leakframe.operators.skew import filter_join
 from leakframe.operators.state import StateTable, changed, state_rows
 from leakframe.options import ScanOptions
-from leakframe.plans.scan import scan_texts
+from leakframe.plans.scan import scan_changed, scan_texts
 from leakframe.severity import SEVERITIES, severity_rank
 from leakframe.sources.shared import stored
 from leakframe.sources.tables import texts_of
@@ -43,13 +45,16 @@ def gate_batch(rows: DataFrame, key: str, text: str, out: str, batch_id: int, op
     blocked = findings.where(severity_rank(F.col("severity")) >= rank).select(
         F.coalesce("file_path", F.lit("")).alias("_key")
     )
-    # The verdict is worked out on keys; texts meet it once, and both sides come from one pass over them.
-    blocked = stored(blocked.distinct(), "blocked").withColumn("quarantined", F.lit(True))
+    blocked = stored(blocked.distinct(), "blocked")
     keyed = rows.withColumn("_key", F.coalesce(F.col(key).cast("string"), F.lit("")))
-    judged = keyed.join(blocked, "_key", "left").withColumn("_side", F.when(F.col("quarantined"), "quarantine").otherwise("clean"))
-    judged = stored(judged.select(*rows.columns, "_side"), "judged")
-    for side in ("quarantine", "clean"):
-        judged.where(F.col("_side") == side).drop("_side").write.mode("overwrite").parquet(f"{out}/{side}/{part}")
+    # Nearly all texts are told clean where they are; only those whose key may be blocked meet the blocked keys.
+    judged = with_possible(keyed, F.col("_key"), stored(bitmap(blocked, "_key"), "blocked-bits"), "_possible")
+    possible = stored(judged.where("_possible"), "possible")
+    spread_by = ["_key", text]
+    held = filter_join(possible, blocked, ["_key"], "left_semi", spread_by)
+    passed = filter_join(possible, blocked, ["_key"], "left_anti", spread_by)
+    for side, part_of in (("quarantine", held), ("clean", judged.where("NOT _possible").unionByName(passed))):
+        part_of.select(*rows.columns).write.mode("overwrite").parquet(f"{out}/{side}/{part}")
 
 
 def stream_gate(
@@ -74,7 +79,10 @@ def skip_seen_batch(
     keys = hashed.select("file_path", "file_hash").distinct()
     changed(keys, state.current(except_batch=tag)).write.mode("overwrite").parquet(f"{out}/scanned/{part}")
     scanned = spark.read.parquet(f"{out}/scanned/{part}")
-    fresh = hashed.join(scanned, ["file_path", "file_hash"], "left_semi")
+    named = stored(scanned.select(F.xxhash64("file_path", "file_hash").alias("_name")), "scanned")
+    possible = with_possible(hashed.withColumn("_name", F.xxhash64("file_path", "file_hash")), F.col("_name"), stored(bitmap(named, "_name"), "scanned-bits"), "_possible")
+    # Texts that are known already go no further; the others meet the keys that are new.
+    fresh = possible.where("_possible").drop("_name", "_possible").join(scanned, ["file_path", "file_hash"], "left_semi")
     public_findings(scan_texts(fresh, options)).write.mode("overwrite").parquet(f"{out}/findings/{part}")
     findings = spark.read.parquet(f"{out}/findings/{part}").withColumnRenamed("file", "file_path")
     # One row per path: of several contents of one path the greatest hash is recorded.
@@ -82,6 +90,19 @@ def skip_seen_batch(
     state.put(state_rows(latest, findings), batch=tag)
 
 
+def watch_files(spark: SparkSession, path: str, state: StateTable, out: str, options: ScanOptions = ScanOptions(), **asked) -> DataStreamWriter:
+    """Writer that scans a tree at every trigger: all files, hidden and empty ones included, that are new, changed or back.
+
+    Tasks list the folders, as for a batch, and meet the state there; the stream
+    only keeps time, and ``trigger(availableNow=True)`` takes one turn. A turn
+    that is repeated after a failure opens what the state does not hold yet.
+    Each turn writes its findings below ``out``, see ``scan_changed``;
+    ``current_findings`` are those of the content that is there now.
+    """
+    clock = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1).load()
+    return clock.writeStream.foreachBatch(lambda tick, turn: scan_changed(spark, path, state, out, options, **asked) and None)
+
+
 def stream_skip_seen(
     stream: DataFrame, key: str, text: str, out: str, state: StateTable, options: ScanOptions = ScanOptions(),
     name: str = "stream",

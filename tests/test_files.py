@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from leakframe import ScanOptions, StateTable, scan_changed, scan_files, write_findings, write_report
+from leakframe import ScanOptions, StateTable, scan_changed, scan_configured, scan_files, write_findings, write_report
 from leakframe.functions import paths, text
 from leakframe.operators import findings as roll
 from leakframe.operators import state
@@ -312,6 +312,24 @@ def test_incremental(spark, tmp_path):
     assert scan_changed(spark, str(root), table, str(tmp_path / "pass6"), strict, track_rules=True).scanned.count() == 0
 
 
+def test_scan_as_configured(spark, tmp_path):
+    put(tmp_path / "in", {"a.py": LEAK, "b.py": LEAK})
+    def scanned(**sections):
+        options = ScanOptions().override(sections)
+        return names(scan_configured(spark, str(tmp_path / "in"), options), tmp_path / "in")
+    assert scanned() == ["a.py", "b.py"] and scanned(enabled=False) == []
+    cache = {"path": str(tmp_path / "cache")}
+    assert scanned(cache={**cache, "enabled": False}, reporting={"output_dir": str(tmp_path / "report")}) == ["a.py", "b.py"]
+    assert not (tmp_path / "cache").exists() and written(tmp_path / "report" / "summary")[0]["summary"]["total"] == 2
+    assert scanned(cache=cache) == scanned(cache=cache) == ["a.py", "b.py"]
+    (tmp_path / "in" / "a.py").unlink()
+    put(tmp_path / "in", {"c.py": LEAK})
+    assert scanned(cache=cache) == ["b.py", "c.py"]
+    assert scanned(cache=cache, rules={"aws": False}, entropy={"enabled": False}) == []
+    with pytest.raises(ValueError, match="unknown options"):
+        ScanOptions().override({"cache": {"nosuch": 1}})
+
+
 class Passes:
     """Passes over a tree, each with the findings of the last one."""
 

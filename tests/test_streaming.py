@@ -1,9 +1,12 @@
 """Streams against batch on the same input."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
-from leakframe import ScanOptions, StateTable, scan_stream, scan_table, scan_texts, stream_gate, stream_skip_seen
+from leakframe import ScanOptions, StateTable, current_findings, scan_stream, scan_table, scan_texts, stream_gate, stream_skip_seen, watch_files
+from leakframe.operators.bitmap import bitmap, with_possible
 from leakframe.operators.findings import public_findings
 from leakframe.sources.files import file_texts, read_file_stream, read_files
 from leakframe.streaming.gate import gate_batch, skip_seen_batch
@@ -43,6 +46,50 @@ def test_file_stream(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "out")).select(batch.columns)) == rows(batch) != []
 
 
+def test_a_watched_tree(spark, tmp_path):
+    """Hidden and empty files, and those with old times, are seen as by a batch; each turn opens what is new."""
+    root, out = tmp_path / "in", str(tmp_path / "out")
+    state = StateTable(spark, str(tmp_path / "state"), buckets=2)
+
+    def turn(**files):
+        for name, text in files.items():
+            target = root / name.replace("__", "/").replace("DOT", ".")
+            target.parent.mkdir(parents=True, exist_ok=True)
+            target.write_text(text)
+            os.utime(target, (1_600_000_000, 1_600_000_000))
+        run(watch_files(spark, str(root), state, out), tmp_path / "cp")
+        batch = public_findings(scan_texts(file_texts(read_files(spark, str(root)))))
+        found = current_findings(spark, out, state).withColumnsRenamed({"file_path": "file", "line_number": "line"})
+        assert rows(found.select(batch.columns)) == rows(batch)
+        return {r.file_path.removeprefix(f"{root}/"): r.batch for r in state.details().collect()}
+
+    first = turn(DOTenv=f"k = {KEY}", d___xDOTpy=f"a\r\nk = {KEY}", empty="", bDOTpng=KEY)
+    assert first.keys() == {".env", "d/_x.py", "empty"}
+    second = turn(DOTnewDOTtxt=f"k = {KEY}")
+    assert second.keys() - first.keys() == {".new.txt"} and all(second[n] == first[n] for n in first)
+    (root / ".env").unlink()
+    assert turn().keys() == {"d/_x.py", "empty", ".new.txt"}
+
+
+def test_possible_keys_are_all_found(spark):
+    keys = spark.range(0, 300, 3).select(F.concat(F.lit("k"), "id").alias("k")).union(spark.createDataFrame([("",)], "k STRING"))
+    every = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("k"), F.lit("t").alias("text"), "id")
+    told = with_possible(every, F.col("k"), bitmap(keys, "k"), "hit")
+    assert told.columns == ["k", "text", "id", "hit"]
+    hits = {r.id for r in told.where("hit").collect()}
+    assert hits >= {*range(0, 300, 3)} and len(hits) < 110
+    none = with_possible(every, F.col("k"), bitmap(keys.limit(0), "k"), "hit")
+    assert none.where("hit").count() == 0 and none.count() == 3000
+
+
+def test_clean_texts_are_not_moved(spark):
+    """Rows whose key can't be blocked meet only a broadcast of bounded size."""
+    keys = spark.range(1000).select(F.col("id").cast("string").alias("k"))
+    plan = with_possible(spark.range(10).select(F.col("id").cast("string").alias("k"), F.lit("t").alias("text")), F.col("k"), bitmap(keys, "k"), "hit").where("NOT hit")
+    shown = plan._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in shown and not any("text" in line for line in shown.split("\n") if "Exchange" in line)
+
+
 @pytest.mark.parametrize("level", ["HIGH", "LOW", "CRITICAL"])
 def test_gate(spark, tmp_path, level):
     options = ScanOptions(block_level=level)
