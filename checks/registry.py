@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,14 +14,14 @@ from leakframe.functions import paths, text
 from leakframe.operators import entropy, filefilter, findings, lines, state
 from leakframe.operators.allowlist import drop_allowlisted
 from leakframe.options import ScanOptions
-from leakframe.plans.scan import scan_changed, scan_files, scan_selected, scan_texts
+from leakframe.plans.scan import current_findings, scan_changed, scan_files, scan_selected, scan_texts
 from leakframe.rules import BUILTIN_RULES, Rule, rule_catalog
 from leakframe.severity import severity_level, severity_rank
-from leakframe.sources.files import changed_paths, ignore_patterns, skipped_files
+from leakframe.sources.files import changed_paths, file_rows, ignore_patterns, read_files, skipped_files
 from leakframe.sources.shared import shared_folder
 from leakframe.sources.sinks import write_findings, write_report
 from leakframe.sources.tables import read_texts, spread
-from leakframe.streaming.gate import scan_stream, stream_gate, stream_skip_seen
+from leakframe.streaming.gate import scan_stream, stream_gate, stream_skip_seen, watch_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -708,19 +709,33 @@ def scan_files_tree(spark, sf_dir):
     return inside(scan_files(spark, folder), folder).select(*FINDING)
 
 
-@register("scan_files_glob", sql.scan(f"SELECT * FROM ({TREE}) AS t WHERE file_path LIKE '%7.py'"))
+# The kind of a file follows the customer's market segment.
+_KIND = "CASE c_mktsegment WHEN 'BUILDING' THEN '.cfg' WHEN 'MACHINERY' THEN '.yaml' ELSE '.py' END"
+
+
+def segment_texts(spark, sf_dir):
+    segments = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    keyed = files(spark, sf_dir).withColumn("c_custkey", F.regexp_extract("file_path", "([0-9]+)", 1).cast("long"))
+    return keyed.join(segments, "c_custkey").select(F.expr(f"replace(file_path, '.py', {_KIND})").alias("file_path"), "text", "c_mktsegment")
+
+
+SEGMENT_FILES = f"""SELECT replace(file_path, '.py', {_KIND}) AS file_path, text, c_mktsegment
+FROM ({FILES}) AS f JOIN customer AS c ON CAST(regexp_extract(file_path, '([0-9]+)', 1) AS BIGINT) = c.c_custkey"""
+
+
+@register("scan_files_glob", sql.scan(f"SELECT file_path, text FROM ({SEGMENT_FILES}) AS t WHERE file_path LIKE '%.cfg'"))
 def scan_files_glob(spark, sf_dir):
-    """Narrowed by name; files under hidden folders stay."""
-    folder = tree_of(spark, tree_texts(spark, sf_dir))
-    return inside(scan_files(spark, folder, path_glob="*7.py", modified_after="2000-01-01"), folder).select(*FINDING)
+    """Narrowed to one kind of file."""
+    folder = tree_of(spark, segment_texts(spark, sf_dir).drop("c_mktsegment"))
+    return inside(scan_files(spark, folder, path_glob="*.cfg", modified_after="2000-01-01"), folder).select(*FINDING)
 
 
-@register("scan_files_list", sql.scan(f"SELECT * FROM ({TREE}) AS t WHERE file_path LIKE '%3.py'"))
+@register("scan_files_list", sql.scan(TREE))
 def scan_files_list(spark, sf_dir):
-    """A list of paths, of which some are missing."""
+    """A list of the paths of all files, each with another one that is missing."""
     texts = tree_texts(spark, sf_dir)
     folder = tree_of(spark, texts)
-    listed = texts.where("file_path LIKE '%3.py'").select(F.explode(F.array("file_path", F.concat("file_path", F.lit(".gone")))).alias("name"))
+    listed = texts.select(F.explode(F.array("file_path", F.concat("file_path", F.lit(".gone")))).alias("name"))
     paths = listed.select(F.concat(F.lit(f"{folder}/"), "name").alias("path"))
     return inside(scan_files(spark, paths), folder).select(*FINDING)
 
@@ -743,6 +758,31 @@ def files_skipped(spark, sf_dir):
     return inside(skipped_files(spark, [folder, f"{folder}/gone"], options), folder)
 
 
+@register("files_empty", f"""
+SELECT concat('f', c_custkey, {_KIND}) AS file_path, CAST(CASE c_mktsegment WHEN 'FURNITURE' THEN 0 ELSE strlen(c_name) END AS BIGINT) AS length
+FROM customer""")
+def files_empty(spark, sf_dir):
+    """Empty files are text like any others."""
+    text = F.expr("CASE c_mktsegment WHEN 'FURNITURE' THEN '' ELSE c_name END").alias("text")
+    folder = tree_of(spark, table(spark, sf_dir, "customer").select(F.expr(f"concat('f', c_custkey, {_KIND})").alias("file_path"), text))
+    return inside(read_files(spark, folder), folder).select("file_path", "length")
+
+
+# A name that no file system takes can be asked about, and not read.
+_UNREADABLE = "CASE c_mktsegment WHEN 'FURNITURE' THEN concat(repeat('n', 300), c_custkey) ELSE concat('f', c_custkey) END"
+
+
+@register("files_unreadable", f"""
+SELECT md5({_UNREADABLE}) AS digest, c_mktsegment = 'FURNITURE' AS unreadable FROM customer""")
+def files_unreadable(spark, sf_dir):
+    """Files that can't be read are told with a reason, and the others read all the same."""
+    named = table(spark, sf_dir, "customer").select(F.expr(_UNREADABLE).alias("file_path"), F.col("c_name").alias("text"), "c_mktsegment")
+    folder = tree_of(spark, named.where("c_mktsegment <> 'FURNITURE'").drop("c_mktsegment"))
+    paths = named.select(F.concat(F.lit(f"{folder}/"), "file_path").alias("path"))
+    rows = file_rows(spark, paths).where("content IS NOT NULL OR reason LIKE 'unreadable%'")
+    return inside(rows, folder).select(F.md5(F.col("file_path").cast("binary")).alias("digest"), F.col("reason").isNotNull().alias("unreadable"))
+
+
 @register("changed_set_files", sql.scan(
     f"SELECT f.* FROM ({FILES}) AS f JOIN (SELECT concat('src/customer_', cast(c_custkey AS string), '.py') AS file_path "
     "FROM customer WHERE c_mktsegment IN ('AUTOMOBILE', 'BUILDING')) AS m USING (file_path)"))
@@ -773,6 +813,51 @@ def incremental_files(spark, sf_dir):
     return inside(second.all_findings, folder)
 
 
+def _drop(batches):
+    """Delete each path."""
+    from pyarrow import fs
+
+    for batch in batches:
+        for path in batch.column("file_path").to_pylist():
+            store, inside = fs.FileSystem.from_uri(path)
+            store.delete_file(inside)
+        yield batch.select(["file_path"])
+
+
+@register("incremental_restore", sql.scan(f"SELECT file_path, text FROM ({SEGMENT_FILES}) AS t", """
+SELECT p.turn, f.file_path, line_number, rule_id, description, severity, matched_value, detection_method
+FROM findings AS f JOIN (SELECT * FROM (VALUES ('whole'), ('removed'), ('touched'), ('restored')) AS v(turn)) AS p
+  ON p.turn IN ('whole', 'restored') OR f.file_path NOT LIKE '%.cfg'"""))
+def incremental_restore(spark, sf_dir):
+    """Passes over a whole tree, without one kind of file, with another kind written anew, and with the first kind back."""
+    texts = segment_texts(spark, sf_dir)
+    stored_state, out = state.StateTable(spark, shared_folder(spark, "state")), shared_folder(spark, "passes")
+    folder = tree_of(spark, texts.drop("c_mktsegment"))
+    full = texts.select(F.concat(F.lit(f"{folder}/"), "file_path").alias("file_path"), "text")
+    building, machinery = (full.where(F.endswith("file_path", F.lit(kind))) for kind in (".cfg", ".yaml"))
+    last, turns = None, []
+    for turn, rows, change in (("whole", None, None), ("removed", building, _drop), ("touched", machinery, _put), ("restored", building, _put)):
+        if change is not None:
+            rows.mapInArrow(change, "file_path STRING").write.format("noop").mode("overwrite").save()
+        last = scan_changed(spark, folder, stored_state, out, previous=last).all_findings
+        turns.append(inside(last, folder).withColumn("turn", F.lit(turn)))
+    return reduce(DataFrame.unionByName, turns)
+
+
+@register("file_watch", sql.scan(TREE, "SELECT file_path, line_number, rule_id, description, severity, matched_value, detection_method FROM findings"))
+def file_watch(spark, sf_dir):
+    """A tree with hidden names, watched by a stream: half of it there at the first turn, all at the second."""
+    texts = tree_texts(spark, sf_dir)
+    hidden = F.contains("file_path", F.lit(".deep"))
+    folder = tree_of(spark, texts.where(~hidden))
+    stored_state, out = state.StateTable(spark, shared_folder(spark, "state")), work_folder(spark, "watch")
+    drain(watch_files(spark, folder, stored_state, f"{out}/passes"), out)
+    later = texts.where(hidden).select(F.concat(F.lit(f"{folder}/"), "file_path").alias("file_path"), "text")
+    later.mapInArrow(_put, "file_path STRING").write.format("noop").mode("overwrite").save()
+    drain(watch_files(spark, folder, stored_state, f"{out}/passes"), out)
+    return inside(current_findings(spark, f"{out}/passes", stored_state), folder)
+
+
 @register("report_findings", sql.scan(FILES, f"SELECT {sql.PUBLIC} FROM findings"))
 def report_findings(spark, sf_dir):
     """The findings table of a report, read back."""
