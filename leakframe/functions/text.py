@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,18 +60,41 @@ def mask_entropy_value(value: Column) -> Column:
     return mask(value)
 
 
+# From this length on characters are counted in sorted order. For shorter values it costs less to look for each one.
+COUNTED_SORTED = 4096
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _counts(chars: Column) -> Column:
+    """Map from each character to how often it stands among ``chars``, by the ends of its run in sorted order."""
+
+    def runs(ordered: Column) -> Column:
+        last = F.size(ordered) - 1
+        ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.get(ordered, i) != F.get(ordered, i + 1)))
+        length = lambda end, k, e: end - F.when(k == 0, -1).otherwise(F.get(e, k - 1))
+        return _let(ends, lambda e: F.map_from_arrays(F.transform(e, lambda i: F.get(ordered, i)), F.transform(e, lambda end, k: length(end, k, e))))
+
+    return _let(F.array_sort(chars), runs)
+
+
 def shannon_entropy(value: Column) -> Column:
     """Bits per character, -sum(p * log2(p)); 0.0 for the empty string.
 
     Stays inside the row: the character counts come from the string itself, so
     no explode and no shuffle. Terms are added in order of first occurrence.
+    Long values are gone through a fixed number of times, however many different
+    characters they have.
     """
     n = F.length(value)
-    shares = F.transform(
-        F.array_distinct(F.split(value, "")), lambda ch: (n - F.length(F.replace(value, ch, F.lit("")))) / n
-    )
-    bits = F.aggregate(shares, F.lit(0.0), lambda acc, share: acc - share * F.log2(share))
-    return F.when(value == "", F.lit(0.0)).otherwise(bits)
+    chars = F.split(value, "")
+    total = lambda shares: F.aggregate(shares, F.lit(0.0), lambda acc, share: acc - share * F.log2(share))
+    each = total(F.transform(F.array_distinct(chars), lambda ch: (n - F.length(F.replace(value, ch, F.lit("")))) / n))
+    once = _let(chars, lambda cs: _let(_counts(cs), lambda counts: total(F.transform(F.array_distinct(cs), lambda ch: F.element_at(counts, ch) / n))))
+    return F.when(value == "", F.lit(0.0)).when(n < COUNTED_SORTED, each).otherwise(once)
 
 
 def is_hex(value: Column) -> Column:

@@ -1,6 +1,10 @@
 """Fixed cases for rules, lines, entropy, options and roll-ups."""
 
 import hashlib
+import math
+import random
+import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -246,3 +250,22 @@ def test_filter_join_on_a_hot_key(spark):
     without = filter_join(rows, keys, ["k"], "left_anti", ["v"])
     assert (with_key.count(), without.count()) == (3001, 6000)
     assert with_key.columns == without.columns == rows.columns
+
+
+def test_entropy_of_long_values(spark, monkeypatch):
+    """The same number whichever way the characters are counted, and time in proportion to the length."""
+    rng = random.Random(6)
+    values = ["".join(rng.choices("abcé中 \U0001f600\n", k=rng.randrange(1, 60))) for _ in range(200)] + ["a", "ab" * 40]
+    frame = spark.createDataFrame([(v,) for v in values], "v STRING")
+    short = [r[0] for r in frame.select(text.shannon_entropy(F.col("v"))).collect()]
+    monkeypatch.setattr(text, "COUNTED_SORTED", 0)
+    assert [r[0] for r in frame.select(text.shannon_entropy(F.col("v"))).collect()] == short
+    took = []
+    for n in (1_000, 200_000, 400_000):
+        value = "".join(rng.choices([chr(0x4E00 + i) for i in range(1000)], k=n))
+        counts = Counter(value)
+        start = time.perf_counter()
+        got = spark.createDataFrame([(value,)], "v STRING").select(text.shannon_entropy(F.col("v"))).first()[0]
+        took.append(time.perf_counter() - start)
+        assert got == pytest.approx(-sum(c / n * math.log2(c / n) for c in counts.values()))
+    assert took[2] < 3 * took[1] + 2
