@@ -9,6 +9,7 @@ from leakframe.functions.text import expand_whitespace, is_hex, mask_entropy_val
 from leakframe.operators.gate import CANDIDATE_CLASS, entropy_gate, shortest_entropy_hit
 from leakframe.options import ScanOptions
 
+# The rule id and type of entropy findings.
 ENTROPY_RULE_ID = "entropy-detection"
 ENTROPY_TYPE = "High Entropy String"
 
@@ -71,6 +72,7 @@ def scored_hits(candidates: Column, options: ScanOptions) -> Column:
 
 def entropy_severity(entropy: Column, length: Column, kind: Column) -> Column:
     """Level from entropy, with a bonus for long values and for hex or base64."""
+    # The steps of the score and the levels.
     score = (
         entropy
         + F.when(length > 40, 0.5).when(length > 30, 0.3).otherwise(0.0)
@@ -80,7 +82,7 @@ def entropy_severity(entropy: Column, length: Column, kind: Column) -> Column:
 
 
 def entropy_description(entropy: Column, value: Column, options: ScanOptions) -> Column:
-    # bround first: %.2f alone would round exact ties up.
+    # Fixed value: the wording. bround first: %.2f alone would round exact ties up.
     return F.format_string(
         "High entropy %s string detected (entropy: %.2f, threshold: %.2f)",
         string_type(value), F.bround(entropy, 2), threshold(value, options),

@@ -18,8 +18,10 @@ Custom rules have no shape; their keywords are the gate.
 from __future__ import annotations
 
 import math
+import re
 import string
 from functools import reduce
+from itertools import groupby
 from operator import or_
 
 from pyspark.sql import Column
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 
 from leakframe.functions.text import expand_whitespace
 from leakframe.options import ScanOptions
+from leakframe.rules import BUILTIN_RULES
 
 # Characters of candidate strings, and the same with the dot of dotted tokens.
 # Written out, not as ranges: Java tests such a class with one table look-up.
@@ -73,14 +76,29 @@ def _contains_any(text: Column, keywords: list[str]) -> Column:
     return reduce(or_, [F.contains(text, F.lit(k)) for k in cover])
 
 
-# Every key name of an assignment rule ends in one of these letters. The search
-# starts at the separator and looks back over a fixed number of characters, so
-# that only separators cost more than a step.
-_ASSIGNMENT = (
-    r"[=:](?<=[\syYnNtTdDsSſhH][=:])"
-    r"(?:(?<=[\s][=:])|(?<=(?iu:key|ken|jwt|ord|swd|ret|uth)[=:])|(?<=(?iu:pass)[=:]))"
-    r"""[\s]*["']?[^\s"']{8}"""
-)
+# Letters that are others' equals where case does not count.
+_ALSO = {"s": "\u017f", "k": "\u212a"}
+_KEY_NAMES = re.compile(r"\(\?:([A-Za-z_|-]+)\)")
+
+
+def _assignment(patterns: list[str]) -> str:
+    """A separator after the end of a key name of ``patterns``, or after white space, and a value.
+
+    Each pattern begins with its key names. The search starts at the separator
+    and looks back over a fixed number of characters, so that only separators
+    cost more than a step.
+    """
+    names = [name.lower() for p in patterns for name in _KEY_NAMES.match(p)[1].split("|")]
+    endings = sorted({name[-4:] for name in names}, key=lambda e: (len(e), e))
+    last = sorted({c for e in endings for c in e[-1] + e[-1].upper() + _ALSO.get(e[-1], "")})
+    behind = ["(?<=[\\s][=:])"]
+    for length, group in groupby(endings, key=len):
+        behind.append(f"(?<=(?iu:{'|'.join(group)})[=:])")
+        assert length > 1
+    return f"[=:](?<=[\\s{''.join(last)}][=:])(?:{'|'.join(behind)})" + r"""[\s]*["']?[^\s"']{8}"""
+
+
+_ASSIGNMENT = _assignment([r.pattern for r in BUILTIN_RULES if r.shape == "assignment"])
 # Shapes whose test is worth repeating before the keywords of their rules.
 GUARDED_SHAPES = ("assignment", "url")
 

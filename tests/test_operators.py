@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import time
 from collections import Counter
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from leakframe import Rule, ScanOptions, check_patterns, rule_catalog, scan_texts, should_block, summary, verdict
 from leakframe.functions import text
-from leakframe.operators import entropy, findings as roll
+from leakframe.operators import entropy, findings as roll, gate
 from leakframe.operators.allowlist import drop_allowlisted
 from leakframe.operators.skew import filter_join
 from leakframe.plans import scan as plan
@@ -269,3 +270,14 @@ def test_entropy_of_long_values(spark, monkeypatch):
         took.append(time.perf_counter() - start)
         assert got == pytest.approx(-sum(c / n * math.log2(c / n) for c in counts.values()))
     assert took[2] < 3 * took[1] + 2
+
+
+def test_the_gate_knows_every_key_name(spark):
+    """A line with the least that a rule takes passes, for all names of all assignment rules, in any case and spacing."""
+    ruled = [r for r in BUILTIN_RULES if r.shape == "assignment"]
+    names = [n for r in ruled for n in re.match(r"\(\?:([^)]*)\)", r.pattern)[1].split("|")]
+    lines = [f"{form}{gap}{value}" for n in names for form in (n, n.upper(), n.title()) for gap in ("=", ":", " = ", "=\u3000'") for value in ("a1b2c3d4",)]
+    frame = spark.createDataFrame([(x,) for x in lines], "line STRING")
+    assert len(names) > 30 and frame.where(~gate.shape_test(F.col("line"), "assignment")).count() == 0
+    other = spark.createDataFrame([("colour=a1b2c3d4",), ("token=short",), ("tokens=a1b2c3d4",)], "line STRING")
+    assert other.where(gate.shape_test(F.col("line"), "assignment")).count() == 0
