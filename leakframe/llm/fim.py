@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from leakframe.llm.tokens import buffers, pieces
 
-# The sentinels, and the shares of texts (percent) left plain and, of the rest, written suffix first.
+# The markers, and the shares of texts (percent) left plain and, of the rest, written suffix first.
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 PLAIN_FROM, SUFFIX_FIRST_BELOW = 90, 20
 SEED = 1
@@ -144,7 +144,7 @@ def transform(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: in
 
     ``form`` is ``psm`` (prefix, suffix, middle), ``spm`` (suffix, prefix,
     middle) or ``plain``: the text itself, if it is empty, null or holds a
-    sentinel, or is drawn to stay as it is; then the lengths, in code points,
+    marker, or is drawn to stay as it is; then the lengths, in code points,
     are null. Where a text is cut depends on seed, key and text alone, so
     repeated rows come out alike and a lost task gives the same rows again. No
     shuffle; a text is never cut off, whatever its length. Other columns of
@@ -158,7 +158,7 @@ def transform(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: in
 
 
 def restored(form: str | Column = "form", output: str | Column = "output") -> Column:
-    """The exact text an example was made of. Sentinels can't arise where parts meet, so the first ones are the cuts."""
+    """The exact text an example was made of. Markers can't arise where parts meet, so the first ones are the cuts."""
     parts = F.split(output, f"{PREFIX}|{SUFFIX}|{MIDDLE}")
     part = lambda i: F.get(parts, F.lit(i))
     form = F.col(form) if isinstance(form, str) else form
