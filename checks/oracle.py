@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+from checks.catalog import ASSIGNED, QUOTED, RULES, STANDALONE, Known
 from checks.planted import DIRECTIVE
-from leakframe.functions.text import expand_whitespace
-from leakframe.operators.entropy import ASSIGNED, QUOTED, STANDALONE
-from leakframe.rules import BUILTIN_RULES, Rule
 
 # The white space set in RE2 notation.
 WS = (
@@ -20,7 +20,9 @@ def lit(text: str) -> str:
 
 
 def re2(pattern: str) -> str:
-    return lit(expand_whitespace(pattern, WS))
+    """The pattern with white space spelt out, inside and outside of character classes."""
+    spelt = lambda m: m[0].replace(r"\s", WS) if m[0].startswith("[") else f"[{WS}]"
+    return lit(re.sub(r"\[\^?\]?(?:\\.|[^\]\\])*\]|\\s", spelt, pattern))
 
 
 def lines(source: str) -> str:
@@ -37,7 +39,7 @@ kept AS (
 )"""
 
 
-def rule_values(rule: Rule, ordinal: int = 0, source: str = "kept", keywords: bool = True) -> str:
+def rule_values(rule: Known, ordinal: int = 0, source: str = "kept", keywords: bool = True) -> str:
     flags = ", 'i'" if rule.ignore_case else ""
     where = " OR ".join(f"contains(ll, {lit(k)})" for k in rule.keywords) if keywords and rule.keywords else "true"
     return f"""
@@ -106,7 +108,7 @@ DESCRIPTION = "printf('High entropy %s string detected (entropy: %.2f, threshold
 
 
 def findings(
-    source: str, rules: tuple[Rule, ...] = BUILTIN_RULES, with_entropy: bool = True, kept: str = "kept",
+    source: str, rules: tuple[Known, ...] = RULES, with_entropy: bool = True, kept: str = "kept",
     extra: str = "",
 ) -> str:
     """CTEs up to ``findings``: the full scan of a source."""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import oracle as sql
+from checks.catalog import RULES
 from checks.planted import RECIPES, customer_files, customer_files_sql, order_lines, order_lines_sql
 from leakframe.functions import paths, text
 from leakframe.operators import entropy, filefilter, findings, lines, state
@@ -87,7 +88,7 @@ def _rule_query(rule: Rule) -> None:
 
     QUERIES[f"rule_{rule.rule_id}"] = query
     ORACLES[f"rule_{rule.rule_id}"] = sql.scan(
-        order_lines_sql(rule.rule_id), rules=(rule,), with_entropy=False
+        order_lines_sql(rule.rule_id), rules=tuple(k for k in RULES if k.rule_id == rule.rule_id), with_entropy=False
     )
 
 
@@ -145,7 +146,7 @@ def union_of_detectors(spark, sf_dir):
 
 @register("rule_catalog", sql.scan(FILES, f"""
 SELECT CAST(c.ordinal AS INTEGER) AS ordinal, c.rule_id, c.description, c.severity, count(f.rule_id) AS findings
-FROM (VALUES {", ".join(f"({i}, {sql.lit(r.rule_id)}, {sql.lit(r.description)}, {sql.lit(r.severity)})" for i, r in enumerate(BUILTIN_RULES, 1))})
+FROM (VALUES {", ".join(f"({i}, {sql.lit(r.rule_id)}, {sql.lit(r.description)}, {sql.lit(r.severity)})" for i, r in enumerate(RULES, 1))})
   AS c(ordinal, rule_id, description, severity)
 LEFT JOIN findings AS f ON f.rule_id = c.rule_id GROUP BY ALL"""))
 def catalog_use(spark, sf_dir):
@@ -155,7 +156,7 @@ def catalog_use(spark, sf_dir):
     )
 
 
-@register("rule_toggle", sql.scan(FILES, rules=tuple(r for r in BUILTIN_RULES if r.group in ("aws", "github")), with_entropy=False))
+@register("rule_toggle", sql.scan(FILES, rules=tuple(r for r in RULES if r.group in ("aws", "github")), with_entropy=False))
 def rule_toggle(spark, sf_dir):
     options = ScanOptions(entropy_enabled=False).override({"rules": {"jwt": False, "generic": False}})
     return file_findings(spark, sf_dir, options).select(*FINDING)
@@ -213,11 +214,12 @@ def empty_match_drop(spark, sf_dir):
 
 
 DB_PASSWORD = next(r for r in BUILTIN_RULES if r.rule_id == "database-password")
+KNOWN_PASSWORD = next(r for r in RULES if r.rule_id == "database-password")
 
 
 @register("keyword_gap", f"""WITH {sql.lines(FILES)},
-by_pattern AS ({sql.rule_values(DB_PASSWORD, keywords=False)}),
-by_rule AS ({sql.rule_values(DB_PASSWORD)})
+by_pattern AS ({sql.rule_values(KNOWN_PASSWORD, keywords=False)}),
+by_rule AS ({sql.rule_values(KNOWN_PASSWORD)})
 SELECT p.file_path, p.line_number, p.raw_value, count(r.raw_value) > 0 AS reported
 FROM by_pattern AS p LEFT JOIN (SELECT DISTINCT file_path, line_number, raw_value FROM by_rule) AS r
   USING (file_path, line_number, raw_value)
