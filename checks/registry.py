@@ -14,6 +14,7 @@ from checks.planted import RECIPES, customer_files, customer_files_sql, order_li
 from leakframe.functions import paths, text
 from leakframe.operators import entropy, filefilter, findings, lines, state
 from leakframe.operators.allowlist import drop_allowlisted
+from leakframe.operators.rule_table import detect_by_table, rule_index
 from leakframe.options import ScanOptions
 from leakframe.plans.scan import current_findings, scan_changed, scan_files, scan_selected, scan_texts
 from leakframe.rules import BUILTIN_RULES, Rule, rule_catalog
@@ -213,6 +214,22 @@ def empty_match_drop(spark, sf_dir):
     return file_findings(spark, sf_dir, options).select(*FINDING)
 
 
+MANY = 2000
+
+
+@register("many_rules", f"""WITH {sql.lines(FILES)},
+rules AS (SELECT i, printf('%04x', i) AS keyword FROM range({MANY}) AS r(i))
+SELECT * FROM (
+  SELECT file_path, line_number, concat('code-', keyword) AS rule_id,
+    unnest(regexp_extract_all(line, concat(keyword, '([0-9a-f]{{5}})'), 1)) AS raw_value
+  FROM kept JOIN rules ON contains(ll, keyword)) AS found""")
+def many_rules(spark, sf_dir):
+    """Two thousand custom rules as a table."""
+    rules = [Rule(f"code-{i:04x}", "custom", "LOW", "A code", f"{i:04x}([0-9a-f]{{5}})", (f"{i:04x}",)) for i in range(MANY)]
+    found = detect_by_table(lines.split_lines(files(spark, sf_dir)), rule_index(spark, rules))
+    return found.select("file_path", "line_number", "rule_id", "raw_value")
+
+
 DB_PASSWORD = next(r for r in BUILTIN_RULES if r.rule_id == "database-password")
 KNOWN_PASSWORD = next(r for r in RULES if r.rule_id == "database-password")
 

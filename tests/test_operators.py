@@ -14,6 +14,8 @@ from leakframe import Rule, ScanOptions, check_patterns, rule_catalog, scan_text
 from leakframe.functions import text
 from leakframe.operators import entropy, findings as roll, gate
 from leakframe.operators.allowlist import drop_allowlisted
+from leakframe.operators.lines import split_lines
+from leakframe.operators.rule_table import detect_by_table, rule_index
 from leakframe.operators.skew import filter_join
 from leakframe.plans import scan as plan
 from leakframe.rules import BUILTIN_RULES, count_groups
@@ -281,3 +283,24 @@ def test_the_gate_knows_every_key_name(spark):
     assert len(names) > 30 and frame.where(~gate.shape_test(F.col("line"), "assignment")).count() == 0
     other = spark.createDataFrame([("colour=a1b2c3d4",), ("token=short",), ("tokens=a1b2c3d4",)], "line STRING")
     assert other.where(gate.shape_test(F.col("line"), "assignment")).count() == 0
+
+
+def test_rules_as_a_table_report_what_branches_report(spark):
+    """The same findings as by one branch for each rule, in a plan of the same size for few rules and for many."""
+    rng = random.Random(12)
+    rules = [
+        Rule("order", "custom", "HIGH", "Order code", r"order\s+([0-9]{4})", ("order",)), Rule("two", "custom", "LOW", "Two keywords", r"(?:alpha|beta)-([a-z]+)", ("alpha", "beta")),
+        Rule("whole", "custom", "LOW", "Whole match", "xyz[0-9]+", ("xyz",)), Rule("empty", "custom", "LOW", "May be empty", "key=([A-F]*)", ("key=",)), Rule("any", "custom", "LOW", "Any case", "SECRET-([a-z]+)", ("secret",), ignore_case=True),
+    ]
+    words = ["order", "1234", "order 9876", "alpha-abc", "beta-x", "alpha beta-zz", "xyz12", "key=", "key=ABC", "Secret-Word", "é", "", "leakframe:ignore", "or"]
+    content = "\n".join(" ".join(rng.choices(words, k=rng.randrange(6))) for _ in range(300))
+    table = split_lines(spark.createDataFrame([("f", content)], "file_path STRING, text STRING"))
+    columns = ("line_number", "rule_id", "severity", "raw_value", "matched_value")
+    rows = lambda frame: sorted(tuple(r[c] for c in columns) for r in frame.collect())
+    by_branch = scan_texts(spark.createDataFrame([("f", content)], "file_path STRING, text STRING"), ScanOptions(rule_groups=(), custom_rules=tuple(rules), entropy_enabled=False))
+    assert rows(detect_by_table(table, rule_index(spark, rules))) == rows(by_branch) != []
+    size = lambda n: len(detect_by_table(table, rule_index(spark, rules * n))._jdf.queryExecution().optimizedPlan().toString())
+    assert abs(size(1) - size(400)) < 200
+    for keywords in ((), ("ab",)):
+        with pytest.raises(ValueError, match="needs keywords"):
+            rule_index(spark, [Rule("r", "custom", "LOW", "d", "ab", keywords)])
