@@ -1,78 +1,130 @@
 """Benchmark decontamination: test phrases searched in an FM-index of every training shard.
 
-A shard is what one task has read, up to ``SHARD_WORDS`` words or so of whole texts.
-The task indexes it, searches all test phrases backwards through wavelet ranks,
-locates their occurrences by sampled positions, and merges them to spans. Only
-spans leave the task.
+Tasks cut the benchmark into phrases, which are stored once, in blocks of bounded
+size, with the items that own them. A shard is what one task has read of the
+corpus, up to ``SHARD_WORDS`` words or so of whole texts. The task indexes it,
+searches the phrases block after block backwards through wavelet ranks, locates
+their occurrences by sampled positions, and merges them to spans. Only spans and
+the items of each text leave the task.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.fs
+import pyarrow.parquet
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from leakframe.llm.fm_index import FMIndex
+from leakframe.llm.scratch import shared_folder, stored
 from leakframe.llm.tokens import ALNUM, Words, pieces, words
 
 WINDOW = 10  # words of a test phrase
 SHARD_WORDS = 400_000
-PHRASE_BYTES = 16 << 20  # test texts sent to tasks at a time; more are searched block by block
+PHRASE_BYTES = 16 << 20  # of phrases in a block
+HELD_BLOCKS = 2  # blocks of phrases a worker keeps between shards
 
 
 class Phrases:
-    """All windows of a block of items: distinct rows of word hashes for each length, and the items they stand in."""
-
-    def __init__(self, items: pa.Array, texts: pa.Array, size: int):
-        w = words(texts, ALNUM)
-        self.items, numbers = np.unique(np.array(items.to_pylist(), object), return_inverse=True)
-        found: dict[bytes, set[int]] = {}
-        for item, (a, b) in enumerate(zip(w.bounds[:-1], w.bounds[1:], strict=True)):
-            n = min(size, b - a)
-            for start in range(a, b - n + 1) if n else ():
-                found.setdefault(w.hashes[start : start + n].tobytes(), set()).add(int(numbers[item]))
+    """A block of phrases: rows of word hashes for each length, and the items that own each."""
+
+    def __init__(self, table: pa.Table):
+        lengths = table.column("n").to_numpy()
         self.by_length = {}
-        for n in sorted({len(k) // 8 for k in found}):
-            rows = sorted(k for k in found if len(k) == 8 * n)
-            of = [sorted(found[k]) for k in rows]
-            self.by_length[n] = (
-                np.frombuffer(b"".join(rows), np.uint64).reshape(-1, n),
-                np.concatenate([[0], np.cumsum([len(x) for x in of])]), np.array([i for x in of for i in x], np.int64),
-            )
-
-
-def _occurrences(shard: np.ndarray, breaks: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, words, item) of every occurrence in a shard; ``breaks`` are the texts' first words."""
-    known, codes = np.unique(shard, return_inverse=True)
-    # Symbol 1 stands between texts, so that no phrase reaches from one into the next.
-    at = np.arange(len(shard)) + np.searchsorted(breaks, np.arange(len(shard)), side="right") - 1
-    sequence = np.ones(len(shard) + len(breaks), np.int64)
-    sequence[at] = codes + 2
-    index = FMIndex(sequence, len(known) + 2)
-    origin = np.zeros(len(sequence), np.int64)
-    origin[at] = np.arange(len(shard))
-    first, length, item = [], [], []
-    for n, (rows, bounds, items) in phrases.by_length.items():
-        codes = np.minimum(np.searchsorted(known, rows), len(known) - 1)
-        here = np.flatnonzero((known[codes] == rows).all(1))  # a word the shard lacks rules a phrase out
-        low, high = index.search(codes[here] + 2)
-        hits = high - low
-        phrase = np.repeat(here, hits)
-        places = np.arange(hits.sum()) - np.repeat(np.cumsum(hits) - hits, hits) + np.repeat(low, hits)
-        start = origin[index.locate(places)]
-        owners = bounds[phrase + 1] - bounds[phrase]
-        first.append(np.repeat(start, owners))
-        length.append(np.full(owners.sum(), n))
-        item.append(items[np.arange(owners.sum()) - np.repeat(np.cumsum(owners) - owners, owners) + np.repeat(bounds[phrase], owners)])
-    empty = [np.empty(0, np.int64)]
-    return np.concatenate(first + empty), np.concatenate(length + empty), np.concatenate(item + empty)
+        for n in np.unique(lengths):
+            rows = table.filter(pa.array(lengths == n))
+            hashes = np.frombuffer(b"".join(rows.column("hashes").to_pylist()), np.uint64).reshape(-1, n)
+            self.by_length[int(n)] = hashes, rows.column("items").combine_chunks()
+
+
+def _phrases(size: int):
+    """The windows of items, each once for an item: how many words, their hashes, the item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "text"):
+            w, items = words(piece.column("text"), ALNUM), piece.column("item").to_pylist()
+            for item, a, b in zip(items, w.bounds[:-1], w.bounds[1:], strict=True):
+                n = min(size, int(b - a))
+                found = sorted({w.hashes[i : i + n].tobytes() for i in range(a, b - n + 1)}) if n else []
+                columns = [pa.array([n] * len(found), pa.int32()), pa.array(found, pa.binary()), pa.array([item] * len(found), pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["n", "hashes", "item"])
+
+    return run
 
 
-def _search(phrases, shard_words: int, made: list[str]):
+def _stored_phrases(benchmark: DataFrame, item: str, text: str, window: int, phrase_bytes: int) -> str:
+    """The folder that holds all phrases, different ones, a file for each block."""
+    items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    windows = stored(items.distinct().mapInArrow(_phrases(window), "n int, hashes binary, item string"))
+    size = windows.agg(F.coalesce(F.sum(F.octet_length("hashes") + F.octet_length("item")), F.lit(0))).first()[0]
+    folder = shared_folder(benchmark.sparkSession)
+    owned = windows.groupBy("n", "hashes").agg(F.collect_set("item").alias("items"))
+    owned.repartition(max(1, -(-size // phrase_bytes)), "n", "hashes").write.parquet(folder)
+    return folder
+
+
+_blocks: dict[str, Phrases] = {}
+
+
+def _read(folder: str) -> Iterator[Phrases]:
+    """The blocks of a folder of phrases, one at a time; the last ones read are kept."""
+    found, inside = pa.fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", folder) if re.match("[a-z0-9]+:", folder) else f"file://{folder}")
+    for path in sorted(f.path for f in found.get_file_info(pa.fs.FileSelector(inside)) if f.base_name.startswith("part-")):
+        if path not in _blocks:
+            while len(_blocks) >= HELD_BLOCKS:
+                del _blocks[next(iter(_blocks))]
+            with found.open_input_file(path) as source:
+                _blocks[path] = Phrases(pa.parquet.read_table(source))
+        yield _blocks[path]
+
+
+class Shard:
+    """The index of a run of texts; ``breaks`` are the texts' first words."""
+
+    def __init__(self, hashes: np.ndarray, breaks: np.ndarray):
+        self.known, codes = np.unique(hashes, return_inverse=True)
+        # Symbol 1 stands between texts, so that no phrase reaches from one into the next.
+        at = np.arange(len(hashes)) + np.searchsorted(breaks, np.arange(len(hashes)), side="right") - 1
+        sequence = np.ones(len(hashes) + len(breaks), np.int64)
+        sequence[at] = codes + 2
+        self.index = FMIndex(sequence, len(self.known) + 2)
+        self.origin = np.zeros(len(sequence), np.int64)
+        self.origin[at] = np.arange(len(hashes))
+
+    def occurrences(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, phrase) of every occurrence of phrases of one length."""
+        codes = np.minimum(np.searchsorted(self.known, rows), len(self.known) - 1)
+        here = np.flatnonzero((self.known[codes] == rows).all(1))  # a word the shard lacks rules a phrase out
+        low, high = self.index.search(codes[here] + 2)
+        hits = high - low
+        places = np.arange(hits.sum()) - np.repeat(np.cumsum(hits) - hits, hits) + np.repeat(low, hits)
+        return self.origin[self.index.locate(places)], np.repeat(here, hits)
+
+
+def _found(hashes: np.ndarray, bounds: np.ndarray, folder: str) -> tuple[np.ndarray, dict[int, set[str]]]:
+    """Which words of a shard's texts are hit, and the items of each text that has any."""
+    hit, items = np.zeros(len(hashes) + 1, np.int64), {}
+    if len(hashes):
+        shard = Shard(hashes, bounds[:-1])
+        for phrases in _read(folder):
+            for n, (rows, owners) in phrases.by_length.items():
+                first, phrase = shard.occurrences(rows)
+                np.add.at(hit, first, 1)
+                np.add.at(hit, first + n, -1)
+                # A phrase that stands often in a text, or that many items own, counts once for a text before its owners are looked up.
+                text = np.searchsorted(bounds, first, side="right") - 1
+                for t, p in np.unique(np.stack([text, phrase], 1), axis=0).tolist():
+                    items.setdefault(t, set()).update(owners[p].as_py())
+    return np.cumsum(hit)[:-1] > 0, items
+
+
+def _search(folder: str, shard_words: int):
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[Words]]]:
         held, found, size = [], [], 0
         for piece in pieces(batches, "text"):
@@ -90,21 +142,13 @@ def _search(phrases, shard_words: int, made: list[str]):
             all_words = np.concatenate([w.hashes for w in found])
             offsets = np.cumsum([0, *(len(w.hashes) for w in found)])
             bounds = np.concatenate([*(w.bounds[:-1] + o for w, o in zip(found, offsets[:-1], strict=True)), offsets[-1:]])
-            first, length, item = _occurrences(all_words, bounds[:-1], phrases.value) if len(all_words) else (np.empty(0, np.int64),) * 3
-            hit = np.zeros(len(all_words) + 1, np.int64)
-            np.add.at(hit, first, 1)
-            np.add.at(hit, first + length, -1)
-            hit = np.cumsum(hit)[:-1] > 0
-            text = np.searchsorted(bounds, first, side="right") - 1
-            pairs = np.unique(np.stack([text, item], 1), axis=0)
-            per_text = np.searchsorted(pairs[:, 0], np.arange(len(bounds)))
-            names = phrases.value.items
+            hit, owners = _found(all_words, bounds, folder)
             row = 0
             for piece, w, offset in zip(held, found, offsets[:-1], strict=True):
                 items, spans = [], []
                 for a, b, base in zip(w.bounds[:-1], w.bounds[1:], w.texts[:-1], strict=True):
                     ours = hit[offset + a : offset + b]
-                    items.append([names[i] for i in pairs[per_text[row] : per_text[row + 1], 1]])
+                    items.append(sorted(owners.get(row, ())))
                     spans.append(_spans(w, a, b, ours, base) if ours.any() else [])
                     row += 1
                 yield pa.RecordBatch.from_arrays(
@@ -112,7 +156,7 @@ def _search(phrases, shard_words: int, made: list[str]):
                         *[piece.column(c) for c in piece.schema.names], pa.array(np.diff(w.bounds)), pa.array(items, pa.list_(pa.string())),
                         pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))),
                     ],
-                    [*piece.schema.names, *made],
+                    [*piece.schema.names, *MADE],
                 )
 
     return run
@@ -125,7 +169,7 @@ def _spans(w: Words, a: int, b: int, hit: np.ndarray, base: int) -> list[tuple[i
 
 
 SPAN_TYPE = ArrayType(StructType([StructField(name, LongType()) for name in ("first", "last", "start", "end")]))
-SPANS = "array<struct<first:bigint,last:bigint,start:bigint,end:bigint>>"
+MADE = ["n_words", "items", "spans"]
 
 
 def scan(
@@ -140,36 +184,19 @@ def scan(
     words than a window is one window; rows of the same item id are one item,
     a null id is the empty string. Columns of these names are replaced.
     """
-    made = ["n_words", "n_hit", "items", "spans"]
+    made = [*MADE, "n_hit"]
+    folder = _stored_phrases(benchmark, item, item_text, window, phrase_bytes)
     out = docs.select(*[c for c in docs.columns if c not in made and c != text], F.col(text).cast("string").alias("text"))
-    items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // phrase_bytes))
-    spark, names = docs.sparkSession, []
-    for block in range(blocks):
-        found = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).toArrow()
-        phrases = spark.sparkContext.broadcast(Phrases(found.column("item").combine_chunks(), found.column("text").combine_chunks(), window))
-        names.append([f"_{c}_{block}" for c in ("words", "items", "spans")])
-        schema = StructType(list(out.schema.fields)).add(names[-1][0], "long").add(names[-1][1], ArrayType(StringType())).add(names[-1][2], SPAN_TYPE)
-        out = out.mapInArrow(_search(phrases, shard_words, names[-1]), schema)
-    spans = F.col(names[0][2]) if blocks == 1 else F.aggregate(F.array_sort(F.concat(*[n[2] for n in names])), F.array().cast(SPANS), _merged)
-    out = out.withColumn("spans", spans)
+    schema = StructType(list(out.schema.fields)).add("n_words", "long").add("items", ArrayType(StringType())).add("spans", SPAN_TYPE)
+    out = out.mapInArrow(_search(folder, shard_words), schema)
     return out.select(
         *[F.col("text").alias(text) if c == text else c for c in docs.columns if c not in made],
-        F.col(names[0][0]).alias("n_words"),
+        "n_words",
         F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1).alias("n_hit"),
-        F.array_sort(F.array_distinct(F.concat(*[n[1] for n in names]))).alias("items"),
-        "spans",
+        "items", "spans",
     )
 
 
-def _merged(spans: Column, span: Column) -> Column:
-    last = F.get(spans, F.size(spans) - 1)
-    both = F.struct(last["first"].alias("first"), F.greatest(last["last"], span["last"]).alias("last"), last["start"].alias("start"), F.greatest(last["end"], span["end"]).alias("end"))
-    joins = (F.size(spans) > 0) & (span["first"] <= last["last"] + 1)
-    return F.when(joins, F.concat(F.slice(spans, 1, F.size(spans) - 1), F.array(both))).otherwise(F.concat(spans, F.array(span)))
-
-
 def without_spans(found: DataFrame, text: str = "text") -> DataFrame:
     """``scan`` results with the spans cut out of the texts; what stood around a span is parted by a line break."""
     data = F.col(text).cast("binary")

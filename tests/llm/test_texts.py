@@ -200,6 +200,17 @@ def test_cut_texts_hold_no_window_and_others_are_untouched(contaminated):
             assert r.text == texts[r.doc_id]
 
 
+def test_a_phrase_that_very_many_items_own(spark, prose):
+    """Its places in a text are made one before its owners are looked up; a repeated item is one."""
+    phrase = prose(500, 12)
+    benchmark = spark.createDataFrame([(f"i{i % 3000:04d}", phrase) for i in range(9000)], "item_id string, text string")
+    docs = spark.createDataFrame([(i, f"{phrase} x " * 30 if i % 2 else prose(i, 50)) for i in range(200)], "doc_id long, text string")
+    got = {r.doc_id: r for r in decontamination.scan(docs, benchmark).collect()}
+    every = [f"i{i:04d}" for i in range(3000)]
+    assert all(got[i]["items"] == (every if i % 2 else []) for i in range(200))
+    assert all(got[i].n_hit == (12 * 30 if i % 2 else 0) for i in range(200))
+
+
 def test_decontamination_of_odd_tables(messy, empty, contaminated):
     docs, rows = messy
     *_, benchmark = contaminated
