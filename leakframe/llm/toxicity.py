@@ -8,15 +8,14 @@ per character and in its worst passages of several lengths. A logistic curve
 fitted on labelled rows the models have not seen turns it into a probability.
 
 Counts cover all labelled training rows and grow with them. So do the two tables
-of exact ratios made of them: they are stored, sorted, in the shared folder, the
-driver never holds them, and each worker maps them from an unnamed local file, so
-that they take memory only as far as they are looked at.
+of exact ratios made of them: they are stored, sorted, in the shared folder, and
+the driver never holds them. Workers keep small tables in memory and read large
+ones in order past the n-grams they ask for; nothing is copied to local disks.
 """
 
 from __future__ import annotations
 
 import re
-import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,7 +38,8 @@ WINDOWS = (16, 64, 256)  # bytes of the passages looked at
 FOLDS = 5
 HELD_OUT, CALIBRATION = 0, 4
 CALIBRATION_ROWS = 20_000  # bound of the sample the logistic curve is fitted on
-TABLES_HELD = 4  # tables of ratios a worker keeps mapped: those of two models
+TABLES_HELD = 4  # tables of ratios a worker keeps in memory: those of two models
+HELD_ROWS = 8_000_000  # rows of ratios (12 bytes each) they may have together; larger ones are read past each slice of texts
 
 _LETTERS = np.arange(256, dtype=np.uint8)
 _LETTERS[0x41:0x5B] += 0x20
@@ -120,37 +120,49 @@ class Ratios:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The ratio of each key, NaN for keys the table doesn't have."""
-        known, ratio = _mapped(self.folder)
-        if not len(known) or not len(keys):
-            return np.full(len(keys), np.nan)
+        if not len(keys):
+            return np.empty(0)
         asked, which = np.unique(keys, return_inverse=True)
-        at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
-        return np.where(known[at] == asked, ratio[at], np.nan)[which]
+        out = np.full(len(asked), np.nan)
+        for known, ratio in _parts(self.folder):
+            low, high = np.searchsorted(asked, known[0]), np.searchsorted(asked, known[-1], "right")
+            at = np.minimum(np.searchsorted(known, asked[low:high]), len(known) - 1)
+            out[low:high] = np.where(known[at] == asked[low:high], ratio[at], out[low:high])
+        return out[which]
 
     def __array__(self, dtype=None, copy=None) -> np.ndarray:
         """(key, ratio) of all rows, to look at small tables."""
-        return np.stack([np.asarray(column, float) for column in _mapped(self.folder)], 1).astype(dtype or float)
-
-
-_held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _mapped(folder: str) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and ratios of a stored table, copied piece by piece into local files without a name and mapped."""
-    if folder not in _held:
-        found, inside = pa.fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", folder) if re.match("[a-z0-9]+:", folder) else f"file://{folder}")
-        files = sorted(f.path for f in found.get_file_info(pa.fs.FileSelector(inside)) if f.base_name.startswith("part-"))
-        with tempfile.TemporaryFile() as keys, tempfile.TemporaryFile() as ratios:
-            for path in files:
-                with found.open_input_file(path) as source:
-                    for batch in pa.parquet.ParquetFile(source).iter_batches(columns=["key", "ratio"]):
-                        keys.write(batch.column("key").to_numpy())
-                        ratios.write(batch.column("ratio").to_numpy())
-            made = tuple(np.memmap(f, kind, "r") if f.tell() else np.empty(0, kind) for f, kind in ((keys, np.int64), (ratios, np.float32)))
-        while len(_held) >= TABLES_HELD:
-            del _held[next(iter(_held))]
-        _held[folder] = made
-    return _held[folder]
+        found = [np.stack([np.asarray(column, float) for column in part], 1) for part in _parts(self.folder)]
+        return np.concatenate([*found, np.empty((0, 2))]).astype(dtype or float)
+
+
+_held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+
+def _parts(folder: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and ratios of a stored table in parts, ascending; kept for the next call while there is room."""
+    if folder in _held:
+        yield from _held[folder]
+        return
+    found, inside = pa.fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", folder) if re.match("[a-z0-9]+:", folder) else f"file://{folder}")
+    files = sorted(f.path for f in found.get_file_info(pa.fs.FileSelector(inside)) if f.base_name.startswith("part-"))
+    size = lambda: sum(len(part[0]) for parts in _held.values() for part in parts)
+    while len(_held) >= TABLES_HELD or size() > HELD_ROWS // 2:
+        del _held[next(iter(_held))]
+    held, rows = [], size()
+    for path in files:
+        with found.open_input_file(path) as source:
+            for batch in pa.parquet.ParquetFile(source).iter_batches(1 << 20, columns=["key", "ratio"]):
+                if batch.num_rows:
+                    part = batch.column("key").to_numpy(), batch.column("ratio").to_numpy()
+                    rows += batch.num_rows
+                    if held is not None and rows <= HELD_ROWS:
+                        held.append(part)
+                    else:
+                        held = None
+                    yield part
+    if held is not None:
+        _held[folder] = held
 
 
 def _kept(rows: DataFrame) -> Ratios:
