@@ -33,7 +33,8 @@ from leakframe.llm.scratch import shared_folder, stored
 
 ARCHIVE_BYTES = 1 << 30  # an archive is closed beyond that
 BLOCK_LINES = 512  # captures in a compressed block of the index
-INDEX_FILES = 64  # of one index at most; their first keys are all a lookup sends to its tasks
+INDEX_CAPTURES = 1_000_000  # of an index file, or so; their first keys are all a lookup sends to its tasks
+TASK_BYTES = 64 << 20  # of records read back by a task, or so
 READ_BYTES = 4 << 20  # neighbouring records are read together up to this size
 LEAST_REVISIT = 0  # bytes of payload from which equal ones are revisits
 CAPTURED = "2024-01-01T00:00:00Z"
@@ -175,7 +176,7 @@ class Index:
             number += 1
 
 
-def archive(pages: DataFrame, folder: str, index_files: int = INDEX_FILES, block_lines: int = BLOCK_LINES, least_revisit: int = LEAST_REVISIT) -> DataFrame:
+def archive(pages: DataFrame, folder: str, index_captures: int = INDEX_CAPTURES, block_lines: int = BLOCK_LINES, least_revisit: int = LEAST_REVISIT) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as WARC archives with an index; returns the index's files (file, first, captures).
 
     Of equal payloads of at least ``least_revisit`` bytes, rows with the largest
@@ -191,6 +192,9 @@ def archive(pages: DataFrame, folder: str, index_files: int = INDEX_FILES, block
     same = (F.col("largest").isNotNull()) & ~F.col("page_id").eqNullSafe(F.col("largest")) & (F.octet_length("html") >= least_revisit)
     rows = rows.select("page_id", "url", "html", "digest", F.when(same, F.col("largest")).alias("refers_to"))
     captures = stored(rows.mapInArrow(_write(folder, ARCHIVE_BYTES), "key string, file string, offset long, length long"))
+    # More files than captures ask for where there are cores to write them: an index of few captures is cheap to open.
+    spark = pages.sparkSession
+    index_files = max(-(-captures.count() // index_captures), spark.sparkContext.defaultParallelism)
     ordered = captures.repartitionByRange(index_files, "key", "file", "offset").sortWithinPartitions("key", "file", "offset")
     return stored(ordered.mapInArrow(_index(folder, block_lines), "file string, first string, captures long"))
 
@@ -198,8 +202,7 @@ def archive(pages: DataFrame, folder: str, index_files: int = INDEX_FILES, block
 def lookup(pages: DataFrame, folder: str, files: DataFrame, exact: bool = True) -> DataFrame:
     """Captures (key, file, offset, length) of pages (url, and page_id if ``exact``) named by the rows; each once.
 
-    ``files`` is what ``archive`` returned: as many rows as the index has files,
-    which is bounded when it is written.
+    ``files`` is what ``archive`` returned: a row for a million captures or so.
     """
     known = sorted((r["first"], r["file"]) for r in files.select("first", "file").collect())
     firsts = [k for k, _ in known]
@@ -234,7 +237,9 @@ def lookup(pages: DataFrame, folder: str, files: DataFrame, exact: bool = True)
 
     wanted = pages.select("url", *(["page_id"] if exact else [])).distinct()
     asked = wanted.mapInArrow(address, "number int, low string, high string").distinct()
-    asked = asked.repartitionByRange("number", "low").sortWithinPartitions("number", "low")
+    # A look-up reads a block of the index whatever it asks for, so tasks must not be merged by the bytes of the rows.
+    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = asked.repartitionByRange(tasks, "number", "low").sortWithinPartitions("number", "low")
     return asked.mapInArrow(search, "key string, file string, offset long, length long")
 
 
@@ -264,7 +269,11 @@ def read(captures: DataFrame, folder: str) -> DataFrame:
                 i = j
             yield pa.RecordBatch.from_pylist(out, _RECORD)
 
-    ordered = captures.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    # The work is in the records' bytes, which the rows only name. The captures are stored: both jobs see the same.
+    captures = stored(captures)
+    size = captures.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(-(-size // TASK_BYTES), captures.sparkSession.sparkContext.defaultParallelism)
+    ordered = captures.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return ordered.select("file", "offset", "length").mapInArrow(fetch, "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long")
 
 
