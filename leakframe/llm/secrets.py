@@ -89,7 +89,9 @@ def _linked(parts: DataFrame, scope: int) -> DataFrame:
     parts = parts.withColumn("_role", role).withColumn("_base", F.col("kind").isin(BASE))
     by_start = Window.partitionBy("_row").orderBy("start")
     before = F.max(F.when(F.col("_base"), F.col("end"))).over(by_start.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.min(F.when(F.col("_base"), F.col("start"))).over(by_start.rangeBetween(0, Window.unboundedFollowing))
+    # From the other end, so that the frame grows with the rows: one to the last row would be worked out anew for each.
+    backwards = Window.partitionBy("_row").orderBy(F.desc("start"))
+    after = F.min(F.when(F.col("_base"), F.col("start"))).over(backwards.rangeBetween(Window.unboundedPreceding, 0))
     free = (F.coalesce(before, F.lit(-1)) <= F.col("start")) & (F.coalesce(after, F.col("end")) >= F.col("end"))
     parts = parts.withColumn("_free", free & ~F.col("_base")).where(F.col("_base") | F.col("_free"))
     in_order = Window.partitionBy("_row").orderBy("start", "end", "kind")
