@@ -19,8 +19,6 @@ BASE = ["email", "ip", "card", "phone"]
 
 # Candidates for discovery: tokens with digits in them, at least this long.
 CANDIDATE = "(?<![A-Za-z0-9_./@+-])(?=[A-Za-z-]*+[0-9])[A-Za-z0-9][A-Za-z0-9-]{4,}+(?![A-Za-z0-9_@/-])"
-CONTEXT = 40  # code points before a value in which its pattern's words stand
-ROUNDS = 3
 LEAST_SUPPORT = 3  # different known values a pattern must have been seen with
 LEAST_PATTERN = 0.7  # confidence from which a pattern discovers
 LEAST_VALUE = 0.7  # confidence from which a value counts as known
@@ -51,26 +49,21 @@ def _holds(kind: Column, value: Column) -> Column:
     )
 
 
-def _pattern(before: Column, cut: Column) -> Column:
-    """The two words before a value, lower-cased, digits as one sign; null with fewer than two.
-
-    Where ``before`` was cut from a longer text, its first word may be a part of one and doesn't count.
-    """
-    words = F.filter(F.split(F.lower(before), "\\s+"), lambda w: w != "")
-    last = F.slice(words, -2, 2)
-    return F.when(F.size(words) >= F.when(cut, 3).otherwise(2), F.regexp_replace(F.array_join(last, " "), "[0-9]+", "#"))
+def _pattern(before: Column) -> Column:
+    """Two words, lower-cased, digits as one sign, one space between them."""
+    return F.regexp_replace(F.regexp_replace(F.lower(before), "\\s+", " "), "[0-9]+", "#")
 
 
 def scan(
-    docs: DataFrame, text: str = "text", keep: list[str] | None = None, rounds: int = ROUNDS,
+    docs: DataFrame, text: str = "text", keep: list[str] | None = None,
     least_support: int = LEAST_SUPPORT, least_pattern: float = LEAST_PATTERN, least_value: float = LEAST_VALUE,
 ) -> DataFrame:
     """Spans of all texts: columns ``keep``, ``n_email`` ... ``n_phone``, ``base`` and ``spans``.
 
     ``base`` and ``spans`` are arrays of (start, kind, end, value), by kind in
     the order of ``BASE``, then start; ``spans`` adds kind ``context``:
-    identifiers that no base pattern matches, found by patterns learnt from the
-    whole table. Every row comes back, repeated ones too; null and empty texts
+    identifiers that no base pattern matches, found by patterns of the two words
+    before them, learnt from the whole table in as many rounds as make values known. Every row comes back, repeated ones too; null and empty texts
     and an empty table have empty arrays or no rows. Of clashing column names
     the results win.
     """
@@ -82,22 +75,22 @@ def scan(
         docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_t")).select(
             *keep,
             F.monotonically_increasing_id().alias("_row"),
-            hits(t, EMAIL, t.contains("@"), CONTEXT).alias("email"),
-            hits(t, IP, digit & t.rlike("[0-9]\\.[0-9]++\\.[0-9]"), CONTEXT).alias("ip"),
-            hits(t, CARD, digit & t.rlike("[0-9](?:[\\x20-]?[0-9]){15}"), CONTEXT).alias("card"),
-            hits(t, PHONE, t.contains("+"), CONTEXT).alias("phone"),
-            hits(t, CANDIDATE, digit, CONTEXT).alias("context"),
+            hits(t, EMAIL, t.contains("@"), True).alias("email"),
+            hits(t, IP, digit & t.rlike("[0-9]\\.[0-9]++\\.[0-9]"), True).alias("ip"),
+            hits(t, CARD, digit & t.rlike("[0-9](?:[\\x20-]?[0-9]){15}"), True).alias("card"),
+            hits(t, PHONE, t.contains("+"), True).alias("phone"),
+            hits(t, CANDIDATE, digit, True).alias("context"),
         )
     )
     parts = stored(
-        placed(table, "_row", [*BASE, "context"], CONTEXT)
+        placed(table, "_row", [*BASE, "context"], True)
         .where(_holds(F.col("kind"), F.col("value")))
-        .select("_row", "kind", "start", "end", "value", _pattern(F.col("before"), F.col("start") > CONTEXT).alias("pattern"))
+        .select("_row", "kind", "start", "end", "value", _pattern(F.col("before")).alias("pattern"))
     )
     base = parts.where(F.col("kind") != "context")
     unseen = _outside(parts)
     found = base.select("_row", "kind", "start", "end", "value").unionByName(
-        _discover(base, unseen, rounds, least_support, least_pattern, least_value)
+        _discover(base, unseen, least_support, least_pattern, least_value)
     )
     order = F.array_position(F.array(*[F.lit(k) for k in [*BASE, "context"]]), F.col("kind"))
     span = F.struct(order.alias("order"), F.col("start"), F.col("end"), F.col("kind"), F.col("value"))
@@ -121,17 +114,20 @@ def _outside(parts: DataFrame) -> DataFrame:
     by_start = Window.partitionBy("_row").orderBy("start")
     based = F.col("kind") != "context"
     before = F.max(F.when(based, F.col("end"))).over(by_start.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.min(F.when(based, F.col("start"))).over(by_start.rangeBetween(0, Window.unboundedFollowing))
+    # From the other end, so that the frame grows with the rows: one to the last row would be worked out anew for each.
+    backwards = Window.partitionBy("_row").orderBy(F.desc("start"))
+    after = F.min(F.when(based, F.col("start"))).over(backwards.rangeBetween(Window.unboundedPreceding, 0))
     free = (F.coalesce(before, F.lit(-1)) <= F.col("start")) & (F.coalesce(after, F.col("end")) >= F.col("end"))
     return parts.withColumn("_free", free & ~based).where("_free").drop("_free")
 
 
-def _discover(base: DataFrame, unseen: DataFrame, rounds: int, least_support: int, least_pattern: float, least_value: float) -> DataFrame:
+def _discover(base: DataFrame, unseen: DataFrame, least_support: int, least_pattern: float, least_value: float) -> DataFrame:
     """Candidate rows that high-confidence patterns accept.
 
     The graph has an edge for each different (pattern, value); counts of
     copies don't add belief. A round scores patterns by the known values they
-    stand before, and unknown values by the patterns they stand behind.
+    stand before, and unknown values by the patterns they stand behind. Belief
+    only grows; the last round is the one that makes no further value known.
     """
     edges = stored(
         base.where(F.col("pattern").isNotNull()).select("pattern", "value", F.lit(1.0).alias("seed"))
@@ -139,9 +135,9 @@ def _discover(base: DataFrame, unseen: DataFrame, rounds: int, least_support: in
         .groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
     )
     belief = edges.withColumn("belief", F.col("seed"))
-    patterns = None
-    for _ in range(rounds):
-        patterns = (
+    known, before = -1, -2
+    while known > before:
+        patterns = stored(
             belief.groupBy("pattern")
             .agg(F.sum("belief").alias("mass"), F.count("*").alias("values"), F.count_if(F.col("belief") >= least_value).alias("support"))
             .where((F.col("support") >= least_support) & (F.col("mass") >= least_pattern * F.col("values")))
@@ -153,9 +149,9 @@ def _discover(base: DataFrame, unseen: DataFrame, rounds: int, least_support: in
             (1 - F.exp(F.sum(F.log(F.greatest(1 - F.coalesce("trust", F.lit(0.0)), F.lit(1e-9)))))).alias("found"),
         )
         belief = stored(edges.join(values, "value").select("pattern", "value", "seed", F.greatest("known", "found").alias("belief")))
+        known, before = belief.where(F.col("belief") >= least_value).count(), known
     trusted = belief.where((F.col("seed") == 0) & (F.col("belief") >= least_value)).select("value").distinct()
-    good = patterns.select("pattern") if patterns is not None else edges.select("pattern").limit(0)
-    accepted = unseen.join(trusted, "value", "left_semi").join(good, "pattern", "left_semi")
+    accepted = unseen.join(trusted, "value", "left_semi").join(patterns.select("pattern"), "pattern", "left_semi")
     return accepted.select("_row", "kind", "start", "end", "value")
 
 
