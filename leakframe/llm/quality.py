@@ -106,7 +106,11 @@ def scores() -> dict[str, Column]:
 
 
 def binomial_cdf(k: Column, n: Column, p: float) -> Column:
-    """P(X <= k) for X ~ Binomial(n, p), exact up to rounding, in logarithms so that large n don't vanish."""
+    """P(X <= k) for X ~ Binomial(n, p), exact up to rounding, in logarithms so that large n don't vanish.
+
+    From the mean on it is a half or more, whatever the rest of the sum, and 1 is
+    returned; so no more than ``n * p`` terms are ever added.
+    """
     log_odds = math.log(p) - math.log1p(-p)
     start = F.struct((n * math.log1p(-p)).alias("term"), F.lit(1.0).alias("sum"), (n * math.log1p(-p)).alias("top"))
 
@@ -115,8 +119,8 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
         top = F.greatest(state["top"], term)
         return F.struct(term.alias("term"), (state["sum"] * F.exp(state["top"] - top) + F.exp(term - top)).alias("sum"), top.alias("top"))
 
-    state = F.aggregate(F.when(k >= 1, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>")), start, add)
-    return F.least(F.lit(1.0), state["sum"] * F.exp(state["top"]))
+    state = F.aggregate(F.when((k >= 1) & (k < n * p), F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>")), start, add)
+    return F.when(k >= n * p, 1.0).otherwise(F.least(F.lit(1.0), state["sum"] * F.exp(state["top"])))
 
 
 def certify(labelled: DataFrame, stratum: str, good: str, risk: float = RISK, doubt: float = DOUBT) -> DataFrame:
@@ -159,17 +163,21 @@ def judge(
 
     Labels whose key is null, unknown or not 0 or 1 certify nothing; a key
     labelled twice counts once, as good only if all its labels say so. Repeated
-    rows of ``docs`` stay. A null stratum is a stratum of its own. With few or
+    rows of ``docs`` stay. Labelled rows with the same text in a stratum are one
+    trial, good only if all of them are: the bounds are those of independent
+    texts. They hold for the certified rules; the base rules come on top. A null
+    stratum is a stratum of its own. With few or
     no labels no cutoff is certified, and the base rules alone decide.
     """
     table = stored(
         docs.select(F.col(key).alias("_key"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("_stratum"), F.col(text).cast("string").alias("_text"))
-        .select("_key", "_stratum", measures(F.col("_text")).alias("_m"))
-        .select("_key", "_stratum", "_m.words.*", "_m.lines.*", "_m.n_symbols")
+        .select("_key", "_stratum", F.unhex(F.md5(F.coalesce("_text", F.lit("")).cast("binary"))).alias("_mark"), measures(F.col("_text")).alias("_m"))
+        .select("_key", "_stratum", "_mark", "_m.words.*", "_m.lines.*", "_m.n_symbols")
     )
     scored = table.select("*", *[c.alias(name) for name, c in scores().items()])
     known = labels.where(F.col(key).isNotNull() & F.col(good).isin(0, 1)).groupBy(F.col(key).alias("_key")).agg((F.min(good) == 1).alias("_good"))
-    certified = certify(scored.join(known, "_key"), "_stratum", "_good", risk, doubt)
+    trials = scored.join(known, "_key").groupBy("_stratum", "_mark").agg(F.min("_good").alias("_good"), *[F.any_value(r).alias(r) for r in RULES])
+    certified = certify(trials, "_stratum", "_good", risk, doubt)
     cutoffs = certified.groupBy("_stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cutoffs"))
     failed = F.filter(F.array(*[F.when(F.col(r) >= F.col("_cutoffs")[r], F.lit(r)) for r in RULES]), lambda r: r.isNotNull())
     base_failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
