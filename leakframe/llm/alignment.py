@@ -30,6 +30,7 @@ from leakframe.llm.scratch import stored
 from leakframe.llm.tokens import pieces
 
 BLOCK_BYTES = 16 << 20  # text of a block; one text at least
+PAIR_BYTES, TASK_BYTES = 12, 256 << 20  # of a text's links at most, and of those that a task of the second pass takes, or so
 SLICE = 1 << 19  # bytes of text cut into tokens at a time
 LONG = 1 << 18  # characters from which on a text goes to the byte-level tokenizer in parts
 
@@ -294,6 +295,9 @@ def align(docs: DataFrame, byte_model: str, piece_model: str, key: str = "doc_id
     best = totals.groupBy(of_a).agg(F.max("count").alias("most"))
     totals = totals.withColumn("a", of_a).join(best, "a").select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
     told = asked.select("block", "pair").join(totals, "pair").select("block", "pair", "count", "best")
-    both = texts.unionByName(told, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", F.col("pair").isNull())
+    # A task's share of the texts does not grow with their number.
+    size = texts.agg(F.coalesce(F.sum(F.col("n_links") * PAIR_BYTES), F.lit(0))).first()[0]
+    tasks = max(-(-size // TASK_BYTES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    both = texts.unionByName(told, allowMissingColumns=True).repartition(tasks, "block").sortWithinPartitions("block", F.col("pair").isNull())
     out = both.mapInArrow(_counted, f"key {key_type}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, groups string")
     return out.withColumnRenamed("key", key)
