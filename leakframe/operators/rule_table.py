@@ -17,6 +17,7 @@ from leakframe.options import ScanOptions
 from leakframe.rules import Rule, check_patterns
 
 KEY = 3  # characters of a keyword that the index is by
+SENT = 100_000  # rows of an index that is sent to the lines
 
 _SCHEMA = (
     "ordinal INT, rule_id STRING, description STRING, severity STRING, pattern STRING, group_idx INT, "
@@ -44,10 +45,13 @@ def rule_index(spark: SparkSession, rules: list[Rule] | tuple[Rule, ...]) -> Dat
 def detect_by_table(lines: DataFrame, index: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
     """Findings of (file_path, line_number, line) rows by the rules of ``rule_index``, one per match.
 
-    Lines keep their place where the index is small enough for Spark to send
-    it; otherwise triples meet it by a shuffle that Spark splits where it is
-    skewed. A rule is tried once on a line, for the first of its keywords there.
+    Lines keep their place where the index has at most ``SENT`` rows and is sent
+    to them; otherwise triples meet it by a shuffle that Spark splits where it is
+    skewed. Spark is told which, as it knows neither the size of an index made
+    from a list nor how many triples lines have: left to itself it may send
+    those. A rule is tried once on a line, for the first of its keywords there.
     """
+    index = F.broadcast(index) if index.limit(SENT + 1).count() <= SENT else index.hint("merge")
     ll = F.lower("line").alias("ll")
     triples = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("ll") - KEY + 1), lambda i: F.substring(F.col("ll"), i, F.lit(KEY))))
     kept = keep_scannable(lines, options).select("file_path", "line_number", "line", ll).where(F.length("ll") >= KEY)

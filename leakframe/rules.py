@@ -11,6 +11,7 @@ from leakframe.functions.text import expand_whitespace
 from leakframe.severity import parse_severity
 
 RULE_GROUPS = ("aws", "jwt", "github", "generic")
+CHECKED_TOGETHER = 250  # patterns compiled by one query
 
 CATALOG_SCHEMA = (
     "ordinal INT, rule_id STRING, rule_group STRING, description STRING, "
@@ -235,11 +236,21 @@ def rule_catalog(spark: SparkSession, rules: tuple[Rule, ...] = BUILTIN_RULES) -
 def check_patterns(spark: SparkSession, patterns: list[str]) -> None:
     """Raise ``ValueError`` for the first pattern Java cannot compile.
 
-    The patterns come from a rule list or an options object, so they are few;
-    Spark folds each literal on the driver and no job runs.
+    Spark folds the literals on the driver, many in one query; only where one of
+    them fails are they asked singly.
     """
-    for pattern in patterns:
+
+    def compiles(some: list[str]) -> None:
+        spark.range(1).select(*[F.regexp_like(F.lit(""), F.lit(p)).alias(f"p{i}") for i, p in enumerate(some)]).collect()
+
+    for start in range(0, len(patterns), CHECKED_TOGETHER):
+        some = patterns[start : start + CHECKED_TOGETHER]
         try:
-            spark.range(1).select(F.regexp_like(F.lit(""), F.lit(pattern))).collect()
-        except Exception as error:
-            raise ValueError(f"not a valid Java regular expression: {pattern!r}") from error
+            compiles(some)
+        except Exception:
+            for pattern in some:
+                try:
+                    compiles([pattern])
+                except Exception as error:
+                    raise ValueError(f"not a valid Java regular expression: {pattern!r}") from error
+            raise

@@ -304,3 +304,23 @@ def test_rules_as_a_table_report_what_branches_report(spark):
     for keywords in ((), ("ab",)):
         with pytest.raises(ValueError, match="needs keywords"):
             rule_index(spark, [Rule("r", "custom", "LOW", "d", "ab", keywords)])
+
+
+def test_the_rule_index_is_sent_and_not_the_triples_of_lines(spark):
+    """Spark knows the size of neither, and sent the triples of all lines where their table was small."""
+    index = rule_index(spark, [Rule("r", "custom", "LOW", "d", "abc([0-9])", ("abc",))])
+    table = spark.createDataFrame([("f", 1, "abc1 abc2")], "file_path STRING, line_number INT, line STRING")
+    found = detect_by_table(table, index)
+    assert sorted(r.raw_value for r in found.collect()) == ["1", "2"]
+    join = next(part for part in found._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in part)
+    assert "BuildRight" in join
+
+
+def test_many_patterns_are_checked_by_few_jobs(spark):
+    context = spark.sparkContext
+    context.setJobGroup("patterns", "")
+    check_patterns(spark, [f"x{i}" for i in range(600)])
+    assert len(context.statusTracker().getJobIdsForGroup("patterns")) <= 6
+    context.setLocalProperty("spark.jobGroup.id", None)
+    with pytest.raises(ValueError, match=re.escape("'y('")):
+        check_patterns(spark, [*(f"x{i}" for i in range(300)), "y(", "z("])
