@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakframe.severity import SEVERITIES, parse_severity, severity_action, severity_level, severity_rank
+from leakframe.sources.shared import stored
 
 
 def _level_count(level: str):
@@ -124,5 +125,9 @@ def alert_lines(findings: DataFrame) -> DataFrame:
 
 
 def in_order(findings: DataFrame) -> DataFrame:
-    """By file, line, and position on the line (catalog order, then entropy)."""
-    return findings.orderBy("file_path", "line_number", "match_order")
+    """By file, line, and position on the line (catalog order, then entropy).
+
+    The findings are written first: Spark looks at rows to be sorted twice, once
+    to find the bounds of its ranges, and would scan twice for it.
+    """
+    return stored(findings, "unordered").orderBy("file_path", "line_number", "match_order")

@@ -324,3 +324,10 @@ def test_many_patterns_are_checked_by_few_jobs(spark):
     context.setLocalProperty("spark.jobGroup.id", None)
     with pytest.raises(ValueError, match=re.escape("'y('")):
         check_patterns(spark, [*(f"x{i}" for i in range(300)), "y(", "z("])
+
+
+def test_findings_are_not_scanned_again_to_be_sorted(spark):
+    texts = spark.createDataFrame([("b", "x\ndb_password = abcdefgh12"), ("a", "auth: abcdefgh12")], "file_path STRING, text STRING")
+    ordered = roll.in_order(scan_texts(texts))
+    assert [(r.file_path, r.line_number) for r in ordered.collect()][0] == ("a", 1)
+    assert "Generate" not in ordered._jdf.queryExecution().optimizedPlan().toString()
