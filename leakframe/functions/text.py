@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -89,12 +90,14 @@ def shannon_entropy(value: Column) -> Column:
     Long values are gone through a fixed number of times, however many different
     characters they have.
     """
-    n = F.length(value)
     chars = F.split(value, "")
-    total = lambda shares: F.aggregate(shares, F.lit(0.0), lambda acc, share: acc - share * F.log2(share))
-    each = total(F.transform(F.array_distinct(chars), lambda ch: (n - F.length(F.replace(value, ch, F.lit("")))) / n))
-    once = _let(chars, lambda cs: _let(_counts(cs), lambda counts: total(F.transform(F.array_distinct(cs), lambda ch: F.element_at(counts, ch) / n))))
-    return F.when(value == "", F.lit(0.0)).when(n < COUNTED_SORTED, each).otherwise(once)
+    # Log2 is written as a quotient, since Spark's works out the logarithm of 2 anew each time. Bytes are known, where characters are counted.
+    total = lambda shares: F.aggregate(shares, F.lit(0.0), lambda acc, share: acc - share * (F.log(share) / F.lit(math.log(2))))
+    taken = lambda size, ch: (size - F.octet_length(F.replace(value, ch, F.lit("")))) / F.octet_length(ch)
+    each = lambda n: _let(F.octet_length(value), lambda size: total(F.transform(F.array_distinct(chars), lambda ch: taken(size, ch) / n)))
+    once = lambda n: _let(chars, lambda cs: _let(_counts(cs), lambda counts: total(F.transform(F.array_distinct(cs), lambda ch: F.element_at(counts, ch) / n))))
+    bits = _let(F.length(value).cast("double"), lambda n: F.when(n < COUNTED_SORTED, each(n)).otherwise(once(n)))
+    return F.when(value == "", F.lit(0.0)).otherwise(bits)
 
 
 def is_hex(value: Column) -> Column:

@@ -49,17 +49,18 @@ def rule_hits(rules: tuple[Rule, ...], line: str = "line", lower_line: str = "lo
     """Array of the non-empty values of all rules on a line, in catalog order.
 
     Expects a boolean column ``has_<shape>`` for every guarded shape. Written as one SQL expression: the parser builds the 27 branches in one
-    call, where composing them call by call takes longer than many scans.
+    call, where composing them call by call takes longer than many scans. No function with a lambda stands around the branches, since what
+    is inside of one Spark does not compile: only on lines with a keyword is one evaluated.
     """
     none = f"CAST(array() AS {_HITS})"
     branches = [
-        f"CASE WHEN {_worth_trying(lower_line, rule)} THEN transform({rule_values(line, rule)}, "
+        f"CASE WHEN {_worth_trying(lower_line, rule)} THEN transform(filter({rule_values(line, rule)}, v -> v != ''), "
         f"v -> named_struct('ordinal', {ordinal}, 'raw_value', v, 'entropy', CAST(NULL AS DOUBLE))) ELSE {none} END"
         for ordinal, rule in enumerate(rules, 1)
     ]
     if not branches:
         return F.expr(none)
-    return F.expr(f"filter(concat({', '.join(branches)}), h -> h.raw_value != '')")
+    return F.expr(f"flatten(array({', '.join(branches)}))")
 
 
 def detect(lines: DataFrame, options: ScanOptions, note: str | None = None) -> DataFrame:
@@ -94,32 +95,33 @@ def detect(lines: DataFrame, options: ScanOptions, note: str | None = None) -> D
             lambda h: F.struct(F.lit(0).alias("ordinal"), h["raw_value"].alias("raw_value"), h["entropy"].alias("entropy")),
         )
         found = F.concat(found, F.when(entropy_gate(line, options), entropic).otherwise(F.array().cast(_HITS)))
-    # Exploding an expression, not a column: for a column Spark adds a
-    # size(...) > 0 filter that would evaluate all the patterns twice.
-    found = F.concat(found, F.array().cast(_HITS))
     if note is not None:
         told = F.struct(F.lit(-1).alias("ordinal"), F.col(note).alias("raw_value"), F.lit(None).cast("double").alias("entropy"))
         found = F.when(noted, F.array(told)).otherwise(found)
-    exploded = hits.select("file_path", "line_number", F.posexplode(found).alias("match_order", "hit"))
+    # Exploding an expression, not a column: for a column Spark adds a
+    # size(...) > 0 filter that would evaluate all the patterns twice. What is
+    # exploded is not compiled, so the hits are a column before.
+    every = hits.select("file_path", "line_number", found.alias("found"))
+    exploded = every.select("file_path", "line_number", F.posexplode(F.concat("found", F.array().cast(_HITS))).alias("match_order", "hit"))
     findings = _describe(exploded, rules, options)
     return drop_allowlisted_values(findings, options.allowlist)
 
 
 def _describe(exploded: DataFrame, rules: tuple[Rule, ...], options: ScanOptions) -> DataFrame:
-    value, bits = F.col("hit.raw_value"), F.col("hit.entropy")
+    value, bits, kind = F.col("hit.raw_value"), F.col("hit.entropy"), F.col("kind")
     by_rule = bits.isNull()
 
     def of_rule(name: str) -> Column:
         known = ", ".join(_sql(getattr(r, name)) for r in rules)
         return F.expr(f"get(CAST(array({known}) AS array<string>), hit.ordinal - 1)")
 
-    kind = string_type(value)
-    return exploded.select(
+    # A column of its own: several others are made from it.
+    return exploded.withColumn("kind", F.when(~by_rule, string_type(value))).select(
         "file_path",
         "line_number",
         F.when(by_rule, of_rule("rule_id")).otherwise(ENTROPY_RULE_ID).alias("rule_id"),
         F.when(by_rule, of_rule("description"))
-        .otherwise(entropy_description(bits, value, options))
+        .otherwise(entropy_description(bits, value, options, kind))
         .alias("description"),
         F.when(by_rule, of_rule("severity"))
         .otherwise(entropy_severity(bits, F.length(value), kind))

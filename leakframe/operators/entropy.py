@@ -58,16 +58,18 @@ def threshold(value: Column, options: ScanOptions) -> Column:
 def scored_hits(candidates: Column, options: ScanOptions) -> Column:
     """Array of (raw_value, entropy) for the candidates that reach their threshold.
 
-    Candidates too short to reach it are dropped before they are scored.
+    Candidates too short to reach it are dropped before they are scored. What is
+    asked of a candidate twice, its class, is worked out once.
     """
     plain, hexa = shortest_entropy_hit(options)
-    long_enough = F.filter(
-        candidates, lambda v: F.length(v) >= F.when(is_hex(v), F.lit(hexa)).otherwise(F.lit(plain))
-    )
+    possible = F.filter(candidates, lambda v: F.length(v) >= min(plain, hexa))
+    classed = F.transform(possible, lambda v: F.struct(v.alias("raw_value"), is_hex(v).alias("hex")))
+    long_enough = F.filter(classed, lambda c: F.length(c["raw_value"]) >= F.when(c["hex"], F.lit(hexa)).otherwise(F.lit(plain)))
     scored = F.transform(
-        long_enough, lambda v: F.struct(v.alias("raw_value"), shannon_entropy(v).alias("entropy"))
+        long_enough, lambda c: F.struct(c["raw_value"].alias("raw_value"), shannon_entropy(c["raw_value"]).alias("entropy"), c["hex"].alias("hex"))
     )
-    return F.filter(scored, lambda h: h["entropy"] >= threshold(h["raw_value"], options))
+    least = lambda h: F.when(h["hex"], F.lit(options.hex_entropy_threshold)).otherwise(F.lit(options.entropy_threshold))
+    return F.filter(scored, lambda h: h["entropy"] >= least(h))
 
 
 def entropy_severity(entropy: Column, length: Column, kind: Column) -> Column:
@@ -81,11 +83,12 @@ def entropy_severity(entropy: Column, length: Column, kind: Column) -> Column:
     return F.when(score >= 5.5, "CRITICAL").when(score >= 5.0, "HIGH").when(score >= 4.5, "MEDIUM").otherwise("LOW")
 
 
-def entropy_description(entropy: Column, value: Column, options: ScanOptions) -> Column:
+def entropy_description(entropy: Column, value: Column, options: ScanOptions, kind: Column | None = None) -> Column:
+    kind = string_type(value) if kind is None else kind
     # Fixed value: the wording. bround first: %.2f alone would round exact ties up.
+    least = F.when(kind == "hex", F.lit(options.hex_entropy_threshold)).otherwise(F.lit(options.entropy_threshold))
     return F.format_string(
-        "High entropy %s string detected (entropy: %.2f, threshold: %.2f)",
-        string_type(value), F.bround(entropy, 2), threshold(value, options),
+        "High entropy %s string detected (entropy: %.2f, threshold: %.2f)", kind, F.bround(entropy, 2), least,
     )
 
 
@@ -95,9 +98,9 @@ def entropy_hits(lines: DataFrame, options: ScanOptions) -> DataFrame:
         "file_path", F.col("line_number").alias("line"),
         F.explode(scored_hits(candidate_set(F.col("line"), options), options)).alias("hit"),
     )
-    value, bits = F.col("hit.raw_value"), F.col("hit.entropy")
-    kind = string_type(value)
-    return hits.select(
+    value, bits, kind = F.col("hit.raw_value"), F.col("hit.entropy"), F.col("kind")
+    # A column of its own: several others are made from it.
+    return hits.withColumn("kind", string_type(value)).select(
         "file_path",
         F.lit(ENTROPY_TYPE).alias("type"),
         mask_entropy_value(value).alias("value"),
@@ -106,5 +109,5 @@ def entropy_hits(lines: DataFrame, options: ScanOptions) -> DataFrame:
         F.bround(bits, 4).alias("entropy"),
         kind.alias("string_type"),
         entropy_severity(bits, F.length(value), kind).alias("severity"),
-        entropy_description(bits, value, options).alias("description"),
+        entropy_description(bits, value, options, kind).alias("description"),
     )

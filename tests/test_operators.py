@@ -331,3 +331,9 @@ def test_findings_are_not_scanned_again_to_be_sorted(spark):
     ordered = roll.in_order(scan_texts(texts))
     assert [(r.file_path, r.line_number) for r in ordered.collect()][0] == ("a", 1)
     assert "Generate" not in ordered._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_class_of_a_value_is_asked_once_before_and_once_after_its_score(spark):
+    texts = spark.createDataFrame([("a", "auth: abcdefgh12")], "file_path STRING, text STRING")
+    plan = scan_texts(texts)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[0-9a-fA-F]*") == 2
