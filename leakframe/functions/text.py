@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -39,6 +40,20 @@ def expand_whitespace(pattern: str, whitespace: str = WHITESPACE) -> str:
     return "".join(out)
 
 
+_CLASS = re.compile(r"\[(?:\\.|[^\]\\])*\]")
+_RANGE = re.compile(r"\\.|([A-Za-z0-9])-([A-Za-z0-9])")
+
+
+def spell_out_ranges(pattern: str) -> str:
+    """Write ranges of ASCII letters and digits as their characters: Java tests such a class with one table look-up.
+
+    For patterns whose classes are not nested and name no character by its code,
+    other than the set of :func:`expand_whitespace`, and that count case.
+    """
+    spelt = lambda m: "".join(map(chr, range(ord(m[1]), ord(m[2]) + 1))) if m[1] else m[0]
+    return _CLASS.sub(lambda c: _RANGE.sub(spelt, c[0]), pattern)
+
+
 def is_blank(line: Column) -> Column:
     """True for a line of white space only."""
     return ~F.rlike(line, F.lit(f"[^{WHITESPACE}]"))
@@ -82,19 +97,25 @@ def _counts(chars: Column) -> Column:
     return _let(F.array_sort(chars), runs)
 
 
-def shannon_entropy(value: Column) -> Column:
+def distinct_chars(value: Column) -> Column:
+    """Array of the different characters of a string, in order of first occurrence."""
+    return F.array_distinct(F.split(value, ""))
+
+
+def shannon_entropy(value: Column, distinct: Column | None = None) -> Column:
     """Bits per character, -sum(p * log2(p)); 0.0 for the empty string.
 
-    Stays inside the row: the character counts come from the string itself, so
+    ``distinct`` are its :func:`distinct_chars`, where they are known. Stays inside the row: the character counts come from the string itself, so
     no explode and no shuffle. Terms are added in order of first occurrence.
     Long values are gone through a fixed number of times, however many different
     characters they have.
     """
     chars = F.split(value, "")
+    known = distinct_chars(value) if distinct is None else distinct
     # Log2 is written as a quotient, since Spark's works out the logarithm of 2 anew each time. Bytes are known, where characters are counted.
     total = lambda shares: F.aggregate(shares, F.lit(0.0), lambda acc, share: acc - share * (F.log(share) / F.lit(math.log(2))))
     taken = lambda size, ch: (size - F.octet_length(F.replace(value, ch, F.lit("")))) / F.octet_length(ch)
-    each = lambda n: _let(F.octet_length(value), lambda size: total(F.transform(F.array_distinct(chars), lambda ch: taken(size, ch) / n)))
+    each = lambda n: _let(F.octet_length(value), lambda size: total(F.transform(known, lambda ch: taken(size, ch) / n)))
     once = lambda n: _let(chars, lambda cs: _let(_counts(cs), lambda counts: total(F.transform(F.array_distinct(cs), lambda ch: F.element_at(counts, ch) / n))))
     bits = _let(F.length(value).cast("double"), lambda n: F.when(n < COUNTED_SORTED, each(n)).otherwise(once(n)))
     return F.when(value == "", F.lit(0.0)).otherwise(bits)

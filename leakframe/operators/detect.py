@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leakframe.functions.text import mask_entropy_value, mask_rule_value, string_type
+from leakframe.functions.text import mask_entropy_value, mask_rule_value, spell_out_ranges, string_type
 from leakframe.operators.entropy import (
     ENTROPY_RULE_ID,
     candidate_set,
@@ -13,7 +13,7 @@ from leakframe.operators.entropy import (
     entropy_severity,
     scored_hits,
 )
-from leakframe.operators.gate import GUARDED_SHAPES, entropy_gate, line_gate, shape_test
+from leakframe.operators.gate import GUARDED_SHAPES, entropy_gate, first_letters, line_gate, shape_test
 from leakframe.operators.lines import scannable
 from leakframe.options import ScanOptions
 from leakframe.rules import Rule
@@ -42,7 +42,21 @@ def _worth_trying(lower_line: str, rule: Rule) -> str:
 
 def rule_values(line: str, rule: Rule) -> str:
     """SQL array of all values the rule's pattern finds in a line column, left to right."""
-    return f"regexp_extract_all({line}, {_sql(rule.java_pattern)}, {rule.group_idx})"
+    return f"regexp_extract_all({line}, {_sql(quick_pattern(rule))}, {rule.group_idx})"
+
+
+def quick_pattern(rule: Rule) -> str:
+    """The rule's pattern in a form that finds the same and that Java goes through faster.
+
+    Of built-in rules (those with a shape) ranges are spelt out, and where case
+    does not count a look at one character comes before the key names are tried.
+    """
+    if rule.shape is None:
+        return rule.java_pattern
+    if not rule.ignore_case:
+        return spell_out_ranges(rule.java_pattern)
+    heads = first_letters(rule.pattern)
+    return rule.java_pattern.replace("(?diu)", f"(?diu)(?-iu:(?=[{heads}]))", 1) if rule.shape == "assignment" else rule.java_pattern
 
 
 def rule_hits(rules: tuple[Rule, ...], line: str = "line", lower_line: str = "lower_line") -> Column:

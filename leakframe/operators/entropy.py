@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leakframe.functions.text import expand_whitespace, is_hex, mask_entropy_value, shannon_entropy, string_type
-from leakframe.operators.gate import CANDIDATE_CLASS, entropy_gate, shortest_entropy_hit
+from leakframe.functions.text import (
+    distinct_chars,
+    expand_whitespace,
+    is_hex,
+    mask_entropy_value,
+    shannon_entropy,
+    spell_out_ranges,
+    string_type,
+)
+from leakframe.operators.gate import CANDIDATE_CLASS, entropy_gate, fewest_different, shortest_entropy_hit
 from leakframe.options import ScanOptions
 
 # The rule id and type of entropy findings.
@@ -20,23 +31,28 @@ STANDALONE = r"""\b([A-Za-z0-9+/=_\-]{20,})\b"""
 
 # A word boundary over Unicode letters, digits and underscore; what Java's \b
 # means differs between JDK releases.
-_WORD = r"[\p{L}\p{N}_]"
+_WORD = r"[A-Za-z0-9_\p{L}\p{N}]"
 _BOUNDARY = rf"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 # Asked first: looking for 20 characters is cheaper than looking for a boundary.
 _LONG_ENOUGH = rf"(?=[{CANDIDATE_CLASS}]{{20}})"
 
 
-def _all_matches(line: Column, pattern: str) -> Column:
-    java = "(?d)" + expand_whitespace(pattern).replace(r"\b", _BOUNDARY)
-    return F.regexp_extract_all(line, F.lit(java), F.lit(1))
+def _all_matches(line: Column, pattern: str, needed: str = "") -> Column:
+    """All values of a pattern; it is tried only on lines that have one of the characters ``needed``."""
+    java = "(?d)" + spell_out_ranges(expand_whitespace(pattern.replace(r"\b", _BOUNDARY)))
+    found = F.regexp_extract_all(line, F.lit(java), F.lit(1))
+    if not needed:
+        return found
+    some = reduce(or_, [F.contains(line, F.lit(c)) for c in needed])
+    return F.when(~some, F.array().cast("array<string>")).otherwise(found)
 
 
 def quoted_candidates(line: Column) -> Column:
-    return _all_matches(line, QUOTED)
+    return _all_matches(line, QUOTED, "\"'")
 
 
 def assigned_candidates(line: Column) -> Column:
-    return _all_matches(line, ASSIGNED)
+    return _all_matches(line, ASSIGNED, "=:")
 
 
 def standalone_candidates(line: Column) -> Column:
@@ -58,18 +74,21 @@ def threshold(value: Column, options: ScanOptions) -> Column:
 def scored_hits(candidates: Column, options: ScanOptions) -> Column:
     """Array of (raw_value, entropy) for the candidates that reach their threshold.
 
-    Candidates too short to reach it are dropped before they are scored. What is
-    asked of a candidate twice, its class, is worked out once.
+    Candidates too short to reach it, or with too few different characters, are
+    dropped before they are scored. What is asked of a candidate twice, its class
+    and its characters, is worked out once.
     """
     plain, hexa = shortest_entropy_hit(options)
     possible = F.filter(candidates, lambda v: F.length(v) >= min(plain, hexa))
     classed = F.transform(possible, lambda v: F.struct(v.alias("raw_value"), is_hex(v).alias("hex")))
-    long_enough = F.filter(classed, lambda c: F.length(c["raw_value"]) >= F.when(c["hex"], F.lit(hexa)).otherwise(F.lit(plain)))
+    by_class = lambda c, others, hexes: F.when(c["hex"], F.lit(hexes)).otherwise(F.lit(others))
+    long_enough = F.filter(classed, lambda c: F.length(c["raw_value"]) >= by_class(c, plain, hexa))
+    spelt = F.transform(long_enough, lambda c: F.struct(c["raw_value"], c["hex"], distinct_chars(c["raw_value"]).alias("chars")))
+    mixed = F.filter(spelt, lambda c: F.size(c["chars"]) >= by_class(c, *fewest_different(options)))
     scored = F.transform(
-        long_enough, lambda c: F.struct(c["raw_value"].alias("raw_value"), shannon_entropy(c["raw_value"]).alias("entropy"), c["hex"].alias("hex"))
+        mixed, lambda c: F.struct(c["raw_value"], shannon_entropy(c["raw_value"], c["chars"]).alias("entropy"), c["hex"])
     )
-    least = lambda h: F.when(h["hex"], F.lit(options.hex_entropy_threshold)).otherwise(F.lit(options.entropy_threshold))
-    return F.filter(scored, lambda h: h["entropy"] >= least(h))
+    return F.filter(scored, lambda h: h["entropy"] >= by_class(h, options.entropy_threshold, options.hex_entropy_threshold))
 
 
 def entropy_severity(entropy: Column, length: Column, kind: Column) -> Column:

@@ -39,16 +39,18 @@ _HEX_CLASS = string.digits + "abcdefABCDEF"
 _RULE_RUN = 20
 
 
-def shortest_entropy_hit(options: ScanOptions) -> tuple[int, int]:
-    """Least length of a non-hex and of a hex string that can reach its threshold.
+def fewest_different(options: ScanOptions) -> tuple[int, int]:
+    """Least number of different characters of a non-hex and of a hex string that can reach its threshold.
 
-    A string of n characters has at most log2(n) bits per character.
+    With k different characters a string has at most log2(k) bits per character.
     """
+    return tuple(math.ceil(2**threshold - 1e-6) for threshold in (options.entropy_threshold, options.hex_entropy_threshold))
 
-    def least(threshold: float) -> int:
-        return max(options.min_length, 12, math.ceil(2**threshold - 1e-6))
 
-    return least(options.entropy_threshold), least(options.hex_entropy_threshold)
+def shortest_entropy_hit(options: ScanOptions) -> tuple[int, int]:
+    """Least length of a non-hex and of a hex string that can reach its threshold."""
+    plain, hexa = (max(options.min_length, 12, least) for least in fewest_different(options))
+    return plain, hexa
 
 
 def _run(chars: str, any_length: int, hex_length: int | None = None) -> str:
@@ -77,10 +79,16 @@ def _contains_any(text: Column, keywords: list[str]) -> Column:
 
 
 # Letters that are others' equals where case does not count.
-_ALSO = {"s": "\u017f", "k": "\u212a"}
+_ALSO = {"s": "\u017f", "k": "\u212a", "i": "\u0130\u0131"}
 _KEY_NAMES = re.compile(r"\(\?:([A-Za-z_|-]+)\)")
 
 
+def first_letters(pattern: str) -> str:
+    """What the key names that a pattern begins with can begin with, where case does not count."""
+    heads = {name[0].lower() for name in _KEY_NAMES.match(pattern)[1].split("|")}
+    return "".join(sorted(c for h in heads for c in h + h.upper() + _ALSO.get(h, "")))
+
+
 def _assignment(patterns: list[str]) -> str:
     """A separator after the end of a key name of ``patterns``, or after white space, and a value.
 
