@@ -102,11 +102,12 @@ def distinct_chars(value: Column) -> Column:
     return F.array_distinct(F.split(value, ""))
 
 
-def shannon_entropy(value: Column, distinct: Column | None = None) -> Column:
+def shannon_entropy(value: Column, distinct: Column | None = None, ascii_only: bool = False) -> Column:
     """Bits per character, -sum(p * log2(p)); 0.0 for the empty string.
 
-    ``distinct`` are its :func:`distinct_chars`, where they are known. Stays inside the row: the character counts come from the string itself, so
-    no explode and no shuffle. Terms are added in order of first occurrence.
+    ``distinct`` are its :func:`distinct_chars`, where they are known; with
+    ``ascii_only`` a character is known to be a byte. Stays inside the row: the
+    character counts come from the string itself, so no explode and no shuffle. Terms are added in order of first occurrence.
     Long values are gone through a fixed number of times, however many different
     characters they have.
     """
@@ -115,7 +116,8 @@ def shannon_entropy(value: Column, distinct: Column | None = None) -> Column:
     # Log2 is written as a quotient, since Spark's works out the logarithm of 2 anew each time. Bytes are known, where characters are counted.
     total = lambda shares: F.aggregate(shares, F.lit(0.0), lambda acc, share: acc - share * (F.log(share) / F.lit(math.log(2))))
     taken = lambda size, ch: (size - F.octet_length(F.replace(value, ch, F.lit("")))) / F.octet_length(ch)
-    each = lambda n: _let(F.octet_length(value), lambda size: total(F.transform(known, lambda ch: taken(size, ch) / n)))
+    each_byte = lambda n: total(F.transform(known, lambda ch: (n - F.octet_length(F.replace(value, ch, F.lit("")))) / n))
+    each = each_byte if ascii_only else lambda n: _let(F.octet_length(value), lambda size: total(F.transform(known, lambda ch: taken(size, ch) / n)))
     once = lambda n: _let(chars, lambda cs: _let(_counts(cs), lambda counts: total(F.transform(F.array_distinct(cs), lambda ch: F.element_at(counts, ch) / n))))
     bits = _let(F.length(value).cast("double"), lambda n: F.when(n < COUNTED_SORTED, each(n)).otherwise(once(n)))
     return F.when(value == "", F.lit(0.0)).otherwise(bits)

@@ -13,7 +13,7 @@ from leakframe.operators.entropy import (
     entropy_severity,
     scored_hits,
 )
-from leakframe.operators.gate import GUARDED_SHAPES, entropy_gate, first_letters, line_gate, shape_test
+from leakframe.operators.gate import GUARDED_SHAPES, entropy_gate, first_letters, line_gate, shape_test, shortest_keywords
 from leakframe.operators.lines import scannable
 from leakframe.options import ScanOptions
 from leakframe.rules import Rule
@@ -32,12 +32,17 @@ def _sql(text: str) -> str:
 
 def has_keyword(lower_line: str, rule: Rule) -> str:
     """SQL test that a lower-cased line column holds a keyword of the rule."""
-    return " OR ".join(f"contains({lower_line}, {_sql(k)})" for k in rule.keywords) or "true"
+    return " OR ".join(f"contains({lower_line}, {_sql(k)})" for k in shortest_keywords(rule.keywords)) or "true"
+
+
+# What the keywords of several rules have in common. A line is searched for it once; only where it is found, for those keywords.
+SHARED_PARTS = {"part_line": "_", "part_dot": ".", "part_gh": "gh"}
 
 
 def _worth_trying(lower_line: str, rule: Rule) -> str:
-    keyword = has_keyword(lower_line, rule)
-    return f"has_{rule.shape} AND ({keyword})" if rule.shape in GUARDED_SHAPES else keyword
+    shapes = [f"has_{rule.shape}"] if rule.shape in GUARDED_SHAPES else []
+    parts = [name for name, part in SHARED_PARTS.items() if rule.keywords and all(part in k for k in rule.keywords)]
+    return " AND ".join([*shapes, *parts, f"({has_keyword(lower_line, rule)})"])
 
 
 def rule_values(line: str, rule: Rule) -> str:
@@ -62,13 +67,13 @@ def quick_pattern(rule: Rule) -> str:
 def rule_hits(rules: tuple[Rule, ...], line: str = "line", lower_line: str = "lower_line") -> Column:
     """Array of the non-empty values of all rules on a line, in catalog order.
 
-    Expects a boolean column ``has_<shape>`` for every guarded shape. Written as one SQL expression: the parser builds the 27 branches in one
+    Expects a boolean column ``has_<shape>`` for every guarded shape and one for each of ``SHARED_PARTS``. Written as one SQL expression: the parser builds the 27 branches in one
     call, where composing them call by call takes longer than many scans. No function with a lambda stands around the branches, since what
     is inside of one Spark does not compile: only on lines with a keyword is one evaluated.
     """
     none = f"CAST(array() AS {_HITS})"
     branches = [
-        f"CASE WHEN {_worth_trying(lower_line, rule)} THEN transform(filter({rule_values(line, rule)}, v -> v != ''), "
+        f"CASE WHEN {_worth_trying(lower_line, rule)} THEN transform(array_remove({rule_values(line, rule)}, ''), "
         f"v -> named_struct('ordinal', {ordinal}, 'raw_value', v, 'entropy', CAST(NULL AS DOUBLE))) ELSE {none} END"
         for ordinal, rule in enumerate(rules, 1)
     ]
@@ -97,7 +102,7 @@ def detect(lines: DataFrame, options: ScanOptions, note: str | None = None) -> D
     # Once per surviving line, below the projection that uses them many times.
     shared = {"lower_line": F.lower("line")} | {f"has_{s}": shape_test(line, s) for s in GUARDED_SHAPES}
     kept = scannable(line, options) if note is None else F.coalesce(scannable(line, options), F.lit(False)) | noted
-    candidates = candidates.where(kept).withColumns(shared)
+    candidates = candidates.where(kept).withColumns(shared).withColumns({name: F.contains("lower_line", F.lit(part)) for name, part in SHARED_PARTS.items()})
 
     carried = [] if note is None else [note]
     hits = candidates.select("file_path", "line_number", "line", *carried, rule_hits(rules).alias("rule_hits"))

@@ -74,20 +74,18 @@ def threshold(value: Column, options: ScanOptions) -> Column:
 def scored_hits(candidates: Column, options: ScanOptions) -> Column:
     """Array of (raw_value, entropy) for the candidates that reach their threshold.
 
-    Candidates too short to reach it, or with too few different characters, are
-    dropped before they are scored. What is asked of a candidate twice, its class
-    and its characters, is worked out once.
+    Candidates too short to reach it are dropped, and those with too few
+    different characters are not scored. What is asked of a candidate twice, its
+    class and its characters, is worked out once. Candidates are ASCII.
     """
     plain, hexa = shortest_entropy_hit(options)
-    possible = F.filter(candidates, lambda v: F.length(v) >= min(plain, hexa))
-    classed = F.transform(possible, lambda v: F.struct(v.alias("raw_value"), is_hex(v).alias("hex")))
+    classed = F.transform(candidates, lambda v: F.struct(v.alias("raw_value"), is_hex(v).alias("hex")))
     by_class = lambda c, others, hexes: F.when(c["hex"], F.lit(hexes)).otherwise(F.lit(others))
     long_enough = F.filter(classed, lambda c: F.length(c["raw_value"]) >= by_class(c, plain, hexa))
     spelt = F.transform(long_enough, lambda c: F.struct(c["raw_value"], c["hex"], distinct_chars(c["raw_value"]).alias("chars")))
-    mixed = F.filter(spelt, lambda c: F.size(c["chars"]) >= by_class(c, *fewest_different(options)))
-    scored = F.transform(
-        mixed, lambda c: F.struct(c["raw_value"], shannon_entropy(c["raw_value"], c["chars"]).alias("entropy"), c["hex"])
-    )
+    mixed = lambda c: F.size(c["chars"]) >= by_class(c, *fewest_different(options))
+    bits = lambda c: F.when(mixed(c), shannon_entropy(c["raw_value"], c["chars"], ascii_only=True))
+    scored = F.transform(spelt, lambda c: F.struct(c["raw_value"], bits(c).alias("entropy"), c["hex"]))
     return F.filter(scored, lambda h: h["entropy"] >= by_class(h, options.entropy_threshold, options.hex_entropy_threshold))
 
 

@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 import string
+from collections.abc import Iterable
 from functools import reduce
 from itertools import groupby
 from operator import or_
@@ -72,10 +73,14 @@ def entropy_gate(line: Column, options: ScanOptions) -> Column:
     return F.rlike(line, F.lit(_run(CANDIDATE_CLASS, *shortest_entropy_hit(options))))
 
 
+def shortest_keywords(keywords: Iterable[str]) -> list[str]:
+    """The keywords that contain no other one, which is all that "contains any" depends on."""
+    distinct = [*dict.fromkeys(keywords)]
+    return [k for k in distinct if not any(o != k and o in k for o in distinct)]
+
+
 def _contains_any(text: Column, keywords: list[str]) -> Column:
-    # A keyword that contains another one adds nothing to "contains any".
-    cover = [k for k in dict.fromkeys(keywords) if not any(o != k and o in k for o in keywords)]
-    return reduce(or_, [F.contains(text, F.lit(k)) for k in cover])
+    return reduce(or_, [F.contains(text, F.lit(k)) for k in shortest_keywords(keywords)])
 
 
 # Letters that are others' equals where case does not count.
@@ -108,7 +113,7 @@ def _assignment(patterns: list[str]) -> str:
 
 _ASSIGNMENT = _assignment([r.pattern for r in BUILTIN_RULES if r.shape == "assignment"])
 # Shapes whose test is worth repeating before the keywords of their rules.
-GUARDED_SHAPES = ("assignment", "url")
+GUARDED_SHAPES = ("assignment", "url", "pem")
 
 
 def shape_test(line: Column, shape: str) -> Column:

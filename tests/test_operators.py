@@ -367,3 +367,21 @@ def test_strings_of_few_different_characters_are_not_scored(spark):
     assert [h.entropy for h in hits.first().h] == pytest.approx([math.log2(23), math.log2(23), math.log2(24), 3.0])
     tree = hits._jdf.queryExecution().optimizedPlan().toString()
     assert tree.count("array_distinct") == 2 and "THEN 8 ELSE 23" in tree
+
+
+def test_what_keywords_share_is_looked_for_once(spark):
+    frame = spark.createDataFrame([("a", f"x gh{'p_'}{'aB3' * 12} y\nx sk{'_live_'}{'a1' * 12} y\nGH{'P_'}{'aB3' * 12}")], "file_path STRING, text STRING")
+    found = scan_texts(frame, ScanOptions(entropy_enabled=False))
+    assert sorted(r.rule_id for r in found.collect()) == ["github-pat", "stripe-secret-key"]
+    tree = found._jdf.queryExecution().optimizedPlan().toString()
+    assert tree.count(", gh) AS part_gh") == 1 and tree.count("part_gh#") > 5
+
+
+def test_scored_candidates_have_the_entropy_of_their_string(spark):
+    rng = random.Random(8)
+    values = ["".join(rng.choices("0123456789abcdefABCDEFghijklmnopqrstuvwxyz+/=_-", k=rng.randrange(30, 90))) for _ in range(300)]
+    hits = spark.createDataFrame([(values,)], "c ARRAY<STRING>").select(F.explode(scored_hits(F.col("c"), ScanOptions())).alias("h"))
+    rows = hits.select("h.entropy", text.shannon_entropy(F.col("h.raw_value")).alias("whole")).collect()
+    assert len(rows) > 200 and all(r.entropy == r.whole for r in rows)
+    # One division for each character, not two.
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("octet_length") == 1
