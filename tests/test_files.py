@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from leakframe import ScanOptions, StateTable, scan_changed, scan_configured, scan_files, write_findings, write_report
@@ -526,6 +527,29 @@ def test_empty_report(spark, tmp_path):
     }
 
 
+def test_a_report_reads_its_findings_once(spark, tmp_path, monkeypatch):
+    """The files and the summary come from counts; rows may have neither a file nor a level."""
+    plans = {}
+
+    def noted(writer, path, **options):
+        plans[path.rsplit("/", 1)[1]] = writer._df._jdf.queryExecution().optimizedPlan().toString()
+        return json_of(writer, path, **options)
+
+    json_of = DataFrameWriter.json
+    monkeypatch.setattr(DataFrameWriter, "json", noted)
+    rows = [(f, i, "r", "d", s, "m", "v", "regex") for i, (f, s) in enumerate([("a", "low"), ("a", "HIGH"), ("a", "HIGH"), ("b", " Medium "), (None, "LOW"), ("c", None), ("b", "HIGH")])]
+    schema = "file_path STRING, line_number INT, rule_id STRING, description STRING, severity STRING, matched_value STRING, raw_value STRING, detection_method STRING"
+    for n, some in enumerate((rows, rows[:1], [])):
+        frame = spark.createDataFrame(some, schema)
+        write_report(frame, str(tmp_path / f"report{n}"), "MEDIUM")
+        (head,) = written(tmp_path / f"report{n}" / "summary")
+        assert head["summary"] == roll.summary(frame, "MEDIUM").first().asDict(recursive=True)
+        files = [f.get("file") for f in written(tmp_path / f"report{n}" / "files_affected")]
+        assert sorted(files, key=str) == sorted({r[0] for r in some}, key=str)
+    assert set(plans) == {"findings", "files_affected", "summary"}
+    assert " json" not in plans["files_affected"] and " json" not in plans["summary"]
+
+
 def test_findings_table(spark, tmp_path):
     put(tmp_path / "tree", {"a.py": LEAK})
     write_findings(scan_files(spark, str(tmp_path / "tree")), str(tmp_path / "out"))
