@@ -384,13 +384,17 @@ SELECT e.file_path, e.line_number, e.raw_value, e.raw_value NOT IN (
     SELECT r.raw_value FROM rule_hits AS r WHERE r.file_path = e.file_path AND r.line_number = e.line_number) AS reported
 FROM entropic AS e""")
 def suppress_duplicates(spark, sf_dir):
-    """High-entropy strings, and whether no rule reported the same value on the line."""
+    """High-entropy strings, and whether no rule reported the same value on the line.
+
+    Sizes are estimated from the customers, of which each makes many findings, so
+    that Spark would take the findings for few and send them all through the driver.
+    """
     hits = entropy.entropy_hits(file_lines(spark, sf_dir), ScanOptions())
     kept = (
         file_findings(spark, sf_dir).where(F.col("detection_method") == "entropy")
         .select("file_path", F.col("line_number").alias("line"), "raw_value", F.lit(True).alias("kept"))
     )
-    return hits.join(kept, ["file_path", "line", "raw_value"], "left").select(
+    return hits.join(kept.hint("merge"), ["file_path", "line", "raw_value"], "left").select(
         "file_path", F.col("line").alias("line_number"), "raw_value", F.coalesce("kept", F.lit(False)).alias("reported")
     )
 
