@@ -306,7 +306,8 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
             yield pa.RecordBatch.from_arrays(
                 [
                     piece.column(key), pa.array(np.diff(ids.offsets.to_numpy()).astype(np.int64)),
-                    pa.array([digest(row.encode()) for row in written.to_pylist()]), pa.array([digest(row.encode()) for row in m.decode_batch(ids)]),
+                    pa.array([digest(row.encode()) for row in written.to_pylist()], pa.string()),
+                    pa.array([digest(row.encode()) for row in m.decode_batch(ids)], pa.string()),
                 ],
                 [key, "n_tokens", "ids_sha256", "decoded_sha256"],
             )

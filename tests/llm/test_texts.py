@@ -15,7 +15,7 @@ import public_tokenizers
 from leakframe.llm import decontamination, line_dedup, near, piece_bpe, toxicity, warc
 from leakframe.llm.components import components
 from leakframe.llm.fm_index import FMIndex, suffix_array
-from leakframe.llm.tokens import words
+from leakframe.llm.tokens import pieces, words
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SPACED = r"[^\x20\x09-\x0D]+"
@@ -290,6 +290,22 @@ def test_words_forgotten_are_encoded_again(model, prose, monkeypatch):
     assert len(model.cache) <= 5
 
 
+@pytest.mark.parametrize("sizes", [[5], [12], [3, 4, 12], [10], [4, 6, 10], [25, 0, 0], [0, 0], [9, 9, 9], [1, 40]])
+def test_pieces_hold_every_text_once_and_none_is_empty(sizes):
+    batch = pa.record_batch({"text": pa.array(["x" * n if n else None for n in sizes], pa.string())})
+    found = [*pieces(iter([batch]), "text", 10)]
+    assert [t for p in found for t in p.column("text").to_pylist()] == batch.column("text").to_pylist()
+    assert all(p.num_rows for p in found)
+
+
+def test_a_batch_that_ends_with_a_long_text(spark):
+    """The last text of a batch reaches over a boundary between pieces."""
+    docs = spark.createDataFrame([(1, "short"), (2, "word " * 250_000)], "doc_id LONG, text STRING").coalesce(1)
+    found = {r.doc_id: r.n_tokens for r in piece_bpe.round_trip(docs, MODEL).collect()}
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    assert found == {r.doc_id: len(library.encode(r.text, add_eos=True)) for r in docs.collect()}
+
+
 def test_tokens_of_odd_tables(spark, messy, empty):
     docs, rows = messy
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
