@@ -690,10 +690,14 @@ def _put(batches):
     """Write each text to its path."""
     from pyarrow import fs
 
+    made = set()
     for batch in batches:
         for path, text in zip(batch.column("file_path").to_pylist(), batch.column("text").to_pylist(), strict=True):
             store, inside = fs.FileSystem.from_uri(path)
-            store.create_dir(inside.rpartition("/")[0], recursive=True)
+            parent = inside.rpartition("/")[0]
+            if parent not in made:
+                store.create_dir(parent, recursive=True)
+                made.add(parent)
             with store.open_output_stream(inside, compression=None) as out:
                 out.write(text.encode())
         yield batch.select(["file_path"])
@@ -710,7 +714,7 @@ def tree_of(spark: SparkSession, texts: DataFrame) -> str:
 
 def inside(found: DataFrame, folder: str) -> DataFrame:
     """Paths as they are below the folder."""
-    return found.withColumn("file_path", F.regexp_replace("file_path", f"^.*/{folder.rsplit('/', 1)[1]}/", ""))
+    return found.withColumn("file_path", F.substring_index("file_path", f"/{folder.rsplit('/', 1)[1]}/", -1))
 
 
 # A third of the files have names or folders that Spark's own listing passes over.

@@ -55,13 +55,16 @@ def carry_forward(previous: DataFrame, current: DataFrame, rescanned: DataFrame,
     """Findings of this pass plus the stored ones of files it did not scan again.
 
     With ``present(file_path)``, the files that are there now, findings of
-    deleted files are dropped.
+    deleted files are dropped. What is to be dropped is told by paths alone and
+    written, so that Spark knows its size: findings move only where that is large.
     """
     spread_by = ["line_number", "rule_id", "matched_value"]
-    kept = filter_join(previous, rescanned, ["file_path"], "left_anti", spread_by)
-    if present is not None:
-        kept = filter_join(kept, present, ["file_path"], "left_semi", spread_by)
-    return kept.unionByName(current)
+    if present is None:
+        return filter_join(previous, rescanned, ["file_path"], "left_anti", spread_by).unionByName(current)
+    named = previous.where("file_path IS NOT NULL")
+    staying = present.select("file_path").join(rescanned.select("file_path"), "file_path", "left_anti")
+    dropped = stored(named.select("file_path").distinct().join(staying, "file_path", "left_anti"), "dropped")
+    return filter_join(named, dropped, ["file_path"], "left_anti", spread_by).unionByName(current)
 
 
 DETAILS = f"{STATE_SCHEMA}, modified TIMESTAMP, length BIGINT, rules STRING, batch STRING"

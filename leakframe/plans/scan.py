@@ -92,8 +92,9 @@ def scan_changed(
     """Scan only files whose content is not in the state, then record them.
 
     A file whose time and length are as recorded is not opened. The others are
-    read once: what they hold is hashed and scanned in one go, and findings of
-    files that turn out to be the same are left aside. Results go to a new
+    read once: what they hold is hashed and, unless the hash of a file that was
+    read in one piece is as recorded, scanned in one go. Findings of other files
+    that turn out to be the same are left aside. Results go to a new
     folder of this pass below ``findings_path``, so an earlier pass is never
     overwritten. ``previous`` are the findings of all files after the last pass
     (``all_findings``): they are carried on for files that are there and were
@@ -125,22 +126,25 @@ def scan_changed(
     )
     opened = wanted.where("opened")
 
-    read = _read_and_scanned(opened, options)
+    read = _read_and_scanned(opened.withColumn("known", F.when(F.col("known_rules") == rules, F.col("known_file_hash"))), options)
     read = kept(read, "read")
     files = kept(_judged(read, opened, rules), "files")
     same, changed, partly = (files.where(F.col("outcome") == x) for x in ("same", "changed", "partly"))
     found = read.where("rule_id IS NOT NULL").drop("note")
-    findings = kept(filter_join(found, same.unionByName(files.where("outcome = 'lost'")), ["file_path"], "left_anti", ["line_number", "rule_id"]), "findings")
+    # Written, so that Spark knows how few they are before it deals the findings of all files.
+    aside = stored(files.where("outcome IN ('same', 'lost')").select("file_path"), "aside")
+    findings = kept(filter_join(found, aside, ["file_path"], "left_anti", ["line_number", "rule_id"]), "findings")
     untouched = wanted.where("NOT opened").select("file_path")
     live = untouched.unionByName(files.where("outcome <> 'lost'").select("file_path"))
-    earlier = findings.limit(0) if previous is None else previous
-    if asked:
-        # What this pass did not ask for is still there as far as it can tell.
-        others = earlier.select("file_path").distinct().join(listed.select("file_path"), "file_path", "left_anti")
-        present = live.unionByName(others)
+    if previous is None:
+        everything = findings
     else:
         present = live
-    everything = kept(carry_forward(earlier, findings, changed.unionByName(partly), present), "all_findings")
+        if asked:
+            # What this pass did not ask for is still there as far as it can tell.
+            others = previous.select("file_path").distinct().join(listed.select("file_path"), "file_path", "left_anti")
+            present = live.unionByName(others)
+        everything = kept(carry_forward(previous, findings, changed.unionByName(partly), present), "all_findings")
 
     scanned = findings_per_file(changed, findings, keep=("file_hash", "settled", "length")).withColumns({"last_scanned": F.current_timestamp(), "batch": F.lit(name)})
     checked = same.select("file_path", "file_hash", "settled", "length", F.col("known_findings_count").alias("findings_count"), F.col("known_last_scanned").alias("last_scanned"), F.col("known_batch").alias("batch"))

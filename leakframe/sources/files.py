@@ -90,13 +90,14 @@ def byte_ranges(wanted: DataFrame, options: ScanOptions = ScanOptions()) -> Data
     """(path, begin, stop, first_line) of the ranges that listed files are read in, one for most files.
 
     Of files in several ranges the line ends are counted first, range by range;
-    their sums before each range are its line numbers.
+    their sums before each range are its line numbers. A column ``known`` goes along.
     """
+    carried = [c for c in ("known",) if c in wanted.columns]
     length = F.coalesce("length", F.lit(0)).cast("long")
     begins = F.sequence(F.lit(0).cast("long"), F.greatest(length - 1, F.lit(0)), F.lit(RANGE_BYTES).cast("long"))
-    spans = wanted.select("path", length.alias("length"), F.explode(begins).alias("begin"))
+    spans = wanted.select("path", *carried, length.alias("length"), F.explode(begins).alias("begin"))
     stop = F.when(F.col("begin") + RANGE_BYTES < F.col("length"), F.col("begin") + RANGE_BYTES).alias("stop")
-    spans = spans.select("path", "length", "begin", stop, F.lit(1).cast("long").alias("first_line"))
+    spans = spans.select("path", *carried, "length", "begin", stop, F.lit(1).cast("long").alias("first_line"))
     long = spans.where(F.col("length") > RANGE_BYTES)
     if long.isEmpty():
         return spans
@@ -113,10 +114,12 @@ def read_listed(listed: DataFrame, options: ScanOptions = ScanOptions(), hashed:
     Rows with content are pieces of whole lines, from ``first_line`` on; a file
     of few megabytes is one. After them, each byte range has one row without
     content that tells its hash and whatever went wrong. Contents cross no
-    shuffle, and of binary files only the first bytes are read.
+    shuffle, and of binary files only the first bytes are read. With ``hashed``,
+    a file of one piece whose hash is in a column ``known`` has that last row alone.
     """
     ranges = byte_ranges(listed.where("reason IS NULL"), options)
-    dealt = _dealt(ranges.withColumn("length", F.least("length", F.lit(RANGE_BYTES))), ["path", "begin"]).select("path", "begin", "stop", "first_line")
+    asked = [c for c in ("path", "begin", "stop", "first_line", "known") if c in ranges.columns]
+    dealt = _dealt(ranges.withColumn("length", F.least("length", F.lit(RANGE_BYTES))), ["path", "begin"]).select(*asked)
     read = dealt.mapInArrow(walk.read_ranges(_signatures(options), hashed=hashed), walk.PIECES)
     return read.withColumn("file_path", normalise(F.col("path"))).drop("path")
 

@@ -51,11 +51,11 @@ def filesystem(path: str):
     return found, inside, path.rstrip("/").removesuffix(inside)
 
 
-def _entry(path: str, kind: str, info=None, problem: str | None = None) -> dict:
-    return {"path": path, "kind": kind, "length": info.size if info else None, "modified": info.mtime if info else None, "problem": problem}
+def _entry(path: str, kind: str, info=None, problem: str | None = None) -> tuple:
+    return path, kind, info.size if info else None, info.mtime if info else None, problem
 
 
-def _kind(info, prefix: str) -> dict:
+def _kind(info, prefix: str) -> tuple:
     from pyarrow import fs
 
     if info.type == fs.FileType.File:
@@ -65,17 +65,27 @@ def _kind(info, prefix: str) -> dict:
     return _entry(prefix + info.path, "lost", problem="missing" if info.type == fs.FileType.NotFound else "not a file")
 
 
-def _batch(entries: list[dict]) -> pa.RecordBatch:
-    kinds = [("path", pa.string()), ("kind", pa.string()), ("length", pa.int64()), ("modified", pa.timestamp("us", "UTC")), ("problem", pa.string())]
-    return pa.RecordBatch.from_pylist(entries, pa.schema(kinds))
+def _batch(entries: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.timestamp("us", "UTC"), pa.string())
+    names = [part.split(" ")[0] for part in ENTRIES.split(", ")]
+    columns = zip(*entries, strict=True) if entries else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
 def stat_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What each path is."""
+    """What each path is. Local ones are asked about in one call, one by one only where that fails."""
+    from pyarrow import fs
+
     for batch in batches:
-        out = []
-        for path in batch.column("path").to_pylist():
-            found, inside, prefix = filesystem(path)
+        out, asked = [], [(path, *filesystem(path)) for path in batch.column("path").to_pylist()]
+        local = [a for a in asked if isinstance(a[1], fs.LocalFileSystem)]
+        try:
+            infos = fs.LocalFileSystem().get_file_info([inside for _, _, inside, _ in local])
+            out += [_kind(info, prefix) for info, (_, _, _, prefix) in zip(infos, local, strict=True)]
+            asked = [a for a in asked if not isinstance(a[1], fs.LocalFileSystem)]
+        except OSError:
+            pass
+        for path, found, inside, prefix in asked:
             try:
                 out.append(_kind(found.get_file_info(inside), prefix))
             except OSError as error:
@@ -107,7 +117,7 @@ def list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _batch([_left_out(c.base_name, prefix + c.path) or _kind(c, prefix) for c in children[start : start + PAGE]])
 
 
-def _left_out(name: str, path: str) -> dict | None:
+def _left_out(name: str, path: str) -> tuple | None:
     return _entry(path, "lost", problem="version control") if name in SKIPPED_FOLDERS else None
 
 
@@ -226,11 +236,13 @@ def read_ranges(signatures: tuple[bytes, ...] | None, contents: bool = True, has
 
     That row tells how many line ends the range holds, the hash of its lines,
     and why it, or a line of it, could not be read. The first bytes are read
-    first: of a binary file nothing more.
+    first: of a binary file nothing more. Where ranges have a ``known`` hash, the
+    content of a file in one piece with that hash is not handed on.
     """
 
-    def of_range(path: str, begin: int, stop: int | None, first_line: int) -> Iterator[tuple]:
+    def of_range(path: str, begin: int, stop: int | None, first_line: int, known: str | None = None) -> Iterator[tuple]:
         lines, digest, problem = 0, hashlib.sha256(), None
+        waiting, pieces = None, 0  # the last piece waits until it is clear whether it is all and known
         try:
             found, inside, _ = filesystem(path)
             with found.open_input_file(inside) as file:
@@ -241,18 +253,24 @@ def read_ranges(signatures: tuple[bytes, ...] | None, contents: bool = True, has
                         if content is None:
                             problem = f"line {first_line + lines} is over {LINE_BYTES} bytes"
                         elif contents:
-                            yield path, begin, first_line + lines, content, None, None, None
+                            if waiting:
+                                yield waiting
+                            waiting, pieces = (path, begin, first_line + lines, content, None, None, None), pieces + 1
                         if hashed and content is not None:
                             digest.update(content)
                         lines += ends
         except OSError as error:
             problem = f"unreadable: {error}"
+        whole = hashed and problem is None and pieces == 1 and begin == 0 and stop is None
+        if waiting and not (whole and digest.hexdigest() == known):
+            yield waiting
         yield path, begin, first_line, None, lines, digest.hexdigest(), problem
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, size = [], 0
-            for asked in zip(*(batch.column(c).to_pylist() for c in ("path", "begin", "stop", "first_line")), strict=True):
+            given = [c for c in ("path", "begin", "stop", "first_line", "known") if c in batch.schema.names]
+            for asked in zip(*(batch.column(c).to_pylist() for c in given), strict=True):
                 for row in of_range(*asked):
                     rows.append(row)
                     size += len(row[3] or b"")
