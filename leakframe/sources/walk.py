@@ -211,7 +211,7 @@ def lines_in_range(file, begin: int, stop: int | None) -> Iterator[tuple[bytes |
         if len(held) < PIECE_BYTES:
             continue
         cut = held.rfind(b"\n") + 1
-        if cut <= (alone := held.rfind(b"\r")) < len(held) - 1:
+        if cut <= (alone := held.rfind(b"\r", 0, len(held) - 1)):
             cut = alone + 1
         if cut:
             yield _counted(held[:cut])
